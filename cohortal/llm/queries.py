@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortal.llm import fingerprint, licenses, mixing, packing, quality, secrets, urls
+from cohortal.llm import fingerprint, html, licenses, mixing, packing, quality, secrets, toxicity, urls
 from cohortal.session import table
 
 #: Fixed rules of the URL query: host, path, verdict.
@@ -33,6 +33,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.filter_urls(table(spark, sf_dir, "pages"), rules, keep=("page_id",))
@@ -46,14 +50,20 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
     "op3_packing": op3_packing,
     "op5_secret_scan": op5_secret_scan,
+    "op6_html_extraction": op6_html_extraction,
     "op7_url_filter": op7_url_filter,
     "op8_source_mix": op8_source_mix,
     "op9_fingerprint": op9_fingerprint,
+    "op10_toxicity": op10_toxicity,
 }
 
 URL_SQL = r"""
