@@ -15,7 +15,8 @@ def connected_components(
 
     Alternates large-star and small-star rounds. Each round is two shuffles of the edge
     table, an aggregate that combines before it shuffles and a join that Spark may split
-    on a hot node; nothing is gathered per component. Rounds are checkpointed. Edges with
+    on a hot node (its sides are two plain exchanges, which is what the checkpoint of the
+    aggregate is for); nothing is gathered per component. Rounds are checkpointed. Edges with
     a null end are ignored, loops and repeated edges are allowed, an empty table gives an
     empty result.
     """
@@ -48,7 +49,7 @@ def connected_components(
 def _large_star(e: DataFrame) -> DataFrame:
     """Link every greater neighbour of a node to the least of the node and its neighbours."""
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return (
         both.join(least, "u")
         .where("v > u")
@@ -60,6 +61,6 @@ def _large_star(e: DataFrame) -> DataFrame:
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Link a node and its lesser neighbours to the least of these."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(e.groupBy("u").agg(F.min("v").alias("m")))
     moved = e.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
