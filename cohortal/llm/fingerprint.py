@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortal.llm.bitfilter import bit_filter
 from cohortal.session import materialize
 
 
@@ -37,11 +38,6 @@ def likeness(a: str, b: str) -> float:
     return 1.0 if a == b else 0.0
 
 
-#: Bits of the filter that spares rows without an equal from the byte comparison's shuffle.
-#: Its size is fixed (2 MB); more equal digests only let more rows through.
-FILTER_BITS = 1 << 24
-
-
 def collisions(docs: DataFrame, shared: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows whose canonical bytes differ from those of the first row of their digest.
 
@@ -50,26 +46,11 @@ def collisions(docs: DataFrame, shared: DataFrame, id: str = "doc_id", text: str
     the join on the digest is a plain one, which Spark may split where a digest is hot.
     Returns ``doc_id`` and ``told``, the digest with a SHA-256 suffix; as a rule it is empty.
     """
-    slot = F.pmod(F.xxhash64("fingerprint"), F.lit(FILTER_BITS))
-    bits = shared.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-    bitmaps = {
-        r.bucket: bytes(r.bits)
-        for r in bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    }  # at most FILTER_BITS / 32768 rows of 4 KB
-
-    @F.pandas_udf("boolean")
-    def may_be_shared(slots: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                (found := bitmaps.get(s // 32768 + 1)) is not None and bool(found[s % 32768 // 8] >> (s % 8) & 1)
-                for s in slots
-            ]
-        )
-
+    may_be_shared = bit_filter(shared, "fingerprint")
     canon = F.pandas_udf(lambda s: s.map(canonical, na_action=None), "string")
     hashed = F.pandas_udf(lambda s: s.map(digest, na_action=None), "string")
     own = docs.select(F.col(id).alias("doc_id"), hashed(F.col(text)).alias("fingerprint"), F.col(text).alias("text"))
-    rows = own.where(may_be_shared(slot)).join(shared, "fingerprint").withColumn("canon", canon("text")).drop("text")
+    rows = own.where(may_be_shared("fingerprint")).join(shared, "fingerprint").withColumn("canon", canon("text")).drop("text")
     lead = rows.where("doc_id <=> first").groupBy("fingerprint").agg(F.min("canon").alias("lead"))
     differ = rows.join(lead, "fingerprint").where("canon != lead")
     return differ.select("doc_id", "fingerprint", F.concat_ws("-", "fingerprint", F.sha2("canon", 256)).alias("told"))
