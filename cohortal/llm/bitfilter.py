@@ -23,16 +23,16 @@ def bit_filter(keys: DataFrame, column: str) -> Callable[[str | Column], Column]
     def slot(value: str | Column) -> Column:
         return F.pmod(F.xxhash64(value), F.lit(FILTER_BITS))
 
-    bits = keys.select(slot(column).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-    found = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+    slots = keys.select(slot(column).alias("slot"))
+    buckets = slots.groupBy(F.floor(F.col("slot") / BUCKET_BITS).alias("bucket"))
+    found = buckets.agg(F.bitmap_construct_agg(F.col("slot") % BUCKET_BITS).alias("bits")).collect()
     maps = {r.bucket: bytes(r.bits) for r in found}
 
     @F.pandas_udf("boolean")
     def maybe(slots: pd.Series) -> pd.Series:
-        # Buckets count from 1, a value that BUCKET_BITS divides is the first of the next one.
         out = []
         for s in slots:
-            bits = maps.get(s // BUCKET_BITS + 1)
+            bits = maps.get(s // BUCKET_BITS)
             at = s % BUCKET_BITS
             out.append(bits is not None and bool(bits[at >> 3] >> (at & 7) & 1))
         return pd.Series(out, dtype=bool)

@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -366,9 +367,7 @@ class JaccardJoin:
         n = self.n
 
         @F.pandas_udf("struct<shingles:binary,own:binary>")
-        def read(batches):
-            import pandas as pd
-
+        def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             memo: dict[str, int] = {}
             for s in batches:
                 sets = [shingles(t, n, memo).tobytes() for t in s]
