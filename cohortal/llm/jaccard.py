@@ -159,20 +159,27 @@ def _blocks(rows: DataFrame, group: str, size: Column, node: str, chunk: int, pa
     return rows.repartition(partitions, group, "a", "b").sortWithinPartitions(group, "a", "b", node)
 
 
-def sketches(docs: DataFrame, id: str, text: str, n: int) -> DataFrame:
-    """Per row its key, the digest of its shingle set, 8 bits of each hash value, and band keys.
+def row_key(docs: DataFrame, id: str, text: str) -> Column:
+    """The id of a row; a hash of the text where that is null."""
+    return F.coalesce(F.col(id), F.xxhash64(text).cast(dict(docs.dtypes)[id]))
 
-    Rows with a null id get a hash of their text for a key. Rows without a word have nulls.
-    """
+
+def sketches(docs: DataFrame, id: str, text: str, n: int) -> DataFrame:
+    """Per row its id and key, a hash of its text, the digest of its shingle set, 8 bits of each
+    MinHash value, and band keys. Rows without a word have nulls for the last three."""
     kind = dict(docs.dtypes)[id]
-    key = F.coalesce(F.col(id), F.xxhash64(text).cast(kind))
-    rows = docs.select(F.col(id).alias("doc_id"), key.alias("key"), F.col(text).alias("text"))
+    rows = docs.select(
+        F.col(id).alias("doc_id"),
+        row_key(docs, id, text).alias("key"),
+        F.xxhash64(text).alias("text_hash"),
+        F.col(text).alias("text"),
+    )
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         for batch in batches:
             digests, sigs, keys = [], [], []
-            for t in batch.column(2).to_pylist():
+            for t in batch.column(3).to_pylist():
                 h = shingles(t, n, memo)
                 if not len(h):
                     digests.append(None), sigs.append(None), keys.append(None)
@@ -185,17 +192,19 @@ def sketches(docs: DataFrame, id: str, text: str, n: int) -> DataFrame:
                 [
                     batch.column(0),
                     batch.column(1),
+                    batch.column(2),
                     pa.array(digests, pa.binary()),
                     pa.array(sigs, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "digest", "sig", "bands"],
+                names=["doc_id", "key", "text_hash", "digest", "sig", "bands"],
             )
 
-    return rows.mapInArrow(sketch, f"doc_id {kind}, key {kind}, digest binary, sig binary, bands array<long>")
+    schema = f"doc_id {kind}, key {kind}, text_hash long, digest binary, sig binary, bands array<long>"
+    return rows.mapInArrow(sketch, schema)
 
 
-def pruner(least: np.ndarray, types: list[pa.DataType]) -> Callable:
+def pruner(least: np.ndarray) -> Callable:
     """Compare signatures within blocks; hand out a forest of the pairs that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +238,7 @@ def pruner(least: np.ndarray, types: list[pa.DataType]) -> Callable:
                         forest.join(np.append(j, i) - lo)
                 edges.update((node[lo + k], node[lo + r]) for k, r in enumerate(forest.label.tolist()) if k != r)
             u, v = zip(*edges, strict=True) if edges else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, types[0]), pa.array(v, types[0])], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -261,7 +270,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verifier(threshold: float, kind: pa.DataType, pairs: bool) -> Callable:
+def verifier(threshold: float, pairs: bool) -> Callable:
     """Exact index of all pairs of a block; links per row with a forest, or the pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,17 +302,13 @@ def verifier(threshold: float, kind: pa.DataType, pairs: bool) -> Callable:
                     forest.join(np.append(np.flatnonzero(linked[i]), i))
                 out += [(node[lo + i], int(links[i]), node[lo + int(forest.label[i])]) for i in np.flatnonzero(links).tolist()]
             columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-            types = (kind, kind, pa.float64()) if pairs else (kind, pa.int64(), kind)
+            types = [pa.int64(), pa.int64(), pa.float64() if pairs else pa.int64()]
             names = ["u", "v", "jaccard"] if pairs else ["node", "n_links", "parent"]
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types, strict=True)], names=names)
 
     return run
 
 
-def _arrow_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 class JaccardJoin:
     """The steps of the join over one table; ``links`` and ``pairs`` are its results.
 
@@ -335,14 +340,16 @@ class JaccardJoin:
         self.threshold, self.n, self.docs, self.id, self.text = threshold, n, docs, id, text
         spark = docs.sparkSession
         self.partitions = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.kind = dict(docs.dtypes)[id]
         self.sketches = materialize(sketches(docs, id, text, n))
-        known = self.sketches.where("digest is not null")
-        self.nodes = materialize(
-            known.groupBy("digest").agg(
-                F.min("key").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count("*").alias("n_copies")
-            )
+        sets = self.sketches.where("digest is not null").groupBy("digest")
+        sets = sets.agg(
+            F.min("key").alias("rep_id"),
+            F.first("sig").alias("sig"),
+            F.first("bands").alias("bands"),
+            F.count("*").alias("n_copies"),
         )
+        # Numbers of shingle sets; the checkpoint keeps them as they are.
+        self.nodes = materialize(sets.withColumn("node", F.monotonically_increasing_id()))
         self.groups = self._groups(tolerance)
 
     def _groups(self, tolerance: float) -> DataFrame:
@@ -353,17 +360,17 @@ class JaccardJoin:
         rows = members.select("bucket", "n", "node", "sig")
         dealt = _blocks(rows, "bucket", F.col("n"), "node", PRUNE_CHUNK, self.partitions)
         least = least_matches(self.threshold, tolerance)
-        run = pruner(least, [_arrow_type(self.kind)])
-        edges = dealt.mapInArrow(run, f"u {self.kind}, v {self.kind}").distinct()
+        edges = dealt.mapInArrow(pruner(least), "u long, v long").distinct()
         found = materialize(connected_components(edges, "u", "v"))
         sizes = found.groupBy("root").agg(F.count("*").alias("members"))
         return materialize(found.join(sizes, "root"))
 
     def _verified(self, pairs: bool) -> DataFrame:
-        wanted = self.groups.join(self.nodes.select("node", "digest"), "node")
-        own = F.coalesce(F.col(self.id), F.xxhash64(self.text).cast(self.kind))
-        texts = self.docs.select(own.alias("node"), F.col(self.text).alias("text"))
-        maybe = bit_filter(self.groups, "node")
+        wanted = self.groups.join(self.nodes.select("node", "rep_id", "digest"), "node")
+        wanted = materialize(wanted)
+        key = row_key(self.docs, self.id, self.text)
+        texts = self.docs.select(key.alias("rep_id"), F.col(self.text).alias("text"))
+        maybe = bit_filter(wanted, "rep_id")
         n = self.n
 
         @F.pandas_udf("struct<shingles:binary,own:binary>")
@@ -373,50 +380,60 @@ class JaccardJoin:
                 sets = [shingles(t, n, memo).tobytes() for t in s]
                 yield pd.DataFrame({"shingles": sets, "own": [xxhash.xxh3_128_digest(x) for x in sets]})
 
-        rows = texts.where(maybe("node")).join(wanted, "node").withColumn("s", read("text")).drop("text")
+        rows = texts.where(maybe("rep_id")).join(wanted, "rep_id").withColumn("s", read("text")).drop("text")
         rows = rows.where("s.own = digest").dropDuplicates(["node"])
         rows = rows.select(F.xxhash64("root").alias("root_key"), "members", "node", F.col("s.shingles").alias("shingles"))
         dealt = _blocks(rows, "root_key", F.col("members"), "node", VERIFY_CHUNK, self.partitions)
-        schema = f"u {self.kind}, v {self.kind}, jaccard double" if pairs else f"node {self.kind}, n_links long, parent {self.kind}"
-        return dealt.mapInArrow(verifier(self.threshold, _arrow_type(self.kind), pairs), schema)
+        schema = "u long, v long, jaccard double" if pairs else "node long, n_links long, parent long"
+        return dealt.mapInArrow(verifier(self.threshold, pairs), schema)
 
     def pairs(self) -> DataFrame:
-        """Linked representatives ``u < v`` and their exact index; a row per link."""
-        return self._verified(pairs=True)
+        """A row per link of two shingle sets: their least ids ``a_id, b_id`` and the exact ``jaccard``."""
+        names = self.nodes.select("node", "rep_id")
+        a, b = names.toDF("u", "a_id"), names.toDF("v", "b_id")
+        return self._verified(pairs=True).join(a, "u").join(b, "v").select("a_id", "b_id", "jaccard")
 
     def links(self) -> DataFrame:
-        """One row per input row: ``doc_id, class_id, rep_id, n_copies, n_links``.
+        """One row per input row: ``doc_id, class_id, rep_id, n_copies, n_links, leads, text_hash``.
 
         ``rep_id`` is the least id of the rows with the same shingles, ``n_copies`` their number,
         ``n_links`` the other shingle sets at or above the threshold, and ``class_id`` the
-        least id of all that links connect. Rows without a word are their own class, of one
-        copy without links.
+        least id of all that links connect. ``leads`` marks the rows of the class's least id
+        and one shingle set, which are equal rows if they are several. Rows without a word are
+        their own class, of one copy without links.
         """
         found = materialize(self._verified(pairs=False))
         links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-        classes = connected_components(found, "node", "parent", root="class_id")
+        classes = connected_components(found, "node", "parent")
         rated = (
-            self.nodes.select("digest", "node", "n_copies")
+            self.nodes.select("digest", "node", "rep_id", "n_copies")
             .join(links, "node", "left")
             .join(classes, "node", "left")
-            .select(
+            .withColumn("root", F.coalesce("root", "node"))
+        )
+        first = rated.groupBy("root").agg(F.min(F.struct("rep_id", "digest")).alias("first"))
+        rated = materialize(
+            rated.join(first, "root").select(
                 "digest",
-                F.coalesce("class_id", "node").alias("class_id"),
-                F.col("node").alias("rep_id"),
+                F.col("first.rep_id").alias("class_id"),
+                "rep_id",
                 "n_copies",
                 F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                (F.col("first.digest") == F.col("digest")).alias("leads"),
             )
         )
-        rated = materialize(rated)
-        worded = self.sketches.where("digest is not null").select("doc_id", "digest").join(rated, "digest").drop("digest")
+        worded = self.sketches.where("digest is not null").select("doc_id", "key", "text_hash", "digest")
+        worded = worded.join(rated, "digest").withColumn("leads", F.col("leads") & (F.col("key") == F.col("class_id")))
         empty = self.sketches.where("digest is null").select(
             "doc_id",
+            "text_hash",
             F.col("key").alias("class_id"),
             F.col("key").alias("rep_id"),
             F.lit(1).cast("long").alias("n_copies"),
             F.lit(0).cast("long").alias("n_links"),
+            F.lit(True).alias("leads"),
         )
-        return worded.unionByName(empty)
+        return worded.select(*empty.columns).unionByName(empty)
 
 
 def jaccard_links(docs: DataFrame, **options) -> DataFrame:
@@ -424,12 +441,39 @@ def jaccard_links(docs: DataFrame, **options) -> DataFrame:
 
     Shingles are ``n`` words in a row, words being runs between white space; a text of fewer words
     has one shingle of them all. Null and empty texts have no shingle and no link. Rows may
-    repeat, ids may be null (a hash of the text stands in), other columns are not read. Ids are
-    long, int or string. An empty table gives an empty result.
+    repeat, ids may be null (a hash of the text stands in), other columns are not read. An
+    empty table gives an empty result.
     """
     return JaccardJoin(docs, **options).links()
 
 
 def jaccard_pairs(docs: DataFrame, **options) -> DataFrame:
-    """Linked pairs of class representatives with their exact index (see ``JaccardJoin.pairs``)."""
+    """Linked pairs of shingle sets with their exact index (see ``JaccardJoin.pairs``)."""
     return JaccardJoin(docs, **options).pairs()
+
+
+def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, one of each class: that of the least id.
+
+    Rows that go, and repeated rows, are found by id and text hash. Only rows that may be among
+    them, by a filter of fixed size, are shuffled with their texts. Rows without a word stay,
+    repeated ones (equal id and text) once.
+    """
+    links = JaccardJoin(docs, id=id, text=text, **options).links()
+    kind = dict(docs.dtypes)[id]
+    key = F.coalesce(F.col("doc_id"), F.col("text_hash").cast(kind)).alias("own_key")
+    worded = links.select(key, F.col("text_hash").alias("own_hash"), "leads")
+    # Per id and text: whether it stays, and if it is there more than once.
+    judged = worded.groupBy("own_key", "own_hash").agg(F.max("leads").alias("stays"), F.count("*").alias("times"))
+    judged = materialize(judged.where("not stays or times > 1"))
+    maybe = bit_filter(judged, "own_hash")
+    rows = docs.withColumn("own_key", row_key(docs, id, text)).withColumn("own_hash", F.xxhash64(text))
+    rows = rows.withColumn("maybe", maybe("own_hash"))
+    some = rows.where("maybe").join(judged, ["own_key", "own_hash"], "left")
+    once = some.where("stays and times > 1").dropDuplicates(["own_key", "own_hash"])
+    others = some.where("stays is null")
+    return (
+        rows.where("not maybe").select(*docs.columns)
+        .unionByName(others.select(*docs.columns))
+        .unionByName(once.select(*docs.columns))
+    )

@@ -30,11 +30,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_links(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_links(table(spark, sf_dir, "documents")).drop("leads", "text_hash")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+    return secrets.secret_scan(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortal.llm.bitfilter import bit_filter
 from cohortal.session import materialize
 
 ASSIGN = re.compile(
@@ -92,7 +93,8 @@ def scan_texts(docs: DataFrame, keep: dict[str, str], text: str = "text") -> Dat
             yield pd.DataFrame(rows, columns=names)
 
     columns = [F.col(c).alias(name) for name, c in keep.items()]
-    return docs.select(*columns, scan(F.col(text)).alias("s")).select(*keep, "s.*")
+    hashed = F.xxhash64(text).alias("text_hash")
+    return docs.select(*columns, hashed, scan(F.col(text)).alias("s")).select(*keep, "text_hash", "s.*")
 
 
 def secret_scan(
@@ -113,7 +115,7 @@ def secret_scan(
     and has no placeholder wording is ``live``. The rest is ``weak``.
 
     One row per input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans,
-    live_spans, n_live, n_copied, n_weak``. Spans are kind:start:end in code points.
+    live_spans, n_live, n_copied, n_weak, text_hash``. Spans are kind:start:end in code points.
 
     Only hashes, never values or texts, are shuffled, and only rows with candidates. Distinct
     repositories and owners are reduced map-side first, so that a value which a third of all
@@ -155,7 +157,7 @@ def secret_scan(
     )
     right = verdicts.withColumnRenamed("doc_id", "v_id").withColumnRenamed("key", "v_key")
     on = F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("key") == F.col("v_key"))
-    base = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    base = ["doc_id", "text_hash", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     rated = with_some.join(right, on, "left").select(
         *base, F.coalesce("live_spans", F.lit("")).alias("live_spans"), zero("n_live"), zero("n_copied"), zero("n_weak")
@@ -183,3 +185,26 @@ def mask(text: str | None, live_spans: str | None) -> str | None:
             out.append(f"<{kind}>")
         at = b
     return "".join([*out, text[at:]])
+
+
+def redact_secrets(docs: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
+    """All rows of ``docs``, their live credentials replaced by markers; copied examples stay.
+
+    Only rows that may have live spans, by a filter of fixed size over their text hashes, are
+    shuffled with their texts. ``n_chars`` follows the text where there is such a column.
+    """
+    found = secret_scan(docs, text=text, id=id, **options).where("n_live > 0")
+    live = materialize(found.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "live_spans").distinct())
+    maybe = bit_filter(live, "own_hash")
+    rows = docs.withColumn("row_hash", F.xxhash64(text)).withColumn("maybe", maybe("row_hash"))
+    on = F.col(id).eqNullSafe(F.col("own_id")) & (F.col("row_hash") == F.col("own_hash"))
+    masked = F.pandas_udf(lambda t, s: pd.Series([mask(a, b) for a, b in zip(t, s, strict=True)], dtype=object), "string")
+    some = rows.where("maybe").join(live, on, "left")
+    changed = some.where("live_spans is not null").withColumn(text, masked(text, "live_spans"))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.length(text).cast(dict(docs.dtypes)["n_chars"]))
+    return (
+        rows.where("not maybe").select(*docs.columns)
+        .unionByName(some.where("live_spans is null").select(*docs.columns))
+        .unionByName(changed.select(*docs.columns))
+    )

@@ -1,5 +1,66 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxicity, near duplicates, secrets, source mix, packing.
+
+Each stage takes what the one before kept, and all but the last return the columns of
+``documents``. It belongs to ``cohortal.llm`` and goes with it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortal.llm.jaccard import drop_near_duplicates
+from cohortal.llm.mixing import mix_documents
+from cohortal.llm.packing import pack_documents
+from cohortal.llm.secrets import redact_secrets
+from cohortal.llm.toxicity import fit_toxicity, score_toxicity
+from cohortal.session import materialize, table
+
+#: No SQL: the label model, the MinHash join and the packing are tested against brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic."""
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs, model, keep=docs.columns)
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class that links of 0.8 or more connect."""
+    return drop_near_duplicates(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, owner-specific credentials replaced by markers."""
+    return redact_secrets(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, up to three times."""
+    other = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
+    mixed = mix_documents(docs, keep=other).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences with their length bucket, batch and slot."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("jaccard_join", keep_one_of_each),
+    ("secret_scan", mask_secrets),
+    ("source_mix", mix_sources),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is computed once."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
