@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortal.operators.ranking import roc_auc
 
@@ -69,7 +70,7 @@ def pair_interactions(auc: DataFrame, n_blocks: int = 4) -> DataFrame:
     return each.groupBy("b1", "b2").agg(F.avg("d").alias("delta"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p of a normal deviate; null stays null."""
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2))).astype("float64")
@@ -84,7 +85,7 @@ def _mcnemar(b: int, c: int) -> float:
     return min(1.0, 2 * sum(map(math.exp, logs)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mcnemar_p(b: pd.Series, c: pd.Series) -> pd.Series:
     """Exact two-sided p of b against c discordant pairs; 1 if there are none."""
     return pd.Series([_mcnemar(int(x), int(y)) for x, y in zip(b, c, strict=True)], dtype="float64")

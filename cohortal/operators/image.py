@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortal.functions import pixels as X
 
@@ -23,7 +24,7 @@ def _arrays(height, width, bgr, mask) -> Iterator[tuple[np.ndarray | None, np.nd
 
 
 def _per_image(f):
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(height: pd.Series, width: pd.Series, bgr: pd.Series, mask: pd.Series) -> pd.Series:
         return pd.Series([None if a is None else f(a, m) for a, m in _arrays(height, width, bgr, mask)], dtype=object)
 
@@ -36,7 +37,7 @@ image_features = _per_image(X.image_features)
 border_block_of_otsu = _per_image(lambda a, m: [X.border(o := X.otsu_mask(a))[0], *X.minkowski(o)])
 
 
-@F.pandas_udf("struct<phash:long,dhash:long>")
+@F.pandas_udf(T.StructType().add("phash", T.LongType()).add("dhash", T.LongType()))
 def image_hashes(height: pd.Series, width: pd.Series, bgr: pd.Series, mask: pd.Series) -> pd.DataFrame:
     """Perceptual and difference hash as signed 64-bit integers."""
     signed = lambda v: v - (1 << 64) if v >> 63 else v
@@ -44,7 +45,7 @@ def image_hashes(height: pd.Series, width: pd.Series, bgr: pd.Series, mask: pd.S
     return pd.DataFrame(rows, columns=["phash", "dhash"]).astype("Int64")
 
 
-@F.pandas_udf("struct<mae:double,max:int>")
+@F.pandas_udf(T.StructType().add("mae", T.DoubleType()).add("max", T.IntegerType()))
 def pixel_difference(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Mean and greatest absolute difference of two images of equal size."""
     rows = []
