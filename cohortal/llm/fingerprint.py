@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortal.llm.bitfilter import bit_filter
+from cohortal.llm.text import small_batches
 from cohortal.session import materialize
 
 
@@ -68,6 +69,7 @@ def fingerprint_groups(docs: DataFrame, id: str = "doc_id", text: str = "text")
     Null and empty texts are equal to each other. Null ids stay, and are a group's id only if
     the group has no other. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     hashed = F.pandas_udf(lambda s: s.map(digest, na_action=None), "string")
     found = materialize(docs.select(F.col(id).alias("doc_id"), hashed(F.col(text)).alias("fingerprint")))
     found = _resolve(docs, found, id, text)
@@ -105,6 +107,7 @@ def edited_fingerprints(
     gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     key = F.col("doc_id").desc_nulls_last()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortal.llm.bitfilter import bit_filter
-from cohortal.llm.text import WORDS
+from cohortal.llm.text import MAX_MEMO, WORDS, small_batches
 from cohortal.operators.graph import connected_components
 from cohortal.session import materialize
 
@@ -25,7 +25,6 @@ STEP = 16
 PRUNE_CHUNK, VERIFY_CHUNK = 1024, 64
 #: Groups up to this size are compared together with others, larger ones each on its own.
 SMALL = 16
-MAX_MEMO = 500_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20_240_501)
 FACTORS = _rng.integers(1, 2**32, N_HASHES, dtype=np.uint32) | np.uint32(1)
@@ -339,6 +338,7 @@ class JaccardJoin:
     ):
         self.threshold, self.n, self.docs, self.id, self.text = threshold, n, docs, id, text
         spark = docs.sparkSession
+        small_batches(spark)
         self.partitions = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.sketches = materialize(sketches(docs, id, text, n))
         sets = self.sketches.where("digest is not null").groupBy("digest")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortal.llm.text import BLANKS, WORDS
+from cohortal.llm.text import BLANKS, WORDS, small_batches
 
 SYMBOLS = "#*$%&|<>"
 # Phrases of navigation bars and of legal or technical boilerplate.
@@ -125,6 +125,8 @@ def line_quality(
     through. Columns other than ``id`` and ``text`` are not looked at.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf(RESULT)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RESULT.split(", ")]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortal.llm.bitfilter import bit_filter
+from cohortal.llm.text import small_batches
 from cohortal.session import materialize
 
 ASSIGN = re.compile(
@@ -68,6 +69,7 @@ SCAN = (
 
 def scan_texts(docs: DataFrame, keep: dict[str, str], text: str = "text") -> DataFrame:
     """Spans of every whole text, with counts of the base kinds. No shuffle."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf(SCAN)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

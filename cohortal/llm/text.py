@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, line feed, VT, FF and CR.
@@ -17,3 +17,21 @@ BLANKS = " \t\n\x0b\x0c\r"
 def n_words(text: str | Column) -> Column:
     """Number of words of a text column (null: 0), as a long."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Rows in an Arrow batch of texts: some MB at usual lengths, and still bounded for very long ones.
+BATCH_ROWS = 2_000
+#: Words that a task remembers; beyond that it starts anew.
+MAX_MEMO = 100_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of at most ``BATCH_ROWS`` rows for the rest of the session.
+
+    A worker holds a batch several times over (Arrow, strings, results), and Spark's default of
+    10,000 rows is meant for narrow rows.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortal.llm.text import MAX_MEMO, small_batches
+
 # Common insults in four languages.
 LEXICONS = {
     "en": "idiot idiots stupid moron morons scum trash garbage pathetic worthless disgusting loser losers clown dumb "
@@ -30,7 +32,6 @@ PATTERNS = {
 }
 TOKEN = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6)
-MAX_MEMO = 500_000
 
 
 def token_features(token: str) -> list[str]:
@@ -82,7 +83,10 @@ class LabelModel:
         """Posterior of class 1 per row; ``labels`` has 0, 1 or -1 (unknown)."""
         known = labels >= 0
         gold = np.where(labels == 1, 1.0, -1.0) * math.log((1 - self.label_error) / self.label_error) * known
-        post = np.where(known, np.where(labels == 1, 1 - self.label_error, self.label_error), self.prior)
+        # Where no label is known, the more voters fire the likelier; one that mostly fires says nothing.
+        fires = votes[:, votes.mean(0) < 0.5].sum(1)
+        guess = np.where(fires > 0, 1 - 0.4**fires, self.prior / 2)
+        post = np.where(known, np.where(labels == 1, 1 - self.label_error, self.label_error), guess)
         self.discount = np.ones(votes.shape[1])
         for k in range(rounds):
             w = np.stack([1 - post, post])
@@ -238,6 +242,7 @@ def fit_toxicity(
     the texts by broadcasting at most that many ids. The driver gets feature counts and,
     per sampled row, the numbers of the voters that fired.
     """
+    small_batches(docs.sparkSession)
     usable = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull() & ~held_out(id, folds))
     usable = usable.groupBy(F.col(id).alias("doc_id")).agg(F.max(label).cast("int").alias("toxic"))
     n = usable.count()
