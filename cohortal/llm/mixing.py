@@ -93,9 +93,9 @@ def mix(
        times its size.
     2. Sainte-Laguë gives the blocks to sources by their targets, then each source's blocks
        to its shards by their sizes: integer quotas.
-    3. In a shard, documents stand in an order seeded by a hash of the id, and are cut into
-       blocks of ``block`` tokens. A quota takes all blocks once for each full pass and
-       the first blocks of the order for the rest.
+    3. In a shard, documents stand in an order seeded by a hash of the id. Blocks of ``block``
+       tokens are cut from this line, which starts over at its end up to ``max_repeats`` times
+       (the last block may be short), and a quota takes the first ones.
 
     One row per input row: ``doc_id``, the ``keep`` columns, ``source``, ``size``,
     ``source_size``, ``target``, ``taken`` (tokens, repeats counted) and ``copies`` (full
@@ -157,9 +157,10 @@ def mix(
         "start", F.coalesce(F.sum("size").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
     )
     placed = placed.join(dealt, ["key", "shard"], "left")
-    n_blocks = F.ceil(F.col("cell_size") / F.lit(float(block)))
-    passes = F.when(F.col("cell_size") > 0, F.floor(F.col("quota") / n_blocks)).otherwise(0).cast("long")
-    rest = F.when(F.col("cell_size") > 0, (F.col("quota") - passes * n_blocks) * F.lit(block)).otherwise(0).cast("long")
+    whole = F.nullif(F.col("cell_size"), F.lit(0))
+    tokens = F.least(F.col("quota") * F.lit(block), F.col("cell_size") * F.lit(max_repeats))
+    passes = F.coalesce(F.floor(tokens / whole), F.lit(0)).cast("long")
+    rest = F.coalesce(tokens - passes * whole, F.lit(0)).cast("long")
     part = F.greatest(F.least(F.col("start") + F.col("size"), rest) - F.col("start"), F.lit(0)).cast("long")
     more = ((F.col("size") > 0) & (F.col("start") + F.col("size") / 2 < rest)).cast("long")
     return placed.select(
