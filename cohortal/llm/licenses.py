@@ -23,7 +23,7 @@ SENTENCES = (
     ("LGPLVer", r".*gnu lesser general public license version (2 1|3)( .*)?"),
     ("AGPLVer3", r".*gnu affero general public license version 3( .*)?"),
     ("MPLVer2", r".*mozilla public license v(ersion)? ?2 0( .*)?"),
-    ("BSDRedistribute", r"redistribution and use in source and binary forms .*"),
+    ("BSDRedistribute", r"redistribution and use in source and binary forms( .*)?"),
     ("BSDNames", r"neither the name of .*"),
     ("BSDReleased", r"(released|licensed|distributed) under the( terms of the)? bsd license"),
     ("CCBYNC", r"licensed under (cc by nc|a creative commons attribution noncommercial license|creative commons attribution noncommercial)( [0-9] [0-9])?( .*)?"),
@@ -89,7 +89,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Da
     ids = F.filter(F.transform(normal, sentence_id), lambda x: x.isNotNull())
     rows = docs.select(F.col(id).alias("doc_id"), F.concat(F.lit(","), F.array_join(ids, ","), F.lit(",")).alias("ids"))
     matched = F.array_compact(
-        F.array(*[F.when(F.col("ids").rlike(",.*".join(f",{s}(?=,)" for s in seq)), F.lit(name)) for name, seq in RULES])
+        F.array(*[F.when(F.col("ids").rlike(".*".join(f",{s}(?=,)" for s in seq)), F.lit(name)) for name, seq in RULES])
     )
     rows = rows.withColumn("m", F.array_distinct(matched)).withColumn("ids", F.btrim("ids", F.lit(",")))
     return rows.select(
@@ -107,7 +107,7 @@ def oracle(table: str = "documents") -> str:
     case = " ".join(f"WHEN regexp_full_match(s, {q(p)}) THEN {q(n)}" for n, p in SENTENCES)
     rules = ", ".join(
         "CASE WHEN regexp_matches(ids, "
-        + q("(.*,)".join(f",{s}" for s in seq).replace("(.*,),", "(,.*)?,") + ",")
+        + q("(,.*)?".join(f",{s}" for s in seq) + ",")
         + f") THEN {q(name)} END"
         for name, seq in RULES
     )
