@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortal.llm.text import small_batches
 from cohortal.llm.urls import url_parts
 from cohortal.session import broadcast_if_small, materialize
 
@@ -140,6 +141,10 @@ def blocks(page: str | None) -> tuple[list[tuple[tuple[str, ...], str, bool, str
             else:
                 end_block()
             continue
+        if tag in ("script", "style"):  # nothing that is seen, so no break either
+            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            at = stop.end() if stop else n
+            continue
         end_block()
         if tag in VOID:
             stack[-1][4].append(tag)
@@ -310,6 +315,7 @@ def extract(
     Null or empty html gives an empty text. Pages without a host form one site. A site of
     few pages is judged by tags and names alone. Repeated rows and null keys stay.
     """
+    small_batches(pages.sparkSession)
     host = url_parts(url)[0]
     sited = pages.select(*keep, host.alias("site_host"), F.col(html).alias("site_html"))
     low = materialize(low_branches(style_tree(sited, "site_host", "site_html"), threshold, min_pages))
