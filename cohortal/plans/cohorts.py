@@ -111,7 +111,7 @@ def lesion_keys(spark, sf_dir):
     """, tv AS (SELECT DISTINCT group_key, image_id FROM image WHERE split <> 'test'), te AS (SELECT DISTINCT group_key, image_id FROM image WHERE split = 'test'),
     g AS (SELECT DISTINCT group_key FROM te WHERE group_key IN (SELECT group_key FROM tv)), i AS (SELECT DISTINCT image_id FROM te WHERE image_id IN (SELECT image_id FROM tv))
     SELECT (SELECT count(*) FROM g) AS group_overlap_count, (SELECT count(*) FROM i) AS image_id_overlap_count,
-      (SELECT string_agg(group_key, ',' ORDER BY group_key) FROM (SELECT group_key FROM g ORDER BY group_key LIMIT 20)) AS group_overlap_examples,
+      coalesce((SELECT string_agg(group_key, ',' ORDER BY group_key) FROM (SELECT group_key FROM g ORDER BY group_key LIMIT 20)), '') AS group_overlap_examples,
       (SELECT count(*) FROM image WHERE split = 'test' AND group_key IN (SELECT group_key FROM tv)) AS leaking_images""",
     META,
 )

@@ -248,7 +248,7 @@ v AS (SELECT {by} y, (SELECT 1) AS one, (sum(1 - y) OVER (PARTITION BY {part} OR
 )
 def delong_by_source(spark, sf_dir):
     a = Q.roc_auc(predictions(spark, sf_dir), "s_a", "y", ["source"])
-    return rounded(a.withColumn("var", F.round("var", 9).cast("string"))).withColumn("var", F.col("var").cast("double"))
+    return rounded(a.drop("var")).join(a.select("source", F.round("var", 9).alias("var")), "source")
 
 
 @query(
@@ -467,7 +467,7 @@ def prediction_audit(spark, sf_dir):
 
 
 @query(
-    """, ma AS (SELECT avg(y) AS m FROM pred WHERE false), z AS (SELECT avg(p_mel) FILTER (truth = 0) AS mu, stddev_pop(p_mel) FILTER (truth = 0) AS sd, avg(p_mel) FILTER (truth = 1) AS mm FROM pred)
+    """, z AS (SELECT avg(p_mel) FILTER (truth = 0) AS mu, stddev_pop(p_mel) FILTER (truth = 0) AS sd, avg(p_mel) FILTER (truth = 1) AS mm FROM pred)
     SELECT row_index, round((CASE WHEN mm >= mu THEN 1 ELSE -1 END) * (p_mel - mu) / CASE WHEN sd = 0 THEN 1e-6 ELSE sd END, 6) AS z,
       CASE WHEN (CASE WHEN mm >= mu THEN 1 ELSE -1 END) * (p_mel - mu) / CASE WHEN sd = 0 THEN 1e-6 ELSE sd END >= 2.5 THEN 'high'
         WHEN (CASE WHEN mm >= mu THEN 1 ELSE -1 END) * (p_mel - mu) / CASE WHEN sd = 0 THEN 1e-6 ELSE sd END >= 1 THEN 'moderate' ELSE 'normal' END AS level
