@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortal.llm import fingerprint, html, jaccard, licenses, mixing, packing, quality, secrets, toxicity, urls
+from cohortal.llm import fingerprint, html, jaccard, licenses, mixing, oracles, packing, quality, secrets, toxicity, urls
 from cohortal.session import table
 
 #: Fixed rules of the URL query: host, path, verdict.
@@ -71,26 +71,9 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-URL_SQL = r"""
-WITH parts AS (
-  SELECT page_id, coalesce(url, '') AS u FROM pages),
-rest AS (
-  SELECT page_id, contains(u, '://') AS has, substr(u, strpos(u, '://') + 3) AS r FROM parts),
-hp AS (
-  SELECT page_id,
-    CASE WHEN has THEN translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-    CASE WHEN has THEN regexp_extract(r, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
-  FROM rest),
-rules(rhost, rpath, says) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-pairs AS (SELECT DISTINCT host, path FROM hp),
-fit AS (
-  SELECT host, path, rhost || rpath AS rule, says,
-    row_number() OVER (PARTITION BY host, path ORDER BY length(rhost || rpath) DESC, says = 'block' DESC, rhost || rpath DESC) AS k
-  FROM pairs JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
-SELECT hp.page_id, hp.host, hp.path, fit.rule, coalesce(fit.says, 'allow') AS verdict
-FROM hp LEFT JOIN fit ON fit.k = 1 AND hp.host = fit.host AND hp.path = fit.path"""
-
 ORACLE_SQL = {
+    "op1_quality_rules": oracles.quality_rules(),
     "op2_license_scan": licenses.oracle(),
-    "op7_url_filter": URL_SQL,
+    "op4_jaccard_join": oracles.JACCARD,
+    "op7_url_filter": oracles.URLS,
 }
