@@ -72,7 +72,7 @@ def class_tree(spark: SparkSession, root: str, classes: dict[str, int], extensio
     """Images in class folders with the class number; other folders are left out."""
     t = file_tree(spark, root, extensions)
     table = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])
-    return t.withColumn("true", table[F.col("folder")]).where("true is not null")
+    return t.withColumn("true", table[F.col("folder")]).where(F.col("true").isNotNull())
 
 
 def raw_manifest(spark: SparkSession, root: str, expected: int | None = None, extensions: Sequence[str] | None = None) -> DataFrame:
