@@ -28,14 +28,8 @@ def connected_components(
     )
     loops = e.where("u = v")
     e = e.where("u > v")
-    before = None
-    while True:
-        e = _large_star(e)
-        e = materialize(_small_star(e))
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == now:
-            break
-        before = now
+    while not _all_stars(e):
+        e = materialize(_small_star(_large_star(e)))
     stars = e.select(F.col("u").alias(node), F.col("v").alias(root))
     centres = e.select(F.col("v").alias(node), F.col("v").alias(root)).distinct()
     alone = (
@@ -46,6 +40,15 @@ def connected_components(
     return stars.unionByName(centres).unionByName(alone)
 
 
+def _all_stars(e: DataFrame) -> bool:
+    """Whether every edge leads from a leaf of one edge to a centre; centres are least, as u > v."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(
+        e.select(F.col("v").alias("x"), F.lit(0).alias("leaf"), F.lit(1).alias("centre"))
+    )
+    roles = ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+    return roles.where("leaf + centre > 1").isEmpty()
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     """Link every greater neighbour of a node to the least of the node and its neighbours."""
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
