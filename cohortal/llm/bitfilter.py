@@ -13,28 +13,35 @@ FILTER_BITS = 1 << 24
 BUCKET_BITS = 8 * 4096
 
 
+def bit_maps(slots: DataFrame) -> dict[int, bytes]:
+    """Bits of the numbers in the column ``slot`` (0 to FILTER_BITS - 1), by bucket.
+
+    At most ``FILTER_BITS / BUCKET_BITS`` rows of 4 KB come to the driver.
+    """
+    buckets = slots.groupBy(F.floor(F.col("slot") / BUCKET_BITS).alias("bucket"))
+    found = buckets.agg(F.bitmap_construct_agg(F.col("slot") % BUCKET_BITS).alias("bits")).collect()
+    return {r.bucket: bytes(r.bits) for r in found}
+
+
+def has_bit(maps: dict[int, bytes], slot: int) -> bool:
+    bits = maps.get(slot // BUCKET_BITS)
+    at = slot % BUCKET_BITS
+    return bits is not None and bool(bits[at >> 3] >> (at & 7) & 1)
+
+
 def bit_filter(keys: DataFrame, column: str) -> Callable[[str | Column], Column]:
     """A predicate that is true for every value in ``keys[column]``, and for few others.
 
-    Sets one bit per key. At most ``FILTER_BITS / BUCKET_BITS`` rows of 4 KB come to the driver
-    and go to the tasks. A join has to follow: the filter only leaves out rows.
+    A join has to follow: the filter only leaves out rows.
     """
 
     def slot(value: str | Column) -> Column:
         return F.pmod(F.xxhash64(value), F.lit(FILTER_BITS))
 
-    slots = keys.select(slot(column).alias("slot"))
-    buckets = slots.groupBy(F.floor(F.col("slot") / BUCKET_BITS).alias("bucket"))
-    found = buckets.agg(F.bitmap_construct_agg(F.col("slot") % BUCKET_BITS).alias("bits")).collect()
-    maps = {r.bucket: bytes(r.bits) for r in found}
+    maps = bit_maps(keys.select(slot(column).alias("slot")))
 
     @F.pandas_udf("boolean")
     def maybe(slots: pd.Series) -> pd.Series:
-        out = []
-        for s in slots:
-            bits = maps.get(s // BUCKET_BITS)
-            at = s % BUCKET_BITS
-            out.append(bits is not None and bool(bits[at >> 3] >> (at & 7) & 1))
-        return pd.Series(out, dtype=bool)
+        return pd.Series([has_bit(maps, s) for s in slots], dtype=bool)
 
     return lambda value: maybe(slot(value))

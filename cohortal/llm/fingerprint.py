@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortal.llm.bitfilter import bit_filter
+from cohortal.llm.bitfilter import bit_maps, has_bit
 from cohortal.llm.text import small_batches
 from cohortal.session import materialize
 
@@ -47,11 +47,17 @@ def collisions(docs: DataFrame, shared: DataFrame, id: str = "doc_id", text: str
     the join on the digest is a plain one, which Spark may split where a digest is hot.
     Returns ``doc_id`` and ``told``, the digest with a SHA-256 suffix; as a rule it is empty.
     """
-    may_be_shared = bit_filter(shared, "fingerprint")
+    # The first 24 bits of a digest are its place in the filter.
+    maps = bit_maps(shared.select(F.conv(F.substring("fingerprint", 1, 6), 16, 10).cast("long").alias("slot")))
+
+    @F.pandas_udf("string")
+    def shared_digest(texts: pd.Series) -> pd.Series:
+        found = [digest(t) for t in texts]
+        return pd.Series([d if has_bit(maps, int(d[:6], 16)) else None for d in found], dtype=object)
+
     canon = F.pandas_udf(lambda s: s.map(canonical, na_action=None), "string")
-    hashed = F.pandas_udf(lambda s: s.map(digest, na_action=None), "string")
-    own = docs.select(F.col(id).alias("doc_id"), hashed(F.col(text)).alias("fingerprint"), F.col(text).alias("text"))
-    rows = own.where(may_be_shared("fingerprint")).join(shared, "fingerprint").withColumn("canon", canon("text")).drop("text")
+    own = docs.select(F.col(id).alias("doc_id"), shared_digest(F.col(text)).alias("fingerprint"), F.col(text).alias("text"))
+    rows = own.where("fingerprint is not null").join(shared, "fingerprint").withColumn("canon", canon("text")).drop("text")
     lead = rows.where("doc_id <=> first").groupBy("fingerprint").agg(F.min("canon").alias("lead"))
     differ = rows.join(lead, "fingerprint").where("canon != lead")
     return differ.select("doc_id", "fingerprint", F.concat_ws("-", "fingerprint", F.sha2("canon", 256)).alias("told"))
