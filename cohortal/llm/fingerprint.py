@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,26 +41,32 @@ def likeness(a: str, b: str) -> float:
 
 
 def collisions(docs: DataFrame, shared: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows whose canonical bytes differ from those of the first row of their digest.
+    """Rows whose canonical bytes are not the least of their digest.
 
-    ``shared`` has ``fingerprint`` and ``first`` (least id) of digests that occur more than
-    once. Only rows that pass a fixed-size bit filter of these digests travel with their text;
-    the join on the digest is a plain one, which Spark may split where a digest is hot.
-    Returns ``doc_id`` and ``told``, the digest with a SHA-256 suffix; as a rule it is empty.
+    ``shared`` has the ``fingerprint`` of digests that occur more than once. Only rows that pass a
+    fixed-size bit filter of these are compared: the least and the greatest canonical text of
+    each digest, by an aggregate that keeps two texts per digest and task before its shuffle. Where
+    the two are equal so are all bytes; where not, the digest's rows are read again and told
+    apart. Returns ``doc_id, fingerprint, told`` (the digest with a SHA-256 suffix); as a rule it is empty.
     """
     # The first 24 bits of a digest are its place in the filter.
     maps = bit_maps(shared.select(F.conv(F.substring("fingerprint", 1, 6), 16, 10).cast("long").alias("slot")))
 
-    @F.pandas_udf("string")
-    def shared_digest(texts: pd.Series) -> pd.Series:
-        found = [digest(t) for t in texts]
-        return pd.Series([d if has_bit(maps, int(d[:6], 16)) else None for d in found], dtype=object)
-
-    canon = F.pandas_udf(lambda s: s.map(canonical, na_action=None), "string")
-    own = docs.select(F.col(id).alias("doc_id"), shared_digest(F.col(text)).alias("fingerprint"), F.col(text).alias("text"))
-    rows = own.where("fingerprint is not null").join(shared, "fingerprint").withColumn("canon", canon("text")).drop("text")
-    lead = rows.where("doc_id <=> first").groupBy("fingerprint").agg(F.min("canon").alias("lead"))
-    differ = rows.join(lead, "fingerprint").where("canon != lead")
+    @F.pandas_udf("fingerprint string, canon string")
+    def compared(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            d = digest(t)
+            rows.append((d, canonical(t)) if has_bit(maps, int(d[:6], 16)) else (None, None))
+        return pd.DataFrame(rows, columns=["fingerprint", "canon"], dtype=object)
+
+    rows = docs.select(F.col(id).alias("doc_id"), compared(F.col(text)).alias("c")).select("doc_id", "c.*")
+    rows = rows.where("fingerprint is not null")
+    ends = rows.groupBy("fingerprint").agg(F.min("canon").alias("lead"), F.max("canon").alias("last"))
+    odd = materialize(ends.where("lead != last").drop("last"))
+    if odd.isEmpty():
+        return rows.sparkSession.createDataFrame([], f"doc_id {dict(rows.dtypes)['doc_id']}, fingerprint string, told string")
+    differ = rows.join(odd, "fingerprint").where("canon != lead")
     return differ.select("doc_id", "fingerprint", F.concat_ws("-", "fingerprint", F.sha2("canon", 256)).alias("told"))
 
 
@@ -68,8 +75,8 @@ def fingerprint_groups(docs: DataFrame, id: str = "doc_id", text: str = "text")
 
     Returns one row per input row: ``doc_id``, ``fingerprint``, ``group_id`` (the least id of
     the group) and ``group_size``. Rows meet by their 128-bit digest; within equal digests the
-    canonical bytes are compared with those of the row of least id (see ``collisions``), and
-    rows that differ get a fingerprint of their own. A group's size and least id come from an
+    canonical bytes are compared (see ``collisions``), and texts other than the least get a
+    fingerprint of their own. A group's size and least id come from an
     aggregate that combines before its shuffle.
 
     Null and empty texts are equal to each other. Null ids stay, and are a group's id only if
@@ -85,8 +92,7 @@ def fingerprint_groups(docs: DataFrame, id: str = "doc_id", text: str = "text")
 
 def _resolve(docs: DataFrame, found: DataFrame, id: str, text: str) -> DataFrame:
     """``found`` with the fingerprints of colliding rows replaced."""
-    shared = found.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    shared = materialize(shared.where("n > 1").drop("n"))
+    shared = materialize(found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     odd = materialize(collisions(docs, shared, id, text))
     if odd.isEmpty():
         return found
@@ -109,7 +115,7 @@ def edited_fingerprints(
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next``. Null texts are empty texts. Null ids come last; rows of equal id follow each
-    other in the order of their text. One document alone is its own next. An empty table
+    other in an order that their texts decide. One document alone is its own next. An empty table
     gives an empty result.
     """
     spark = docs.sparkSession
@@ -117,7 +123,9 @@ def edited_fingerprints(
     own = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     key = F.col("doc_id").desc_nulls_last()
-    dealt = own.repartitionByRange(n, key).sortWithinPartitions(key, "text")
+    packed = F.pandas_udf(lambda s: s.map(lambda t: zstandard.compress(t.encode("utf-8", "surrogatepass"), 3)), "binary")
+    own = own.select("doc_id", packed("text").alias("packed"))  # a third of the text, half of Spark's own compression
+    dealt = own.repartitionByRange(n, key).sortWithinPartitions(key, "packed")
     kind = dict(own.dtypes)["doc_id"]
     fields = (
         f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -146,7 +154,8 @@ def edited_fingerprints(
                 types = [batch.schema.field(0).type, pa.int64(), *[pa.string()] * 4, pa.int32(), pa.bool_()]
                 schema = pa.schema(list(zip(names, [*types, pa.string(), pa.string()], strict=True)))
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = zstandard.decompress(packed).decode("utf-8", "surrogatepass")
                 mine = digest(text)
                 if before is None:
                     head = text
