@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortal.llm.bitfilter import bit_filter
-from cohortal.llm.text import MAX_MEMO, WORDS, small_batches
+from cohortal.llm.text import MAX_MEMO, WORDS, packed, small_batches, unpacked
 from cohortal.operators.graph import connected_components
 from cohortal.session import materialize
 
@@ -467,13 +467,9 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
     judged = worded.groupBy("own_key", "own_hash").agg(F.max("leads").alias("stays"), F.count("*").alias("times"))
     judged = materialize(judged.where("not stays or times > 1"))
     maybe = bit_filter(judged, "own_hash")
-    rows = docs.withColumn("own_key", row_key(docs, id, text)).withColumn("own_hash", F.xxhash64(text))
+    rows = packed(docs, own_key=row_key(docs, id, text), own_hash=F.xxhash64(text))
     rows = rows.withColumn("maybe", maybe("own_hash"))
     some = rows.where("maybe").join(judged, ["own_key", "own_hash"], "left")
     once = some.where("stays and times > 1").dropDuplicates(["own_key", "own_hash"])
-    others = some.where("stays is null")
-    return (
-        rows.where("not maybe").select(*docs.columns)
-        .unionByName(others.select(*docs.columns))
-        .unionByName(once.select(*docs.columns))
-    )
+    kept = rows.where("not maybe").select("row").unionByName(some.where("stays is null").select("row"))
+    return unpacked(kept.unionByName(once.select("row")), docs.columns)

@@ -110,7 +110,8 @@ def mix(
     in the order in either order. Documents without tokens take nothing. An empty table
     gives an empty result.
     """
-    rows = docs.select(F.col(id).alias("doc_id"), *keep, F.col(source).alias("source"), size.cast("long").alias("size"))
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
+    rows = docs.select(F.col(id).alias("doc_id"), kept.alias("kept"), F.col(source).alias("source"), size.cast("long").alias("size"))
     shards = min(max_shards, max(1, math.ceil(docs.count() / docs_per_shard)))
     token = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = rows.withColumn("token", token)
@@ -165,7 +166,7 @@ def mix(
     more = ((F.col("size") > 0) & (F.col("start") + F.col("size") / 2 < rest)).cast("long")
     return placed.select(
         "doc_id",
-        *keep,
+        *[F.col("kept")[c].alias(c) for c in keep],
         "source",
         "size",
         "source_size",

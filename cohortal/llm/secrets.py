@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortal.llm.bitfilter import bit_filter
-from cohortal.llm.text import small_batches
+from cohortal.llm.text import packed, small_batches, unpacked
 from cohortal.session import materialize
 
 ASSIGN = re.compile(
@@ -198,15 +198,13 @@ def redact_secrets(docs: DataFrame, text: str = "text", id: str = "doc_id", **op
     found = secret_scan(docs, text=text, id=id, **options).where("n_live > 0")
     live = materialize(found.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "live_spans").distinct())
     maybe = bit_filter(live, "own_hash")
-    rows = docs.withColumn("row_hash", F.xxhash64(text)).withColumn("maybe", maybe("row_hash"))
-    on = F.col(id).eqNullSafe(F.col("own_id")) & (F.col("row_hash") == F.col("own_hash"))
-    masked = F.pandas_udf(lambda t, s: pd.Series([mask(a, b) for a, b in zip(t, s, strict=True)], dtype=object), "string")
+    rows = packed(docs, row_id=F.col(id), row_hash=F.xxhash64(text)).withColumn("maybe", maybe("row_hash"))
+    on = F.col("row_id").eqNullSafe(F.col("own_id")) & (F.col("row_hash") == F.col("own_hash"))
     some = rows.where("maybe").join(live, on, "left")
-    changed = some.where("live_spans is not null").withColumn(text, masked(text, "live_spans"))
+    masked = F.pandas_udf(lambda t, s: pd.Series([mask(a, b) for a, b in zip(t, s, strict=True)], dtype=object), "string")
+    hit = some.where("live_spans is not null").withColumn("masked", masked(F.col("row")[text], "live_spans"))
+    changed = {text: F.col("masked")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length(text).cast(dict(docs.dtypes)["n_chars"]))
-    return (
-        rows.where("not maybe").select(*docs.columns)
-        .unionByName(some.where("live_spans is null").select(*docs.columns))
-        .unionByName(changed.select(*docs.columns))
-    )
+        changed["n_chars"] = F.length("masked").cast(dict(docs.dtypes)["n_chars"])
+    kept = rows.where("not maybe").select("row").unionByName(some.where("live_spans is null").select("row"))
+    return unpacked(kept, docs.columns).unionByName(unpacked(hit, docs.columns, **changed))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, line feed, VT, FF and CR.
@@ -35,3 +35,13 @@ def small_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+
+
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns as one struct ``row``, with ``more`` beside it: no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of ``packed`` rows again, some of them changed."""
+    return rows.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in columns])

@@ -13,6 +13,7 @@ from cohortal.llm.jaccard import drop_near_duplicates
 from cohortal.llm.mixing import mix_documents
 from cohortal.llm.packing import pack_documents
 from cohortal.llm.secrets import redact_secrets
+from cohortal.llm.text import packed, unpacked
 from cohortal.llm.toxicity import fit_toxicity, score_toxicity
 from cohortal.session import materialize, table
 
@@ -23,8 +24,8 @@ ORACLE_SQL = None
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    scored = score_toxicity(docs, model, keep=docs.columns)
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = score_toxicity(packed(docs, text=F.col("text")), model, keep=["row"])
+    return unpacked(scored.where("predicted = 0"), docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +40,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, up to three times."""
-    other = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    mixed = mix_documents(docs, keep=other).where("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), text=F.col("text"))
+    mixed = mix_documents(rows, keep=("row",)).where("copies > 0")
+    return unpacked(mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
