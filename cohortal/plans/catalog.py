@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortal.plans import cohorts, evaluation, pictures, records  # noqa: F401
+from cohortal.plans import cohorts, evaluation, learning, pictures, records  # noqa: F401
 from cohortal.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
