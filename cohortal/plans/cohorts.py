@@ -77,7 +77,7 @@ def duplication_table(spark, sf_dir):
 
 
 @query(
-    """SELECT source, split, count_if(class_name = 'nevus') AS nevus, count_if(class_name = 'melanoma') AS melanoma, count_if(class_name = 'atypical') AS atypical, count(*) AS total
+    """SELECT source, split, count(*) FILTER (class_name = 'nevus') AS nevus, count(*) FILTER (class_name = 'melanoma') AS melanoma, count(*) FILTER (class_name = 'atypical') AS atypical, count(*) AS total
     FROM image GROUP BY ALL""",
     META + "\n",
 )
@@ -268,8 +268,8 @@ def train_test_split(spark, sf_dir):
 
 
 @query(
-    """SELECT t.source AS held_out, count_if(p.source = t.source) AS n_test, count_if(p.source <> t.source) AS n_train, count_if(p.source = t.source AND y = 1) AS test_positives
-    FROM pred p, (SELECT DISTINCT source FROM pred) t GROUP BY 1 HAVING count_if(p.source = t.source AND y = 1) > 0""",
+    """SELECT t.source AS held_out, count(*) FILTER (p.source = t.source) AS n_test, count(*) FILTER (p.source <> t.source) AS n_train, count(*) FILTER (p.source = t.source AND y = 1) AS test_positives
+    FROM pred p, (SELECT DISTINCT source FROM pred) t GROUP BY 1 HAVING count(*) FILTER (p.source = t.source AND y = 1) > 0""",
     V.PRED + "\n",
 )
 def leave_one_source_out(spark, sf_dir):
@@ -320,7 +320,7 @@ def duplicate_keys(spark, sf_dir):
 
 
 @query(
-    """SELECT 'l_discount' AS "column", count_if(a.l_discount <> b.d) AS mismatches, round(max(abs(a.l_discount - b.d)), 6) AS max_abs_diff, count(*) AS rows, CAST(0 AS BIGINT) AS unmatched
+    """SELECT 'l_discount' AS "column", count(*) FILTER (a.l_discount <> b.d) AS mismatches, round(max(abs(a.l_discount - b.d)), 6) AS max_abs_diff, count(*) AS rows, CAST(0 AS BIGINT) AS unmatched
     FROM (SELECT o_orderkey, o_totalprice AS l_discount FROM orders) a JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS d FROM orders) b USING (o_orderkey)"""
 )
 def table_parity(spark, sf_dir):
@@ -332,7 +332,7 @@ def table_parity(spark, sf_dir):
 @query(
     """SELECT * FROM (SELECT 'negative_quantity' AS "check", 'PASS' AS status, CAST(0 AS BIGINT) AS observed UNION ALL
     SELECT 'repeated_line', CASE WHEN count(*) - count(DISTINCT (l_orderkey, l_linenumber)) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem UNION ALL
-    SELECT 'high_discount', CASE WHEN count_if(l_discount > 0.09) = 0 THEN 'PASS' ELSE 'CAUTION' END, count_if(l_discount > 0.09) FROM lineitem)"""
+    SELECT 'high_discount', CASE WHEN count(*) FILTER (l_discount > 0.09) = 0 THEN 'PASS' ELSE 'CAUTION' END, count(*) FILTER (l_discount > 0.09) FROM lineitem)"""
 )
 def audit_checks(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")

@@ -30,8 +30,8 @@ def wilson_sql(k: str, n: str) -> tuple[str, str]:
     return tuple(f"round({w.format(k=f'({k})', n=f'({n})')}, 6)" for w in WILSON)
 
 
-COUNTS = f"""c AS (SELECT source, count_if(p_mel >= {T} AND y = 1) AS tp, count_if(p_mel >= {T} AND y = 0) AS fp,
-  count_if(p_mel < {T} AND y = 1) AS fn, count_if(p_mel < {T} AND y = 0) AS tn FROM pred GROUP BY source)"""
+COUNTS = f"""c AS (SELECT source, count(*) FILTER (p_mel >= {T} AND y = 1) AS tp, count(*) FILTER (p_mel >= {T} AND y = 0) AS fp,
+  count(*) FILTER (p_mel < {T} AND y = 1) AS fn, count(*) FILTER (p_mel < {T} AND y = 0) AS tn FROM pred GROUP BY source)"""
 
 
 @query(
@@ -94,7 +94,7 @@ def multiclass_summary_zero(spark, sf_dir):
 
 
 @query(
-    """, k AS (SELECT c, count_if(truth = c) AS nt, count_if(pred = c) AS np, count_if(truth = c AND pred = c) AS h FROM pred, (SELECT unnest([0, 1, 2]) AS c) GROUP BY c),
+    """, k AS (SELECT c, count(*) FILTER (truth = c) AS nt, count(*) FILTER (pred = c) AS np, count(*) FILTER (truth = c AND pred = c) AS h FROM pred, (SELECT unnest([0, 1, 2]) AS c) GROUP BY c),
     d AS (SELECT CAST(c AS VARCHAR) AS class, coalesce(2 * h / nullif(nt + np, 0)::DOUBLE, 0) AS dice FROM k)
     SELECT class, round(dice, 6) AS dice FROM d UNION ALL SELECT 'macro', round(avg(dice), 6) FROM d""",
     V.PRED,
@@ -166,7 +166,7 @@ def quantile_calibration(spark, sf_dir):
 
 @query(
     """, t AS (SELECT CAST(k AS INT) AS k, k / 100.0::DOUBLE AS threshold FROM (SELECT unnest(range(1, 100)) AS k)),
-    n AS (SELECT k, threshold, count_if(p_mel >= threshold AND y = 1) AS tp, count_if(p_mel >= threshold AND y = 0) AS fp, count(*)::DOUBLE AS n, sum(y) AS pos FROM t, pred GROUP BY ALL)
+    n AS (SELECT k, threshold, count(*) FILTER (p_mel >= threshold AND y = 1) AS tp, count(*) FILTER (p_mel >= threshold AND y = 0) AS fp, count(*)::DOUBLE AS n, sum(y) AS pos FROM t, pred GROUP BY ALL)
     SELECT k, round(threshold, 6) AS threshold, round(tp / n - fp / n * threshold / (1 - threshold), 6) AS net_benefit,
       round(pos / n - (1 - pos / n) * threshold / (1 - threshold), 6) AS treat_all FROM n""",
     V.PRED,
@@ -178,11 +178,11 @@ def decision_curve(spark, sf_dir):
 @query(
     f""", c AS (SELECT unnest([0.0, 0.02, 0.05, 0.1, 0.2])::DOUBLE AS cut),
     r AS (SELECT cut, coverage >= cut AS keep, p_mel >= {T} AS pred, y = 1 AS pos FROM c, pred)
-    SELECT cut, 'drop' AS mode, count_if(keep) AS n_scored, count_if(NOT keep) AS n_abstain, count_if(NOT keep AND pos) AS pos_abstained,
-      count_if(keep AND pred AND pos) AS tp, count_if(keep AND pred AND NOT pos) AS fp, count_if(keep AND NOT pred AND pos) AS fn, count_if(keep AND NOT pred AND NOT pos) AS tn
+    SELECT cut, 'drop' AS mode, count(*) FILTER (keep) AS n_scored, count(*) FILTER (NOT keep) AS n_abstain, count(*) FILTER (NOT keep AND pos) AS pos_abstained,
+      count(*) FILTER (keep AND pred AND pos) AS tp, count(*) FILTER (keep AND pred AND NOT pos) AS fp, count(*) FILTER (keep AND NOT pred AND pos) AS fn, count(*) FILTER (keep AND NOT pred AND NOT pos) AS tn
     FROM r GROUP BY cut
-    UNION ALL SELECT cut, 'review', count(*), count_if(NOT keep), count_if(NOT keep AND pos), count_if((pred OR NOT keep) AND pos), count_if((pred OR NOT keep) AND NOT pos),
-      count_if(NOT (pred OR NOT keep) AND pos), count_if(NOT (pred OR NOT keep) AND NOT pos) FROM r WHERE cut > 0 GROUP BY cut""",
+    UNION ALL SELECT cut, 'review', count(*), count(*) FILTER (NOT keep), count(*) FILTER (NOT keep AND pos), count(*) FILTER ((pred OR NOT keep) AND pos), count(*) FILTER ((pred OR NOT keep) AND NOT pos),
+      count(*) FILTER (NOT (pred OR NOT keep) AND pos), count(*) FILTER (NOT (pred OR NOT keep) AND NOT pos) FROM r WHERE cut > 0 GROUP BY cut""",
     V.PRED,
 )
 def abstention_table(spark, sf_dir):
@@ -192,8 +192,8 @@ def abstention_table(spark, sf_dir):
 @query(
     f""", r AS (SELECT row_number() OVER (ORDER BY abs(p_mel - {T}), row_index) AS k, count(*) OVER () AS n, (p_mel >= {T}) <> (y = 1) AS wrong FROM pred),
     s AS (SELECT unnest([0.0, 0.05, 0.1, 0.2, 0.3])::DOUBLE AS share)
-    SELECT share, count_if(k > round_even(share * n, 0)) AS n_kept, count_if(k > round_even(share * n, 0) AND wrong) AS errors,
-      round(count_if(k > round_even(share * n, 0) AND wrong) / greatest(count_if(k > round_even(share * n, 0)), 1)::DOUBLE, 6) AS risk
+    SELECT share, count(*) FILTER (k > round_even(share * n, 0)) AS n_kept, count(*) FILTER (k > round_even(share * n, 0) AND wrong) AS errors,
+      round(count(*) FILTER (k > round_even(share * n, 0) AND wrong) / greatest(count(*) FILTER (k > round_even(share * n, 0)), 1)::DOUBLE, 6) AS risk
     FROM s, r GROUP BY share""",
     V.PRED,
 )
@@ -202,8 +202,8 @@ def risk_coverage(spark, sf_dir):
 
 
 @query(
-    f"""SELECT source, truth, count(*) AS n, count_if(p_mel >= {T}) AS flagged, count_if(p_mel >= {T} OR p_atyp >= 0.412) AS not_benign,
-      count_if(coverage < 0.05) AS low_quality, round(median(coverage), 6) AS median_coverage, count_if(coverage < 0.01) AS below_1pct, count_if(coverage > 0.85) AS above_85pct
+    f"""SELECT source, truth, count(*) AS n, count(*) FILTER (p_mel >= {T}) AS flagged, count(*) FILTER (p_mel >= {T} OR p_atyp >= 0.412) AS not_benign,
+      count(*) FILTER (coverage < 0.05) AS low_quality, round(median(coverage), 6) AS median_coverage, count(*) FILTER (coverage < 0.01) AS below_1pct, count(*) FILTER (coverage > 0.85) AS above_85pct
     FROM pred GROUP BY ALL""",
     P,
 )
@@ -240,8 +240,8 @@ v AS (SELECT {by} y, (SELECT 1) AS one, (sum(1 - y) OVER (PARTITION BY {part} OR
 @query(
     ", "
     + AUC.format(s="s_a", by="source,", part="source")
-    + """, a AS (SELECT source, count_if(y = 1) AS n_pos, count_if(y = 0) AS n_neg, avg(v01) FILTER (y = 1) AS auc,
-      coalesce(var_samp(v01) FILTER (y = 1), 0) / count_if(y = 1) + coalesce(var_samp(v10) FILTER (y = 0), 0) / count_if(y = 0) AS var FROM v GROUP BY source)
+    + """, a AS (SELECT source, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg, avg(v01) FILTER (y = 1) AS auc,
+      coalesce(var_samp(v01) FILTER (y = 1), 0) / count(*) FILTER (y = 1) + coalesce(var_samp(v10) FILTER (y = 0), 0) / count(*) FILTER (y = 0) AS var FROM v GROUP BY source)
     SELECT source, n_pos, n_neg, round(auc, 6) AS auc, round(var, 9) AS var, round(greatest(0, auc - 1.959963984540054 * sqrt(var)), 6) AS ci_low,
       round(least(1, auc + 1.959963984540054 * sqrt(var)), 6) AS ci_high FROM a""",
     V.PRED,
@@ -257,7 +257,7 @@ def delong_by_source(spark, sf_dir):
       (sum(1 - y) OVER (ORDER BY s_b) - sum(1 - y) OVER (PARTITION BY s_b) / 2.0::DOUBLE) / sum(1 - y) OVER () AS p_b,
       1 - (sum(y) OVER (ORDER BY s_b) - sum(y) OVER (PARTITION BY s_b) / 2.0::DOUBLE) / sum(y) OVER () AS n_b FROM pred),
     q AS (SELECT avg(p_a) FILTER (y = 1) AS a, avg(p_b) FILTER (y = 1) AS b,
-      var_samp(p_b - p_a) FILTER (y = 1) / count_if(y = 1) + var_samp(n_b - n_a) FILTER (y = 0) / count_if(y = 0) AS var FROM pa)
+      var_samp(p_b - p_a) FILTER (y = 1) / count(*) FILTER (y = 1) + var_samp(n_b - n_a) FILTER (y = 0) / count(*) FILTER (y = 0) AS var FROM pa)
     SELECT round(a, 6) AS auc_base, round(b, 6) AS auc_new, round(b - a, 6) AS delta, round(sqrt(var), 6) AS se, round((b - a) / sqrt(var), 6) AS z FROM q""",
     V.PRED,
 )
@@ -269,7 +269,7 @@ def paired_delong(spark, sf_dir):
 @query(
     """, l AS (SELECT c AS class, (truth = c)::INT AS y, CASE c WHEN 0 THEN p_nevus WHEN 1 THEN p_mel ELSE p_atyp END AS s FROM pred, (SELECT unnest([0, 1, 2]) AS c)),
     v AS (SELECT class, y, (sum(1 - y) OVER (PARTITION BY class ORDER BY s) - sum(1 - y) OVER (PARTITION BY class, s) / 2.0::DOUBLE) / sum(1 - y) OVER (PARTITION BY class) AS v FROM l),
-    a AS (SELECT class, count_if(y = 1) AS n_pos, avg(v) FILTER (y = 1) AS auc FROM v GROUP BY class)
+    a AS (SELECT class, count(*) FILTER (y = 1) AS n_pos, avg(v) FILTER (y = 1) AS auc FROM v GROUP BY class)
     SELECT CAST(class AS VARCHAR) AS class, round(auc, 6) AS auc FROM a UNION ALL SELECT 'macro', round(avg(auc), 6) FROM a
     UNION ALL SELECT 'weighted', round(sum(auc * n_pos) / sum(n_pos), 6) FROM a""",
     V.PRED,
@@ -331,10 +331,10 @@ def operating_points(spark, sf_dir):
 def block_sql(unit: str, src: str) -> str:
     nb = "(p_mel >= 0.188 OR p_atyp >= 0.412)"
     metrics = {
-        "n": "count(*)::DOUBLE", "n_pos": "count_if(y = 1)::DOUBLE", "n_neg": "count_if(y = 0)::DOUBLE", "brier": "avg((p_mel - y) ** 2)",
-        "tp": "count_if(y = 1 AND p_mel >= 0.188)::DOUBLE", "tn": "count_if(y = 0 AND p_mel < 0.188)::DOUBLE",
-        "sens": "count_if(y = 1 AND p_mel >= 0.188) / nullif(count_if(y = 1), 0)::DOUBLE", "spec": "count_if(y = 0 AND p_mel < 0.188) / nullif(count_if(y = 0), 0)::DOUBLE",
-        "nb_tp": f"count_if(y = 1 AND {nb})::DOUBLE", "nb_tn": f"count_if(y = 0 AND NOT {nb})::DOUBLE",
+        "n": "count(*)::DOUBLE", "n_pos": "count(*) FILTER (y = 1)::DOUBLE", "n_neg": "count(*) FILTER (y = 0)::DOUBLE", "brier": "avg((p_mel - y) ** 2)",
+        "tp": "count(*) FILTER (y = 1 AND p_mel >= 0.188)::DOUBLE", "tn": "count(*) FILTER (y = 0 AND p_mel < 0.188)::DOUBLE",
+        "sens": "count(*) FILTER (y = 1 AND p_mel >= 0.188) / nullif(count(*) FILTER (y = 1), 0)::DOUBLE", "spec": "count(*) FILTER (y = 0 AND p_mel < 0.188) / nullif(count(*) FILTER (y = 0), 0)::DOUBLE",
+        "nb_tp": f"count(*) FILTER (y = 1 AND {nb})::DOUBLE", "nb_tn": f"count(*) FILTER (y = 0 AND NOT {nb})::DOUBLE",
     }
     return " UNION ALL ".join(f"SELECT '{unit}' AS unit, '{k}' AS metric, round({v}, 6) AS estimate FROM {src}" for k, v in metrics.items())
 
@@ -400,7 +400,7 @@ def bh_fdr(spark, sf_dir):
 
 
 @query(
-    """SELECT source, count_if(a AND NOT b) AS b_base_only, count_if(b AND NOT a) AS c_new_only, count_if(a AND b) AS both FROM (
+    """SELECT source, count(*) FILTER (a AND NOT b) AS b_base_only, count(*) FILTER (b AND NOT a) AS c_new_only, count(*) FILTER (a AND b) AS both FROM (
       SELECT source, (s_a >= 0.5) = (y = 1) AS a, (s_b >= 0.5) = (y = 1) AS b FROM pred) GROUP BY source""",
     P,
 )
@@ -443,7 +443,7 @@ def case_labels(spark, sf_dir):
 
 
 @query(
-    """, f AS (SELECT fold, count_if(truth = pred) / count(*)::DOUBLE AS acc FROM pred GROUP BY fold)
+    """, f AS (SELECT fold, count(*) FILTER (truth = pred) / count(*)::DOUBLE AS acc FROM pred GROUP BY fold)
     SELECT count(*) AS folds, round(avg(acc), 6) AS mean_accuracy, round(stddev_pop(acc), 6) AS std_accuracy FROM f""",
     V.PRED,
 )
@@ -453,7 +453,7 @@ def fold_summary(spark, sf_dir):
 
 
 @query(
-    """SELECT max(abs(p_nevus + p_mel + p_atyp - 1)) <= 1.1e-5 AS sums_to_one, count_if(isnan(p_mel) OR isinf(p_mel)) AS not_finite, count(*) - count(DISTINCT row_index) AS repeated_keys FROM pred""",
+    """SELECT max(abs(p_nevus + p_mel + p_atyp - 1)) <= 1.1e-5 AS sums_to_one, count(*) FILTER (isnan(p_mel) OR isinf(p_mel)) AS not_finite, count(*) - count(DISTINCT row_index) AS repeated_keys FROM pred""",
     P,
 )
 def prediction_audit(spark, sf_dir):
