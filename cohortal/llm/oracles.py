@@ -65,7 +65,7 @@ ruled AS (SELECT doc_id, line, n,
     OR (n <= 12 AND len(items) > 0 AND len(list_filter(items, lambda a: regexp_matches(trim(a, ' .:»›<>'), {q(nav_item)}))) > 0.5 * len(items))
     OR (n <= 30 AND regexp_matches(line, {q(boiler)})) AS bad
   FROM items),
-per AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count_if(bad) AS n_failed_lines, sum(CASE WHEN bad THEN n ELSE 0 END) AS n_lost FROM ruled GROUP BY doc_id),
+per AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (bad) AS n_failed_lines, sum(CASE WHEN bad THEN n ELSE 0 END) AS n_lost FROM ruled GROUP BY doc_id),
 a AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST({symbols("x")} AS BIGINT) AS n_symbols,
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_failed_lines, 0) AS n_failed_lines, CAST(coalesce(n_lost, 0) AS BIGINT) AS n_lost_words
   FROM w LEFT JOIN per USING (doc_id) LEFT JOIN rep USING (doc_id))
