@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortal.operators.prefix import numbered
+from cohortal.operators.ranking import quantiles
 from cohortal.session import materialize
 
 
@@ -60,8 +61,8 @@ def quantile_calibration(df: DataFrame, p: str, truth: str, n_bins: int = 10) ->
 
     A score lies in bin k if it exceeds k inner edges; equal edges leave bins empty, which are not returned.
     """
-    qs = [k / n_bins for k in range(1, n_bins)]
-    edges = df.agg(F.percentile(p, F.array(*map(F.lit, qs))).alias("edges"))
+    names = {f"e{k}": k / n_bins for k in range(1, n_bins)}
+    edges = quantiles(df, p, names).select(F.array(*names).alias("edges"))
     rows = df.crossJoin(F.broadcast(edges))  # one row
     b = F.size(F.filter("edges", lambda e: e < F.col(p)))
     return rows.groupBy(b.alias("bin")).agg(

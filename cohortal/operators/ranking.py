@@ -8,9 +8,10 @@ An undefined metric is null.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortal.operators.prefix import running_totals
@@ -50,6 +51,24 @@ def midranks(df: DataFrame, score: str, by: Sequence[str] = (), name: str = "mid
     return df.join(ranked, on).select(*df.columns, name)
 
 
+def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles with linear interpolation, a column per entry of ``shares``: ``by`` and the names.
+
+    From a row per distinct value with its running count, so no task holds a group's values.
+    """
+    each = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = materialize(running_totals(each, [F.col("_v")], {"_le": F.col("_n")}, by))
+    total = ranked.groupBy(*by).agg(F.max("_le").alias("_t"))
+    ranked = ranked.join(total, list(by)) if by else ranked.crossJoin(F.broadcast(total))  # one row
+    out = []
+    for name, q in shares.items():
+        h = (F.col("_t") - 1) * F.lit(float(q))
+        at = lambda i: F.max(F.when((F.col("_le") - F.col("_n") <= i) & (i < F.col("_le")), F.col("_v")))
+        low, high = at(F.floor(h)), at(F.ceil(h))
+        out.append((low + (high - low) * (F.max(h) - F.floor(F.max(h)))).alias(name))
+    return ranked.groupBy(*by).agg(*out)
+
+
 def placements(table: DataFrame) -> DataFrame:
     """Adds ``v01`` (share of negatives below a positive of this score, ties half) and ``v10``."""
     return table.withColumn("v01", ratio(F.col("neg_le") - F.col("neg") / 2, F.col("n_neg"))).withColumn(
@@ -177,8 +196,6 @@ def bh_fdr(df: DataFrame, p: str, by: Sequence[str] = (), tie: Sequence[str] = (
     else:
         ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.max("_rank").alias("_m"))))
     # The least over greater ranks along the order of distinct p; a family has few of them.
-    from pyspark.sql import Window as W
-
     w = W.partitionBy(*by).orderBy(F.col("_p").desc()).rowsBetween(W.unboundedPreceding, 0)
     q = F.least(F.min(F.col("_p") * F.col("_m") / F.col("_rank")).over(w), F.lit(1.0))
     found = ranked.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_p"), q.alias("q"))

@@ -95,8 +95,9 @@ def select_subset(df: DataFrame, truth: str, group: str, order: Column, per_posi
     positives = df.where(F.col(truth) == 1)
     n = per_positive * positives.count()
     clean = df.where(F.col(truth) == 0).join(positives.select(group).distinct(), group, "left_anti").select(*df.columns)
-    # The n least by the order: a top-k that sorts no more than n rows a task.
-    chosen = clean.withColumn("_o", order).orderBy("_o", *df.columns[:1]).limit(n).drop("_o")
+    # Numbered in parts: n grows with the table, so it is no top-k for one task.
+    ranked = numbered(clean.withColumn("_o", order), [F.col("_o"), F.col(df.columns[0])], "_k")
+    chosen = ranked.where(F.col("_k") <= n).select(*df.columns)
     return positives.unionByName(chosen)
 
 

@@ -12,6 +12,8 @@ from cohortal.operators import classify as C
 from cohortal.operators import effects as E
 from cohortal.operators import relational as R
 from cohortal.operators.graph import connected_components
+from cohortal.operators.prefix import numbered
+from cohortal.operators.ranking import paired_delong, quantiles
 from cohortal.plans import views as V
 from cohortal.plans.registry import query
 from cohortal.plans.views import predictions, rounded
@@ -298,8 +300,6 @@ def out_of_fold_assembly(spark, sf_dir):
 )
 def split_importance(spark, sf_dir):
     """Branch counts per feature, ranked, with their share: the top 30 report."""
-    from cohortal.operators.prefix import numbered
-
     n = table(spark, sf_dir, "lineitem").where("l_linestatus <> 'F'").groupBy(F.col("l_suppkey").alias("feature_id")).agg(F.count("*").alias("splits"))
     total = F.broadcast(n.agg(F.sum("splits").alias("all")))  # one row
     ranked = numbered(n, [F.col("splits").desc(), F.col("feature_id")], "rank")
@@ -310,8 +310,7 @@ def split_importance(spark, sf_dir):
     """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 6) AS q25, round(median(l_extendedprice), 6) AS median, round(quantile_cont(l_extendedprice, 0.975), 6) AS q975 FROM lineitem GROUP BY 1"""
 )
 def percentiles(spark, sf_dir):
-    q = lambda p: F.percentile("l_extendedprice", F.lit(p))
-    return rounded(table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(q(0.25).alias("q25"), q(0.5).alias("median"), q(0.975).alias("q975")))
+    return rounded(quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", {"q25": 0.25, "median": 0.5, "q975": 0.975}, ["l_returnflag"]))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -434,8 +433,6 @@ def bootstrap_delta(spark, sf_dir):
 @query()
 def paired_delong_p(spark, sf_dir):
     """The p-value of the paired test: neither engine has a normal distribution."""
-    from cohortal.operators.ranking import paired_delong
-
     d = paired_delong(predictions(spark, sf_dir), "s_a", "s_b", "y", ["source"])
     return rounded(d.select("source", "delta", "z", E.normal_p("z").alias("p")))
 

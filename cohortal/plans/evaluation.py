@@ -208,20 +208,18 @@ def risk_coverage(spark, sf_dir):
     P,
 )
 def flag_rates(spark, sf_dir):
-    flagged = F.col("p_mel") >= T
-    return rounded(
-        predictions(spark, sf_dir)
-        .groupBy("source", "truth")
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if(flagged).alias("flagged"),
-            F.count_if(C.non_benign(F.col("p_mel"), F.col("p_atyp"), F.lit(T), F.lit(C.THRESHOLDS["atypical"]))).alias("not_benign"),
-            F.count_if(C.low_quality(F.col("coverage"))).alias("low_quality"),
-            F.median("coverage").alias("median_coverage"),
-            F.count_if(F.col("coverage") < 0.01).alias("below_1pct"),
-            F.count_if(F.col("coverage") > 0.85).alias("above_85pct"),
-        )
+    p = predictions(spark, sf_dir)
+    counts = p.groupBy("source", "truth").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("p_mel") >= T).alias("flagged"),
+        F.count_if(C.non_benign(F.col("p_mel"), F.col("p_atyp"), F.lit(T), F.lit(C.THRESHOLDS["atypical"]))).alias("not_benign"),
+        F.count_if(C.low_quality(F.col("coverage"))).alias("low_quality"),
+        F.count_if(F.col("coverage") < 0.01).alias("below_1pct"),
+        F.count_if(F.col("coverage") > 0.85).alias("above_85pct"),
     )
+    # Few groups hold all rows: their medians come from running counts.
+    medians = Q.quantiles(p, "coverage", {"median_coverage": 0.5}, ["source", "truth"])
+    return rounded(counts.join(medians, ["source", "truth"]))
 
 
 @query(

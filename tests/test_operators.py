@@ -77,6 +77,17 @@ def test_average_precision(spark):
     assert Q.average_precision(df, "a", "y").first().ap == pytest.approx(ap)
 
 
+def test_quantiles_equal_linear_interpolation(spark):
+    rng = random.Random(7)
+    rows = [(k % 3, rng.randrange(40) / 4) for k in range(200)] + [(3, 5.0), (3, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r.g: r for r in Q.quantiles(df, "v", {"a": 0.0, "b": 0.31, "c": 1.0}, ["g"]).collect()}
+    for g in range(4):
+        own = [v for k, v in rows if k == g and v is not None]
+        assert [got[g].a, got[g].b, got[g].c] == pytest.approx(np.quantile(own, [0, 0.31, 1]))
+    assert Q.quantiles(df, "v", {"m": 0.5}).first().m == pytest.approx(np.median([v for _, v in rows if v is not None]))
+
+
 def test_fdr_is_monotone_and_skips_null(spark):
     p = [0.01, 0.04, 0.03, 0.005, 0.5, None, 0.03]
     df = spark.createDataFrame([(k, v) for k, v in enumerate(p)], "i int, p double")
