@@ -44,7 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     known = sc.getCheckpointDir()
     if known:
         return known
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "cohortal-checkpoints"))
     return sc.getCheckpointDir()
 
