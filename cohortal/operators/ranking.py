@@ -148,14 +148,14 @@ def average_precision(df: DataFrame, score: str, truth: str, by: Sequence[str] =
 
 
 def youden_threshold(
-    df: DataFrame, score: str, truth: str, by: Sequence[str] = (), ties: str = "lowest", undefined: float = 0.0
+    df: DataFrame, score: str, truth: str, by: Sequence[str] = (), ties: str = "lowest", undefined: float = 0.0, points: DataFrame | None = None
 ) -> DataFrame:
     """Threshold of the greatest sensitivity + specificity - 1: ``by, threshold, j``.
 
     Of equal ones the ``lowest`` (ascending scan, strictly greater) or the ``highest``.
-    ``undefined`` stands for a rate without rows.
+    ``undefined`` stands for a rate without rows. ``points`` are the ROC points if they are at hand.
     """
-    p = roc_points(df, score, truth, by)
+    p = points if points is not None else roc_points(df, score, truth, by)
     j = F.coalesce("tpr", F.lit(undefined)) + F.coalesce(1 - F.col("fpr"), F.lit(undefined)) - 1
     # Equal up to rounding is equal: the rates are quotients of counts.
     p = p.withColumn("j", F.round(j, 12))
@@ -165,13 +165,16 @@ def youden_threshold(
     return best.select(*by, threshold.alias("threshold"), F.col("best.j").alias("j"))
 
 
-def threshold_for_specificity(df: DataFrame, score: str, truth: str, target: float, by: Sequence[str] = (), ties: str = "first") -> DataFrame:
+def threshold_for_specificity(
+    df: DataFrame, score: str, truth: str, target: float, by: Sequence[str] = (), ties: str = "first", points: DataFrame | None = None
+) -> DataFrame:
     """Best sensitivity with at least the target specificity: ``by, threshold, sens, spec``.
 
     Thresholds are scanned from +inf down. ``first`` keeps the first (highest) threshold of the best
     sensitivity; ``lexicographic`` takes the greatest (sens, spec, threshold). Above all scores is +inf.
     """
-    p = roc_points(df, score, truth, by).select(*by, "threshold", F.col("tpr").alias("sens"), (1 - F.col("fpr")).alias("spec"))
+    p = points if points is not None else roc_points(df, score, truth, by)
+    p = p.select(*by, "threshold", F.col("tpr").alias("sens"), (1 - F.col("fpr")).alias("spec"))
     top = p.groupBy(*by).agg(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("sens"), F.lit(1.0).alias("spec"))
     p = p.unionByName(top).where(F.col("spec") >= target)
     key = F.struct("sens", "threshold", "spec") if ties == "first" else F.struct("sens", "spec", "threshold")
@@ -179,9 +182,11 @@ def threshold_for_specificity(df: DataFrame, score: str, truth: str, target: flo
     return best.select(*by, F.col("b.threshold").alias("threshold"), F.col("b.sens").alias("sens"), F.col("b.spec").alias("spec"))
 
 
-def threshold_for_sensitivity(df: DataFrame, score: str, truth: str, target: float, by: Sequence[str] = ()) -> DataFrame:
+def threshold_for_sensitivity(
+    df: DataFrame, score: str, truth: str, target: float, by: Sequence[str] = (), points: DataFrame | None = None
+) -> DataFrame:
     """Highest threshold whose sensitivity reaches the target, 0 if none."""
-    p = roc_points(df, score, truth, by)
+    p = points if points is not None else roc_points(df, score, truth, by)
     best = F.max(F.when(F.col("tpr") >= target, F.col("threshold")))
     return p.groupBy(*by).agg(F.coalesce(best, F.lit(0.0)).alias("threshold"))
 

@@ -316,12 +316,13 @@ J = "round(tp / np::DOUBLE + 1 - fp / nn::DOUBLE - 1, 9)"
 )
 def operating_points(spark, sf_dir):
     p = predictions(spark, sf_dir)
+    at = {"points": Q.roc_points(p, "s_a", "y")}  # all rules look at the same points
     rules = {
-        "youden_lowest": Q.youden_threshold(p, "s_a", "y"),
-        "youden_highest": Q.youden_threshold(p, "s_a", "y", ties="highest"),
-        "spec_90_first": Q.threshold_for_specificity(p, "s_a", "y", 0.9),
-        "spec_90_lexicographic": Q.threshold_for_specificity(p, "s_a", "y", 0.9, ties="lexicographic"),
-        "sens_80": Q.threshold_for_sensitivity(p, "s_a", "y", 0.8),
+        "youden_lowest": Q.youden_threshold(p, "s_a", "y", **at),
+        "youden_highest": Q.youden_threshold(p, "s_a", "y", ties="highest", **at),
+        "spec_90_first": Q.threshold_for_specificity(p, "s_a", "y", 0.9, **at),
+        "spec_90_lexicographic": Q.threshold_for_specificity(p, "s_a", "y", 0.9, ties="lexicographic", **at),
+        "sens_80": Q.threshold_for_sensitivity(p, "s_a", "y", 0.8, **at),
     }
     return rounded(reduce(DataFrame.unionByName, [t.select(F.lit(k).alias("rule"), "threshold") for k, t in rules.items()]))
 
