@@ -197,11 +197,8 @@ def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset()) ->
     where it is outside a main container or has a name of its own.
     """
     found, _ = blocks(page)
-    has_main = any(role == MAIN for _, role, _, _ in found)
     kept = []
-    for path, role, named, raw in found:
-        if role == BOILER or has_main and role != MAIN:
-            continue
+    for path, role, named, raw in main_blocks(found):
         if low and (role != MAIN or named) and any("/".join(path[:k]) in low for k in range(1, len(path) + 1)):
             continue
         text = text_of(raw)
@@ -210,43 +207,75 @@ def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset()) ->
     return " ".join(kept)
 
 
-def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
-    """The merged tree of each host's pages: per element path its pages and entropies.
+def main_blocks(found: list[tuple]) -> list[tuple]:
+    """Those of a page's blocks that its main container holds; without one, all that nothing marks as something else."""
+    has_main = any(role == MAIN for _, role, *_ in found)
+    return [x for x in found if x[1] != BOILER and (x[1] == MAIN or not has_main)]
 
-    Elements of all pages of a host that have the same path of labels are one node. Pages
-    count for a node's presentation by their styles (sequences of children) and for its
-    content by text blocks. Returns ``host, path, n_pages, node_importance`` (entropy of the
-    styles over the log of the pages) and ``content_importance`` (1 less the mean entropy
-    of the blocks; null for a node without own text). Sums only, combined in the task that
-    reads the pages and again before each shuffle: a host with a third of all pages costs no
-    more than its distinct blocks.
+
+def digest(raw: str) -> int:
+    return xxhash.xxh3_64_intdigest(raw.encode("utf-8", "surrogatepass")) >> 1
+
+
+def page_features(pages: DataFrame, host: str = "host", html: str = "html", copies_once: bool = False) -> DataFrame:
+    """``host, path, kind, feature, n``: on how many pages a path has a style (s), a text block (c), or is at all (m).
+
+    With ``copies_once``, pages of a host that have the same main text are one page: each
+    page travels as its features, one row per main text, before they are counted.
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen: dict[tuple, list] = {}
+            for k, (name, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 found, styles = blocks(page)
-                own = {("/".join(p), "s", xxhash.xxh3_64_intdigest("|".join(c)) >> 1) for p, c in styles}
-                own |= {("/".join(p), "c", xxhash.xxh3_64_intdigest(raw.encode("utf-8", "surrogatepass")) >> 1) for p, _, _, raw in found}
-                own |= {(p, "m", 0) for p, _, _ in own}
-                seen.update((name, *x) for x in own)
-            keys = list(seen)
+                paths: dict[tuple[str, ...], tuple[set, set]] = {p: (set(), set()) for p, _ in styles}
+                for p, c in styles:
+                    paths[p][0].add(digest("|".join(c)))
+                for p, _, _, raw in found:
+                    paths.setdefault(p, (set(), set()))[1].add(digest(raw))
+                own = sorted(("/".join(p), sorted(s), sorted(c)) for p, (s, c) in paths.items())
+                text = digest("\n".join(text_of(x[3]) for x in main_blocks(found))) if copies_once else k
+                seen[name, text] = min(own, seen.get((name, text), own))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([k[0] for k in keys], pa.string()),
-                    pa.array([k[1] for k in keys], pa.string()),
-                    pa.array([k[2] for k in keys], pa.string()),
-                    pa.array([k[3] for k in keys], pa.int64()),
-                    pa.array([seen[k] for k in keys], pa.int64()),
+                    pa.array([k[0] for k in seen], pa.string()),
+                    pa.array([k[1] for k in seen], pa.int64()),
+                    pa.array([[{"path": p, "s": s, "c": c} for p, s, c in own] for own in seen.values()], OWN),
                 ],
-                names=["host", "path", "kind", "feature", "n"],
+                names=["host", "page", "own"],
             )
 
     rows = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInArrow(
-        features, "host string, path string, kind string, feature long, n long"
+        features, "host string, page long, own array<struct<path:string,s:array<long>,c:array<long>>>"
     )
-    each = rows.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    if copies_once:
+        rows = rows.groupBy("host", "page").agg(F.min("own").alias("own"))
+    at = rows.select("host", F.explode("own").alias("o")).select("host", "o.*")
+    of = lambda kind: F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("feature")))
+    there = F.array(F.struct(F.lit("m").alias("kind"), F.lit(0).cast("long").alias("feature")))
+    each = at.select("host", "path", F.explode(F.concat(there, of("s"), of("c"))).alias("f")).select("host", "path", "f.*")
+    return each.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
+
+
+OWN = pa.list_(pa.struct([("path", pa.string()), ("s", pa.list_(pa.int64())), ("c", pa.list_(pa.int64()))]))
+
+
+def style_tree(pages: DataFrame, host: str = "host", html: str = "html", copies_once: bool = False) -> DataFrame:
+    """The merged tree of each host's pages: per element path its pages and entropies.
+
+    Elements of all pages of a host that have the same path of labels are one node. Pages
+    count for a node's presentation by their styles (sequences of children) and for its
+    content by text blocks. Returns ``host, path, n_pages, node_importance`` (entropy of the
+    styles over the log of the pages) and ``content_importance`` (1 less the mean entropy
+    of the blocks; null for a node without own text). Sums only, combined before each
+    shuffle: a host with a third of all pages costs no more than its distinct blocks.
+    """
+    return tree_of(page_features(pages, host, html, copies_once))
+
+
+def tree_of(each: DataFrame) -> DataFrame:
+    """The nodes of ``style_tree`` from counted features."""
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
     nodes = each.groupBy("host", "path").agg(
         of("m", F.col("n")).alias("n_pages"),
@@ -313,12 +342,13 @@ def extract(
     are joined to them, broadcast after a count, else by a join that Spark may split.
 
     Null or empty html gives an empty text. Pages without a host form one site. A site of
-    few pages is judged by tags and names alone. Repeated rows and null keys stay.
+    few pages is judged by tags and names alone; pages of one main text count as one, so that
+    mirrored pages keep theirs. Repeated rows and null keys stay.
     """
     small_batches(pages.sparkSession)
     host = url_parts(url)[0]
     sited = pages.select(*keep, host.alias("site_host"), F.col(html).alias("site_html"))
-    low = materialize(low_branches(style_tree(sited, "site_host", "site_html"), threshold, min_pages))
+    low = materialize(low_branches(style_tree(sited, "site_host", "site_html", copies_once=True), threshold, min_pages))
     low = low.withColumnRenamed("host", "site_host").withColumnRenamed("low", "site_low")
 
     @F.pandas_udf("string")

@@ -52,6 +52,16 @@ def test_repeated_articles_stay(spark):
     assert {r.text for r in H.extract(pages).collect()} == {"Same The same article on every page"}
 
 
+@pytest.mark.parametrize(
+    "body",
+    ["<div id=content><p>Mirrored words</p></div>", "<article><div class='entry-content'><p>Mirrored words</p></div></article>"],
+)
+def test_mirrored_pages_keep_their_text(spark, body):
+    rows = [(k, url, f"<body><nav>n{k}</nav>{body}</body>") for k in range(5) for url in (f"http://h.org/{k}", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r.text for r in H.extract(pages).collect()] == ["Mirrored words"] * 10
+
+
 def test_importance_by_hand(spark):
     rows = [(f"<div><p>{'same' if k < 2 else k}</p></div>", "h") for k in range(4)]
     tree = {r.path: r for r in H.style_tree(spark.createDataFrame(rows, "html string, host string")).collect()}
