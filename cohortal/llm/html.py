@@ -74,19 +74,18 @@ def describe(tag: str, attributes: str) -> tuple[str, str]:
     return label, BOILER if BOILER_WORDS.intersection(words) else NEUTRAL
 
 
-def blocks(page: str | None) -> tuple[list[tuple[tuple[str, ...], str, bool, str]], Counter]:
+def blocks(page: str | None) -> tuple[list[tuple[tuple[str, ...], str, str]], Counter]:
     """Text blocks of a page, and how its elements are presented.
 
-    A block is the text between two block-level tags: (path of labels, role, named, raw text),
-    the role being that of the nearest container that has one, ``boiler`` first; ``named``
-    says that an element below the main container has a class, id or role. The counter has
+    A block is the text between two block-level tags: (path of labels, role, raw text), the
+    role being that of the nearest container that has one, ``boiler`` first. The counter has
     (path, labels of the element's children in turn, repeats once) pairs.
     """
     page = page or ""
-    out: list[tuple[tuple[str, ...], str, bool, str]] = []
+    out: list[tuple[tuple[str, ...], str, str]] = []
     styles: Counter = Counter()
-    # Per open element: tag, label, role in force, named, labels of children.
-    stack: list[tuple[str, str, str, bool, list[str]]] = [("", "", NEUTRAL, False, [])]
+    # Per open element: tag, label, role in force, labels of children.
+    stack: list[tuple[str, str, str, list[str]]] = [("", "", NEUTRAL, [])]
     parts: list[str] = []
     path: tuple[str, ...] = ()
     known: dict[tuple[str, str], tuple[str, str]] = {}
@@ -96,12 +95,12 @@ def blocks(page: str | None) -> tuple[list[tuple[tuple[str, ...], str, bool, str
             text = "".join(parts)
             parts.clear()
             if text and not text.isspace():
-                out.append((path, stack[-1][2], stack[-1][3], text))
+                out.append((path, stack[-1][2], text))
 
     def pop_to(depth: int) -> None:
         nonlocal path
         while len(stack) > depth:
-            _, _, _, _, children = stack.pop()
+            _, _, _, children = stack.pop()
             styles[path, tuple(children)] += 1
             path = path[:-1]
 
@@ -147,7 +146,7 @@ def blocks(page: str | None) -> tuple[list[tuple[tuple[str, ...], str, bool, str
             continue
         end_block()
         if tag in VOID:
-            stack[-1][4].append(tag)
+            stack[-1][3].append(tag)
             continue
         if tag not in INLINE:
             shut = CLOSES.get(tag, BLOCKED)
@@ -173,11 +172,10 @@ def blocks(page: str | None) -> tuple[list[tuple[tuple[str, ...], str, bool, str
                 role = BOILER
             elif says == BOILER or says == MAIN:
                 role = says
-        named = role == MAIN and says != MAIN and (stack[-1][3] or "." in label)
-        children = stack[-1][4]
+        children = stack[-1][3]
         if not children or children[-1] != label:
             children.append(label)
-        stack.append((tag, label, role, named, []))
+        stack.append((tag, label, role, []))
         path = (*path, label)
     end_block()
     pop_to(1)
@@ -193,14 +191,16 @@ def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset()) ->
     """Blocks of the main part in page order, joined by one space.
 
     Where a page has a main container, that is its text, else all that no name or tag marks as
-    something else. ``low`` are paths that the site's style tree rates low: such a branch goes
-    where it is outside a main container or has a name of its own.
+    something else. ``low`` are what the site's style tree rates low: paths, and single blocks
+    as ``block_key`` names them. Such blocks go, inside a main container too.
     """
     found, _ = blocks(page)
     kept = []
-    for path, role, named, raw in main_blocks(found):
-        if low and (role != MAIN or named) and any("/".join(path[:k]) in low for k in range(1, len(path) + 1)):
-            continue
+    for path, _, raw in main_blocks(found):
+        if low:
+            at = "/".join(path)
+            if at in low or block_key(at, digest(raw)) in low:
+                continue
         text = text_of(raw)
         if text:
             kept.append(text)
@@ -217,6 +217,11 @@ def digest(raw: str) -> int:
     return xxhash.xxh3_64_intdigest(raw.encode("utf-8", "surrogatepass")) >> 1
 
 
+def block_key(path: str, feature: int) -> str:
+    """Name of a text block of a path; no path has a line end."""
+    return f"{path}\n{feature}"
+
+
 def page_features(pages: DataFrame, host: str = "host", html: str = "html", copies_once: bool = False) -> DataFrame:
     """``host, path, kind, feature, n``: on how many pages a path has a style (s), a text block (c), or is at all (m).
 
@@ -232,10 +237,10 @@ def page_features(pages: DataFrame, host: str = "host", html: str = "html", copi
                 paths: dict[tuple[str, ...], tuple[set, set]] = {p: (set(), set()) for p, _ in styles}
                 for p, c in styles:
                     paths[p][0].add(digest("|".join(c)))
-                for p, _, _, raw in found:
+                for p, _, raw in found:
                     paths.setdefault(p, (set(), set()))[1].add(digest(raw))
                 own = sorted(("/".join(p), sorted(s), sorted(c)) for p, (s, c) in paths.items())
-                text = digest("\n".join(text_of(x[3]) for x in main_blocks(found))) if copies_once else k
+                text = digest("\n".join(text_of(x[2]) for x in main_blocks(found))) if copies_once else k
                 seen[name, text] = min(own, seen.get((name, text), own))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -300,15 +305,16 @@ def low_branches(tree: DataFrame, threshold: float = 0.3, min_pages: int = 5, de
 
     From the leaves up, a node's composite importance is its own (presentation) weighed by
     ``1 - decay ** children``, and the mean of its children's, of which its own text is one.
-    Nodes on fewer than ``min_pages`` pages have no say. One group per host holds its
-    distinct paths, not its pages.
+    Nodes on fewer than ``min_pages`` pages have no say. A branch is low only if all rated
+    nodes below it are. One group per host holds its distinct paths, not its pages.
     """
 
     def rate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = {r.path: (r.node_importance, r.content_importance) for r in pdf.itertuples()}
         below: dict[str, list[float]] = {p: [] for p in own}
         rated: dict[str, float] = {}
-        for path in sorted(own, key=lambda p: -p.count("/")):
+        high: set[str] = set()  # nodes with one below, or themselves, that is not low
+        for path in sorted(own, key=lambda p: -(p.count("/") + bool(p))):
             node, content = own[path]
             values = below[path] + ([] if pd.isna(content) else [content])
             if values:
@@ -319,13 +325,30 @@ def low_branches(tree: DataFrame, threshold: float = 0.3, min_pages: int = 5, de
             up = path.rpartition("/")[0]
             if up in below:
                 below[up].append(rated[path])
-        low = sorted(p for p, v in rated.items() if v < threshold)
+                if path in high or rated[path] >= threshold:
+                    high.add(up)
+        low = sorted(p for p, v in rated.items() if v < threshold and p not in high)
         return pd.DataFrame({"host": [key[0]], "low": [low]}, dtype=object).head(1 if low else 0)
 
     known = tree.where(F.col("n_pages") >= min_pages)
     return known.groupBy("host").applyInPandas(rate, "host string, low array<string>")
 
 
+def repeated_blocks(each: DataFrame, tree: DataFrame, threshold: float = 0.3, min_pages: int = 5) -> DataFrame:
+    """``host`` and ``low``: text blocks that, taken alone, are of low importance among the pages of their path.
+
+    A block's importance is 1 less the log of its pages over the log of the path's pages. At
+    most a power ``threshold`` of the path's pages, times the blocks of a page, are low.
+    """
+    known = tree.where(F.col("n_pages") >= min_pages).select("host", "path", "n_pages")
+    some = each.where((F.col("kind") == "c") & (F.ln("n") > (1 - threshold) * math.log(min_pages)))
+    # Pages without a host form one site: null hosts meet.
+    right = known.select(F.col("host").alias("k_host"), F.col("path").alias("k_path"), "n_pages")
+    both = some.join(right, F.col("host").eqNullSafe(F.col("k_host")) & (F.col("path") == F.col("k_path")))
+    low = both.where(1 - F.ln("n") / F.ln("n_pages") < threshold)
+    return low.groupBy("host").agg(F.collect_list(F.concat("path", F.lit("\n"), F.col("feature").cast("string"))).alias("low"))
+
+
 def extract(
     pages: DataFrame,
     url: str = "url",
@@ -348,13 +371,17 @@ def extract(
     small_batches(pages.sparkSession)
     host = url_parts(url)[0]
     sited = pages.select(*keep, host.alias("site_host"), F.col(html).alias("site_html"))
-    low = materialize(low_branches(style_tree(sited, "site_host", "site_html", copies_once=True), threshold, min_pages))
+    each = materialize(page_features(sited, "site_host", "site_html", copies_once=True))
+    tree = materialize(tree_of(each))
+    rated = low_branches(tree, threshold, min_pages).unionByName(repeated_blocks(each, tree, threshold, min_pages))
+    low = materialize(rated.groupBy("host").agg(F.flatten(F.collect_list("low")).alias("low")))
     low = low.withColumnRenamed("host", "site_host").withColumnRenamed("low", "site_low")
 
     @F.pandas_udf("string")
     def read(html: pd.Series, low: pd.Series) -> pd.Series:
         return pd.Series([main_text(h, set() if x is None else set(x)) for h, x in zip(html, low, strict=True)], dtype=object)
 
-    joined = sited.join(broadcast_if_small(low), "site_host", "left")
+    site = broadcast_if_small(low.withColumnRenamed("site_host", "low_host"))
+    joined = sited.join(site, F.col("site_host").eqNullSafe(F.col("low_host")), "left")
     out = joined.select(*keep, read("site_html", "site_low").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

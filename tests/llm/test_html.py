@@ -62,6 +62,29 @@ def test_mirrored_pages_keep_their_text(spark, body):
     assert [r.text for r in H.extract(pages).collect()] == ["Mirrored words"] * 10
 
 
+def test_repeated_blocks_go_inside_an_article(spark):
+    def page(k):
+        return (
+            f"<article><h1>Title {k}</h1><p>Words of {k}</p><p>Share this page</p><ul><li>All rights are ours</ul>"
+            f"<p>More on {k}</p></article>"
+        )
+
+    rows = [(k, f"http://h.org/{k}", page(k)) for k in range(20)] + [(100 + k, None, page(k)) for k in range(20)]
+    rows += [(200 + k, "http://h.org/m", page(3)) for k in range(30)]  # mirrors of one page
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(pages).collect()}
+    assert len(got) == 70
+    assert got[7] == got[107] == "Title 7 Words of 7 More on 7"
+    assert {got[200 + k] for k in range(30)} == {"Title 3 Words of 3 More on 3"}
+
+
+def test_a_branch_with_own_words_stays(spark):
+    tags = "h1 h2 h3 h4 h5 h6 p pre blockquote dl ol ul".split()
+    rows = [(k, "http://h.org/", "<body>" + "".join(f"<{t}>{t} {k}</{t}>" for t in tags) + f"own {k}</body>") for k in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract(pages).collect()}[4] == " ".join([f"{t} 4" for t in tags] + ["own 4"])
+
+
 def test_importance_by_hand(spark):
     rows = [(f"<div><p>{'same' if k < 2 else k}</p></div>", "h") for k in range(4)]
     tree = {r.path: r for r in H.style_tree(spark.createDataFrame(rows, "html string, host string")).collect()}
