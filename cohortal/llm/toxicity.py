@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortal.llm.text import MAX_MEMO, small_batches
+from cohortal.session import materialize
 
 # Common insults in four languages.
 LEXICONS = {
@@ -64,6 +65,20 @@ def fired_patterns(text: str | None) -> list[int]:
     return [k for k, p in enumerate(PATTERNS.values()) if p.search(text)]
 
 
+def slices(n: int, rows: int = 1_000) -> Iterator[slice]:
+    return (slice(i, i + rows) for i in range(0, n, rows))
+
+
+def dot(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w`` for a table of small integers, never as a whole in floats."""
+    return np.concatenate([x[s].astype(float) @ w for s in slices(len(x))] or [np.zeros(0)])
+
+
+def weighted_sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``w @ x``, likewise."""
+    return sum((w[..., s] @ x[s].astype(float) for s in slices(len(x))), np.zeros((*w.shape[:-1], x.shape[1])))
+
+
 @dataclass
 class LabelModel:
     """Voters that fire or abstain, given the class: fire rates, and how far they repeat each other.
@@ -71,7 +86,8 @@ class LabelModel:
     ``fit`` runs expectation maximisation over the votes. Known labels count as the vote of an
     annotator who errs with ``label_error``. Correlations are those of the voters' residuals
     given the class; a voter's log-likelihood ratio is divided by one plus the sum of its
-    positive correlations, so that voters which say the same twice count once.
+    positive correlations beyond chance, so that voters which say the same twice count once.
+    Rows may stand for several, by ``weights``.
     """
 
     label_error: float = 0.02
@@ -79,50 +95,62 @@ class LabelModel:
     rates: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
     discount: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def fit(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.ndarray:
+    def fit(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 25, weights: np.ndarray | None = None) -> np.ndarray:
         """Posterior of class 1 per row; ``labels`` has 0, 1 or -1 (unknown)."""
+        times = np.ones(len(votes)) if weights is None else weights
         known = labels >= 0
         gold = np.where(labels == 1, 1.0, -1.0) * math.log((1 - self.label_error) / self.label_error) * known
         # Where no label is known, the more voters fire the likelier; one that mostly fires says nothing.
-        fires = votes[:, votes.mean(0) < 0.5].sum(1)
+        fires = dot(votes, (weighted_sums(votes, times) / times.sum() < 0.5).astype(float))
         guess = np.where(fires > 0, 1 - 0.4**fires, self.prior / 2)
         post = np.where(known, np.where(labels == 1, 1 - self.label_error, self.label_error), guess)
         self.discount = np.ones(votes.shape[1])
         for k in range(rounds):
-            w = np.stack([1 - post, post])
-            self.prior = float(np.clip(post.mean(), 1e-4, 1 - 1e-4))
-            self.rates = (w @ votes + np.array([[0.1], [0.5]])) / (w.sum(1, keepdims=True) + 1.0)
+            w = np.stack([1 - post, post]) * times
+            self.prior = float(np.clip(np.average(post, weights=times), 1e-4, 1 - 1e-4))
+            self.rates = (weighted_sums(votes, w) + np.array([[0.1], [0.5]])) / (w.sum(1, keepdims=True) + 1.0)
             if k in (3, rounds // 2):
-                self.discount = self.correlation_discount(votes, post)
+                self.discount = self.correlation_discount(votes, post, times)
             new = self.posterior(votes, gold)
             if np.abs(new - post).max() < 1e-6:
                 break
             post = new
         return post
 
-    def correlation_discount(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
-        r = votes - (post[:, None] * self.rates[1] + (1 - post[:, None]) * self.rates[0])
-        scale = np.sqrt((r * r).sum(0)) + 1e-9
-        c = (r.T @ r) / np.outer(scale, scale)
+    def correlation_discount(self, votes: np.ndarray, post: np.ndarray, times: np.ndarray) -> np.ndarray:
+        c = np.zeros((votes.shape[1], votes.shape[1]))
+        for s in slices(len(votes)):
+            p = post[s, None]
+            r = votes[s] - (p * self.rates[1] + (1 - p) * self.rates[0])
+            c += (r * times[s, None]).T @ r
+        scale = np.sqrt(np.diag(c)) + 1e-9
+        c /= scale
+        c /= scale[:, None]
         np.fill_diagonal(c, 0)
-        return 1 + np.maximum(c, 0).sum(0)
+        # Among many voters, chance correlations would add up.
+        c[c < 3 / math.sqrt(times.sum())] = 0
+        return 1 + c.sum(0)
 
     def posterior(self, votes: np.ndarray, more: np.ndarray | float = 0.0) -> np.ndarray:
         fire = np.log(self.rates[1] / self.rates[0]) / self.discount
         rest = np.log((1 - self.rates[1]) / (1 - self.rates[0])) / self.discount
-        z = votes @ (fire - rest) + rest.sum() + math.log(self.prior / (1 - self.prior)) + more
+        z = dot(votes, fire - rest) + rest.sum() + math.log(self.prior / (1 - self.prior)) + more
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25, weights: np.ndarray | None = None) -> np.ndarray:
     """Weights of a ridge logistic regression on soft labels by Newton steps; the last is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    times = np.ones(len(x)) if weights is None else weights
+    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h, x.T @ (y - p) - penalty * w)
+        p = 1 / (1 + np.exp(-np.clip(dot(x, w), -30, 30)))
+        h = np.diag(penalty)
+        for s in slices(len(x)):
+            part = x[s].astype(float)
+            h += (part * (times[s] * p[s] * (1 - p[s]))[:, None]).T @ part
+        step = np.linalg.solve(h, weighted_sums(x, times * (y - p)) - penalty * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -175,56 +203,47 @@ def held_out(id: str | Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(id.cast("string"), F.lit(""))), F.lit(folds)) == 0
 
 
-def mine_features(
-    sample: DataFrame, min_toxic: int = 5, min_precision: float = 0.5, max_features: int = 256, max_candidates: int = 40_000
-) -> list[str]:
-    """Words and beginnings of words that mark toxic rows of a bounded, labelled sample.
+def mine_features(sample: DataFrame, min_toxic: int = 5, min_precision: float = 0.5) -> list[str]:
+    """Words and beginnings of words that mark toxic rows of a bounded, labelled sample of distinct texts.
 
-    First the features of toxic rows are counted, then the frequent ones over all rows. Kept
-    are those whose share of toxic rows is surely (lower Wilson bound) over
-    ``min_precision``; of features that mark the same rows the most frequent, then the
-    shortest. What reaches the driver are counts of at most ``max_candidates`` features.
+    Kept are all features whose share of toxic rows is surely (lower Wilson bound) over
+    ``min_precision``; of features that mark the same rows (by the xor of the rows' hashes)
+    the shortest, and no word whose beginning is kept. Counting, the bound and the folding
+    are done on Spark; the driver gets one feature per marked set of rows.
     """
 
-    def counted(wanted: dict[str, int] | None):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            memo: dict = {}
-            for b in batches:
-                n: Counter = Counter()
-                t: Counter = Counter()
-                for text, toxic in zip(b["text"], b["toxic"], strict=True):
-                    found = text_features(text, memo, wanted)
-                    n.update(found)
-                    if toxic:
-                        t.update(found)
-                names = list(n)
-                yield pd.DataFrame({"feature": names, "n": [n[f] for f in names], "t": [t[f] for f in names]})
-
-        return run
-
-    toxic = sample.where("toxic = 1").mapInPandas(counted(None), "feature string, n long, t long")
-    often = toxic.groupBy("feature").agg(F.sum("t").alias("t")).where(F.col("t") >= min_toxic)
-    top = [r.feature for r in often.orderBy(F.col("t").desc(), "feature").limit(max_candidates).collect()]
-    if not top:
-        return []
-    wanted = {f: i for i, f in enumerate(top)}
-    all_rows = sample.mapInPandas(counted(wanted), "feature int, n long, t long").groupBy("feature")
-    counts = {r.feature: (r.n, r.t) for r in all_rows.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}
-    precise = []
-    for i, (n, t) in counts.items():
-        p, z = t / n, 2.0
-        low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-        if low > min_precision:
-            precise.append((-t, len(top[i]), top[i], i))
-    precise.sort()
-    chosen: list[str] = []
-    for _, _, name, _ in precise:
-        stems = {f"{name[:k]}*" for k in range(min(PREFIXES), len(name.rstrip("*")))}
-        if stems.isdisjoint(chosen):
-            chosen.append(name)
-        if len(chosen) == max_features:
-            break
-    return chosen
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict = {}
+        for b in batches:
+            n: Counter = Counter()
+            t: Counter = Counter()
+            x: dict[str, int] = {}
+            for text, toxic, row in zip(b["text"], b["toxic"], b["row"], strict=True):
+                found = text_features(text, memo)
+                n.update(found)
+                if toxic:
+                    t.update(found)
+                row = int(row)
+                for f in found:
+                    x[f] = x.get(f, 0) ^ row
+            names = list(n)
+            yield pd.DataFrame({"feature": names, "n": [n[f] for f in names], "t": [t[f] for f in names], "x": [x[f] for f in names]})
+
+    counts = sample.select("text", "toxic", F.xxhash64("text").alias("row")).mapInPandas(run, "feature string, n long, t long, x long")
+    sums = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.bit_xor("x").alias("x"))
+    z = 2.0
+    share = F.col("t") / F.col("n")
+    low = (share + z * z / (2 * F.col("n")) - z * F.sqrt(share * (1 - share) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (
+        1 + z * z / F.col("n")
+    )
+    precise = sums.where((F.col("t") >= min_toxic) & (low > min_precision))
+    name = F.struct(F.length("feature").alias("k"), "feature")
+    folded = precise.groupBy("n", "t", "x").agg(F.min(name).alias("f")).select("t", "f.*").collect()
+    chosen: dict[str, None] = {}
+    for _, _, name in sorted((-r.t, r.k, r.feature) for r in folded):
+        if not any(f"{name[:k]}*" in chosen for k in range(min(PREFIXES), len(name.rstrip("*")))):
+            chosen[name] = None
+    return list(chosen)
 
 
 def fit_toxicity(
@@ -239,8 +258,9 @@ def fit_toxicity(
     """Learn voters, their accuracies and the classifier from labelled rows outside the held-out fold.
 
     About ``max_labelled`` rows at most are used, chosen by a hash of the id. Labels are joined to
-    the texts by broadcasting at most that many ids. The driver gets feature counts and,
-    per sampled row, the numbers of the voters that fired.
+    the texts by broadcasting at most that many ids. An id that repeats gives one row, and
+    equal texts give one row with the label of most of their ids (toxic if as many). The
+    driver gets the mined features and, per sampled row, the numbers of the voters that fired.
     """
     small_batches(docs.sparkSession)
     usable = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull() & ~held_out(id, folds))
@@ -249,7 +269,10 @@ def fit_toxicity(
     share = min(1.0, max_labelled / n) if n else 1.0
     chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
     texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id")  # bounded by max_labelled
+    found = texts.join(F.broadcast(chosen), "doc_id")  # ids are bounded by max_labelled, rows are not
+    one = found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    most = (F.avg("toxic") >= 0.5).cast("int").alias("toxic")
+    sample = materialize(one.groupBy(F.xxhash64("text").alias("row")).agg(F.any_value("text").alias("text"), most).drop("row"))
     mined = mine_features(sample)
     wanted = numbering(mined)
 
@@ -265,13 +288,15 @@ def fit_toxicity(
         # Nothing to learn from: the lexicons and patterns decide.
         model.weights = np.array([4.0] * (width - 1) + [0.0, -3.0])
         return model
-    rows.sort(key=lambda r: (r.toxic, r.fired))  # the order of tasks leaves no trace in sums
-    votes = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        votes[i, r.fired] = 1
-    gold = np.array([r.toxic for r in rows])
-    post = LabelModel(prior=float(gold.mean())).fit(votes, gold)
-    model.weights = fit_linear(votes, post)
+    # Rows of equal votes are one with a weight; sorted, the order of tasks leaves no trace in sums.
+    alike = sorted(Counter((r.toxic, tuple(r.fired)) for r in rows).items())
+    votes = np.zeros((len(alike), width), dtype=np.uint8)
+    for i, ((_, fired), _) in enumerate(alike):
+        votes[i, list(fired)] = 1
+    gold = np.array([toxic for (toxic, _), _ in alike])
+    times = np.array([n for _, n in alike], dtype=float)
+    post = LabelModel(prior=float(np.average(gold, weights=times))).fit(votes, gold, weights=times)
+    model.weights = fit_linear(votes, post, weights=times)
     return model
 
 

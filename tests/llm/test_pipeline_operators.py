@@ -169,6 +169,30 @@ def test_toxicity_learns_words_and_beginnings(spark):
     assert by[5000].score == by[5001].score < 0.5
 
 
+def test_copies_of_a_toxic_text_do_not_crowd_out_other_words(spark):
+    rng = random.Random(12)
+    name = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    copied = " ".join(name(9) for _ in range(400))
+    rows = [(i, prose(rng, 30)) for i in range(600)]
+    rows += [(1000 + i, copied) for i in range(200)]
+    rows += [(2000 + i, f"{prose(rng, 20)} grobnik") for i in range(60)]
+    labels = [(i, 1, int(i >= 1000)) for i, _ in rows]
+    labels += [(3000, 1, 1)]
+    rows += [(3000, f"{copied} {k}") for k in range(50)]  # an id that repeats
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = TX.toxicity(documents(spark, rows + [(5000, f"{prose(rng, 20)} grobnik")]), lab)
+    by = {r.doc_id: r.predicted for r in got.collect()}
+    assert by[5000] == 1 and all(by[2000 + i] for i in range(60)) and not any(by[i] for i in range(600))
+
+
+def test_all_precise_features_are_mined(spark):
+    rng = random.Random(13)
+    bad = [chr(97 + k // 26) + chr(97 + k % 26) + "q" for k in range(400)]  # no common beginnings
+    rows = [(" ".join([*prose(rng, 5).split(), w]), 1) for w in bad for _ in range(7)] + [(prose(rng, 8), 0) for _ in range(500)]
+    sample = spark.createDataFrame(rows, "text string, toxic int").dropDuplicates(["text"])
+    assert set(bad) <= set(TX.mine_features(sample))
+
+
 def test_held_out_labels_are_never_read(spark):
     rows, labels = toxic_corpus(spark, 400)
     flip = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]
