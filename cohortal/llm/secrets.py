@@ -107,6 +107,7 @@ def secret_scan(
     repository: str | None = None,
     widely_owners: int = 3,
     widely_repositories: int = 10,
+    own_spans: bool = False,
 ) -> DataFrame:
     """Find secrets and tell widely copied examples from owner-specific credentials.
 
@@ -118,6 +119,7 @@ def secret_scan(
 
     One row per input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans,
     live_spans, n_live, n_copied, n_weak, text_hash``. Spans are kind:start:end in code points.
+    With ``own_spans`` there is also a column of that name: the spans of live and weak values.
 
     Only hashes, never values or texts, are shuffled, and only rows with candidates. Distinct
     repositories and owners are reduced map-side first, so that a value which a third of all
@@ -150,24 +152,30 @@ def secret_scan(
         "is", F.when(F.col("widely"), "copied").when(F.col("strong"), "live").otherwise("weak")
     )
     span = F.concat_ws(":", "kind", "start", "end")
-    place = F.when(F.col("is") == "live", F.struct("start", "end", span.alias("span")))
+    places = lambda which: F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("start", "end", span.alias("span"))))), lambda p: p["span"]), ","
+    )
+    own = ["own_spans"] if own_spans else []
     verdicts = judged.groupBy("doc_id", "key").agg(
         F.count_if(F.col("is") == "live").alias("n_live"),
         F.count_if(F.col("is") == "copied").alias("n_copied"),
         F.count_if(F.col("is") == "weak").alias("n_weak"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda p: p["span"]), ",").alias("live_spans"),
+        places(F.col("is") == "live").alias("live_spans"),
+        *[places(F.col("is") != "copied").alias(c) for c in own],
     )
     right = verdicts.withColumnRenamed("doc_id", "v_id").withColumnRenamed("key", "v_key")
     on = F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("key") == F.col("v_key"))
     base = ["doc_id", "text_hash", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     rated = with_some.join(right, on, "left").select(
-        *base, F.coalesce("live_spans", F.lit("")).alias("live_spans"), zero("n_live"), zero("n_copied"), zero("n_weak")
+        *base, F.coalesce("live_spans", F.lit("")).alias("live_spans"), zero("n_live"), zero("n_copied"), zero("n_weak"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in own],
     )
     none = found.where(F.size("candidates") == 0).select(
         *base,
         F.lit("").alias("live_spans"),
         *[F.lit(0).cast("long").alias(c) for c in ("n_live", "n_copied", "n_weak")],
+        *[F.lit("").alias(c) for c in own],
     )
     return none.unionByName(rated)
 
@@ -190,21 +198,21 @@ def mask(text: str | None, live_spans: str | None) -> str | None:
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
-    """All rows of ``docs``, their live credentials replaced by markers; copied examples stay.
+    """All rows of ``docs``, their live and weak credentials replaced by markers; copied examples stay.
 
-    Only rows that may have live spans, by a filter of fixed size over their text hashes, are
+    Ownership alone decides: a short or simple value of few owners goes too. Only rows that may have such spans, by a filter of fixed size over their text hashes, are
     shuffled with their texts. ``n_chars`` follows the text where there is such a column.
     """
-    found = secret_scan(docs, text=text, id=id, **options).where("n_live > 0")
-    live = materialize(found.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "live_spans").distinct())
+    found = secret_scan(docs, text=text, id=id, own_spans=True, **options).where("own_spans != ''")
+    live = materialize(found.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "own_spans").distinct())
     maybe = bit_filter(live, "own_hash")
     rows = packed(docs, row_id=F.col(id), row_hash=F.xxhash64(text)).withColumn("maybe", maybe("row_hash"))
     on = F.col("row_id").eqNullSafe(F.col("own_id")) & (F.col("row_hash") == F.col("own_hash"))
     some = rows.where("maybe").join(live, on, "left")
     masked = F.pandas_udf(lambda t, s: pd.Series([mask(a, b) for a, b in zip(t, s, strict=True)], dtype=object), "string")
-    hit = some.where("live_spans is not null").withColumn("masked", masked(F.col("row")[text], "live_spans"))
+    hit = some.where("own_spans is not null").withColumn("masked", masked(F.col("row")[text], "own_spans"))
     changed = {text: F.col("masked")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length("masked").cast(dict(docs.dtypes)["n_chars"])
-    kept = rows.where("not maybe").select("row").unionByName(some.where("live_spans is null").select("row"))
+    kept = rows.where("not maybe").select("row").unionByName(some.where("own_spans is null").select("row"))
     return unpacked(kept, docs.columns).unionByName(unpacked(hit, docs.columns, **changed))

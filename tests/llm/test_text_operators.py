@@ -80,6 +80,16 @@ def test_ownership_separates_examples_from_live_credentials(spark):
     assert secrets.secret_scan(docs.limit(0)).count() == 0
 
 
+def test_weak_values_of_few_owners_are_masked(spark):
+    shared = "password = changeme1"
+    rows = [(k, f"see {shared}", f"o{k}") for k in range(4)]
+    rows += [(10, "password=Tr0ub4dor3 x", "o1"), (11, "token = mytestvalue12345 y", "o1"), (12, f"{shared} and secret: hunter22", "o2")]
+    got = {r.doc_id: r.text for r in secrets.redact_secrets(documents(spark, rows)).collect()}
+    assert got[10] == "<assign> x" and got[11] == "<assign> y"
+    assert got[0] == rows[0][1] and got[12] == f"{shared} and <assign>"
+    assert "own_spans" not in secrets.secret_scan(documents(spark, rows)).columns
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 37])
 def test_edited_fingerprints(spark, n):
     rng = random.Random(n)
