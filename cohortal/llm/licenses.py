@@ -62,12 +62,48 @@ HINT = r"(?i)licen[sc]e|copyright|\(c\)|rights reserved|permission|warrant|redis
 # A sentence ends at a line end, or at . ! ? ; before white space.
 SPLIT = r"\n|[.!?;][ \t\r]+"
 
+# What the operator reads beyond the SQL: other subjects and words after the name, and sentences over several lines.
+UNDER = r"(?:(?:[a-z0-9]+ ){0,4}(?:is|are) )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of )?(?:the |an? )?"
+GPL_HEADER = (
+    r"this [a-z]+ is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+    r"as published by the free software foundation either version "
+)
+MORE = {
+    "ApacheVer2": UNDER + r"apache license (?:version |v)?2(?: 0)?",
+    "MITReleased": UNDER + r"mit license",
+    "GPLVer3": UNDER + r"gnu general public license (?:version |v)3|" + GPL_HEADER + "3",
+    "GPLVer2": UNDER + r"gnu general public license (?:version |v)2|" + GPL_HEADER + "2",
+    "BSDReleased": UNDER + r"bsd license",
+    "CCBYNC": UNDER + r"(?:cc by nc|creative commons attribution noncommercial)",
+    "CCBYSA": UNDER + r"(?:cc by sa|creative commons attribution sharealike)",
+    "CCBY": UNDER + r"(?:cc by|creative commons attribution)",
+    "CC0": UNDER + r"(?:cc0|creative commons zero)",
+}
+#: Sentences that end with their wording: prose goes on after these words too.
+CLOSED = ("PublicDomain", "AllRights")
+# Words that a sentence of a licence starts with: a line with one of these starts anew, unless the line before cannot end there.
+OPENING = (
+    r"[\s#*/>-]*(?:licensed|released|distributed|available under|(?:the )?mit license|apache license|gnu |mozilla |permission is|"
+    r"the above copyright|the software is provided|this (?:work|program|file|project|software|code|library)|it is licensed|you may|"
+    r"unless required|redistribution and|neither the|copyright|\(c\)|all rights|no rights)"
+)
+WHOLE = (
+    r"(?i)\n[ \t\r#*/>]*\n|[.!?]\s+|;(?=" + OPENING + r")|(?<=public\s{1,3}domain|rights\s{1,3}reserved)[ \t\r]*\n|"
+    r"(?<!\b(?:the|under|of|by|is|are|a|an|and|or)[ \t\r]{0,3})\n(?=" + OPENING + r")"
+)
+
+
+def wording(name: str, pattern: str) -> str:
+    """The pattern of the whole sentence, other subjects and words after it included."""
+    more = f"|{MORE[name]}" if name in MORE else ""
+    return f"^(?:{pattern}{more})" + ("$" if name in CLOSED else "(?: .*)?$")
+
 
 def sentence_id(normal: Column) -> Column:
     """The identifier of a normalised sentence, or null."""
     found = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
-        found = F.when(normal.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(found)
+        found = F.when(normal.rlike(wording(name, pattern)), F.lit(name)).otherwise(found)
     return found
 
 
@@ -78,11 +114,14 @@ def scan_licenses(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Da
     text order, comma-joined), ``licenses`` (all licences whose rule matches, in rule order,
     comma-joined) and ``license`` (that of the first rule that matches; null if none).
 
+    Sentences may run over several lines: they end at blank lines, at marks, and where a line
+    starts a licence's wording. The SQL (``oracle``) knows single lines and fewer subjects.
+
     Only DataFrame functions and no shuffle: each text is split, filtered by a cheap pattern
     and normalised within its row. Null and empty texts have no sentence. Repeated rows,
     null ids and other columns pass or are left alone.
     """
-    parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPLIT), lambda s: s.rlike(HINT))
+    parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), WHOLE), lambda s: s.rlike(HINT.replace(" ", r"\s+")))
     normal = F.transform(
         parts, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " "))
     )

@@ -146,6 +146,31 @@ def test_licenses(spark):
     assert got[8].license == "CC-BY-NC" and got[None].license == "Proprietary"
 
 
+def test_wrapped_licences_and_subjects(spark):
+    gpl = (
+        "    This program is free software{} you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n"
+        "    the Free Software Foundation{} either version {} of the License, or\n    (at your option) any later version.\n\n"
+        "    This program is distributed in the hope that it will be useful,\n    but WITHOUT ANY WARRANTY; without even the implied warranty of\n    MERCHANTABILITY.\n"
+    )
+    apache = (
+        'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\n'
+        "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n"
+        'Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS.\n'
+    )
+    mit = (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software, to deal\nin the Software without restriction.\n\n"
+        "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n"
+    )
+    want = [
+        (gpl.format(":", ",", 3), "GPL-3.0"), (gpl.format(";", ";", 2), "GPL-2.0"), (apache, "Apache-2.0"), (mit, "MIT"),
+        ("This project is licensed under the MIT License.", "MIT"), ("It is licensed under the\nMIT License for all.", "MIT"),
+        ("This work is licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("no mark here\nLicensed under CC BY-NC 4.0\nmore", "CC-BY-NC"),
+        ("This is not licensed under the MIT License.", None), ("Books in the public domain are old.", None), ("It is in the public\ndomain\nand more", "Public-Domain"),
+    ]
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(documents(spark, [(k, t) for k, (t, _) in enumerate(want)])).collect()}
+    assert [got[k] for k in range(len(want))] == [w for _, w in want]
+
+
 def test_bit_filter_never_loses_a_key(spark):
     keys = spark.range(0, 70_000, 7).withColumnRenamed("id", "k")
     maybe = bit_filter(keys, "k")
