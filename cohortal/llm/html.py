@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
+from dataclasses import dataclass, field
 from html import unescape
 
 import pandas as pd
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortal.llm.text import small_batches
 from cohortal.llm.urls import url_parts
-from cohortal.session import broadcast_if_small, materialize
+from cohortal.session import materialize
 
 # Elements by role, as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,6 +53,8 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[a-zA-Z]+")
 MAIN, BOILER, NEUTRAL = "main", "boiler", ""
+#: Containers that say nothing themselves: without a name, they are told apart by the kinds of their children.
+PLAIN = frozenset("div section span td center font".split())
 
 
 def describe(tag: str, attributes: str) -> tuple[str, str]:
@@ -66,7 +67,7 @@ def describe(tag: str, attributes: str) -> tuple[str, str]:
             if m[1].lower() in ("role", "itemprop"):
                 main = main or bool(MAIN_WORDS.intersection(found))
             words += found
-    label = tag + ("." + ".".join(words[:6]) if words else "")
+    label = tag + ("." + ".".join(words) if words else "")
     if tag in BOILER_TAGS:
         return label, BOILER
     if main and not {"comment", "comments", "reply", "ad", "ads", "sponsored"}.intersection(words):
@@ -74,20 +75,53 @@ def describe(tag: str, attributes: str) -> tuple[str, str]:
     return label, BOILER if BOILER_WORDS.intersection(words) else NEUTRAL
 
 
-def blocks(page: str | None) -> tuple[list[tuple[tuple[str, ...], str, str]], Counter]:
-    """Text blocks of a page, and how its elements are presented.
+@dataclass
+class Page:
+    """A page as lists: nodes in the order of their opening tags (0 is the root) and text blocks.
 
-    A block is the text between two block-level tags: (path of labels, role, raw text), the
-    role being that of the nearest container that has one, ``boiler`` first. The counter has
-    (path, labels of the element's children in turn, repeats once) pairs.
+    Of a node: the number of its parent (always less than its own), its label, role in force
+    and the labels of its element children in turn, repeats once. A block is the text between
+    two block-level tags: (node, raw text).
     """
-    page = page or ""
-    out: list[tuple[tuple[str, ...], str, str]] = []
-    styles: Counter = Counter()
-    # Per open element: tag, label, role in force, labels of children.
-    stack: list[tuple[str, str, str, list[str]]] = [("", "", NEUTRAL, [])]
+
+    parent: list[int] = field(default_factory=lambda: [0])
+    label: list[str] = field(default_factory=lambda: [""])
+    role: list[str] = field(default_factory=lambda: [NEUTRAL])
+    children: list[list[str]] = field(default_factory=lambda: [[]])
+    blocks: list[tuple[int, str]] = field(default_factory=list)
+
+    def paths(self) -> list[int]:
+        """A number per node for the labels from the root down to it.
+
+        Each is a hash of the parent's number and the own label, so the cost does not depend on
+        the depth. Unnamed plain containers add the kinds of their children to the label.
+        """
+        out = [0]
+        for i in range(1, len(self.label)):
+            label = self.label[i]
+            if label in PLAIN and self.children[i]:
+                label += "(" + " ".join(sorted({c.split(".", 1)[0] for c in self.children[i]})) + ")"
+            out.append(digest(label, out[self.parent[i]]))
+        return out
+
+    def main_blocks(self) -> list[tuple[int, str]]:
+        """Blocks of the main container; without one, all that nothing marks as something else."""
+        roles = [self.role[i] for i, _ in self.blocks]
+        wanted = MAIN if MAIN in roles else NEUTRAL
+        return [b for b, role in zip(self.blocks, roles, strict=True) if role == wanted]
+
+
+def parse(html: str | None, names: bool = True) -> Page:
+    """Nodes and text blocks of a page, in one pass over it.
+
+    A node's role is that of the nearest container that has one, ``boiler`` first. Without
+    ``names`` there are no roles and no names in labels: what remains are bare tags.
+    """
+    html = html or ""
+    page = Page()
+    # Open elements: tag and node.
+    stack: list[tuple[str, int]] = [("", 0)]
     parts: list[str] = []
-    path: tuple[str, ...] = ()
     known: dict[tuple[str, str], tuple[str, str]] = {}
 
     def end_block() -> None:
@@ -95,26 +129,25 @@ def blocks(page: str | None) -> tuple[list[tuple[tuple[str, ...], str, str]], Co
             text = "".join(parts)
             parts.clear()
             if text and not text.isspace():
-                out.append((path, stack[-1][2], text))
+                page.blocks.append((stack[-1][1], text))
 
-    def pop_to(depth: int) -> None:
-        nonlocal path
-        while len(stack) > depth:
-            _, _, _, children = stack.pop()
-            styles[path, tuple(children)] += 1
-            path = path[:-1]
-
-    at, n = 0, len(page)
+    at, n = 0, len(html)
+    tags_end = html.rfind(">") + 1  # no tag ends beyond
     while at < n:
-        m = TAG.search(page, at)
+        m = TAG.search(html, at, tags_end) if at < tags_end else None
         if m is None:
-            parts.append(page[at:])
+            if "<!--" in html[max(at, tags_end) :]:  # a comment that never ends
+                parts.append(html[at : html.index("<!--", max(at, tags_end))])
+            else:
+                parts.append(html[at:])
             break
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            parts.append(html[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
+            if at == tags_end and m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             continue
         tag = tag.lower()
         closing = m[1] == "/"
@@ -125,7 +158,7 @@ def blocks(page: str | None) -> tuple[list[tuple[tuple[str, ...], str, str]], Co
         if tag in INLINE and (closing or not attributes or "class" not in attributes and "id" not in attributes):
             if closing and len(stack) > 1 and stack[-1][0] == tag:  # an inline element with a name
                 end_block()
-                pop_to(len(stack) - 1)
+                stack.pop()
             continue
         if tag in INLINE and describe(tag, attributes)[1] != BOILER:
             continue
@@ -133,7 +166,7 @@ def blocks(page: str | None) -> tuple[list[tuple[tuple[str, ...], str, str]], Co
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == tag:
                     end_block()
-                    pop_to(depth)
+                    del stack[depth:]
                     break
                 if stack[depth][0] in SCOPE and tag not in SCOPE:
                     break
@@ -141,45 +174,45 @@ def blocks(page: str | None) -> tuple[list[tuple[tuple[str, ...], str, str]], Co
                 end_block()
             continue
         if tag in ("script", "style"):  # nothing that is seen, so no break either
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
             at = stop.end() if stop else n
             continue
         end_block()
         if tag in VOID:
-            stack[-1][3].append(tag)
+            page.children[stack[-1][1]].append(tag)
             continue
         if tag not in INLINE:
             shut = CLOSES.get(tag, BLOCKED)
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] in shut:
-                    pop_to(depth)
+                    del stack[depth:]
                     break
                 if stack[depth][0] in SCOPE and stack[depth][0] not in shut:
                     break
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
             at = stop.end() if stop else n
             continue
         if attributes.endswith("/") and tag not in INLINE and tag in ("svg", "path", "iframe"):
             continue
         key = (tag, attributes)
         if key not in known:
-            known[key] = describe(tag, attributes)
+            known[key] = describe(tag, attributes) if names else (tag, NEUTRAL)
         label, says = known[key]
-        role = stack[-1][2]
-        if role != BOILER:
+        up = stack[-1][1]
+        role = page.role[up]
+        if role != BOILER and names:
             if tag == "header" and role != MAIN:
                 role = BOILER
             elif says == BOILER or says == MAIN:
                 role = says
-        children = stack[-1][3]
-        if not children or children[-1] != label:
-            children.append(label)
-        stack.append((tag, label, role, []))
-        path = (*path, label)
+        siblings = page.children[up]
+        if not siblings or siblings[-1] != label:
+            siblings.append(label)
+        stack.append((tag, len(page.label)))
+        page.parent.append(up), page.label.append(label), page.role.append(role), page.children.append([])
     end_block()
-    pop_to(1)
-    return out, styles
+    return page
 
 
 def text_of(raw: str) -> str:
@@ -187,166 +220,224 @@ def text_of(raw: str) -> str:
     return " ".join((unescape(raw) if "&" in raw else raw).split())
 
 
-def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
+def digest(text: str, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed) >> 1
+
+
+def main_text(html: str | None, low: Set[int] = frozenset(), names: bool = True) -> str:
     """Blocks of the main part in page order, joined by one space.
 
     Where a page has a main container, that is its text, else all that no name or tag marks as
-    something else. ``low`` are what the site's style tree rates low: paths, and single blocks
-    as ``block_key`` names them. Such blocks go, inside a main container too.
+    something else. ``low`` are what the site's style tree rates low: paths (all below them
+    goes too), and single blocks, by the hash of path and text. They go inside a main
+    container as well.
     """
-    found, _ = blocks(page)
+    page = parse(html, names)
+    gone: list[bool] = []
+    paths: list[int] = []
+    if low:
+        paths = page.paths()
+        for i, p in enumerate(paths):
+            gone.append(p in low or i > 0 and gone[page.parent[i]])
     kept = []
-    for path, _, raw in main_blocks(found):
-        if low:
-            at = "/".join(path)
-            if at in low or block_key(at, digest(raw)) in low:
-                continue
+    for node, raw in page.main_blocks():
         text = text_of(raw)
-        if text:
+        if text and not (low and (gone[node] or digest(text, paths[node]) in low)):
             kept.append(text)
     return " ".join(kept)
 
 
-def main_blocks(found: list[tuple]) -> list[tuple]:
-    """Those of a page's blocks that its main container holds; without one, all that nothing marks as something else."""
-    has_main = any(role == MAIN for _, role, *_ in found)
-    return [x for x in found if x[1] != BOILER and (x[1] == MAIN or not has_main)]
-
-
-def digest(raw: str) -> int:
-    return xxhash.xxh3_64_intdigest(raw.encode("utf-8", "surrogatepass")) >> 1
+#: What a page says about one of its paths: the path above, whether it is in a main container, styles and text blocks.
+OWN = pa.list_(
+    pa.struct(
+        [("path", pa.int64()), ("up", pa.int64()), ("main", pa.bool_()), ("s", pa.list_(pa.int64())), ("c", pa.list_(pa.int64()))]
+    )
+)
 
 
-def block_key(path: str, feature: int) -> str:
-    """Name of a text block of a path; no path has a line end."""
-    return f"{path}\n{feature}"
+def own_features(page: Page) -> list[tuple]:
+    """Rows of ``OWN`` for a page: each path once, without branches that names rule out."""
+    at: dict[int, tuple] = {}
+    paths = page.paths()
+    for i, p in enumerate(paths):
+        if page.role[i] != BOILER:
+            own = at.setdefault(p, (paths[page.parent[i]], page.role[i] == MAIN, set(), set()))
+            own[2].add(digest("|".join(page.children[i])))
+    for i, raw in page.blocks:
+        if page.role[i] != BOILER:
+            text = text_of(raw)
+            if text:
+                at[paths[i]][3].add(digest(text, paths[i]))
+    return sorted((p, up, main, sorted(s), sorted(c)) for p, (up, main, s, c) in at.items())
 
 
-def page_features(pages: DataFrame, host: str = "host", html: str = "html", copies_once: bool = False) -> DataFrame:
-    """``host, path, kind, feature, n``: on how many pages a path has a style (s), a text block (c), or is at all (m).
+def page_features(pages: DataFrame, host: str = "host", html: str = "html", names: bool = True) -> DataFrame:
+    """``host, page, own``: a row per host and distinct main text, with what its page says about paths.
 
-    With ``copies_once``, pages of a host that have the same main text are one page: each
-    page travels as its features, one row per main text, before they are counted.
+    Pages of a host with the same main text are one page, so that mirrors weigh once. Rows are
+    combined within a batch and then by an aggregate.
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[tuple, list] = {}
-            for k, (name, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                found, styles = blocks(page)
-                paths: dict[tuple[str, ...], tuple[set, set]] = {p: (set(), set()) for p, _ in styles}
-                for p, c in styles:
-                    paths[p][0].add(digest("|".join(c)))
-                for p, _, raw in found:
-                    paths.setdefault(p, (set(), set()))[1].add(digest(raw))
-                own = sorted(("/".join(p), sorted(s), sorted(c)) for p, (s, c) in paths.items())
-                text = digest("\n".join(text_of(x[2]) for x in main_blocks(found))) if copies_once else k
+            for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                page = parse(html, names)
+                own = own_features(page)
+                text = digest("\n".join(text_of(raw) for _, raw in page.main_blocks()))
                 seen[name, text] = min(own, seen.get((name, text), own))
+            keys = ("path", "up", "main", "s", "c")
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([k[0] for k in seen], pa.string()),
                     pa.array([k[1] for k in seen], pa.int64()),
-                    pa.array([[{"path": p, "s": s, "c": c} for p, s, c in own] for own in seen.values()], OWN),
+                    pa.array([[dict(zip(keys, o, strict=True)) for o in own] for own in seen.values()], OWN),
                 ],
                 names=["host", "page", "own"],
             )
 
     rows = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInArrow(
-        features, "host string, page long, own array<struct<path:string,s:array<long>,c:array<long>>>"
+        features, "host string, page long, own array<struct<path:long,up:long,main:boolean,s:array<long>,c:array<long>>>"
     )
-    if copies_once:
-        rows = rows.groupBy("host", "page").agg(F.min("own").alias("own"))
-    at = rows.select("host", F.explode("own").alias("o")).select("host", "o.*")
-    of = lambda kind: F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("feature")))
-    there = F.array(F.struct(F.lit("m").alias("kind"), F.lit(0).cast("long").alias("feature")))
-    each = at.select("host", "path", F.explode(F.concat(there, of("s"), of("c"))).alias("f")).select("host", "path", "f.*")
-    return each.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
+    return rows.groupBy("host", "page").agg(F.min("own").alias("own"))
 
 
-OWN = pa.list_(pa.struct([("path", pa.string()), ("s", pa.list_(pa.int64())), ("c", pa.list_(pa.int64()))]))
+def counted(rows: DataFrame, *keys: str) -> DataFrame:
+    """Per key, path and feature the number ``n`` of pages: kind ``m`` (the path itself), ``s`` (style) or ``c`` (text block)."""
+    at = rows.select(*keys, F.explode("own").alias("o")).select(*keys, "o.*")
+    of = lambda kind: F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("feature")))
+    there = F.array(F.struct(F.lit("m").alias("kind"), F.lit(0).cast("long").alias("feature")))
+    each = at.select(*keys, "path", "up", "main", F.explode(F.concat(there, of("s"), of("c"))).alias("f"))
+    return each.select(*keys, "path", "up", "main", "f.*").groupBy(*keys, "path", "up", "main", "kind", "feature").agg(F.count("*").alias("n"))
 
 
-def style_tree(pages: DataFrame, host: str = "host", html: str = "html", copies_once: bool = False) -> DataFrame:
-    """The merged tree of each host's pages: per element path its pages and entropies.
+def losses(each: DataFrame, *keys: str) -> DataFrame:
+    """Per key and path the counts behind both entropies.
 
-    Elements of all pages of a host that have the same path of labels are one node. Pages
-    count for a node's presentation by their styles (sequences of children) and for its
-    content by text blocks. Returns ``host, path, n_pages, node_importance`` (entropy of the
-    styles over the log of the pages) and ``content_importance`` (1 less the mean entropy
-    of the blocks; null for a node without own text). Sums only, combined before each
-    shuffle: a host with a third of all pages costs no more than its distinct blocks.
+    ``c_n`` text blocks on pages, and ``c_lost``: how many of them repetition takes away. Blocks
+    that are on n pages each have the normalised entropy ``1 - sum(n ln n) / (N ln N)``, N
+    being all of them; ``c_lost`` is N times what is missing from 1. Likewise ``s_lost`` for
+    the ``n_pages`` styles. Sums only, combined before the shuffle.
     """
-    return tree_of(page_features(pages, host, html, copies_once))
-
-
-def tree_of(each: DataFrame) -> DataFrame:
-    """The nodes of ``style_tree`` from counted features."""
-    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
-    nodes = each.groupBy("host", "path").agg(
+    of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
+    nodes = each.groupBy(*keys, "path", "up", "main").agg(
         of("m", F.col("n")).alias("n_pages"),
-        of("s", F.col("n") * F.ln("n")).alias("s_nlogn"),
-        of("s", F.col("n")).alias("s_n"),
-        of("c", F.ln("n")).alias("c_log"),
-        F.count_if(F.col("kind") == "c").alias("c_n"),
+        of("s", F.col("n") * F.ln("n")).alias("s_log"),
+        of("s", F.lit(1)).alias("n_styles"),
+        of("c", F.col("n") * F.ln("n")).alias("c_log"),
+        of("c", F.col("n")).alias("c_n"),
     )
-    log_m = F.nullif(F.ln("n_pages"), F.lit(0.0))
-    style = (F.ln("s_n") - F.col("s_nlogn") / F.col("s_n")) / log_m
+    lost = lambda log, n: F.when(F.col(n) > 1, F.col(log) / F.ln(n)).otherwise(0.0)
     return nodes.select(
+        *keys, "path", "up", "main", "n_pages", "c_n", lost("c_log", "c_n").alias("c_lost"), lost("s_log", "n_pages").alias("s_lost")
+    )
+
+
+def style_tree(rows: DataFrame, prior: float = 8.0, hosts_prior: float = 4.0) -> tuple[DataFrame, DataFrame]:
+    """The merged trees of all hosts from ``page_features``: their nodes, and their counted features.
+
+    Elements of all pages of a host that have the same path are one node. Per node:
+    ``node_importance`` (entropy of the styles) and ``content_importance`` (entropy of the
+    text blocks, each weighed by its pages; null without own text), both between 0 (all pages
+    alike) and 1, and drawn towards 1 as by ``prior`` pages that repeat nothing, so that a few
+    pages say little. Content is also rated in the merged tree of all hosts, in which a main
+    text counts once: the product of both ratings is the node's. What the corpus says counts
+    by the square of ``h / (h + hosts_prior)`` for a path that h hosts have.
+    """
+    each = materialize(counted(rows, "host"))
+    site = losses(each, "host")
+    once = rows.groupBy("page").agg(F.min("own").alias("own"))
+    corpus = losses(counted(once)).where("c_n > 1").groupBy("path").agg(F.sum("c_lost").alias("lost"), F.sum("c_n").alias("all_n"))
+    hosts = each.where("kind = 'm'").groupBy("path").agg(F.count_distinct("host").alias("h"))
+    weight = F.pow(F.col("h") / (F.col("h") + hosts_prior), F.lit(2.0))
+    everywhere = corpus.join(hosts, "path").select("path", (F.col("lost") / (F.col("all_n") + prior) * weight).alias("corpus_lost"))
+    nodes = site.join(everywhere, "path", "left").select(
         "host",
         "path",
+        "up",
+        "main",
         "n_pages",
-        F.coalesce(F.greatest(F.lit(0.0), F.least(style, F.lit(1.0))), F.lit(1.0)).alias("node_importance"),
-        F.when(F.col("c_n") > 0, F.coalesce(1 - F.col("c_log") / F.col("c_n") / log_m, F.lit(1.0))).alias("content_importance"),
+        "c_n",
+        (1 - F.col("s_lost") / (F.col("n_pages") + prior)).alias("node_importance"),
+        F.when(
+            F.col("c_n") > 0, (1 - F.col("c_lost") / (F.col("c_n") + prior)) * (1 - F.coalesce("corpus_lost", F.lit(0.0)))
+        ).alias("content_importance"),
     )
+    return materialize(nodes), each
 
 
-def low_branches(tree: DataFrame, threshold: float = 0.3, min_pages: int = 5, decay: float = 0.9) -> DataFrame:
-    """Paths of low composite importance: ``host`` and ``low`` (their list).
+def low_branches(nodes: DataFrame, plain: float = 0.7, inside: float = 0.3, decay: float = 0.9) -> DataFrame:
+    """``host, low``: a row per path of low composite importance.
 
     From the leaves up, a node's composite importance is its own (presentation) weighed by
-    ``1 - decay ** children``, and the mean of its children's, of which its own text is one.
-    Nodes on fewer than ``min_pages`` pages have no say. A branch is low only if all rated
-    nodes below it are. One group per host holds its distinct paths, not its pages.
+    ``1 - decay ** children``, and the mean of its children's, of which its own text is one,
+    each weighed by its pages. It is low below ``plain``, in main containers below ``inside``,
+    and only if no rated node in it is high. One group per host holds a row of numbers per
+    distinct path, not its pages; paths on one page only can be neither repeated nor low in
+    their site and stay outside, unless the corpus rates them low.
     """
 
     def rate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = {r.path: (r.node_importance, r.content_importance) for r in pdf.itertuples()}
-        below: dict[str, list[float]] = {p: [] for p in own}
-        rated: dict[str, float] = {}
-        high: set[str] = set()  # nodes with one below, or themselves, that is not low
-        for path in sorted(own, key=lambda p: -(p.count("/") + bool(p))):
-            node, content = own[path]
-            values = below[path] + ([] if pd.isna(content) else [content])
-            if values:
-                k = len(below[path])
-                rated[path] = (1 - decay**k) * node + decay**k * sum(values) / len(values)
-            else:
-                rated[path] = 1.0  # no text below
-            up = path.rpartition("/")[0]
-            if up in below:
-                below[up].append(rated[path])
-                if path in high or rated[path] >= threshold:
-                    high.add(up)
-        low = sorted(p for p, v in rated.items() if v < threshold and p not in high)
-        return pd.DataFrame({"host": [key[0]], "low": [low]}, dtype=object).head(1 if low else 0)
+        known = {r.path: r for r in pdf.itertuples()}
+        below: dict[int, list[int]] = {p: [] for p in known}
+        for r in known.values():
+            if r.up in below and r.up != r.path:
+                below[r.up].append(r.path)
+        order = [p for p, r in known.items() if r.up not in known or r.up == p]
+        for p in order:  # grows while it is read: parents first
+            order += below[p]
+        rated: dict[int, float | None] = {}
+        high: set[int] = set()
+        for p in reversed(order):
+            r = known[p]
+            values = [(rated[c], known[c].n_pages) for c in below[p] if rated[c] is not None]
+            k = len(below[p])
+            if not pd.isna(r.content_importance):
+                values.append((r.content_importance, r.n_pages))
+            total = sum(n for _, n in values)
+            mean = sum(v * n for v, n in values) / total if total else None
+            rated[p] = None if mean is None else (1 - decay**k) * r.node_importance + decay**k * mean
+            bound = inside if r.main else plain
+            own_high = not pd.isna(r.content_importance) and r.content_importance >= bound
+            if own_high or any(c in high for c in below[p]):
+                high.add(p)
+        low = [p for p, v in rated.items() if v is not None and p not in high and v < (inside if known[p].main else plain)]
+        return pd.DataFrame({"host": [key[0]] * len(low), "low": sorted(low)}).astype({"low": "int64", "host": object})
+
+    shared = nodes.where((F.col("n_pages") > 1) | (F.col("content_importance") < plain))
+    return shared.groupBy("host").applyInPandas(rate, "host string, low long")
+
+
+def repeated_blocks(each: DataFrame, nodes: DataFrame, threshold: float = 0.3, prior: float = 8.0) -> DataFrame:
+    """``host, low``: text blocks that, taken alone, are of low importance among the pages of their path.
+
+    A block on n of m pages has the importance ``1 - ln n / ln m``, drawn towards 1 by ``prior`` pages.
+    """
+    pages = nodes.where("n_pages > 1").select(F.col("host").alias("k_host"), F.col("path").alias("k_path"), F.col("n_pages").alias("m"))
+    some = each.where("kind = 'c' and n > 1")
+    # Pages without a host form one site: null hosts meet.
+    both = some.join(pages, F.col("host").eqNullSafe(F.col("k_host")) & (F.col("path") == F.col("k_path")))
+    lost = F.ln("n") / F.ln("m") * F.col("m") / (F.col("m") + prior)
+    return both.where(1 - lost < threshold).select("host", F.col("feature").alias("low"))
 
-    known = tree.where(F.col("n_pages") >= min_pages)
-    return known.groupBy("host").applyInPandas(rate, "host string, low array<string>")
 
+def low_by_page(pages: DataFrame, low: DataFrame, names: bool) -> DataFrame:
+    """``low_host, low_key, low``: per host and hash of a page's html those low branches and blocks that it has."""
 
-def repeated_blocks(each: DataFrame, tree: DataFrame, threshold: float = 0.3, min_pages: int = 5) -> DataFrame:
-    """``host`` and ``low``: text blocks that, taken alone, are of low importance among the pages of their path.
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for html in batch.column(2).to_pylist():
+                own = own_features(parse(html, names))
+                found.append([x for p, _, _, _, c in own for x in (p, *c)])
+            columns = [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "key", "has"])
 
-    A block's importance is 1 less the log of its pages over the log of the path's pages. At
-    most a power ``threshold`` of the path's pages, times the blocks of a page, are low.
-    """
-    known = tree.where(F.col("n_pages") >= min_pages).select("host", "path", "n_pages")
-    some = each.where((F.col("kind") == "c") & (F.ln("n") > (1 - threshold) * math.log(min_pages)))
-    # Pages without a host form one site: null hosts meet.
-    right = known.select(F.col("host").alias("k_host"), F.col("path").alias("k_path"), "n_pages")
-    both = some.join(right, F.col("host").eqNullSafe(F.col("k_host")) & (F.col("path") == F.col("k_path")))
-    low = both.where(1 - F.ln("n") / F.ln("n_pages") < threshold)
-    return low.groupBy("host").agg(F.collect_list(F.concat("path", F.lit("\n"), F.col("feature").cast("string"))).alias("low"))
+    has = pages.select("site_host", "site_key", "site_html").mapInArrow(entries, "host string, key long, has array<long>")
+    has = has.select("host", "key", F.explode("has").alias("has")).distinct()
+    rated = low.select(F.col("host").alias("r_host"), F.col("low").alias("r_low")).distinct()
+    hits = has.join(rated, F.col("host").eqNullSafe(F.col("r_host")) & (F.col("has") == F.col("r_low")))
+    return hits.groupBy(F.col("host").alias("low_host"), F.col("key").alias("low_key")).agg(F.collect_list("has").alias("low"))
 
 
 def extract(
@@ -354,34 +445,51 @@ def extract(
     url: str = "url",
     html: str = "html",
     keep: tuple[str, ...] = ("page_id", "url"),
-    threshold: float = 0.3,
-    min_pages: int = 5,
+    names: bool = True,
+    max_broadcast: int = 200_000,
 ) -> DataFrame:
     """Main text of every page: the ``keep`` columns, ``text`` and ``n_chars``.
 
     The host's style tree rates branches (see ``style_tree`` and ``low_branches``); each page is
     then read again, and its branches of low importance, menus, adverts and the like are
-    left out (see ``main_text``). Pages are never gathered by host: only the rated paths
-    are joined to them, broadcast after a count, else by a join that Spark may split.
+    left out (see ``main_text``). Pages are never gathered by host. Up to ``max_broadcast``
+    low branches and blocks, 16 bytes each, go to all tasks at once; beyond that, they are joined to
+    the pages that have them. With ``names=False`` the tree decides alone, on bare tags.
 
     Null or empty html gives an empty text. Pages without a host form one site. A site of
-    few pages is judged by tags and names alone; pages of one main text count as one, so that
-    mirrored pages keep theirs. Repeated rows and null keys stay.
+    few pages is judged by tags, names and what the corpus says about its paths; pages of one
+    main text count as one, so that mirrored pages keep theirs. Repeated rows and null keys
+    stay; an empty table gives an empty result; other columns are not read.
     """
     small_batches(pages.sparkSession)
     host = url_parts(url)[0]
-    sited = pages.select(*keep, host.alias("site_host"), F.col(html).alias("site_html"))
-    each = materialize(page_features(sited, "site_host", "site_html", copies_once=True))
-    tree = materialize(tree_of(each))
-    rated = low_branches(tree, threshold, min_pages).unionByName(repeated_blocks(each, tree, threshold, min_pages))
-    low = materialize(rated.groupBy("host").agg(F.flatten(F.collect_list("low")).alias("low")))
-    low = low.withColumnRenamed("host", "site_host").withColumnRenamed("low", "site_low")
-
-    @F.pandas_udf("string")
-    def read(html: pd.Series, low: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, set() if x is None else set(x)) for h, x in zip(html, low, strict=True)], dtype=object)
-
-    site = broadcast_if_small(low.withColumnRenamed("site_host", "low_host"))
-    joined = sited.join(site, F.col("site_host").eqNullSafe(F.col("low_host")), "left")
-    out = joined.select(*keep, read("site_html", "site_low").alias("text"))
+    raw = F.col(html)
+    sited = pages.select(
+        *keep, host.alias("site_host"), F.xxhash64(F.coalesce(raw, F.lit(""))).alias("site_key"), raw.alias("site_html")
+    )
+    rows = materialize(page_features(sited, "site_host", "site_html", names))
+    nodes, each = style_tree(rows)
+    low = materialize(low_branches(nodes).unionByName(repeated_blocks(each, nodes)))
+    if low.count() <= max_broadcast:
+        by_host: dict[str | None, set[int]] = {}
+        for r in low.collect():
+            by_host.setdefault(r.host, set()).add(r.low)
+
+        @F.pandas_udf("string")
+        def read(html: pd.Series, host: pd.Series) -> pd.Series:
+            none: set[int] = set()
+            found = [main_text(h, by_host.get(None if pd.isna(s) else s, none), names) for h, s in zip(html, host, strict=True)]
+            return pd.Series(found, dtype=object)
+
+        out = sited.select(*keep, read("site_html", "site_host").alias("text"))
+    else:
+
+        @F.pandas_udf("string")
+        def read_listed(html: pd.Series, low: pd.Series) -> pd.Series:
+            found = [main_text(h, set() if x is None else set(x.tolist()), names) for h, x in zip(html, low, strict=True)]
+            return pd.Series(found, dtype=object)
+
+        own = low_by_page(sited, low, names)
+        on = F.col("site_host").eqNullSafe(F.col("low_host")) & (F.col("site_key") == F.col("low_key"))
+        out = sited.join(own, on, "left").select(*keep, read_listed("site_html", "low").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -1,3 +1,8 @@
+import math
+import random
+import time
+from collections import Counter, defaultdict
+
 import pytest
 
 from cohortal.llm import html as H
@@ -87,7 +92,115 @@ def test_a_branch_with_own_words_stays(spark):
 
 def test_importance_by_hand(spark):
     rows = [(f"<div><p>{'same' if k < 2 else k}</p></div>", "h") for k in range(4)]
-    tree = {r.path: r for r in H.style_tree(spark.createDataFrame(rows, "html string, host string")).collect()}
-    # Blocks "same" (2 of 4 pages), "2", "3": entropies 1/2, 0, 0.
-    assert tree["div/p"].content_importance == pytest.approx(1 - 0.5 / 3)
-    assert tree["div"].node_importance == 0 and tree["div"].n_pages == 4
+    paths = H.parse(rows[0][0]).paths()
+    pages = H.page_features(spark.createDataFrame([*rows, rows[0]], "html string, host string"))  # a mirror weighs nothing
+    # Three distinct main texts remain: "same", "2" and "3".
+    assert {r.page for r in pages.collect()} == {H.digest(t) for t in ("same", "2", "3")}
+    nodes, _ = H.style_tree(pages, prior=1.0)
+    tree = {r.path: r for r in nodes.collect()}
+    assert tree[paths[2]].content_importance == 1 and tree[paths[2]].c_n == 3
+    # Three equal styles (children "p") of three pages, and one page that repeats nothing.
+    assert tree[paths[1]].node_importance == pytest.approx(1 - 3 / 4) and tree[paths[1]].content_importance is None
+
+
+def plain_tree(rows, names=True, prior=8.0, plain=0.7, inside=0.3, decay=0.9):
+    """Texts of (host, html) rows by a second style tree, in plain loops over whole pages."""
+    entropy_lost = lambda counts: sum(n * math.log(n) for n in counts.values()) / math.log(t) if (t := sum(counts.values())) > 1 else 0.0
+    parsed = [(host, H.parse(html, names)) for host, html in rows]
+    main = lambda page: tuple(H.text_of(raw) for _, raw in page.main_blocks())
+    first, corpus_first = {}, {}
+    for host, page in parsed:
+        own = H.own_features(page)
+        first[host, main(page)] = min(own, first.get((host, main(page)), own))
+    for (_, text), own in first.items():
+        corpus_first[text] = min(own, corpus_first.get(text, own))
+    content, styles, count, up, inner, hosts, corpus = (defaultdict(Counter), defaultdict(Counter), Counter(), {}, {}, defaultdict(set), defaultdict(Counter))
+    for (host, _), own in first.items():
+        for p, parent, is_main, s, c in own:
+            count[host, p] += 1
+            up[host, p], inner[host, p] = parent, is_main
+            if host is not None:
+                hosts[p].add(host)
+            styles[host, p].update(s)
+            content[host, p].update(c)
+    for own in corpus_first.values():
+        for p, _, _, _, c in own:
+            corpus[p].update(c)
+    leaf = {}
+    for (host, p), c in content.items():
+        if c:
+            h = len(hosts[p])
+            every = entropy_lost(corpus[p]) / (sum(corpus[p].values()) + prior) * (h / (h + 4)) ** 2
+            leaf[host, p] = (1 - entropy_lost(c) / (sum(c.values()) + prior)) * (1 - every)
+    known = {k for k in count if count[k] > 1 or leaf.get(k, 1) < plain}
+    bound = lambda k: inside if inner[k] else plain
+
+    def rate(k):
+        below = [c for c in known if c[0] == k[0] and up[c] == k[1] and c != k]
+        rated = [(*rate(c), count[c]) for c in below]
+        values = [(v, n) for v, _, n in rated if v is not None] + ([(leaf[k], count[k])] if k in leaf else [])
+        high = any(x for _, x, _ in rated) or leaf.get(k, -1) >= bound(k)
+        if not values:
+            return None, high
+        own = 1 - entropy_lost(styles[k]) / (count[k] + prior)
+        mean = sum(v * n for v, n in values) / sum(n for _, n in values)
+        return (1 - decay ** len(below)) * own + decay ** len(below) * mean, high
+
+    low = {k for k in known if (r := rate(k))[0] is not None and not r[1] and r[0] < bound(k)}
+    for (host, p), c in content.items():
+        m = count[host, p]
+        low |= {(host, f) for f, n in c.items() if n > 1 and 1 - math.log(n) / math.log(m) * m / (m + prior) < 0.3}
+    return [H.main_text(html, {p for h, p in low if h == host}, names) for host, html in rows]
+
+
+def random_site(rng, host, n):
+    shapes = [rng.choice(["box", "q7", "z"]), rng.choice(["menu", "k1", ""]), rng.choice(["article", "div class=w"])]
+    line = [f"{host} slogan", "Share this", "Our shop", "Call us"]
+    words = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(3, 9)))
+    for _ in range(n):
+        tag = shapes[2].split()[0]
+        yield (
+            f"<body><div class={shapes[0]}><p>{rng.choice(line)}</p></div><div><ul>" + "".join(f"<li>{x}" for x in line[: rng.randrange(1, 5)]) + "</ul></div>"
+            f"<{shapes[2]}><h1>{words()}</h1><p>{words()}</p>{'<p>Read more</p>' if rng.random() < 0.9 else ''}<div><p>{words()}</div></{tag}>"
+            f"{f'<div>{rng.choice(line)}</div>' if rng.random() < 0.7 else ''}</body>"
+        )
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_a_plain_second_tree_agrees(spark, names):
+    rng = random.Random(17)
+    rows = [(host, html) for host, n in (("a.org", 40), ("b.org", 25), ("c.org", 3), (None, 12), ("d.org", 1)) for html in random_site(rng, host, n)]
+    rows += [rows[0]] * 6 + [("a.org", None), ("a.org", "")]
+    want = plain_tree(rows, names)
+    url = lambda host: None if host is None else f"http://{host}/"
+    # url_parts gives no host as an empty one: both are one site.
+    pages = spark.createDataFrame([(k, url(h), x) for k, (h, x) in enumerate(rows)], "page_id long, url string, html string")
+    want_by = dict(enumerate(plain_tree([("" if h is None else h, x) for h, x in rows], names)))
+    assert len(want) == len(want_by)
+    for limit in (200_000, 0):
+        got = {r.page_id: r.text for r in H.extract(pages, names=names, max_broadcast=limit).collect()}
+        assert got == want_by
+    assert sum(H.main_text(x, names=names) != want_by[k] for k, (_, x) in enumerate(rows)) > 40
+
+
+def test_names_that_say_nothing(spark):
+    rng = random.Random(3)
+    words = lambda k: " ".join(f"w{rng.randrange(5000)}" for _ in range(k))
+    adverts = [f"Buy {words(3)}" for _ in range(6)]
+    rows = []
+    for k in range(120):
+        own = f"<h1>{words(4)}</h1>" + "".join(f"<p>{words(12)}</p>" for _ in range(4))
+        links = "".join(f"<li><a href=x>{x}</a></li>" for x in ("Home", "News", "Sport", "Shop")[: 2 + k % 3])
+        html = f"<body><div class=xa><ul>{links}</ul></div><div class=xb>{rng.choice(adverts)}</div><div class=xc>{own}</div><div class=xd>All for site</div></body>"
+        rows.append((k, f"http://h{k % 2}.org/{k}", html, H.text_of(H.re.sub("<[^>]*>", " ", own))))
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(pages).collect()}
+    assert all(got[k] == want for k, _, _, want in rows)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "deep", "<a " * 60_000, "<p '" * 30_000 + ">t", "<!-- " * 30_000, "<li" * 30_000 + ">t", "<b class=x>" * 20_000 + "t"])
+def test_time_grows_with_the_page(page):
+    start = time.perf_counter()
+    H.main_text(page, {1})
+    H.own_features(H.parse(page))
+    assert time.perf_counter() - start < 5
