@@ -5,106 +5,168 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Identifiers of licence sentences and the wording of each, as a pattern over the
-# normalised sentence (lower case, letters and digits only, one space between).
+UNDER = r"(?:(?:[a-z0-9]+ ){0,4}(?:is|are) )?(?:released|licensed|distributed|available|provided) under (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?"
+TERMS = r"(?:.* is free software )?you (?:can|may) redistribute it and or modify it under the terms of the gnu "
+FSF = r"(?: gpl| lgpl| agpl)? as published by the free software foundation"
+# Identifiers of licence sentences and how each starts, as a pattern over the
+# normalised sentence (lower case, letters and digits only, one space between). The first that
+# fits names the sentence; further words may follow, except where a pattern ends with $.
 SENTENCES = (
-    ("ApacheVer2", r"licensed under the apache license version 2( 0)?|apache license version 2( 0)?( january 2004)?"),
-    ("ApacheObtain", r"you may obtain a copy of the license at( .*)?"),
-    ("ApacheMayNot", r"you may not use this file except in compliance with the license"),
-    ("ApacheAsIs", r"unless required by applicable law or agreed to in writing .*"),
-    ("MITReleased", r"(released|licensed|distributed|available) under the( terms of the)? mit license|(the )?mit license"),
-    ("MITPermission", r"permission is hereby granted free of charge to any person obtaining a copy .*"),
-    ("MITNotice", r"the above copyright notice and this permission notice shall be included .*"),
-    ("MITAsIs", r"the software is provided as is without warranty .*"),
-    ("GPLVer3", r"(this work|this program|this file|it)? ?is licensed under the gnu general public license version 3( .*)?|gnu general public license version 3( .*)?"),
-    ("GPLVer2", r"(this work|this program|this file|it)? ?is licensed under the gnu general public license version 2( .*)?|gnu general public license version 2( .*)?"),
-    ("GPLRedistribute", r"this program is free software you can redistribute it and or modify it .*"),
-    ("GPLWarranty", r"this program is distributed in the hope that it will be useful .*"),
-    ("LGPLVer", r".*gnu lesser general public license version (2 1|3)( .*)?"),
-    ("AGPLVer3", r".*gnu affero general public license version 3( .*)?"),
-    ("MPLVer2", r".*mozilla public license v(ersion)? ?2 0( .*)?"),
-    ("BSDRedistribute", r"redistribution and use in source and binary forms( .*)?"),
-    ("BSDNames", r"neither the name of .*"),
-    ("BSDReleased", r"(released|licensed|distributed) under the( terms of the)? bsd license"),
-    ("CCBYNC", r"licensed under (cc by nc|a creative commons attribution noncommercial license|creative commons attribution noncommercial)( [0-9] [0-9])?( .*)?"),
-    ("CCBYSA", r"licensed under (cc by sa|creative commons attribution sharealike)( [0-9] [0-9])?( .*)?"),
-    ("CCBY", r"licensed under (cc by|creative commons attribution)( [0-9] [0-9])?( .*)?"),
-    ("CC0", r"(licensed|released) under (cc0|creative commons zero)( .*)?|no rights reserved"),
-    ("PublicDomain", r".*(released into|in) the public domain"),
-    ("AllRights", r"all rights reserved"),
-    ("Copyright", r"(copyright|c)( c)? [0-9]{4}.*"),
+    ("ApacheVer2", UNDER + r"apache license (?:version |v ?)?2(?: 0)?|apache license (?:version |v ?)?2(?: 0)?|spdx apache 2 0"),
+    ("ApacheObtain", r"you may obtain a copy of the license at"),
+    ("ApacheMayNot", r"you may not use this (?:file|work|software) except in compliance with the license"),
+    ("ApacheAsIs", r"unless required by applicable law or agreed to in writing"),
+    ("MITReleased", UNDER + r"(?:mit|expat) (?:open source )?license|(?:the )?mit license(?: mit)?$|spdx mit"),
+    ("MITPermission", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("MITNotice", r"the above copyright notice and this permission notice shall be included"),
+    ("MITAsIs", r"the software is provided as is without warranty"),
+    ("ISCReleased", UNDER + r"isc license|(?:the )?isc license(?: isc)?$|spdx isc"),
+    ("ISCPermission", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ISCAsIs", r"the software is provided as is and the author disclaims all warranties"),
+    ("AGPLTerms3", TERMS + r"affero general public license" + FSF + r" (?:either )?version 3"),
+    ("AGPLTerms", TERMS + r"affero general public license" + FSF + r"$"),
+    ("AGPLVer3", UNDER + r"(?:gnu )?(?:affero general public license|agpl) ?(?:version |v ?)?3|gnu affero general public license version 3|spdx agpl 3 0"),
+    ("LGPLTerms3", TERMS + r"lesser general public license" + FSF + r" (?:either )?version 3"),
+    ("LGPLTerms21", TERMS + r"lesser general public license" + FSF + r" (?:either )?version 2 1"),
+    ("LGPLTerms", TERMS + r"(?:lesser|library) general public license" + FSF + r"$"),
+    ("LGPLVer3", UNDER + r"(?:gnu )?(?:lesser general public license|lgpl) ?(?:version |v ?)?3|gnu lesser general public license version 3|spdx lgpl 3 0"),
+    ("LGPLVer21", UNDER + r"(?:gnu )?(?:lesser general public license|lgpl) ?(?:version |v ?)?2 1|gnu lesser general public license version 2 1|spdx lgpl 2 1"),
+    ("GPLTerms3", TERMS + r"general public license" + FSF + r" (?:either )?version 3"),
+    ("GPLTerms2", TERMS + r"general public license" + FSF + r" (?:either )?version 2"),
+    ("GPLTerms", TERMS + r"general public license" + FSF + r"$"),
+    ("Either3", r"either version 3(?: 0)? of the license"),
+    ("Either21", r"either version 2 1 of the license"),
+    ("Either2", r"either version 2(?: 0)? of the license"),
+    ("GPLVer3", UNDER + r"(?:gnu )?(?:general public license|gpl) ?(?:version |v ?)?3|gnu general public license version 3|spdx gpl 3 0"),
+    ("GPLVer2", UNDER + r"(?:gnu )?(?:general public license|gpl) ?(?:version |v ?)?2|gnu general public license version 2|spdx gpl 2 0"),
+    ("GPLWarranty", r"(?:this|the|it) (?:[a-z]+ )?is distributed in the hope that it will be useful"),
+    ("GPLTitle", r"gnu general public license$"),
+    ("MPLVer2", r"(?:this source code form is subject to the terms of the )?mozilla public license (?:v|version) ?2 0|" + UNDER + r"(?:mozilla public license|mpl) ?(?:version |v ?)?2(?: 0)?|spdx mpl 2 0"),
+    ("BSD3Released", UNDER + r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd) license|(?:the )?(?:bsd 3 clause|3 clause bsd) license|spdx bsd 3 clause"),
+    ("BSD2Released", UNDER + r"(?:bsd 2 clause|2 clause bsd|simplified bsd) license|(?:the )?(?:bsd 2 clause|2 clause bsd) license|spdx bsd 2 clause"),
+    ("BSDReleased", UNDER + r"bsd license"),
+    ("BSDRedistribute", r"redistribution and use in source and binary forms"),
+    ("BSDSource", r"redistributions of source code must retain the above copyright notice"),
+    ("BSDBinary", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("BSDNames", r"neither the names? of|the names? of .* may not be used to endorse or promote"),
+    ("BSDAsIs", r"this software is provided by .* as is"),
+    ("CCBYNCSA", UNDER + r"(?:cc by nc sa|creative commons attribution noncommercial sharealike)|spdx cc by nc sa"),
+    ("CCBYNCND", UNDER + r"(?:cc by nc nd|creative commons attribution noncommercial noderivs|creative commons attribution noncommercial noderivatives)|spdx cc by nc nd"),
+    ("CCBYNC", UNDER + r"(?:cc by nc|creative commons attribution noncommercial)|spdx cc by nc"),
+    ("CCBYSA", UNDER + r"(?:cc by sa|creative commons attribution sharealike)|spdx cc by sa"),
+    ("CCBYND", UNDER + r"(?:cc by nd|creative commons attribution noderivs|creative commons attribution noderivatives)|spdx cc by nd"),
+    ("CCBY", UNDER + r"(?:cc by|creative commons attribution)|spdx cc by"),
+    ("CC0", UNDER + r"(?:cc0|creative commons zero)|no rights reserved|spdx cc0"),
+    ("Unlicense", r"this is free and unencumbered software released into the public domain|spdx unlicense"),
+    ("PublicDomain", r".*(?:released into|in) the public domain$"),
+    ("AllRights", r"all rights reserved$"),
+    ("Copyright", r"(?:copyright|c)(?: c)? [0-9]{4}"),
 )
-# Ordered rules. The first rule whose sentences occur in this order, not
-# necessarily next to each other, names the licence of the place where it starts.
+# Ordered rules. A rule whose sentences stand in this order, at most GAP others between two
+# of them, names a licence of the text; the first that does is its main one.
 RULES = (
     ("Apache-2.0", ("ApacheVer2",)),
     ("Apache-2.0", ("ApacheMayNot", "ApacheAsIs")),
     ("MIT", ("MITPermission", "MITNotice")),
     ("MIT", ("MITReleased",)),
+    ("ISC", ("ISCPermission",)),
+    ("ISC", ("ISCReleased",)),
+    ("AGPL-3.0", ("AGPLTerms3",)),
+    ("AGPL-3.0", ("AGPLTerms", "Either3")),
     ("AGPL-3.0", ("AGPLVer3",)),
-    ("LGPL", ("LGPLVer",)),
+    ("LGPL-3.0", ("LGPLTerms3",)),
+    ("LGPL-3.0", ("LGPLTerms", "Either3")),
+    ("LGPL-3.0", ("LGPLVer3",)),
+    ("LGPL-2.1", ("LGPLTerms21",)),
+    ("LGPL-2.1", ("LGPLTerms", "Either21")),
+    ("LGPL-2.1", ("LGPLVer21",)),
+    ("GPL-3.0", ("GPLTerms3",)),
+    ("GPL-3.0", ("GPLTerms", "Either3")),
     ("GPL-3.0", ("GPLVer3",)),
+    ("GPL-2.0", ("GPLTerms2",)),
+    ("GPL-2.0", ("GPLTerms", "Either2")),
     ("GPL-2.0", ("GPLVer2",)),
-    ("GPL", ("GPLRedistribute", "GPLWarranty")),
+    ("GPL", ("GPLTerms", "GPLWarranty")),
+    ("GPL", ("GPLTitle",)),
     ("MPL-2.0", ("MPLVer2",)),
     ("BSD-3-Clause", ("BSDRedistribute", "BSDNames")),
+    ("BSD-3-Clause", ("BSD3Released",)),
     ("BSD-2-Clause", ("BSDRedistribute",)),
+    ("BSD-2-Clause", ("BSD2Released",)),
     ("BSD", ("BSDReleased",)),
+    ("CC-BY-NC-SA", ("CCBYNCSA",)),
+    ("CC-BY-NC-ND", ("CCBYNCND",)),
     ("CC-BY-NC", ("CCBYNC",)),
     ("CC-BY-SA", ("CCBYSA",)),
+    ("CC-BY-ND", ("CCBYND",)),
     ("CC-BY", ("CCBY",)),
     ("CC0-1.0", ("CC0",)),
+    ("Unlicense", ("Unlicense",)),
     ("Public-Domain", ("PublicDomain",)),
     ("Proprietary", ("AllRights",)),
 )
-#: A sentence without one of these is none of the sentences above.
-HINT = r"(?i)licen[sc]e|copyright|\(c\)|rights reserved|permission|warrant|redistribut|public domain|provided|neither the name|obtain a copy|required by applicable"
-# A sentence ends at a line end, or at . ! ? ; before white space.
-SPLIT = r"\n|[.!?;][ \t\r]+"
-
-# What the operator reads beyond the SQL: other subjects and words after the name, and sentences over several lines.
-UNDER = r"(?:(?:[a-z0-9]+ ){0,4}(?:is|are) )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of )?(?:the |an? )?"
-GPL_HEADER = (
-    r"this [a-z]+ is free software you can redistribute it and or modify it under the terms of the gnu general public license "
-    r"as published by the free software foundation either version "
-)
-MORE = {
-    "ApacheVer2": UNDER + r"apache license (?:version |v)?2(?: 0)?",
-    "MITReleased": UNDER + r"mit license",
-    "GPLVer3": UNDER + r"gnu general public license (?:version |v)3|" + GPL_HEADER + "3",
-    "GPLVer2": UNDER + r"gnu general public license (?:version |v)2|" + GPL_HEADER + "2",
-    "BSDReleased": UNDER + r"bsd license",
-    "CCBYNC": UNDER + r"(?:cc by nc|creative commons attribution noncommercial)",
-    "CCBYSA": UNDER + r"(?:cc by sa|creative commons attribution sharealike)",
-    "CCBY": UNDER + r"(?:cc by|creative commons attribution)",
-    "CC0": UNDER + r"(?:cc0|creative commons zero)",
-}
-#: Sentences that end with their wording: prose goes on after these words too.
-CLOSED = ("PublicDomain", "AllRights")
-# Words that a sentence of a licence starts with: a line with one of these starts anew, unless the line before cannot end there.
+GAP = 8
+#: A text, and a sentence, without one of these is none of the above.
+HINT = r"licen[sc]e|copyright|\(c\)|rights\s+reserved|permission|warrant|redistribut|public\s+domain|neither\s+the|names?\s+of|free\s+software|under\s+(?:the\s+)?(?:cc|creative|mpl|gnu|a?gpl|lgpl)|software\s+is\s+provided"
+SENTENCE_HINT = HINT.replace(r"\s+", " ").replace(r"\(c\)", "^c [0-9]") + "|either version|spdx"
+# Words that a licence's sentence starts with: a line with one of these starts anew.
 OPENING = (
-    r"[\s#*/>-]*(?:licensed|released|distributed|available under|(?:the )?mit license|apache license|gnu |mozilla |permission is|"
-    r"the above copyright|the software is provided|this (?:work|program|file|project|software|code|library)|it is licensed|you may|"
-    r"unless required|redistribution and|neither the|copyright|\(c\)|all rights|no rights)"
+    r"licensed|released|distributed under|available under|(?:the )?mit license|(?:the )?isc license|apache license|gnu |mozilla public|"
+    r"permission is hereby|permission to use|the above copyright|the software is provided|"
+    r"this (?:work|program|file|project|software|code|library|source code form) is|it is licensed|you may (?:not use this|obtain a copy)|"
+    r"unless required|redistributions? (?:and use|of source|in binary)|neither the name|copyright (?:\(c\)|[0-9©])|\(c\) [0-9]|all rights|no rights|spdx"
 )
-WHOLE = (
-    r"(?i)\n[ \t\r#*/>]*\n|[.!?]\s+|;(?=" + OPENING + r")|(?<=public\s{1,3}domain|rights\s{1,3}reserved)[ \t\r]*\n|"
-    r"(?<!\b(?:the|under|of|by|is|are|a|an|and|or)[ \t\r]{0,3})\n(?=" + OPENING + r")"
+#: Replacements before the text is split, in this order; group 1 and 2 stay. Without lookarounds, so that any engine can do them.
+STEPS = (
+    (r"\r\n?", "\n", 0),
+    (r"(^|\n)[ \t]*(?:#+|//+!?|/\*+|\*+/?|;+|--+|%+|>+|<!--|[-•][ \t])[ \t]*", "", 1),  # comment marks
+    (r"[ \t]*(?:\*/|-->)", "", 0),
+    (r"spdx-license-identifier:[ \t]*([^\n]*)", "\n\nspdx \1\n\n", 1),
+    (r"([^a-z0-9])v\.[ \t\n]*([0-9])", r"\1v \2", 2),
+    (r"([^a-z](?:the|under|of|by|is|are|a|an|and|or|to|in|this))[ \t]*\n[ \t]*", r"\1 ", 1),  # such a line goes on
+    (rf"\n[ \t]*({OPENING})", "\n\n\1", 1),
+    (r"(public[ \t\n]+domain|rights[ \t\n]+reserved)[ \t]*\n", "\1\n\n", 1),
 )
+# A sentence ends at a blank line, and at . ! ? ; : before white space.
+SPLIT = r"\n[ \t]*\n|[.!?;:]+[\"')\]]*[ \t\n]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def replacement(to: str, groups: int, mark: str) -> str:
+    """What a step puts in place of a match: its groups by the engine's mark for them."""
+    if groups and not to:
+        return f"{mark}1"
+    for k in range(1, groups + 1):
+        to = to.replace(chr(k), f"{mark}{k}").replace(f"\\{k}", f"{mark}{k}")
+    return to
+
+
+def anchored(pattern: str) -> str:
+    """Start of the sentence, whole words."""
+    return f"^(?:{pattern})(?: |$)"
 
 
-def wording(name: str, pattern: str) -> str:
-    """The pattern of the whole sentence, other subjects and words after it included."""
-    more = f"|{MORE[name]}" if name in MORE else ""
-    return f"^(?:{pattern}{more})" + ("$" if name in CLOSED else "(?: .*)?$")
+def sentences(text: Column) -> Column:
+    """Normalised sentences of a text as an array; empty without a licence's words."""
+    t = F.translate(text, UPPER, LOWER)
+    for pattern, to, groups in STEPS:
+        t = F.regexp_replace(t, pattern, replacement(to, groups, "$"))
+    normal = F.transform(F.split(t, SPLIT), lambda s: F.regexp_replace(F.btrim(F.regexp_replace(s, r"[^a-z0-9]+", " ")), r"^[0-9]+ ", ""))
+    some = F.filter(normal, lambda s: s != "")
+    return F.when(text.rlike("(?i)" + HINT), some).otherwise(F.array().cast("array<string>"))
 
 
 def sentence_id(normal: Column) -> Column:
-    """The identifier of a normalised sentence, or null."""
-    found = F.lit(None).cast("string")
+    """The identifier of a normalised sentence; ``_`` for one that is none of a licence's."""
+    found = F.lit("_")
     for name, pattern in reversed(SENTENCES):
-        found = F.when(normal.rlike(wording(name, pattern)), F.lit(name)).otherwise(found)
-    return found
+        found = F.when(normal.rlike(anchored(pattern)), F.lit(name)).otherwise(found)
+    return F.when(normal.rlike(SENTENCE_HINT), found).otherwise(F.lit("_"))
+
+
+def in_order(names: tuple[str, ...]) -> str:
+    """A rule as a pattern over identifiers between commas."""
+    return f"(?:[^,]+,){{0,{GAP}}}".join(f"{',' if k == 0 else ''}{s}," for k, s in enumerate(names))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -114,27 +176,24 @@ def scan_licenses(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Da
     text order, comma-joined), ``licenses`` (all licences whose rule matches, in rule order,
     comma-joined) and ``license`` (that of the first rule that matches; null if none).
 
-    Sentences may run over several lines: they end at blank lines, at marks, and where a line
-    starts a licence's wording. The SQL (``oracle``) knows single lines and fewer subjects.
+    Comment marks are stripped and wrapped lines joined: a sentence ends at a blank line, at a
+    mark, and where a line starts a licence's wording. Sentences of one rule have to stand near
+    each other, so that two licences far apart do not make a third.
 
-    Only DataFrame functions and no shuffle: each text is split, filtered by a cheap pattern
-    and normalised within its row. Null and empty texts have no sentence. Repeated rows,
-    null ids and other columns pass or are left alone.
+    Only DataFrame functions and no shuffle: each text is filtered by a cheap pattern, split
+    and normalised within its row. Null and empty texts have no sentence. Repeated rows and
+    null ids stay, other columns are not read, an empty table gives an empty result.
     """
-    parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), WHOLE), lambda s: s.rlike(HINT.replace(" ", r"\s+")))
-    normal = F.transform(
-        parts, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " "))
-    )
-    ids = F.filter(F.transform(normal, sentence_id), lambda x: x.isNotNull())
-    rows = docs.select(F.col(id).alias("doc_id"), F.concat(F.lit(","), F.array_join(ids, ","), F.lit(",")).alias("ids"))
-    matched = F.array_compact(
-        F.array(*[F.when(F.col("ids").rlike(".*".join(f",{s}(?=,)" for s in seq)), F.lit(name)) for name, seq in RULES])
-    )
-    rows = rows.withColumn("m", F.array_distinct(matched)).withColumn("ids", F.btrim("ids", F.lit(",")))
+    found = F.transform(sentences(F.coalesce(F.col(text), F.lit(""))), sentence_id)
+    rows = docs.select(F.col(id).alias("doc_id"), found.alias("found"))
+    rows = rows.select("doc_id", F.filter("found", lambda x: x != "_").alias("own"), F.concat(F.lit(","), F.array_join("found", ","), F.lit(",")).alias("ids"))
+    matched = F.array_compact(F.array(*[F.when(F.col("ids").rlike(in_order(seq)), F.lit(name)) for name, seq in RULES]))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("m", F.when(F.size("own") > 0, F.array_distinct(matched)).otherwise(none))
     return rows.select(
         "doc_id",
-        F.when(F.col("ids") == "", 0).otherwise(F.size(F.split("ids", ","))).cast("long").alias("n_sentences"),
-        F.col("ids").alias("sentence_ids"),
+        F.size("own").cast("long").alias("n_sentences"),
+        F.array_join("own", ",").alias("sentence_ids"),
         F.array_join("m", ",").alias("licenses"),
         F.get("m", F.lit(0)).alias("license"),
     )
@@ -143,24 +202,21 @@ def scan_licenses(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Da
 def oracle(table: str = "documents") -> str:
     """The same in DuckDB SQL."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    case = " ".join(f"WHEN regexp_full_match(s, {q(p)}) THEN {q(n)}" for n, p in SENTENCES)
-    rules = ", ".join(
-        "CASE WHEN regexp_matches(ids, "
-        + q("(,.*)?".join(f",{s}" for s in seq) + ",")
-        + f") THEN {q(name)} END"
-        for name, seq in RULES
-    )
+    t = f"translate(x, '{UPPER}', '{LOWER}')"
+    for pattern, to, groups in STEPS:
+        t = f"regexp_replace({t}, {q(pattern)}, {q(replacement(to, groups, chr(92)))}, 'g')"
+    case = " ".join(f"WHEN regexp_matches(s, {q(anchored(p))}) THEN {q(n)}" for n, p in SENTENCES)
+    rules = ", ".join(f"CASE WHEN regexp_matches(ids, {q(in_order(seq))}) THEN {q(name)} END" for name, seq in RULES)
     return f"""
-WITH parts AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), {q(SPLIT)}),
-         lambda x: regexp_matches(x, {q(HINT)})) AS p FROM {table}),
-normal AS (
-  SELECT doc_id, list_transform(p, lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS n FROM parts),
+WITH given AS (SELECT doc_id, coalesce(text, '') AS x FROM {table}),
+hinted AS (SELECT doc_id, CASE WHEN regexp_matches(x, {q("(?i)" + HINT)}) THEN {t} ELSE '' END AS t FROM given),
+parts AS (SELECT doc_id, list_transform(string_split_regex(t, {q(SPLIT)}),
+  lambda s: regexp_replace(trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')), '^[0-9]+ ', '')) AS n FROM hinted),
 named AS (
-  SELECT doc_id, list_filter(list_transform(n, lambda s: CASE {case} ELSE NULL END), lambda y: y IS NOT NULL) AS l
-  FROM normal),
-seq AS (SELECT doc_id, len(l) AS k, array_to_string(l, ',') AS joined, ',' || array_to_string(l, ',') || ',' AS ids FROM named),
-hit AS (SELECT *, list_filter([{rules}], lambda z: z IS NOT NULL) AS m FROM seq)
-SELECT doc_id, CAST(k AS BIGINT) AS n_sentences, joined AS sentence_ids,
+  SELECT doc_id, list_transform(list_filter(n, lambda s: s <> ''), lambda s: CASE WHEN NOT regexp_matches(s, {q(SENTENCE_HINT)}) THEN '_' {case} ELSE '_' END) AS l
+  FROM parts),
+seq AS (SELECT doc_id, list_filter(l, lambda y: y <> '_') AS own, ',' || array_to_string(l, ',') || ',' AS ids FROM named),
+hit AS (SELECT *, CASE WHEN len(own) > 0 THEN list_filter([{rules}], lambda z: z IS NOT NULL) ELSE [] END AS m FROM seq)
+SELECT doc_id, CAST(len(own) AS BIGINT) AS n_sentences, coalesce(array_to_string(own, ','), '') AS sentence_ids,
        coalesce(array_to_string(list_filter(m, lambda v, i: list_position(m, v) = i), ','), '') AS licenses, m[1] AS license
 FROM hit"""

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 import xxhash
 
@@ -171,6 +172,102 @@ def test_wrapped_licences_and_subjects(spark):
     assert [got[k] for k in range(len(want))] == [w for _, w in want]
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE."""
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU {1}General Public License as published by
+the Free Software Foundation{2} either version {3} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {1}General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation."""
+BSD3 = BSD + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+COMMENT = {"c": ("/*\n", " * ", "\n */"), "sh": ("", "# ", ""), "cpp": ("", "// ", ""), "lisp": ("", ";; ", ""), "none": ("", "", ""), "html": ("<!--\n", "", "\n-->"), "mail": ("", "> ", "")}
+PUBLIC_TEXTS = [
+    (APACHE, "Apache-2.0"), (MIT, "MIT"), ("MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + MIT, "MIT"), (ISC, "ISC"), ("ISC License\n\nCopyright (c) 2004 X\n\n" + ISC, "ISC"),
+    (GPL.format(":", "", ",", 3), "GPL-3.0"), (GPL.format(";", "", ";", 2), "GPL-2.0"), (GPL.format(":", "Lesser ", ",", 3), "LGPL-3.0"), (GPL.format(";", "Lesser ", ";", "2.1"), "LGPL-2.1"),
+    (GPL.format(":", "Affero ", ",", 3), "AGPL-3.0"), ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation", "GPL-3.0"),
+    ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991", "GPL-2.0"), ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", "LGPL-2.1"),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "AGPL-3.0"), ("Apache License\nVersion 2.0, January 2004", "Apache-2.0"), (BSD, "BSD-2-Clause"), (BSD3, "BSD-3-Clause"),
+    (MPL, "MPL-2.0"), ("Mozilla Public License Version 2.0\n==================================", "MPL-2.0"),
+]
+SHORT_TEXTS = [
+    *[(f"x = 1\n{mark}SPDX-License-Identifier: {name}\nint main", want) for mark, name, want in [
+        ("// ", "MIT", "MIT"), ("# ", "Apache-2.0", "Apache-2.0"), ("", "GPL-3.0-or-later", "GPL-3.0"), ("* ", "GPL-2.0-only", "GPL-2.0"), ("", "BSD-3-Clause", "BSD-3-Clause"), ("", "MPL-2.0", "MPL-2.0"),
+        ("", "ISC", "ISC"), ("", "CC0-1.0", "CC0-1.0"), ("", "LGPL-2.1-only", "LGPL-2.1"), ("", "MIT OR Apache-2.0", "MIT")]],
+    ("This project is licensed under the terms of the MIT license.", "MIT"), ("Released under the 3-Clause BSD License.", "BSD-3-Clause"), ("Licensed under GPLv3", "GPL-3.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA"), ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("It was not licensed under the MIT License, he said", None), ("Permission is hereby granted, free of charge, to any person obtaining a copy", None), ("free software for all", None), ("licence \n copyright", None),
+    (MIT.split("The above")[0] + "word. " * 20 + "The above" + MIT.split("The above")[1], None), (None, None), ("", None), ("\n\n\n", None), ("(c) 2020", None),
+    (MIT.replace("\n\n", " ").replace("\n", " "), "MIT"), (BSD3.replace("\n\n", " ").replace("\n", " "), "BSD-3-Clause"), ("y " * 50_000 + "\n" + MIT, "MIT"),
+]
+
+
+def licence_texts():
+    for text, want in PUBLIC_TEXTS:
+        for start, mark, end in COMMENT.values():
+            yield start + "\n".join((mark + line).rstrip() for line in text.split("\n")) + end, want
+            yield (start + "\n".join((mark + line).rstrip() for line in text.split("\n")) + end).replace("\n", "\r\n") + "\r\n\r\nint x;", want
+    yield from SHORT_TEXTS
+
+
+def test_public_licence_texts_and_sql(spark, tmp_path):
+    rows = list(licence_texts())
+    docs = documents(spark, [(k, t) for k, (t, _) in enumerate(rows)])
+    got = {r.doc_id: r.asDict() for r in licenses.scan_licenses(docs).collect()}
+    assert [(k, got[k]["license"]) for k in range(len(rows))] == [(k, want) for k, (_, want) in enumerate(rows)]
+    docs.write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    sql = licenses.oracle(f"read_parquet('{tmp_path}/d/*.parquet')")
+    names = list(got[0])
+    other = {r[names.index("doc_id")]: dict(zip(names, r, strict=True)) for r in con.sql(f"SELECT {', '.join(names)} FROM ({sql})").fetchall()}
+    assert other == got
+
+
+def test_licence_scan_runs_no_python(spark):
+    plan = licenses.scan_licenses(documents(spark, [(1, "x")]))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
 def test_bit_filter_never_loses_a_key(spark):
     keys = spark.range(0, 70_000, 7).withColumnRenamed("id", "k")
     maybe = bit_filter(keys, "k")
