@@ -5,31 +5,50 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortal.llm.jaccard import shingles
 from cohortal.llm.text import MAX_MEMO, small_batches
 from cohortal.session import materialize
 
-# Common insults in four languages.
+# Words of abuse in four languages, by kind. Each list is one voter.
 LEXICONS = {
-    "en": "idiot idiots stupid moron morons scum trash garbage pathetic worthless disgusting loser losers clown dumb "
-    "imbecile jerk bastard bitch asshole fool filthy vermin retard freak creep pig",
-    "de": "idiot dumm dumme dummkopf arschloch abschaum trottel versager blödmann schwachkopf drecksau hurensohn ekelhaft "
-    "widerlich wertlos erbärmlich",
-    "fr": "idiot imbécile connard connasse salaud salope crétin débile ordure minable dégoûtant abruti pourriture raclure",
-    "es": "idiota imbécil estúpido estúpida basura escoria patético asqueroso inútil payaso gilipollas cabrón puta tonto",
+    "en insult": "idiot idiots stupid moron morons imbecile imbeciles dumb dumbass fool fools jerk jerks clown clowns loser losers retard retards halfwit simpleton",
+    "en contempt": "pathetic worthless disgusting useless trash garbage filth filthy scum vermin parasite parasites pig pigs rat rats creep creeps freak freaks",
+    "en profanity": "bastard bastards bitch bitches asshole assholes dickhead prick whore slut fuck fucking fucker shit shitty bullshit crap",
+    "en threat": "kill hang strangle exterminate destroy hurt punish burn",
+    "de insult": "idiot idioten dumm dumme dummer dummkopf trottel blödmann schwachkopf depp versager vollidiot spinner",
+    "de contempt": "abschaum widerlich ekelhaft wertlos erbärmlich jämmerlich dreck ungeziefer gesindel pack schmarotzer",
+    "de profanity": "arschloch arsch drecksau hurensohn schlampe wichser scheiße scheiss scheißkerl miststück",
+    "fr insult": "idiot idiote imbécile imbéciles crétin crétins débile débiles abruti abrutis bouffon stupide nul",
+    "fr contempt": "ordure ordures minable minables dégoûtant pourriture raclure vermine déchet misérable parasite",
+    "fr profanity": "connard connards connasse salaud salauds salope putain merde enculé bâtard",
+    "es insult": "idiota idiotas imbécil imbéciles estúpido estúpida estúpidos tonto tonta tontos payaso payasos inútil inútiles tarado",
+    "es contempt": "basura escoria patético patética asqueroso asquerosa despreciable miserable gentuza alimaña parásito",
+    "es profanity": "gilipollas cabrón cabrones puta putas mierda pendejo hijoputa maricón zorra",
 }
-#: Pattern voters read the whole text; the first group of each is what may raise suspicion.
+_WORST = "idiot|stupid|moron|loser|scum|trash|clown|pathetic|worthless|disgusting|fool|imbecile|pig|filth"
+#: Pattern voters read the whole text.
 PATTERNS = {
-    "address": re.compile(r"\b(?:you|your|you're|u)\W+(?:\w+\W+){0,2}?(?:idiot|stupid|moron|loser|scum|trash|clown|pathetic|worthless)\b", re.I),
-    "hate": re.compile(r"\b(?:hate|kill|die|destroy)\W+(?:you|them|yourself|all)\b", re.I),
+    "address": re.compile(rf"\b(?:you|your|you're|u)\W+(?:\w+\W+){{0,2}}?(?:{_WORST})", re.I),
+    "called": re.compile(rf"\b(?:such|what|another|total|complete|utter)\W+(?:an?\W+)?(?:{_WORST})", re.I),
+    "hate": re.compile(r"\b(?:hate|kill|destroy)\W+(?:you|them|yourself)\b", re.I),
+    "dismissal": re.compile(r"\b(?:shut up|go to hell|get lost|screw you|drop dead|nobody (?:likes|wants) you)\b", re.I),
     "masked": re.compile(r"\b\w+[*@#$]{2,}\w+\b"),
+    "piled": re.compile(rf"\b(?:{_WORST})\W+(?:and\W+)?(?:{_WORST})", re.I),
+    "loud": re.compile(rf"\b(?:{_WORST})\w*\s*!{{2,}}", re.I),
+    "de address": re.compile(r"\b(?:du|ihr|sie)\W+(?:\w+\W+){0,2}?(?:idiot|trottel|versager|arschloch|dummkopf|abschaum)", re.I),
+    "de dismissal": re.compile(r"\b(?:halt die (?:klappe|fresse)|verpiss dich|fahr zur hölle)\b", re.I),
+    "fr address": re.compile(r"\b(?:tu|vous|espèce d[e'])\W*(?:\w+\W+){0,2}?(?:idiot|imbécile|crétin|connard|salaud|ordure)", re.I),
+    "fr dismissal": re.compile(r"\b(?:ta gueule|ferme-la|va te faire|casse-toi)\b", re.I),
+    "es address": re.compile(r"\b(?:tú|eres|usted|son)\W+(?:\w+\W+){0,2}?(?:idiota|imbécil|estúpid|basura|escoria|payaso)", re.I),
+    "es dismissal": re.compile(r"\b(?:cállate|vete a la|hijo de puta|que te jodan)\b", re.I),
 }
 TOKEN = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6)
@@ -44,7 +63,7 @@ def token_features(token: str) -> list[str]:
     return out
 
 
-def text_features(text: str | None, memo: dict[str, tuple], wanted: dict[str, int] | None = None) -> set:
+def text_features(text: str | None, memo: dict[str, tuple], wanted: dict[str, tuple[int, ...]] | None = None) -> set:
     """Distinct features of a text, or the numbers of those that are wanted."""
     found: set = set()
     for token in set((text or "").lower().split()):
@@ -53,7 +72,7 @@ def text_features(text: str | None, memo: dict[str, tuple], wanted: dict[str, in
             if len(memo) > MAX_MEMO:
                 memo.clear()
             own = token_features(token)
-            own = tuple(own if wanted is None else [wanted[f] for f in own if f in wanted])
+            own = tuple(own if wanted is None else [i for f in own if f in wanted for i in wanted[f]])
             memo[token] = own
         if own:
             found.update(own)
@@ -65,92 +84,215 @@ def fired_patterns(text: str | None) -> list[int]:
     return [k for k, p in enumerate(PATTERNS.values()) if p.search(text)]
 
 
-def slices(n: int, rows: int = 1_000) -> Iterator[slice]:
-    return (slice(i, i + rows) for i in range(0, n, rows))
+@dataclass
+class Rows:
+    """A sparse table of zeros and ones: the columns of the ones, row by row, and weights of the rows."""
 
+    at: np.ndarray
+    row: np.ndarray
+    n: int
+    width: int
+    times: np.ndarray
 
-def dot(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """``x @ w`` for a table of small integers, never as a whole in floats."""
-    return np.concatenate([x[s].astype(float) @ w for s in slices(len(x))] or [np.zeros(0)])
+    @classmethod
+    def of(cls, fired: Sequence[Sequence[int]], width: int, times: Sequence[float] | None = None) -> Rows:
+        at = np.fromiter((i for f in fired for i in f), np.int64)
+        row = np.repeat(np.arange(len(fired)), [len(f) for f in fired])
+        return cls(at, row, len(fired), width, np.ones(len(fired)) if times is None else np.asarray(times, float))
 
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.at], self.n)
 
-def weighted_sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """``w @ x``, likewise."""
-    return sum((w[..., s] @ x[s].astype(float) for s in slices(len(x))), np.zeros((*w.shape[:-1], x.shape[1])))
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        """Per column the sum of row weights ``w`` over its ones."""
+        return np.bincount(self.at, w[self.row], self.width)
 
 
 @dataclass
 class LabelModel:
-    """Voters that fire or abstain, given the class: fire rates, and how far they repeat each other.
-
-    ``fit`` runs expectation maximisation over the votes. Known labels count as the vote of an
-    annotator who errs with ``label_error``. Correlations are those of the voters' residuals
-    given the class; a voter's log-likelihood ratio is divided by one plus the sum of its
-    positive correlations beyond chance, so that voters which say the same twice count once.
-    Rows may stand for several, by ``weights``.
+    """A generative model of voters that fire or abstain, given a hidden class.
+
+    A voter fires at a rate of its class; to abstain says nothing, as a voter of another language
+    has nothing to say. Where two voters go together beyond what the class explains, one's
+    rate also depends on whether the other fires. These pairs are the edges of a forest:
+    of all pairs with a likelihood ratio above ``edge_gain``, a maximum spanning forest of
+    the ratios. ``fit`` estimates rates and pair rates by expectation maximisation over all
+    rows, labelled or not. Known labels only calibrate it: they give the balance of the
+    classes and a prior of the voters' rates that weighs up to ``calibration`` rows a class.
+    No label is a vote on its own row.
     """
 
-    label_error: float = 0.02
     prior: float = 0.1
+    calibration: float = 1_000.0
+    edge_gain: float = 12.0
+    shift: float = 0.0
     rates: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
-    discount: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    parent: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    single: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
+    paired: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
 
-    def fit(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 25, weights: np.ndarray | None = None) -> np.ndarray:
+    def fit(self, votes: Rows, labels: np.ndarray, rounds: int = 60) -> np.ndarray:
         """Posterior of class 1 per row; ``labels`` has 0, 1 or -1 (unknown)."""
-        times = np.ones(len(votes)) if weights is None else weights
-        known = labels >= 0
-        gold = np.where(labels == 1, 1.0, -1.0) * math.log((1 - self.label_error) / self.label_error) * known
-        # Where no label is known, the more voters fire the likelier; one that mostly fires says nothing.
-        fires = dot(votes, (weighted_sums(votes, times) / times.sum() < 0.5).astype(float))
-        guess = np.where(fires > 0, 1 - 0.4**fires, self.prior / 2)
-        post = np.where(known, np.where(labels == 1, 1 - self.label_error, self.label_error), guess)
-        self.discount = np.ones(votes.shape[1])
-        for k in range(rounds):
+        k, times = votes.width, votes.times
+        known = [times * (labels == y) for y in (0, 1)]
+        among, self.shift = times, 0.0
+        if known[0].sum() and known[1].sum():
+            among = known[0] + known[1]
+            base = np.stack([(votes.sums(w) + c) / (w.sum() + 1) for w, c in zip(known, (0.05, 0.5), strict=True)])
+            strength = np.array([min(self.calibration, w.sum()) for w in known])
+            share = known[1].sum() / (known[0].sum() + known[1].sum())
+        else:
+            # Nobody says which class is which: the more voters fire the likelier, but one that mostly fires says nothing.
+            rare = (votes.sums(times) / max(times.sum(), 1) < 0.5).astype(float)
+            guess = 1 - 0.4 ** votes.dot(rare)
+            guess = np.where(guess > 0, guess, self.prior / 2)
+            base = np.stack([(votes.sums(w) + c) / (w.sum() + 1) for w, c in ((times * (1 - guess), 0.1), (times * guess, 0.5))])
+            strength, share = np.array([2.0, 2.0]), self.prior
+        self.parent = np.full(k, -1)
+        self.prior, self.rates = float(np.clip(share, 1e-4, 1 - 1e-4)), np.clip(base, 1e-6, 1 - 1e-6)
+        both = np.zeros((2, k))
+        self._set(both, np.zeros((2, k)), np.ones(2))
+        post = self.posterior(votes)
+        for r in range(rounds):
             w = np.stack([1 - post, post]) * times
-            self.prior = float(np.clip(np.average(post, weights=times), 1e-4, 1 - 1e-4))
-            self.rates = (weighted_sums(votes, w) + np.array([[0.1], [0.5]])) / (w.sum(1, keepdims=True) + 1.0)
-            if k in (3, rounds // 2):
-                self.discount = self.correlation_discount(votes, post, times)
-            new = self.posterior(votes, gold)
-            if np.abs(new - post).max() < 1e-6:
-                break
+            if r == 2:
+                self.parent = self.forest(votes, w)
+            total = w.sum(1)
+            fires = np.stack([votes.sums(x) for x in w])
+            self.rates = np.clip((fires + strength[:, None] * base) / (total + strength)[:, None], 1e-6, 1 - 1e-6)
+            pairs = self._pairs(votes)
+            both = np.stack([np.bincount(votes.at[pairs], x[votes.row[pairs]], k) for x in w])
+            self._set(both, fires, total)
+            self._balance(votes, among)
+            new = self.posterior(votes)
+            done = r > 3 and np.abs(new - post).max() < 1e-6
             post = new
+            if done:
+                break
         return post
 
-    def correlation_discount(self, votes: np.ndarray, post: np.ndarray, times: np.ndarray) -> np.ndarray:
-        c = np.zeros((votes.shape[1], votes.shape[1]))
-        for s in slices(len(votes)):
-            p = post[s, None]
-            r = votes[s] - (p * self.rates[1] + (1 - p) * self.rates[0])
-            c += (r * times[s, None]).T @ r
-        scale = np.sqrt(np.diag(c)) + 1e-9
-        c /= scale
-        c /= scale[:, None]
-        np.fill_diagonal(c, 0)
-        # Among many voters, chance correlations would add up.
-        c[c < 3 / math.sqrt(times.sum())] = 0
-        return 1 + c.sum(0)
-
-    def posterior(self, votes: np.ndarray, more: np.ndarray | float = 0.0) -> np.ndarray:
-        fire = np.log(self.rates[1] / self.rates[0]) / self.discount
-        rest = np.log((1 - self.rates[1]) / (1 - self.rates[0])) / self.discount
-        z = dot(votes, fire - rest) + rest.sum() + math.log(self.prior / (1 - self.prior)) + more
+    def _balance(self, votes: Rows, among: np.ndarray) -> None:
+        """Shift the log-odds so that the mean posterior of some rows is the prior.
+
+        As abstentions say nothing, only this keeps the classes from growing into each other.
+        With labels these rows are the labelled ones, and the prior their share of class 1.
+        """
+        low, high = -60.0, 60.0
+        for _ in range(60):
+            self.shift = (low + high) / 2
+            if np.average(self.posterior(votes), weights=among) > self.prior:
+                high = self.shift
+            else:
+                low = self.shift
+
+    def _pairs(self, votes: Rows) -> np.ndarray:
+        """Which ones of the table have a parent that fires in the same row."""
+        up = self.parent[votes.at]
+        return np.flatnonzero((up >= 0) & np.isin(votes.row * votes.width + up, votes.row * votes.width + votes.at))
+
+    def _set(self, both: np.ndarray, fires: np.ndarray, total: np.ndarray) -> None:
+        """Log rates of a vote by class: without its parent's vote, and what that adds."""
+        k = len(self.parent)
+        self.single, self.paired = np.log(self.rates), np.zeros((2, k))
+        child = np.flatnonzero(self.parent >= 0)
+        up = self.parent[child]
+        for y in (0, 1):
+            r = self.rates[y, child]
+            m = 2.0  # rows by which a pair's rate is drawn to the voter's own
+            with_up = np.clip((both[y, child] + m * r) / (fires[y, up] + m), 1e-6, 1 - 1e-6)
+            without = np.clip((fires[y, child] - both[y, child] + m * r) / (total[y] - fires[y, up] + m), 1e-6, 1 - 1e-6)
+            self.single[y, child] = np.log(without)
+            self.paired[y, child] = np.log(with_up) - np.log(without)
+
+    def forest(self, votes: Rows, w: np.ndarray) -> np.ndarray:
+        """Parent of each voter (-1: none) in the forest of the strongest dependences given the class."""
+        k = votes.width
+        total, fires = w.sum(1), np.stack([votes.sums(x) for x in w])
+        together: dict[int, np.ndarray] = {}
+        starts = np.searchsorted(votes.row, np.arange(votes.n + 1))
+        for i in range(votes.n):
+            own = np.sort(votes.at[starts[i] : starts[i + 1]])
+            for x in range(len(own) - 1):
+                for key in (own[x] * k + own[x + 1 :]).tolist():
+                    if key in together:
+                        together[key] += w[:, i]
+                    else:
+                        together[key] = w[:, i].copy()
+        edges = []
+        for key, n11 in together.items():
+            i, j = divmod(key, k)
+            gain = 0.0
+            for y in (0, 1):
+                cells = [n11[y], fires[y, i] - n11[y], fires[y, j] - n11[y], total[y] - fires[y, i] - fires[y, j] + n11[y]]
+                a, b, n = fires[y, i], fires[y, j], total[y]
+                alone = [a * b / n, a * (n - b) / n, (n - a) * b / n, (n - a) * (n - b) / n] if n > 0 else cells
+                gain += 2 * sum(c * math.log(c / e) for c, e in zip(cells, alone, strict=True) if c > 1e-9 and e > 1e-9)
+            if gain > self.edge_gain:
+                edges.append((-gain, i, j))
+        label = list(range(k))
+
+        def find(x: int) -> int:
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        near: dict[int, list[int]] = {}
+        for _, i, j in sorted(edges):
+            x, y = find(i), find(j)
+            if x != y:
+                label[max(x, y)] = min(x, y)
+                near.setdefault(i, []).append(j)
+                near.setdefault(j, []).append(i)
+        parent = np.full(k, -1)
+        seen: set[int] = set()
+        for root in sorted(near):
+            if root in seen:
+                continue
+            seen.add(root)
+            line = [root]
+            for x in line:
+                for y in near[x]:
+                    if y not in seen:
+                        seen.add(y)
+                        parent[y] = x
+                        line.append(y)
+        return parent
+
+    def posterior(self, votes: Rows) -> np.ndarray:
+        z = self.shift + math.log(self.prior / (1 - self.prior)) + votes.dot(self.single[1] - self.single[0])
+        pairs = self._pairs(votes)
+        z += np.bincount(votes.row[pairs], (self.paired[1] - self.paired[0])[votes.at[pairs]], votes.n)
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25, weights: np.ndarray | None = None) -> np.ndarray:
-    """Weights of a ridge logistic regression on soft labels by Newton steps; the last is the bias."""
-    times = np.ones(len(x)) if weights is None else weights
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+def fit_linear(x: Rows, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
+    """Weights of a ridge logistic regression on soft labels; the last is the bias.
+
+    Newton steps solved by conjugate gradients, so that nothing is as large as the square of the width.
+    """
+    w, penalty = np.zeros(x.width + 1), np.full(x.width + 1, ridge)
     penalty[-1] = 1e-3
+    ahead = lambda v: x.dot(v[:-1]) + v[-1]
+    back = lambda r: np.append(x.sums(r), r.sum())
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(dot(x, w), -30, 30)))
-        h = np.diag(penalty)
-        for s in slices(len(x)):
-            part = x[s].astype(float)
-            h += (part * (times[s] * p[s] * (1 - p[s]))[:, None]).T @ part
-        step = np.linalg.solve(h, weighted_sums(x, times * (y - p)) - penalty * w)
+        p = 1 / (1 + np.exp(-np.clip(ahead(w), -30, 30)))
+        curve = x.times * p * (1 - p)
+        right = back(x.times * (y - p)) - penalty * w
+        step, left, size = np.zeros_like(w), right.copy(), right @ right
+        scale = penalty + back(curve)
+        z = left / scale
+        along, size = z.copy(), left @ z
+        for _ in range(200):
+            if np.abs(left).max() < 1e-8:
+                break
+            bent = back(curve * ahead(along)) + penalty * along
+            rate = size / (along @ bent)
+            step += rate * along
+            left -= rate * bent
+            z = left / scale
+            size, before = left @ z, size
+            along = z + size / before * along
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -159,42 +301,36 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 2
 
 @dataclass
 class ToxicityModel:
-    """Feature numbers of the voters and the weights of the classifier."""
+    """Columns of the text features and the weights of the classifier; the label model for reference."""
 
-    wanted: dict[str, int]
+    columns: dict[str, tuple[int, ...]]
+    n_words: int
     weights: np.ndarray
-
-    def width(self) -> int:
-        return len(self.wanted) + len(LEXICONS) + len(PATTERNS) + 1
+    labels: LabelModel | None = None
 
     def score(self, fired: Sequence[int]) -> float:
         z = self.weights[-1] + sum(self.weights[i] for i in fired)
         return 1 / (1 + math.exp(-min(max(z, -50.0), 50.0)))
 
 
-def votes_of(text: str | None, memo: dict, wanted: dict[str, int]) -> list[int]:
-    """Numbers of the voters that fire: mined features, lexicons, patterns, then "nothing fires"."""
-    found = text_features(text, memo, wanted)
-    n = len(wanted) - N_LEXICON
-    k = n + len(LEXICONS)
-    out = {i if i < n else n + (i - n) // LEXICON_STRIDE for i in found}
-    out |= {k + i for i in fired_patterns(text)}
-    return sorted(out) if out else [k + len(PATTERNS)]
+def fired_of(text: str | None, memo: dict, wanted: dict[str, tuple[int, ...]], n_words: int) -> list[int]:
+    """Numbers of what fires in a text: words and beginnings first, then patterns from ``n_words`` on."""
+    return sorted({*text_features(text, memo, wanted), *(n_words + k for k in fired_patterns(text))})
 
 
-#: Words of the lexicons are numbered after the mined features, by lexicon.
-LEXICON_STRIDE = 1 << 20
-LEXICON_WORDS = [(w, k * LEXICON_STRIDE) for k, words in enumerate(LEXICONS.values()) for w in words.split()]
-N_LEXICON = len({w for w, _ in LEXICON_WORDS})
+def voter_numbers(mined: Sequence[str]) -> tuple[dict[str, tuple[int, ...]], int]:
+    """Voters: mined features, then the lexicons. A mined word that a lexicon has fires for both."""
+    out: dict[str, tuple[int, ...]] = {f: (i,) for i, f in enumerate(mined)}
+    for k, words in enumerate(LEXICONS.values()):
+        for w in words.split():
+            out[w] = (*out.get(w, ()), len(mined) + k)
+    return out, len(mined) + len(LEXICONS)
 
 
-def numbering(mined: Sequence[str]) -> dict[str, int]:
-    """Mined features by rank, then lexicon words by lexicon; a mined word votes for itself only."""
-    out = {f: i for i, f in enumerate(mined)}
-    n = len(out)
-    extra = {w: n + k for w, k in reversed(LEXICON_WORDS)}
-    # A mined word that a lexicon has keeps its own voter; the lexicon's entry steps aside.
-    return out | {w if w not in out else f"\0{w}": k for w, k in extra.items()}
+def text_columns(features: Sequence[str]) -> tuple[dict[str, tuple[int, ...]], int]:
+    """Columns of the classifier: one per feature and per word of a lexicon."""
+    words = dict.fromkeys([*features, *(w for ws in LEXICONS.values() for w in ws.split())])
+    return {f: (i,) for i, f in enumerate(words)}, len(words)
 
 
 def held_out(id: str | Column, folds: int = 5) -> Column:
@@ -203,13 +339,18 @@ def held_out(id: str | Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(id.cast("string"), F.lit(""))), F.lit(folds)) == 0
 
 
+#: Soft labels are summed in whole units, so that the order of tasks leaves no trace.
+UNITS = 1_000
+
+
 def mine_features(sample: DataFrame, min_toxic: int = 5, min_precision: float = 0.5) -> list[str]:
-    """Words and beginnings of words that mark toxic rows of a bounded, labelled sample of distinct texts.
+    """Words and beginnings of words that mark toxic rows of a bounded sample of distinct texts.
 
-    Kept are all features whose share of toxic rows is surely (lower Wilson bound) over
-    ``min_precision``; of features that mark the same rows (by the xor of the rows' hashes)
-    the shortest, and no word whose beginning is kept. Counting, the bound and the folding
-    are done on Spark; the driver gets one feature per marked set of rows.
+    ``toxic`` may be a label or a probability. Kept are all features whose share of toxic rows is
+    surely (lower Wilson bound) over ``min_precision``; of features that mark the same rows (by
+    the xor of the rows' hashes) the shortest. The surest come first: no word whose beginning is
+    kept, and no beginning that is only precise where a longer feature is. Counting, the
+    bound and the folding are done on Spark; the driver gets one feature per marked set of rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,29 +362,81 @@ def mine_features(sample: DataFrame, min_toxic: int = 5, min_precision: float =
             for text, toxic, row in zip(b["text"], b["toxic"], b["row"], strict=True):
                 found = text_features(text, memo)
                 n.update(found)
-                if toxic:
-                    t.update(found)
+                units = round(toxic * UNITS)
                 row = int(row)
                 for f in found:
                     x[f] = x.get(f, 0) ^ row
+                    if units:
+                        t[f] += units
             names = list(n)
             yield pd.DataFrame({"feature": names, "n": [n[f] for f in names], "t": [t[f] for f in names], "x": [x[f] for f in names]})
 
-    counts = sample.select("text", "toxic", F.xxhash64("text").alias("row")).mapInPandas(run, "feature string, n long, t long, x long")
-    sums = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.bit_xor("x").alias("x"))
-    z = 2.0
-    share = F.col("t") / F.col("n")
-    low = (share + z * z / (2 * F.col("n")) - z * F.sqrt(share * (1 - share) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (
-        1 + z * z / F.col("n")
-    )
-    precise = sums.where((F.col("t") >= min_toxic) & (low > min_precision))
+    rows = sample.select("text", F.col("toxic").cast("double").alias("toxic"), F.xxhash64("text").alias("row"))
+    counts = rows.mapInPandas(run, "feature string, n long, t long, x long")
+    sums = counts.groupBy("feature").agg(F.sum("n").alias("n"), (F.sum("t") / UNITS).alias("t"), F.bit_xor("x").alias("x"))
+    precise = sums.where(F.col("t") >= min_toxic).withColumn("low", surely(F.col("t"), F.col("n"))).where(F.col("low") > min_precision)
     name = F.struct(F.length("feature").alias("k"), "feature")
-    folded = precise.groupBy("n", "t", "x").agg(F.min(name).alias("f")).select("t", "f.*").collect()
-    chosen: dict[str, None] = {}
-    for _, _, name in sorted((-r.t, r.k, r.feature) for r in folded):
-        if not any(f"{name[:k]}*" in chosen for k in range(min(PREFIXES), len(name.rstrip("*")))):
-            chosen[name] = None
-    return list(chosen)
+    folded = precise.groupBy("n", "x").agg(F.max("t").alias("t"), F.max("low").alias("low"), F.min(name).alias("f"))
+    chosen: dict[str, tuple[float, int]] = {}
+    longer: dict[str, tuple[float, int]] = {}  # per beginning, its most frequent longer feature
+    for r in sorted(folded.select("n", "t", "low", "f.*").collect(), key=lambda r: (-r.low, r.k, r.feature)):
+        stem = r.feature.rstrip("*")
+        if any(f"{stem[:k]}*" in chosen for k in range(min(PREFIXES), len(stem))):
+            continue
+        t, n = longer.get(r.feature, (0.0, 0))
+        if n and (r.t - t < min_toxic or wilson(r.t - t, max(r.n - n, r.t - t)) <= min_precision):
+            continue  # what is precise about this beginning is the longer feature
+        chosen[r.feature] = (r.t, r.n)
+        for k in range(min(PREFIXES), len(stem)):
+            longer[f"{stem[:k]}*"] = max(longer.get(f"{stem[:k]}*", (0.0, 0)), (r.t, r.n))
+    return sorted(chosen, key=lambda f: (-chosen[f][0], f))
+
+
+def surely(t: Column, n: Column, z: float = 2.0) -> Column:
+    """Lower Wilson bound of the share t / n."""
+    p = t / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def wilson(t: float, n: float, z: float = 2.0) -> float:
+    p = t / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def training_sample(
+    docs: DataFrame, labels: DataFrame, text: str, id: str, label: str, max_labelled: int, max_unlabelled: int, folds: int
+) -> DataFrame:
+    """``text, toxic``: distinct texts outside the held-out fold, labelled (0, 1) or not (null).
+
+    At most about ``max_labelled`` and ``max_unlabelled`` ids, chosen by a hash of the id. An id
+    that repeats gives one row, and equal texts give one row with the label of most of their
+    labelled ids (toxic if as many). Of near copies, known by the least hash of their
+    five-word shingles, each label keeps one: words that only such a family shares would look
+    like words of toxic texts.
+    """
+
+    @F.pandas_udf("long")
+    def family(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo: dict[str, int] = {}
+        for texts in batches:
+            found = [shingles(t, 5, memo) for t in texts]
+            yield pd.Series([int(h[0] >> np.uint64(1)) if len(h) else 0 for h in found], dtype="int64")
+
+    lot = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(1_000_000))
+    usable = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull() & ~held_out(id, folds))
+    usable = usable.groupBy(F.col(id).alias("doc_id")).agg(F.max(label).cast("int").alias("toxic"))
+    n, all_docs = usable.count(), docs.count()
+    share = min(1.0, max_labelled / n) if n else 1.0
+    chosen = usable.where(lot("doc_id", "fit") < int(share * 1_000_000))
+    free = min(1.0, max_unlabelled / all_docs) if all_docs else 1.0
+    texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
+    # Ids are bounded by max_labelled, rows are not.
+    found = texts.join(F.broadcast(chosen), "doc_id", "left")
+    found = found.where(F.col("toxic").isNotNull() | (~held_out("doc_id", folds) & (lot("doc_id", "free") < int(free * 1_000_000))))
+    one = found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    most = (F.avg("toxic") >= 0.5).cast("int").alias("toxic")
+    distinct = one.groupBy(F.xxhash64("text").alias("row")).agg(F.any_value("text").alias("text"), most)
+    return distinct.groupBy(family("text").alias("family"), "toxic").agg(F.min_by("text", "row").alias("text")).select("text", "toxic")
 
 
 def fit_toxicity(
@@ -253,51 +446,63 @@ def fit_toxicity(
     id: str = "doc_id",
     label: str = "toxic",
     max_labelled: int = 24_000,
+    max_unlabelled: int = 12_000,
     folds: int = 5,
 ) -> ToxicityModel:
-    """Learn voters, their accuracies and the classifier from labelled rows outside the held-out fold.
+    """Learn voters, the label model and the classifier from a bounded sample outside the held-out fold.
 
-    About ``max_labelled`` rows at most are used, chosen by a hash of the id. Labels are joined to
-    the texts by broadcasting at most that many ids. An id that repeats gives one row, and
-    equal texts give one row with the label of most of their ids (toxic if as many). The
-    driver gets the mined features and, per sampled row, the numbers of the voters that fired.
+    1. Voters are lexicons, patterns, and words or beginnings of words induced from the
+       labelled texts of the sample (see ``mine_features``).
+    2. The label model (see ``LabelModel``) is fitted on the votes of all sampled texts, most of which
+       need no label, and gives each a posterior.
+    3. With the posteriors as labels, text features are mined again over all sampled texts; a
+       ridge logistic regression on these, on the words of the lexicons and on the patterns
+       learns the posteriors.
+
+    The driver gets the mined features and, per sampled text, the numbers of what fired.
     """
     small_batches(docs.sparkSession)
-    usable = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull() & ~held_out(id, folds))
-    usable = usable.groupBy(F.col(id).alias("doc_id")).agg(F.max(label).cast("int").alias("toxic"))
-    n = usable.count()
-    share = min(1.0, max_labelled / n) if n else 1.0
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id")  # ids are bounded by max_labelled, rows are not
-    one = found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
-    most = (F.avg("toxic") >= 0.5).cast("int").alias("toxic")
-    sample = materialize(one.groupBy(F.xxhash64("text").alias("row")).agg(F.any_value("text").alias("text"), most).drop("row"))
-    mined = mine_features(sample)
-    wanted = numbering(mined)
+    sample = materialize(training_sample(docs, labels, text, id, label, max_labelled, max_unlabelled, folds))
+    mined = mine_features(sample.where("toxic is not null"))
+    wanted, n_words = voter_numbers(mined)
+    width = n_words + len(PATTERNS) + 1  # the last voter fires where no other does
+
+    def gathered(texts: DataFrame, wanted: dict[str, tuple[int, ...]], n_words: int) -> list[tuple]:
+        """(label or posterior, what fired) of all sampled texts; sorted, equal ones counted."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            memo: dict = {}
+            for b in batches:
+                yield pd.DataFrame({"toxic": b["toxic"], "fired": [fired_of(t, memo, wanted, n_words) for t in b["text"]]})
+
+        known = texts.select("text", F.coalesce(F.col("toxic").cast("double"), F.lit(-1.0)).alias("toxic"))
+        found = known.mapInPandas(run, "toxic double, fired array<int>")
+        return sorted(Counter((r.toxic, tuple(r.fired)) for r in found.collect()).items())
+
+    rows = gathered(sample, wanted, n_words)
+    known = {toxic for (toxic, _), _ in rows} - {-1}
+    if known != {0, 1}:
+        # Nothing to learn from: the lexicons and patterns decide.
+        columns, n = text_columns([])
+        return ToxicityModel(columns, n, np.array([4.0] * (n + len(PATTERNS)) + [-3.0]))
+    votes = Rows.of([f or (width - 1,) for (_, f), _ in rows], width, [n for _, n in rows])
+    model = LabelModel()
+    model.fit(votes, np.array([toxic for (toxic, _), _ in rows]))
+
+    def posterior(text: str | None, memo: dict) -> float:
+        return float(model.posterior(Rows.of([fired_of(text, memo, wanted, n_words) or [width - 1]], width))[0])
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def posteriors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo: dict = {}
-        for b in batches:
-            yield pd.DataFrame({"toxic": b["toxic"], "fired": [votes_of(t, memo, wanted) for t in b["text"]]})
+        for texts in batches:
+            yield pd.Series([posterior(t, memo) for t in texts], dtype="float64")
 
-    rows = sample.select("text", "toxic").mapInPandas(vote, "toxic int, fired array<int>").collect()
-    model = ToxicityModel(wanted, np.zeros(0))
-    width = len(mined) + len(LEXICONS) + len(PATTERNS) + 1
-    if not any(r.toxic for r in rows) or all(r.toxic for r in rows):
-        # Nothing to learn from: the lexicons and patterns decide.
-        model.weights = np.array([4.0] * (width - 1) + [0.0, -3.0])
-        return model
-    # Rows of equal votes are one with a weight; sorted, the order of tasks leaves no trace in sums.
-    alike = sorted(Counter((r.toxic, tuple(r.fired)) for r in rows).items())
-    votes = np.zeros((len(alike), width), dtype=np.uint8)
-    for i, ((_, fired), _) in enumerate(alike):
-        votes[i, list(fired)] = 1
-    gold = np.array([toxic for (toxic, _), _ in alike])
-    times = np.array([n for _, n in alike], dtype=float)
-    post = LabelModel(prior=float(np.average(gold, weights=times))).fit(votes, gold, weights=times)
-    model.weights = fit_linear(votes, post, weights=times)
-    return model
+    soft = materialize(sample.select("text", posteriors("text").alias("toxic")))
+    columns, n = text_columns(dict.fromkeys([*mined, *mine_features(soft)]))
+    rows = gathered(soft, columns, n)
+    x = Rows.of([f for (_, f), _ in rows], n + len(PATTERNS), [k for _, k in rows])
+    return ToxicityModel(columns, n, fit_linear(x, np.array([y for (y, _), _ in rows])), model)
 
 
 def score_toxicity(
@@ -305,14 +510,15 @@ def score_toxicity(
 ) -> DataFrame:
     """The ``keep`` columns, ``score`` (0 to 1) and ``predicted`` (1 from 0.5). No shuffle.
 
-    A null or empty text is one where no voter fires.
+    A null or empty text is one where nothing fires. Repeated rows get equal scores.
     """
+    score, columns, n_words = replace(model, labels=None).score, model.columns, model.n_words
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo: dict = {}
         for texts in batches:
-            yield pd.Series([model.score(votes_of(t, memo, model.wanted)) for t in texts], dtype="float64")
+            yield pd.Series([score(fired_of(t, memo, columns, n_words)) for t in texts], dtype="float64")
 
     scored = docs.select(*keep, rate(F.col(text)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -211,19 +212,148 @@ def test_toxicity_without_labels(spark):
     assert TX.toxicity(docs.limit(0), none).count() == 0
 
 
+def table(votes):
+    return TX.Rows.of([list(np.flatnonzero(v)) for v in votes], votes.shape[1])
+
+
+def abusive_votes(rng, n=4000):
+    y = rng.random(n) < 0.3
+    rates = np.array([[0.05, 0.1, 0.02, 0.02, 0.3], [0.7, 0.4, 0.6, 0.6, 0.3]])
+    votes = rng.random((n, 5)) < rates[y.astype(int)]
+    votes[:, 3] = np.where(rng.random(n) < 0.95, votes[:, 2], votes[:, 3])  # a voter that repeats another
+    return y, rates, np.hstack([votes, ~votes.any(1, keepdims=True)])
+
+
 def test_label_model_recovers_accuracies():
-    rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.3
-    rates = np.array([[0.05, 0.1, 0.02, 0.02], [0.7, 0.4, 0.6, 0.6]])
-    votes = (rng.random((4000, 4)) < rates[y.astype(int)]).astype(float)
-    votes[:, 3] = votes[:, 2]  # a voter that repeats another
+    y, rates, votes = abusive_votes(np.random.default_rng(0))
     m = TX.LabelModel(prior=0.3)
-    post = m.fit(votes, np.full(4000, -1))
+    post = m.fit(table(votes), np.full(len(y), -1))
     assert ((post > 0.5) == y).mean() > 0.85
-    m = TX.LabelModel(prior=0.3)
-    m.fit(votes, y.astype(int))
-    assert np.abs(m.rates - [[0.05, 0.1, 0.02, 0.02], [0.7, 0.4, 0.6, 0.6]]).max() < 0.05
-    assert m.discount[2] > 1.5 and m.discount[0] < 1.3
+    known = np.where(np.arange(len(y)) % 10 == 0, y.astype(int), -1)
+    post = m.fit(table(votes), known)
+    assert ((post > 0.5) == y).mean() > 0.88
+    assert np.abs(m.rates[:, :3] - rates[:, :3]).max() < 0.1
+    assert m.parent[3] == 2 or m.parent[2] == 3
+    # Together, the two that repeat each other count for less than apart; independent ones for as much.
+    alone = np.log(m.rates[1] / m.rates[0])
+    logit = lambda *fired: float(np.log((p := m.posterior(TX.Rows.of([fired], 6))[0]) / (1 - p)))
+    base = m.shift + math.log(m.prior / (1 - m.prior))
+    assert logit(2, 3) - base < 0.75 * (alone[2] + alone[3]) and logit(0, 1) - base > 0.75 * (alone[0] + alone[1])
+
+
+def test_a_label_is_no_vote_on_its_own_row():
+    y, _, votes = abusive_votes(np.random.default_rng(4))
+    known = np.where(np.arange(len(y)) % 4 == 0, y.astype(int), -1)
+    a = TX.LabelModel().fit(table(votes), known)
+    for row in (0, 4, 8, 12):
+        wrong = known.copy()
+        wrong[row] = 1 - wrong[row]
+        assert abs(TX.LabelModel().fit(table(votes), wrong)[row] - a[row]) < 0.02
+
+
+def plain_label_model(votes, labels, calibration=1000.0, edge_gain=12.0, rounds=60):
+    """The same estimation in loops over a dense table."""
+    n, k = len(votes), len(votes[0])
+    known = [[float(x == c) for x in labels] for c in (0, 1)]
+    size = [sum(w) for w in known]
+    base = [[(sum(w[i] * votes[i][j] for i in range(n)) + c) / (size[y] + 1) for j in range(k)] for y, (w, c) in enumerate(zip(known, (0.05, 0.5), strict=True))]
+    weight = [min(calibration, s) for s in size]
+    odds = math.log(size[1] / size[0])
+    parent, rates, both, fires, total, shift = [-1] * k, base, None, None, None, 0.0
+
+    def posterior():
+        out = []
+        for v in votes:
+            z = odds + shift
+            for y, sign in ((1, 1), (0, -1)):
+                for j in range(k):
+                    if not v[j]:
+                        continue
+                    p, r = parent[j], rates[y][j]
+                    if p >= 0 and v[p]:
+                        r = (both[y][j] + 2 * r) / (fires[y][p] + 2)
+                    elif p >= 0:
+                        r = (fires[y][j] - both[y][j] + 2 * r) / (total[y] - fires[y][p] + 2)
+                    z += sign * math.log(min(max(r, 1e-6), 1 - 1e-6))
+            out.append(1 / (1 + math.exp(-min(max(z, -50), 50))))
+        return out
+
+    def gain(i, j, w):
+        g = 0.0
+        for y in (0, 1):
+            cells = Counter()
+            for v, x in zip(votes, w[y], strict=True):
+                cells[bool(v[i]), bool(v[j])] += x
+            a, b, t = cells[True, True] + cells[True, False], cells[True, True] + cells[False, True], sum(cells.values())
+            for (s, u), c in cells.items():
+                e = (a if s else t - a) * (b if u else t - b) / t
+                if c > 1e-9 and e > 1e-9:
+                    g += 2 * c * math.log(c / e)
+        return g
+
+    post = posterior()
+    for r in range(rounds):
+        w = [[1 - p for p in post], post]
+        if r == 2:
+            edges = sorted((-gain(i, j, w), i, j) for i in range(k) for j in range(i) if any(v[i] and v[j] for v in votes))
+            group = list(range(k))
+            near = defaultdict(list)
+            for g, i, j in edges:
+                if -g > edge_gain and group[i] != group[j]:
+                    group = [min(group[i], group[j]) if x in (group[i], group[j]) else x for x in group]
+                    near[i].append(j), near[j].append(i)
+            for root in range(k):
+                if parent[root] < 0 and group[root] == root:
+                    line = [root]
+                    for x in line:
+                        for z in near[x]:
+                            if z not in line:
+                                parent[z] = x
+                                line.append(z)
+        total = [sum(x) for x in w]
+        fires = [[sum(x * v[j] for x, v in zip(w[y], votes, strict=True)) for j in range(k)] for y in (0, 1)]
+        both = [[sum(x for x, v in zip(w[y], votes, strict=True) if v[j] and parent[j] >= 0 and v[parent[j]]) for j in range(k)] for y in (0, 1)]
+        rates = [[(fires[y][j] + weight[y] * base[y][j]) / (total[y] + weight[y]) for j in range(k)] for y in (0, 1)]
+        low, high = -60.0, 60.0
+        for _ in range(60):
+            shift = (low + high) / 2
+            sure = [p for p, x in zip(posterior(), labels, strict=True) if x >= 0]
+            low, high = (low, shift) if sum(sure) / len(sure) > size[1] / sum(size) else (shift, high)
+        new = posterior()
+        done = r > 3 and max(abs(a - b) for a, b in zip(new, post, strict=True)) < 1e-6
+        post = new
+        if done:
+            break
+    return post, parent
+
+
+def test_a_plain_second_label_model_agrees():
+    y, _, votes = abusive_votes(np.random.default_rng(7), 600)
+    known = np.where(np.arange(len(y)) % 3 == 0, y.astype(int), -1)
+    m = TX.LabelModel()
+    post = m.fit(table(votes), known)
+    want, parent = plain_label_model(votes.tolist(), known.tolist())
+    assert np.abs(post - want).max() < 1e-6 and (m.parent >= 0).sum() == sum(p >= 0 for p in parent) > 0
+
+
+def test_linear_model_is_at_its_optimum():
+    rng = np.random.default_rng(1)
+    x = rng.random((300, 8)) < 0.3
+    y = rng.random(300)
+    w = TX.fit_linear(table(x), y)
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    assert np.abs(x.T @ (y - p) - 0.1 * w[:-1]).max() < 1e-5 and abs((y - p).sum() - 1e-3 * w[-1]) < 1e-5
+
+
+def test_families_of_near_copies_teach_no_words(spark):
+    rng = random.Random(21)
+    base = prose(rng, 120, 10**6)
+    rows = [(i, f"{base} {prose(rng, 3, 50)}") for i in range(30)] + [(100 + i, prose(rng, 40)) for i in range(300)]
+    rows += [(500 + i, f"{prose(rng, 25)} grobnik {prose(rng, 5)}") for i in range(40)]
+    labels = [(i, 1, int(i < 100 or i >= 500)) for i, _ in rows]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    m = TX.fit_toxicity(documents(spark, rows), lab)
+    assert any(f.startswith("gro") for f in m.columns) and not set(base.split()) & set(m.columns)
 
 
 def test_pipeline_stages(spark, tmp_path):
