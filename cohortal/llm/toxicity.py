@@ -151,7 +151,7 @@ class LabelModel:
         self.parent = np.full(k, -1)
         self.prior, self.rates = float(np.clip(share, 1e-4, 1 - 1e-4)), np.clip(base, 1e-6, 1 - 1e-6)
         both = np.zeros((2, k))
-        self._set(both, np.zeros((2, k)), np.ones(2))
+        self._set(both, np.zeros((2, k)), np.ones(2), strength)
         post = self.posterior(votes)
         for r in range(rounds):
             w = np.stack([1 - post, post]) * times
@@ -162,7 +162,7 @@ class LabelModel:
             self.rates = np.clip((fires + strength[:, None] * base) / (total + strength)[:, None], 1e-6, 1 - 1e-6)
             pairs = self._pairs(votes)
             both = np.stack([np.bincount(votes.at[pairs], x[votes.row[pairs]], k) for x in w])
-            self._set(both, fires, total)
+            self._set(both, fires, total, strength)
             self._balance(votes, among)
             new = self.posterior(votes)
             done = r > 3 and np.abs(new - post).max() < 1e-6
@@ -190,7 +190,7 @@ class LabelModel:
         up = self.parent[votes.at]
         return np.flatnonzero((up >= 0) & np.isin(votes.row * votes.width + up, votes.row * votes.width + votes.at))
 
-    def _set(self, both: np.ndarray, fires: np.ndarray, total: np.ndarray) -> None:
+    def _set(self, both: np.ndarray, fires: np.ndarray, total: np.ndarray, strength: np.ndarray) -> None:
         """Log rates of a vote by class: without its parent's vote, and what that adds."""
         k = len(self.parent)
         self.single, self.paired = np.log(self.rates), np.zeros((2, k))
@@ -198,9 +198,11 @@ class LabelModel:
         up = self.parent[child]
         for y in (0, 1):
             r = self.rates[y, child]
-            m = 2.0  # rows by which a pair's rate is drawn to the voter's own
+            # The prior of a pair: both are independent, with the weight of the voters' own prior.
+            m = strength[y] * self.rates[y, up] + 2
+            rest = strength[y] * (1 - self.rates[y, up]) + 2
             with_up = np.clip((both[y, child] + m * r) / (fires[y, up] + m), 1e-6, 1 - 1e-6)
-            without = np.clip((fires[y, child] - both[y, child] + m * r) / (total[y] - fires[y, up] + m), 1e-6, 1 - 1e-6)
+            without = np.clip((fires[y, child] - both[y, child] + rest * r) / (total[y] - fires[y, up] + rest), 1e-6, 1 - 1e-6)
             self.single[y, child] = np.log(without)
             self.paired[y, child] = np.log(with_up) - np.log(without)
 
