@@ -102,11 +102,73 @@ def test_minhash_estimates_the_index():
     assert abs(exact - estimate) < 0.15
 
 
-@pytest.mark.parametrize("m", [2, 3, 40])
-def test_intersections(m):
+@pytest.mark.parametrize(("m", "values"), [(2, 500), (3, 500), (40, 500), (60, 10**9), (300, 400)])
+def test_shared(m, values):
     rng = np.random.default_rng(m)
-    sets = [np.unique(rng.integers(0, 500, rng.integers(1, 200)).astype(np.uint64)) for _ in range(m)]
-    got = J.intersections(sets)
-    for i in range(m):
-        for j in range(m):
-            assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+    sets = [np.unique(rng.integers(0, values, rng.integers(1, 200)).astype(np.uint64)) for _ in range(m)]
+    i, j = np.triu_indices(m, 1)
+    got = J.shared(sets, i, j)
+    some = rng.permutation(len(i))[:500]
+    assert got[some].tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i[some], j[some], strict=True)]
+
+
+def test_forest():
+    rng = np.random.default_rng(3)
+    for n, k in ((1, 0), (50, 20), (400, 300), (400, 399)):
+        i, j = rng.integers(0, n, k), rng.integers(0, n, k)
+        if k == n - 1:
+            i, j = np.arange(1, n), np.arange(n - 1)  # a long chain
+        one, all_at_once = J.Forest(n), J.Forest(n)
+        for a, b in zip(i, j, strict=True):
+            one.join(np.array([a, b]))
+        all_at_once.join_pairs(i, j)
+        same = lambda f: len(set(zip(one.label.tolist(), f.label.tolist(), strict=True)))
+        assert same(all_at_once) == len(set(one.label.tolist())) == len(set(all_at_once.label.tolist()))
+
+
+@pytest.mark.parametrize(("prune", "verify"), [(50, 40), (8192, 30), (20, 1024)])
+def test_chunks_change_nothing(spark, prune, verify):
+    rows = corpus(2) + [(2000 + i, edited(random.Random(i), prose(random.Random(5), 90), 0.01)) for i in range(150)]
+    docs = documents(spark, rows)
+    got = {r.doc_id: (r.class_id, r.rep_id, r.n_copies, r.n_links) for r in J.jaccard_links(docs, prune_chunk=prune, verify_chunk=verify).collect()}
+    want = near_classes(rows)
+    assert all(got[i] == want[i] for i in want)
+
+
+def test_only_pairs_that_stay_are_verified(spark):
+    rng = random.Random(11)
+    base = prose(rng, 200, 10**6)
+    rows = [(i, edited(rng, base, 0.01)) for i in range(80)]
+    docs = documents(spark, rows)
+    strict = {(p.a_id, p.b_id) for p in J.jaccard_pairs(docs, tolerance=0.4).collect()}
+    every = {(p.a_id, p.b_id) for p in J.jaccard_pairs(docs).collect()}
+    sig = np.stack([J.signature(J.shingles(t, 5, {})) for _, t in rows]).astype(np.uint8)
+    i, j = np.triu_indices(80, 1)
+    stay = set(zip(*(x.tolist() for x in J.surviving(sig, i, j, J.least_matches(0.8, 0.4))), strict=True))
+    assert strict < every and strict == every & stay
+    assert len(every) == sum(v[3] for v in near_classes(rows).values()) // 2
+
+
+def test_narrow_ids_with_nulls(spark):
+    text = "a b c d e f g h i j"
+    rows = [(5, text), (None, text), (None, "other words than these are here now"), (7, text + " k"), (None, None)]
+    for kind in ("int", "smallint", "string", "long"):
+        docs = documents(spark, rows).selectExpr(f"cast(doc_id as {kind}) doc_id", "text")
+        got = J.jaccard_links(docs)
+        assert got.count() == 5 and dict(got.dtypes)["class_id"] == dict(docs.dtypes)["doc_id"]
+        assert sorted(str(r.class_id) for r in got.where("text like 'a b%'" if "text" in got.columns else "n_links = 1").collect()) == ["5"] * 3
+        assert J.drop_near_duplicates(docs).count() == 3
+
+
+def test_one_id_for_many_texts(spark):
+    rng = random.Random(12)
+    rows = [(1, prose(rng, 30)) for _ in range(120)] + [(1, prose(random.Random(k), 60, 10**5) + f" {x}") for k in range(3) for x in range(40)]
+    got = J.jaccard_links(documents(spark, rows)).collect()
+    assert len(got) == 240 and sorted(r.n_links for r in got) == [0] * 120 + [39] * 120
+    assert J.drop_near_duplicates(documents(spark, rows)).count() == 123
+
+
+def test_hot_keys_are_bounded(spark):
+    rows = spark.range(3_000).selectExpr("if(id < 1000, 0, id) k")
+    sizes = rows.groupBy("k").count()
+    assert J.join_sized(rows, sizes, "k", "count", 3_000).groupBy().sum("count").first()[0] == 1000 * 1000 + 2000
