@@ -1,47 +1,55 @@
-"""A filter of fixed size that spares rows without a partner a shuffle."""
+"""A filter of bounded size that spares rows without a partner a shuffle."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 2 MB whatever the number of keys; more keys only let more rows through.
-FILTER_BITS = 1 << 24
+#: Sixteen bits a key, between 2 MB and 32 MB; more keys only let more rows through.
+LEAST_BITS, MOST_BITS, BITS_PER_KEY = 1 << 24, 1 << 28, 16
 BUCKET_BITS = 8 * 4096
 
 
-def bit_maps(slots: DataFrame) -> dict[int, bytes]:
-    """Bits of the numbers in the column ``slot`` (0 to FILTER_BITS - 1), by bucket.
+def bit_array(slots: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the numbers in the column ``slot`` (0 to bits - 1) as bytes.
 
-    At most ``FILTER_BITS / BUCKET_BITS`` rows of 4 KB come to the driver.
+    At most ``bits / BUCKET_BITS`` rows of 4 KB come to the driver.
     """
     buckets = slots.groupBy(F.floor(F.col("slot") / BUCKET_BITS).alias("bucket"))
     found = buckets.agg(F.bitmap_construct_agg(F.col("slot") % BUCKET_BITS).alias("bits")).collect()
-    return {r.bucket: bytes(r.bits) for r in found}
+    out = np.zeros(max(bits, BUCKET_BITS) // 8, np.uint8)
+    for r in found:
+        at = r.bucket * (BUCKET_BITS // 8)
+        own = np.frombuffer(bytes(r.bits), np.uint8)[: len(out) - at]
+        out[at : at + len(own)] = own
+    return out
 
 
-def has_bit(maps: dict[int, bytes], slot: int) -> bool:
-    bits = maps.get(slot // BUCKET_BITS)
-    at = slot % BUCKET_BITS
-    return bits is not None and bool(bits[at >> 3] >> (at & 7) & 1)
+def has_bit(bits: np.ndarray, slot: int | np.ndarray) -> bool | np.ndarray:
+    return (bits[slot >> 3] >> (slot & 7)) & 1 == 1
 
 
 def bit_filter(keys: DataFrame, column: str) -> Callable[[str | Column], Column]:
     """A predicate that is true for every value in ``keys[column]``, and for few others.
 
-    A join has to follow: the filter only leaves out rows.
+    A join has to follow: the filter only leaves out rows. ``keys`` is counted first.
     """
+    size = LEAST_BITS
+    n = keys.count()
+    while size < min(MOST_BITS, BITS_PER_KEY * n):
+        size *= 2
 
     def slot(value: str | Column) -> Column:
-        return F.pmod(F.xxhash64(value), F.lit(FILTER_BITS))
+        return F.pmod(F.xxhash64(value), F.lit(size))
 
-    maps = bit_maps(keys.select(slot(column).alias("slot")))
+    bits = bit_array(keys.select(slot(column).alias("slot")), size)
 
     @F.pandas_udf("boolean")
     def maybe(slots: pd.Series) -> pd.Series:
-        return pd.Series([has_bit(maps, s) for s in slots], dtype=bool)
+        return pd.Series(has_bit(bits, slots.to_numpy(np.int64)), dtype=bool)
 
     return lambda value: maybe(slot(value))

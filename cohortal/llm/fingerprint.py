@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortal.llm.bitfilter import bit_maps, has_bit
+from cohortal.llm.bitfilter import bit_array, has_bit
 from cohortal.llm.text import small_batches
 from cohortal.session import materialize
 
@@ -50,14 +50,14 @@ def collisions(docs: DataFrame, shared: DataFrame, id: str = "doc_id", text: str
     apart. Returns ``doc_id, fingerprint, told`` (the digest with a SHA-256 suffix); as a rule it is empty.
     """
     # The first 24 bits of a digest are its place in the filter.
-    maps = bit_maps(shared.select(F.conv(F.substring("fingerprint", 1, 6), 16, 10).cast("long").alias("slot")))
+    bits = bit_array(shared.select(F.conv(F.substring("fingerprint", 1, 6), 16, 10).cast("long").alias("slot")), 1 << 24)
 
     @F.pandas_udf("fingerprint string, canon string")
     def compared(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             d = digest(t)
-            rows.append((d, canonical(t)) if has_bit(maps, int(d[:6], 16)) else (None, None))
+            rows.append((d, canonical(t)) if has_bit(bits, int(d[:6], 16)) else (None, None))
         return pd.DataFrame(rows, columns=["fingerprint", "canon"], dtype=object)
 
     rows = docs.select(F.col(id).alias("doc_id"), compared(F.col(text)).alias("c")).select("doc_id", "c.*")
@@ -109,7 +109,7 @@ def edited_fingerprints(
 
     Documents are ordered by descending id; the last third of a text (rounded down) is
     replaced by as many code points (or all) of the start of the next text, after the last
-    document those of the first. Rows are dealt by id range and sorted, so that the next
+    document those of the first. Rows are dealt by ranges of id and text hash and sorted, so that the next
     document is the next row of the task; each task also hands out its first and its last
     text, and these, two rows a task, meet in a second small step.
 
@@ -125,7 +125,9 @@ def edited_fingerprints(
     key = F.col("doc_id").desc_nulls_last()
     packed = F.pandas_udf(lambda s: s.map(lambda t: zstandard.compress(t.encode("utf-8", "surrogatepass"), 3)), "binary")
     own = own.select("doc_id", packed("text").alias("packed"))  # a third of the text, half of Spark's own compression
-    dealt = own.repartitionByRange(n, key).sortWithinPartitions(key, "packed")
+    # Rows of one id are dealt by a hash of their texts: one id for many rows is no single task.
+    own = own.withColumn("order", F.xxhash64("packed"))
+    dealt = own.repartitionByRange(n, key, "order").sortWithinPartitions(key, "order", "packed").drop("order")
     kind = dict(own.dtypes)["doc_id"]
     fields = (
         f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "

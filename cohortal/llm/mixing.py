@@ -85,6 +85,7 @@ def mix(
     max_shards: int = 65_536,
     seed: int = 0,
     keep: tuple[str, ...] = (),
+    salt: Column | None = None,
 ) -> DataFrame:
     """Choose equal-token blocks of every source so that the mix meets target weights.
 
@@ -93,7 +94,7 @@ def mix(
        times its size.
     2. Sainte-Laguë gives the blocks to sources by their targets, then each source's blocks
        to its shards by their sizes: integer quotas.
-    3. In a shard, documents stand in an order seeded by a hash of the id. Blocks of ``block``
+    3. In a shard, documents stand in an order seeded by a hash of the id and ``salt``. Blocks of ``block``
        tokens are cut from this line, which starts over at its end up to ``max_repeats`` times
        (the last block may be short), and a quota takes the first ones.
 
@@ -106,15 +107,15 @@ def mix(
     shards reaches one task: a row per source in the apportionment of step 2, a row per
     shard of one source in that of its blocks. Texts are not shuffled unless kept.
 
-    Null sources are a source; null and repeated ids are allowed: equal rows share their place
-    in the order in either order. Documents without tokens take nothing. An empty table
+    Null sources are a source; null and repeated ids are allowed, and rows of one id spread over
+    the shards if their salts differ: equal rows share their place in the order in either order. Documents without tokens take nothing. An empty table
     gives an empty result.
     """
     kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
-    rows = docs.select(F.col(id).alias("doc_id"), kept.alias("kept"), F.col(source).alias("source"), size.cast("long").alias("size"))
+    rows = docs.select(F.col(id).alias("doc_id"), kept.alias("kept"), F.col(source).alias("source"), size.cast("long").alias("size"), (F.lit("") if salt is None else salt.cast("string")).alias("salt"))
     shards = min(max_shards, max(1, math.ceil(docs.count() / docs_per_shard)))
-    token = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("token", token)
+    token = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.col("salt")))
+    rows = rows.withColumn("token", token).drop("salt")
     shard = F.pmod(F.conv(F.substring("token", 1, 8), 16, 10).cast("long"), F.lit(shards)).cast("int")
     # A key that is never null keeps windows and joins on one partitioning.
     rows = rows.withColumn("shard", shard).withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
@@ -177,5 +178,5 @@ def mix(
 
 
 def mix_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``mix`` with word counts as sizes."""
-    return mix(docs, n_words(text), **options)
+    """``mix`` with word counts as sizes and a hash of the text as salt."""
+    return mix(docs, n_words(text), salt=F.xxhash64(text), **options)

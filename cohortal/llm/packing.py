@@ -59,6 +59,7 @@ def pack(
     budget: int = 65_536,
     rows_per_shard: int = 2_000,
     seed: int = 0,
+    salt: Column | None = None,
 ) -> DataFrame:
     """Cut documents into sequences, bucket these by length and fill batches of each bucket.
 
@@ -73,17 +74,18 @@ def pack(
 
     Places in a bucket come from places in its shards plus the sizes of the shards before, so
     no bucket is ordered by one task; shards number as the rows divided by
-    ``rows_per_shard``, and their order is random in the seed. Only ids and lengths are
-    shuffled. Null and repeated ids are kept, equal rows in either order. An empty table
+    ``rows_per_shard``, and their order is random in the seed, the id and ``salt``, so that rows
+    of one id spread if their salts differ. Only ids, lengths and salts are shuffled. Null and
+    repeated ids are kept, equal rows in either order. An empty table
     gives an empty result.
     """
     n = F.coalesce(length, F.lit(0)).cast("long")
-    rows = docs.select(F.col(id).alias("doc_id"), n.alias("n"))
+    rows = docs.select(F.col(id).alias("doc_id"), n.alias("n"), (F.lit(0).cast("long") if salt is None else salt).alias("salt"))
     last = F.greatest(F.ceil(F.col("n") / F.lit(float(max_length))).cast("int") - 1, F.lit(0))
-    pieces = rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    pieces = rows.select("doc_id", "n", "salt", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece").cast("long") * max_length
     pieces = pieces.select(
-        "doc_id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(max_length)).alias("n_tokens")
+        "doc_id", "piece", "salt", start.alias("start"), F.least(F.col("n") - start, F.lit(max_length)).alias("n_tokens")
     )
     pieces = materialize(pieces)
     counts = {r.n_tokens: r["count"] for r in pieces.groupBy("n_tokens").count().collect()}
@@ -93,7 +95,7 @@ def pack(
     for bound in reversed(bounds):
         bucket = F.when(F.col("n_tokens") <= bound, F.lit(bound)).otherwise(bucket)
     pieces = pieces.withColumn("bucket", F.when(F.col("n_tokens") > 0, bucket).otherwise(F.lit(0)))
-    token = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "piece")
+    token = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "piece", "salt")
     pieces = pieces.withColumn("token", token).withColumn("shard", F.pmod("token", F.lit(shards)).cast("int"))
     per_shard = pieces.groupBy("bucket", "shard").agg(F.count("*").alias("rows"))
     # Rows: buckets times shards, a row for some hundred sequences; ordered by bucket.
@@ -117,5 +119,5 @@ def pack(
 
 
 def pack_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``pack`` with word counts as lengths."""
-    return pack(docs, n_words(text), **options)
+    """``pack`` with word counts as lengths and a hash of the text as salt (null and empty texts: no tokens)."""
+    return pack(docs, n_words(text), salt=F.xxhash64(text), **options)

@@ -13,16 +13,26 @@ from pyspark.sql import functions as F
 from cohortal.llm.text import BLANKS, WORDS, small_batches
 
 SYMBOLS = "#*$%&|<>"
-# Phrases of navigation bars and of legal or technical boilerplate.
+# Phrases of navigation bars and of legal or technical boilerplate in English, German, French and Spanish.
+# Those that are found within a line start and end with ASCII letters, as word ends differ between engines elsewhere.
 NAVIGATION = (
     "home|menu|main menu|next|previous|prev|read more|more|sign in|sign up|log in|login|log out|logout|register|"
     "subscribe|share|share this|tweet|print|email this|search|skip to content|back to top|top|contact|contact us|"
-    "about|about us|sitemap|help|faq|categories|archives|tags|comments|reply|follow us|click here|loading"
+    "about|about us|sitemap|help|faq|categories|archives|tags|comments|reply|follow us|click here|loading|"
+    "startseite|hauptmenü|weiter|zurück|mehr lesen|weiterlesen|anmelden|abmelden|registrieren|abonnieren|teilen|drucken|kontakt|über uns|"
+    "zum inhalt springen|nach oben|kategorien|kommentare|antworten|folgen sie uns|hier klicken|impressum|"
+    "accueil|menu principal|suivant|précédent|lire la suite|en savoir plus|se connecter|connexion|déconnexion|s'inscrire|s'abonner|partager|imprimer|"
+    "contactez-nous|à propos|plan du site|aller au contenu|haut de page|catégories|commentaires|répondre|suivez-nous|cliquez ici|"
+    "página principal|menú|menú principal|siguiente|anterior|leer más|iniciar sesión|cerrar sesión|registrarse|suscribirse|compartir|imprimir|"
+    "contacto|quiénes somos|sobre nosotros|mapa del sitio|ir al contenido|categorías|comentarios|responder|síguenos|haga clic aquí"
 )
 BOILERPLATE = (
     "cookies?|privacy policy|terms of (?:use|service)|terms and conditions|all rights reserved|copyright|"
     "javascript|enable scripts|your browser|newsletter|powered by|lorem ipsum|page not found|advertisement|"
-    "unsubscribe|opt out"
+    "unsubscribe|opt out|"
+    "alle rechte vorbehalten|urheberrecht|nutzungsbedingungen|allgemeine gesch.ftsbedingungen|seite nicht gefunden|newsletter abbestellen|ihr browser|"
+    "tous droits r.serv.s|politique de confidentialit|mentions l.gales|conditions d'utilisation|conditions g.n.rales|page introuvable|votre navigateur|"
+    "todos los derechos reservados|derechos de autor|pol.tica de privacidad|aviso legal|t.rminos y condiciones|condiciones de uso|su navegador"
 )
 NAV_ITEM = re.compile(rf"(?:{NAVIGATION})", re.I)
 NAV_SPLIT = re.compile(r"\s*[|»›>·•/]\s*|\s{2,}|\t")

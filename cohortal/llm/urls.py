@@ -34,8 +34,8 @@ def filter_urls(
     host and all subdomains where the URL's path starts with the rule's path. Of the rules
     that fit, the longest ``host + path`` wins; of equally long ones the one that blocks.
 
-    Distinct (host, path) pairs are expanded into host suffixes times path prefixes of the
-    lengths that rules have, joined with the rules on the first hex digits of a SHA-256,
+    Distinct (host, path) pairs are expanded into host suffixes of as many labels as
+    rules have, times path prefixes of the lengths that they have, joined with the rules on the first hex digits of a SHA-256,
     confirmed on the full digest, and reduced to the winner by an aggregate that combines
     before its shuffle. Returns the ``keep`` columns, ``host``, ``path``, ``rule`` and
     ``verdict`` (``default`` where no rule fits: null and odd URLs, an empty rule table).
@@ -50,15 +50,15 @@ def filter_urls(
             F.concat("host", "path").alias("rule"),
             F.col("verdict").alias("says"),
             F.length("path").alias("path_len"),
+            F.size(F.split("host", r"\.")).alias("n_labels"),
         ).distinct()
     )
-    # A rule's path length takes few values: the longest URLs have some thousand characters.
+    # Lengths of paths and numbers of labels in rules take few values, whatever the URLs look like.
     lengths = sorted(x[0] for x in r.select("path_len").distinct().collect())
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."),
-    )
+    labels = sorted(x[0] for x in r.select("n_labels").distinct().collect())
+    dots = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit("")))
+    suffixes = F.array(*[F.when(dots >= k - 1, F.substring_index("host", ".", -k)) for k in labels])
+    suffixes = F.array_compact(suffixes) if labels else F.array().cast("array<string>")
     prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])
     prefixes = F.array_compact(prefixes) if lengths else F.array().cast("array<string>")
     pairs = judged.select("host", "path").where("host != ''").distinct()

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations_with_replacement
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from cohortal.llm import fingerprint as FP
 from cohortal.llm import mixing as MX
 from cohortal.llm import packing as PK
 from cohortal.llm import toxicity as TX
@@ -141,6 +143,27 @@ def test_urls(spark):
     assert urls.filter_urls(pages, rules.limit(0), keep=("page_id",)).where("verdict = 'allow'").count() == len(rows)
 
 
+def test_very_long_hosts(spark):
+    start = time.perf_counter()
+    rows = [(1, "http://" + "a." * 500_000 + "net/x"), (2, "http://" + "b" * 1_000_000 + "/net/"), (3, "http://x/" + "p/" * 300_000)]
+    rules = spark.createDataFrame([("net", "/", "block"), ("a.a.net", "/x", "allow"), ("a.b.net", "/", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    by = {r.page_id: r.rule for r in urls.filter_urls(pages, rules, keep=("page_id",)).collect()}
+    assert by == {1: "a.a.net/x", 2: None, 3: None} and time.perf_counter() - start < 15
+
+
+def test_rows_of_one_id_are_dealt_to_many_shards(spark):
+    rng = random.Random(6)
+    docs = documents(spark, [(7, prose(rng, 20)) for _ in range(400)])
+    packed = PK.pack_documents(docs, rows_per_shard=20, n_buckets=1, max_length=64, budget=64)
+    assert packed.count() == 400 and packed.select("batch", "slot").distinct().count() == 400
+    mixed = MX.mix_documents(docs, docs_per_shard=20)
+    assert mixed.agg(F.sum("taken")).first()[0] == 400 * 20
+    shards = lambda df: df.groupBy(F.spark_partition_id()).count().count()
+    spread = FP.edited_fingerprints(docs, partitions=8)
+    assert spread.count() == 400 and shards(docs.withColumn("h", F.xxhash64("text")).repartitionByRange(8, F.col("doc_id"), F.col("h"))) > 4
+
+
 def toxic_corpus(spark, n=700):
     rng = random.Random(9)
     rows, labels = [], []

@@ -40,6 +40,17 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert got[20].base_failed and got[20].n_words == 0 and not got[21].kept
 
 
+@pytest.mark.parametrize(
+    ("line", "fault"),
+    [
+        ("Alle Rechte vorbehalten.", "boilerplate"), ("Tous droits réservés", "boilerplate"), ("Todos los derechos reservados.", "boilerplate"), ("Startseite · Über uns · Kontakt", "navigation"),
+        ("Accueil > Plan du site", "navigation"), ("Menú · Contacto · Quiénes somos", "navigation"), ("Er kam zur Startseite zurück.", None), ("Il faut partager le pain.", None),
+    ],
+)
+def test_lines_in_four_languages(line, fault):
+    assert quality.line_fault(words(line), line) == fault
+
+
 def plain_spans(text):
     t = text or ""
     out = []
