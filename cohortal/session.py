@@ -24,6 +24,7 @@ def local_session(cores: str = "8", app: str = "cohortal") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -38,13 +39,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the one the cluster names, else a fresh local one.
 
     ``spark.checkpoint.dir`` names a folder that the driver and all executors share.
-    Only where it is unset, as in tests on one machine, a temporary folder is used.
+    Only where it is unset, as in tests on one machine, a temporary folder is used; with
+    executors on other machines that is an error. A session that sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` (as ``local_session`` does) removes
+    checkpoints once nothing refers to them.
     """
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known:
         return known
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "cohortal-checkpoints"))
     return sc.getCheckpointDir()
 
@@ -55,14 +61,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 5_000) -> DataFrame:
-    """Mark a materialized, narrow table for broadcast after counting it.
+def broadcast_if_small(df: DataFrame, max_bytes: int = 8 << 20) -> DataFrame:
+    """Mark a materialized table for broadcast after measuring its rows as JSON, on the executors.
 
-    Beyond ``max_rows`` the table is returned unmarked and the join shuffles.
+    Beyond ``max_bytes`` the table is returned unmarked and the join shuffles.
     """
-    if len(df.take(max_rows + 1)) <= max_rows:
-        return F.broadcast(df)
-    return df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})))).first()[0]
+    return F.broadcast(df) if (size or 0) <= max_bytes else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
