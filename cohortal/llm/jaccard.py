@@ -381,7 +381,7 @@ class JaccardJoin:
     Large buckets and groups are dealt into chunks and the pairs of chunks to tasks, so that no
     task holds a group; what a task hands out is a row per document, never a group's pairs.
     Chunks have ``prune_chunk`` and ``verify_chunk`` rows, the latter at most 4 MB of shingles: a
-    row of a group of m rows travels m / chunk times. Texts travel only for documents in
+    row of a group of m rows travels m / chunk times, and up to eight times in smaller groups. Texts travel only for documents in
     groups, after a filter of fixed size. Keys that may be hot are joined by ``join_sized``.
     """
 
@@ -428,7 +428,9 @@ class JaccardJoin:
         found = materialize(found)
         sizes = found.groupBy("root").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("all_shingles"))
         sizes = materialize(sizes)
-        needed = F.ceil(F.greatest(F.col("members") / self.verify_chunk, F.col("all_shingles") * 8 / F.lit(VERIFY_BYTES)))
+        # A middling group is split up to eight times, so that it does not fill one task.
+        split = F.least(F.lit(8.0), F.col("members") / 128)
+        needed = F.ceil(F.greatest(F.col("members") / self.verify_chunk, split, F.col("all_shingles") * 8 / F.lit(VERIFY_BYTES)))
         sizes = sizes.select("root", "members", F.greatest(needed, F.lit(1)).cast("int").alias("n_chunks"))
         return materialize(join_sized(found, sizes, "root", "members", found.count()))
 
