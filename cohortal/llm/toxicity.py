@@ -34,22 +34,26 @@ LEXICONS = {
     "es profanity": "gilipollas cabrón cabrones puta putas mierda pendejo hijoputa maricón zorra",
 }
 _WORST = "idiot|stupid|moron|loser|scum|trash|clown|pathetic|worthless|disgusting|fool|imbecile|pig|filth"
-#: Pattern voters read the whole text.
+_WORST_DE, _WORST_FR, _WORST_ES = "idiot|trottel|versager|arschloch|dummkopf|abschaum", "idiot|imbécile|crétin|connard|salaud|ordure", "idiota|imbécil|estúpid|basura|escoria|payaso"
+#: Pattern voters read the whole text, if one of its tokens has the anchor, without which the pattern cannot match.
 PATTERNS = {
-    "address": re.compile(rf"\b(?:you|your|you're|u)\W+(?:\w+\W+){{0,2}}?(?:{_WORST})", re.I),
-    "called": re.compile(rf"\b(?:such|what|another|total|complete|utter)\W+(?:an?\W+)?(?:{_WORST})", re.I),
-    "hate": re.compile(r"\b(?:hate|kill|destroy)\W+(?:you|them|yourself)\b", re.I),
-    "dismissal": re.compile(r"\b(?:shut up|go to hell|get lost|screw you|drop dead|nobody (?:likes|wants) you)\b", re.I),
-    "masked": re.compile(r"\b\w+[*@#$]{2,}\w+\b"),
-    "piled": re.compile(rf"\b(?:{_WORST})\W+(?:and\W+)?(?:{_WORST})", re.I),
-    "loud": re.compile(rf"\b(?:{_WORST})\w*\s*!{{2,}}", re.I),
-    "de address": re.compile(r"\b(?:du|ihr|sie)\W+(?:\w+\W+){0,2}?(?:idiot|trottel|versager|arschloch|dummkopf|abschaum)", re.I),
-    "de dismissal": re.compile(r"\b(?:halt die (?:klappe|fresse)|verpiss dich|fahr zur hölle)\b", re.I),
-    "fr address": re.compile(r"\b(?:tu|vous|espèce d[e'])\W*(?:\w+\W+){0,2}?(?:idiot|imbécile|crétin|connard|salaud|ordure)", re.I),
-    "fr dismissal": re.compile(r"\b(?:ta gueule|ferme-la|va te faire|casse-toi)\b", re.I),
-    "es address": re.compile(r"\b(?:tú|eres|usted|son)\W+(?:\w+\W+){0,2}?(?:idiota|imbécil|estúpid|basura|escoria|payaso)", re.I),
-    "es dismissal": re.compile(r"\b(?:cállate|vete a la|hijo de puta|que te jodan)\b", re.I),
+    "address": (_WORST, rf"\b(?:you|your|you're|u)\W+(?:\w+\W+){{0,2}}?(?:{_WORST})"),
+    "called": (_WORST, rf"\b(?:such|what|another|total|complete|utter)\W+(?:an?\W+)?(?:{_WORST})"),
+    "hate": (r"\b(?:hate|kill|destroy)\b", r"\b(?:hate|kill|destroy)\W+(?:you|them|yourself)\b"),
+    "dismissal": (r"\b(?:shut|hell|lost|screw|drop|nobody)\b", r"\b(?:shut up|go to hell|get lost|screw you|drop dead|nobody (?:likes|wants) you)\b"),
+    "masked": (r"\w[*@#$]{2,}\w", r"\w[*@#$]{2,}\w"),
+    "piled": (_WORST, rf"\b(?:{_WORST})\W+(?:and\W+)?(?:{_WORST})"),
+    "loud": (_WORST, rf"\b(?:{_WORST})\w*\s*!{{2,}}"),
+    "de address": (_WORST_DE, rf"\b(?:du|ihr|sie)\W+(?:\w+\W+){{0,2}}?(?:{_WORST_DE})"),
+    "de dismissal": (r"\b(?:klappe|fresse|verpiss|hölle)\b", r"\b(?:halt die (?:klappe|fresse)|verpiss dich|fahr zur hölle)\b"),
+    "fr address": (_WORST_FR, rf"\b(?:tu|vous|espèce d[e'])\W*(?:\w+\W+){{0,2}}?(?:{_WORST_FR})"),
+    "fr dismissal": (r"\b(?:gueule|ferme|faire|casse)\b", r"\b(?:ta gueule|ferme-la|va te faire|casse-toi)\b"),
+    "es address": (_WORST_ES, rf"\b(?:tú|eres|usted|son)\W+(?:\w+\W+){{0,2}}?(?:{_WORST_ES})"),
+    "es dismissal": (r"\b(?:cállate|vete|puta|jodan)\b", r"\b(?:cállate|vete a la|hijo de puta|que te jodan)\b"),
 }
+ANCHORS = [re.compile(a) for a, _ in PATTERNS.values()]
+ANY_ANCHOR = re.compile("|".join(f"(?:{a})" for a in dict.fromkeys(a for a, _ in PATTERNS.values())))
+COMPILED = [re.compile(p, re.I) for _, p in PATTERNS.values()]
 TOKEN = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6)
 
@@ -64,7 +68,10 @@ def token_features(token: str) -> list[str]:
 
 
 def text_features(text: str | None, memo: dict[str, tuple], wanted: dict[str, tuple[int, ...]] | None = None) -> set:
-    """Distinct features of a text, or the numbers of those that are wanted."""
+    """Distinct features of a text, or the numbers of those that are wanted.
+
+    Among the numbers are -1 - k for the k-th pattern if a token has its anchor.
+    """
     found: set = set()
     for token in set((text or "").lower().split()):
         own = memo.get(token)
@@ -72,18 +79,16 @@ def text_features(text: str | None, memo: dict[str, tuple], wanted: dict[str, tu
             if len(memo) > MAX_MEMO:
                 memo.clear()
             own = token_features(token)
-            own = tuple(own if wanted is None else [i for f in own if f in wanted for i in wanted[f]])
-            memo[token] = own
+            if wanted is not None:
+                own = [i for f in own if f in wanted for i in wanted[f]]
+                if ANY_ANCHOR.search(token):
+                    own += [-1 - k for k, anchor in enumerate(ANCHORS) if anchor.search(token)]
+            own = memo[token] = tuple(own)
         if own:
             found.update(own)
     return found
 
 
-def fired_patterns(text: str | None) -> list[int]:
-    text = text or ""
-    return [k for k, p in enumerate(PATTERNS.values()) if p.search(text)]
-
-
 @dataclass
 class Rows:
     """A sparse table of zeros and ones: the columns of the ones, row by row, and weights of the rows."""
@@ -317,7 +322,8 @@ class ToxicityModel:
 
 def fired_of(text: str | None, memo: dict, wanted: dict[str, tuple[int, ...]], n_words: int) -> list[int]:
     """Numbers of what fires in a text: words and beginnings first, then patterns from ``n_words`` on."""
-    return sorted({*text_features(text, memo, wanted), *(n_words + k for k in fired_patterns(text))})
+    found = text_features(text, memo, wanted)
+    return sorted([i if i >= 0 else n_words - 1 - i for i in found if i >= 0 or COMPILED[-1 - i].search(text)])
 
 
 def voter_numbers(mined: Sequence[str]) -> tuple[dict[str, tuple[int, ...]], int]:

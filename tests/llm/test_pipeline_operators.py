@@ -235,6 +235,16 @@ def test_toxicity_without_labels(spark):
     assert TX.toxicity(docs.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["You are such an idiot!! Go to hell", "they hate you and KILL them", "a sh**ty f@#k word", "Du bist ein Trottel, halt die Klappe", "espèce d'imbécile, ta gueule", "Eres un payaso. Cállate", "nothing here", "", None,
+     "(stupid)loser and trash", "what a \n clown", "You,fool", "son basura\tvete a la calle"],
+)
+def test_anchors_lose_no_pattern(text):
+    want = [k for k, p in enumerate(TX.COMPILED) if p.search(text or "")]
+    assert TX.fired_of(text, {}, {}, 0) == want
+
+
 def table(votes):
     return TX.Rows.of([list(np.flatnonzero(v)) for v in votes], votes.shape[1])
 
