@@ -76,7 +76,8 @@ def descriptor_block(name: Column) -> Column:
 
 
 def oriented_z(x: Column, mean: Column, std: Column, sign: Column) -> Column:
-    return sign * (x - mean) / std
+    """Deviation from a mean in standard deviations, positive where it is suspicious; null for a constant feature."""
+    return sign * (x - mean) / F.nullif(std, F.lit(0.0))
 
 
 def level(z: Column) -> Column:

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortal.operators.ranking import roc_auc
+from cohortal.operators.prefix import running_totals
+from cohortal.operators.ranking import ratio, roc_auc, roc_points
 
 BLOCKS = ("A", "B", "C", "D")
 
@@ -77,12 +77,24 @@ def normal_p(z: pd.Series) -> pd.Series:
 
 
 def _mcnemar(b: int, c: int) -> float:
+    """Twice the lower tail of a fair binomial, by the continued fraction of the incomplete beta function."""
     n, k = b + c, min(b, c)
-    if n == 0:
+    if n == 0 or 2 * k == n:
         return 1.0
-    # Binomial tail in logarithms: counts may be large.
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
-    return min(1.0, 2 * sum(map(math.exp, logs)))
+    # The tail up to k is I_1/2(n - k, k + 1); its fraction converges fast as 1/2 lies below its mean.
+    p, q = n - k, k + 1
+    front = math.exp(math.lgamma(n + 1) - math.lgamma(p) - math.lgamma(q) - (n + 1) * math.log(2)) / p
+    tiny = 1e-300
+    f, d = 1.0, 1.0 / (1 - (p + q) / (p + 1) / 2 or tiny)
+    c_, f = 1.0, d
+    for m in range(1, 10_000):
+        for term in (m * (q - m) / ((p + 2 * m - 1) * (p + 2 * m)) / 2, -(p + m) * (p + q + m) / ((p + 2 * m) * (p + 2 * m + 1)) / 2):
+            d = 1 / (1 + term * d or tiny)
+            c_ = 1 + term / c_ or tiny
+            f *= d * c_
+        if abs(d * c_ - 1) < 1e-14:
+            break
+    return min(1.0, 2 * front * f)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -91,58 +103,120 @@ def mcnemar_p(b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([_mcnemar(int(x), int(y)) for x, y in zip(b, c, strict=True)], dtype="float64")
 
 
-def _auc(y: np.ndarray, s: np.ndarray, w: np.ndarray) -> float:
-    """AUC of weighted rows: ties count half."""
-    order = np.argsort(s, kind="stable")
-    y, s, w = y[order], s[order], w[order]
-    pos, neg = w * (y == 1), w * (y == 0)
-    _, at = np.unique(s, return_index=True)
-    p, n = np.add.reduceat(pos, at), np.add.reduceat(neg, at)
-    if not p.sum() or not n.sum():
-        return math.nan
-    below = np.cumsum(n) - n
-    return float((p * (below + n / 2)).sum() / (p.sum() * n.sum()))
-
-
-def bootstrap_auc(
-    df: DataFrame, id: str, truth: str, base: str, new: str | None = None, replicates: int = 1000, seed: int = 42, stratified: bool = True
-) -> DataFrame:
-    """Percentile intervals of an AUC, or of the difference of two on the same resamples.
-
-    Scores are first reduced to a row per (truth, scores) with its count, by an aggregate; a replicate
-    draws multinomial weights for these rows, within each class if ``stratified``. Replicates are
-    dealt to tasks, each seeded by its number, so that reruns agree and rows are not copied per
-    replicate. The reduced table is broadcast: it has a row per distinct score, and scores at more
-    than ``2**20`` distinct values are refused. Returns ``replicates, mean, ci_low, ci_high, n_undefined``.
+#: Distribution function of Poisson(1) at 0, 1, 2, ...: a uniform number's weight is how many of these it reaches.
+POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(11))
+
+
+def resampled(df: DataFrame, id: str, replicates: int, seed: int = 42) -> DataFrame:
+    """Every row with its weight ``_w`` (positive) in every replicate ``_rep``: a Poisson bootstrap.
+
+    A row's weight is Poisson(1), from the first 32 bits of the MD5 of seed, replicate and id, so that
+    any engine draws the same. Nothing is collected; aggregates by replicate combine before
+    they shuffle.
     """
-    cols = [F.col(base).cast("double").alias("a"), F.col(new or base).cast("double").alias("b")]
-    rows = df.where(F.col(truth).isNotNull()).select(F.col(truth).cast("int").alias("y"), *cols)
-    table = rows.groupBy("y", "a", "b").agg(F.count("*").alias("n")).orderBy("y", "a", "b").limit((1 << 20) + 1).toPandas()
-    if len(table) > 1 << 20:
-        raise ValueError("too many distinct scores: round them first")
-    y, a, b, n = (table[c].to_numpy() for c in ("y", "a", "b", "n"))
-    paired = new is not None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch["id"]:
-                rng = np.random.default_rng([seed, int(r)])
-                w = np.zeros(len(y))
-                for group in ([y == 1, y == 0] if stratified else [np.ones(len(y), bool)]):
-                    if n[group].sum():
-                        w[group] = rng.multinomial(n[group].sum(), n[group] / n[group].sum())
-                value = _auc(y, a, w)
-                out.append(_auc(y, b, w) - value if paired else value)
-            yield pd.DataFrame({"value": out})
-
-    spark = df.sparkSession
-    parts = max(1, min(replicates // 50, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    values = spark.range(0, replicates, 1, parts).mapInPandas(run, "value double").withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-    return values.agg(
+    key = F.concat(F.lit(f"{seed}|"), F.col("_rep").cast("string"), F.lit("|"), F.col(id).cast("string"))
+    u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    weight = sum((F.when(u >= x, 1).otherwise(0) for x in POISSON), F.lit(0))
+    every = df.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return every.withColumn("_w", weight).where("_w > 0")
+
+
+def _weighted_auc(rows: DataFrame, score: str, positive: Column, by: Sequence[str]) -> DataFrame:
+    """``by, auc, n_pos`` of weighted rows; null with one class only."""
+    w = lambda c: F.sum(F.when(c, F.col("_w")).otherwise(0))
+    each = rows.groupBy(*by, F.col(score).cast("double").alias("score")).agg(w(positive).alias("pos"), w(~positive).alias("neg"))
+    ranked = running_totals(each, [F.col("score")], {"neg_le": F.col("neg")}, by)
+    hits = F.sum(F.col("pos") * (F.col("neg_le") - F.col("neg") / 2))
+    both = F.nullif((F.sum("pos") * F.sum("neg")).cast("double"), F.lit(0.0))
+    return ranked.groupBy(*by).agg((hits / both).alias("auc"), F.sum("pos").alias("n_pos"))
+
+
+def intervals(values: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``metric, replicates, mean, median, ci_low, ci_high, n_undefined`` of a column per metric, a row per replicate."""
+    long = values.unpivot([], list(names), "metric", "value")
+    at = lambda q: F.percentile("value", F.lit(q))
+    return long.groupBy("metric").agg(
         F.count("*").alias("replicates"),
         F.avg("value").alias("mean"),
-        F.percentile("value", F.lit(0.025)).alias("ci_low"),
-        F.percentile("value", F.lit(0.975)).alias("ci_high"),
+        at(0.5).alias("median"),
+        at(0.025).alias("ci_low"),
+        at(0.975).alias("ci_high"),
         F.count_if(F.col("value").isNull()).alias("n_undefined"),
     )
+
+
+def bootstrap_auc(df: DataFrame, id: str, truth: str, base: str, new: str | None = None, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Percentile interval of an AUC, or of the difference of two on the same resamples (see ``resampled``).
+
+    One row: ``replicates, mean, median, ci_low, ci_high, n_undefined``. Replicates with one class
+    only are undefined and left out of the rest.
+    """
+    rows = resampled(df.where(F.col(truth).isNotNull()), id, replicates, seed)
+    values = _weighted_auc(rows, base, F.col(truth) == 1, ["_rep"]).select("_rep", F.col("auc").alias("value"))
+    if new is not None:
+        other = _weighted_auc(rows, new, F.col(truth) == 1, ["_rep"]).select("_rep", F.col("auc").alias("other"))
+        values = values.join(other, "_rep").withColumn("value", F.col("other") - F.col("value"))
+    return intervals(values, ["value"]).drop("metric")
+
+
+def bootstrap_ap_delta(df: DataFrame, id: str, truth: str, base: str, new: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Like ``bootstrap_auc`` with two scores, for the difference of average precisions."""
+    rows = resampled(df.where(F.col(truth).isNotNull()), id, replicates, seed)
+    w = lambda c: F.sum(F.when(c, F.col("_w")).otherwise(0))
+    ap = []
+    for name, score in (("a", base), ("b", new)):
+        each = rows.groupBy("_rep", F.col(score).cast("double").alias("score")).agg(w(F.col(truth) == 1).alias("pos"), F.sum("_w").alias("all"))
+        ranked = running_totals(each, [F.col("score").desc()], {"tp": F.col("pos"), "called": F.col("all")}, ["_rep"])
+        gained = F.sum(F.col("pos") * F.col("tp") / F.col("called")) / F.nullif(F.sum("pos"), F.lit(0))
+        ap.append(ranked.groupBy("_rep").agg(gained.alias(name)))
+    values = ap[0].join(ap[1], "_rep").select((F.col("b") - F.col("a")).alias("value"))
+    return intervals(values, ["value"]).drop("metric")
+
+
+def bootstrap_multiclass(df: DataFrame, id: str, truth: str, pred: str, probabilities: Sequence[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Intervals of seven metrics of a classifier: balanced accuracy, macro and weighted F1, macro and
+    weighted one-against-rest AUC, log loss and Brier score, each on the same resamples."""
+    k = len(probabilities)
+    rows = resampled(df.where(F.col(truth).isNotNull()), id, replicates, seed)
+    own = F.element_at(F.array(*[F.col(c) for c in probabilities]), F.col(truth) + 1)
+    loss = -F.ln(F.greatest(own, F.lit(2.220446049250313e-16)))
+    brier = sum(((F.col(c) - (F.col(truth) == i).cast("double")) ** 2 for i, c in enumerate(probabilities)), F.lit(0.0))
+    w, total = F.col("_w"), F.sum("_w").cast("double")
+    when = lambda c: F.sum(F.when(c, w).otherwise(0)).cast("double")
+    t, p = F.col(truth), F.col(pred)
+    wide = rows.groupBy("_rep").agg(
+        total.alias("n"), (F.sum(w * loss) / total).alias("log_loss"), (F.sum(w * brier) / total).alias("brier"),
+        *[x.alias(f"{name}{i}") for i in range(k) for name, x in (("t", when(t == i)), ("p", when(p == i)), ("tp", when((t == i) & (p == i))))],
+    )
+    c = F.col
+    recall = sum((c(f"tp{i}") / F.nullif(c(f"t{i}"), F.lit(0.0)) for i in range(k)), F.lit(0.0)) / k
+    f1 = [F.coalesce(2 * c(f"tp{i}") / F.nullif(c(f"t{i}") + c(f"p{i}"), F.lit(0.0)), F.lit(0.0)) for i in range(k)]
+    one = rows.select("_rep", "_w", F.explode(F.array(*[F.struct(F.lit(i).alias("class"), F.col(x).alias("s"), (t == i).alias("is")) for i, x in enumerate(probabilities)])).alias("o"))
+    auc = _weighted_auc(one.select("_rep", "_w", "o.*"), "s", F.col("is"), ["_rep", "class"])
+    auc = auc.groupBy("_rep").agg(F.avg("auc").alias("macro_auc_ovr"), (F.sum(F.col("auc") * F.col("n_pos")) / F.sum("n_pos")).alias("weighted_auc_ovr"), F.count("auc").alias("_k"))
+    defined = lambda x: F.when(F.col("_k") == k, x)
+    values = wide.join(auc, "_rep").select(
+        recall.alias("balanced_accuracy"), (sum(f1, F.lit(0.0)) / k).alias("macro_f1"),
+        (sum((f1[i] * c(f"t{i}") for i in range(k)), F.lit(0.0)) / c("n")).alias("weighted_f1"),
+        defined(c("macro_auc_ovr")).alias("macro_auc_ovr"), defined(c("weighted_auc_ovr")).alias("weighted_auc_ovr"), "log_loss", "brier",
+    )
+    return intervals(values, values.columns)
+
+
+def bootstrap_youden(df: DataFrame, id: str, truth: str, score: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Intervals of the threshold of the greatest Youden index in resamples, and of the sensitivity and
+    specificity that it has on the whole sample. Resamples of one class are undefined."""
+    rows = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull())
+    w = lambda y: F.sum(F.when(F.col(truth) == y, F.col("_w")).otherwise(0))
+    each = resampled(rows, id, replicates, seed).groupBy("_rep", F.col(score).cast("double").alias("score")).agg(w(1).alias("pos"), w(0).alias("neg"))
+    ranked = running_totals(each, [F.col("score")], {"pos_le": F.col("pos"), "neg_le": F.col("neg")}, ["_rep"])
+    total = ranked.groupBy("_rep").agg(F.max("pos_le").alias("n_pos"), F.max("neg_le").alias("n_neg"))
+    points = ranked.join(total, "_rep")
+    sens = ratio(F.col("n_pos") - F.col("pos_le") + F.col("pos"), F.col("n_pos"))
+    spec = ratio(F.col("neg_le") - F.col("neg"), F.col("n_neg"))
+    points = points.withColumn("j", F.round(sens + spec - 1, 12))
+    best = points.groupBy("_rep").agg(F.max(F.struct("j", (-F.col("score")).alias("t"))).alias("best"))
+    best = best.select("_rep", F.when(F.col("best.j").isNotNull(), -F.col("best.t")).alias("threshold"))
+    whole = roc_points(rows, score, truth).select(F.col("threshold").alias("t"), F.col("tpr").alias("sens"), (1 - F.col("fpr")).alias("spec"))
+    values = best.join(whole, F.col("threshold") == F.col("t"), "left").select("threshold", "sens", "spec")
+    return intervals(values, ["threshold", "sens", "spec"])

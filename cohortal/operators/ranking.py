@@ -11,10 +11,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortal.operators.prefix import running_totals
+from cohortal.operators.prefix import running_least, running_totals
 from cohortal.session import materialize
 
 #: Two-sided 95 % quantile of the normal distribution.
@@ -200,10 +199,9 @@ def bh_fdr(df: DataFrame, p: str, by: Sequence[str] = (), tie: Sequence[str] = (
         ranked = ranked.join(ranked.groupBy(*by).agg(F.max("_rank").alias("_m")), list(by))
     else:
         ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.max("_rank").alias("_m"))))
-    # The least over greater ranks along the order of distinct p; a family has few of them.
-    w = W.partitionBy(*by).orderBy(F.col("_p").desc()).rowsBetween(W.unboundedPreceding, 0)
-    q = F.least(F.min(F.col("_p") * F.col("_m") / F.col("_rank")).over(w), F.lit(1.0))
-    found = ranked.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_p"), q.alias("q"))
+    ranked = ranked.withColumn("_q", F.col("_p") * F.col("_m") / F.col("_rank"))
+    least = running_least(ranked, [F.col("_p").desc()], "_q", by)
+    found = least.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_p"), F.least("_q", F.lit(1.0)).alias("q"))
     on = F.col(p) == F.col("_p")
     for c in by:
         on = on & (F.col(c) == F.col(f"_{c}"))

@@ -126,12 +126,17 @@ def group_folds(df: DataFrame, group: str, label: str, folds: int, seed: int = 0
     that order, which evens out both; there is no greedy pass over all groups in one task.
     """
     g = df.groupBy(group).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("long")).alias("_p"))
-    g = g.withColumn("_o", F.xxhash64(F.lit(seed), F.col(group)))
+    g = g.withColumn("_o", F.md5(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string"))))
     ranked = numbered(g, [F.col("_n").desc(), F.col("_p").desc(), F.col("_o"), F.col(group)], "_k")
     k = F.pmod(F.col("_k") - 1, F.lit(2 * folds))
     return ranked.select(group, F.when(k < folds, k).otherwise(2 * folds - 1 - k).cast("int").alias("fold"))
 
 
+def fold_leaks(df: DataFrame, group: str, fold: str = "fold") -> DataFrame:
+    """Groups that occur in more than one fold, with their number of folds: empty if nothing leaks."""
+    return df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count_distinct(fold).alias("n_folds")).where("n_folds > 1")
+
+
 def near_duplicate_pairs(df: DataFrame, id: str, keys: Sequence[str], distance: Column | None = None, limit: float = 1.0) -> DataFrame:
     """Pairs a < b with equal hash keys and, if given, a distance up to the limit.
 

@@ -38,7 +38,11 @@ def joined_view(analysis: DataFrame, patient: DataFrame, labels: DataFrame, arch
     """Analyses with their patient and newest label; without archived ones unless asked for."""
     rows = analysis if archived else analysis.where(not_archived())
     people = patient.select(F.col("id").alias("patient_id"), F.col("name").alias("patient_name"), "sex", "sun_exposure", "antecedents")
-    return rows.join(people, "patient_id", "left").join(latest_labels(labels), "id", "left")
+    # Rows without a patient have nothing to join: their nulls would all meet in one task.
+    named = rows.where(F.col("patient_id").isNotNull()).join(people, "patient_id", "left")
+    joined = named.unionByName(rows.where(F.col("patient_id").isNull()), allowMissingColumns=True)
+    known = labels.join(rows.select(F.col("id").alias("analysis_id")), "analysis_id", "left_semi")
+    return joined.join(latest_labels(known), "id", "left")
 
 
 def analysis_view(analysis: DataFrame, patient: DataFrame, labels: DataFrame, archived: bool = False) -> DataFrame:
@@ -107,6 +111,32 @@ def archive(analysis: DataFrame, ids: DataFrame, ts: int, reason: str | None = N
     return out, log
 
 
+def append(base: DataFrame, new: DataFrame, event: str, ts: int, analysis: str = "id", detail: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The table with rows appended (columns that they lack are null), and the audit rows to append.
+
+    ``analysis`` is the column of ``new`` that has the analysis; serves analyses, labels and validations.
+    """
+    log = new.select(F.lit(ts).cast("long").alias("ts"), F.lit(event).alias("event"), F.col(analysis).alias("analysis_id"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
+    return base.unionByName(new.select(*[c for c in base.columns if c in new.columns]), allowMissingColumns=True), log
+
+
+def log_analysis(analysis: DataFrame, new: DataFrame, ts: int) -> tuple[DataFrame, DataFrame]:
+    """Append analyses, and an audit row of each."""
+    return append(analysis, new, "analysis", ts)
+
+
+def add_verified_label(labels: DataFrame, new: DataFrame, ts: int) -> tuple[DataFrame, DataFrame]:
+    """Append labels (``analysis_id, verified_class, source`` and more); the audit row's detail is the class."""
+    return append(labels, new.withColumn("ts", F.lit(ts).cast("long")), "label", ts, "analysis_id", F.col("verified_class"))
+
+
+def add_validation(validations: DataFrame, new: DataFrame, ts: int) -> tuple[DataFrame, DataFrame]:
+    """Append a clinician's answers: agreement, or the class that is right instead."""
+    rows = new.withColumn("ts", F.lit(ts).cast("long"))
+    detail = F.when(F.col("md_agree") == 1, "agree").otherwise(F.concat(F.lit("class "), F.col("md_class").cast("string")))
+    return append(validations, rows, "validation", ts, "analysis_id", detail)
+
+
 def bulk_labels(ids: DataFrame, verified_class: int, ts: int, source: str = "biopsy", note: str | None = None) -> DataFrame:
     """One label per id to append."""
     return ids.select(

@@ -253,9 +253,12 @@ def stratified_folds(spark, sf_dir):
     return R.fold_of(p, "truth", R.modular_order(F.col("row_index"), 1), 10)
 
 
-@query()
+@query(
+    """SELECT group_key, CAST(CASE WHEN k < 5 THEN k ELSE 9 - k END AS INT) AS fold FROM (
+      SELECT group_key, (row_number() OVER (ORDER BY count(*) DESC, sum(y) DESC, md5('0|' || group_key), group_key) - 1) % 10 AS k FROM pred GROUP BY group_key)""",
+    V.PRED + "\n",
+)
 def grouped_folds(spark, sf_dir):
-    """Folds by hash order; checked by tests for whole groups and balance."""
     return R.group_folds(predictions(spark, sf_dir), "group_key", "y", 5)
 
 
@@ -418,26 +421,105 @@ def factorial_conditions(spark, sf_dir):
     return E.conditions(spark)
 
 
-@query()
+#: Resamples of the predictions in SQL: every row with its weight in each replicate.
+REPLICATES = 200
+BOOT = f""", drawn AS (SELECT pred.*, rep, CAST('0x' || substr(md5('42|' || rep || '|' || row_index), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM pred, (SELECT unnest(range({REPLICATES})) AS rep)),
+boot AS (SELECT *, {" + ".join(f"(u >= {x!r}::DOUBLE)::INT" for x in E.POISSON)} AS w FROM drawn WHERE u >= {E.POISSON[0]!r}::DOUBLE)"""
+SUMMARY = """count(*) AS replicates, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.025), 6) AS ci_low,
+    round(quantile_cont(value, 0.975), 6) AS ci_high, count(*) FILTER (value IS NULL) AS n_undefined"""
+
+
+def auc_sql(score: str, positive: str = "y = 1", by: str = "rep") -> str:
+    """Weighted AUC per replicate."""
+    cells = f"SELECT {by}, {score} AS s, sum(CASE WHEN {positive} THEN w ELSE 0 END) AS pos, sum(CASE WHEN {positive} THEN 0 ELSE w END) AS neg FROM boot GROUP BY ALL"
+    ranked = f"SELECT *, sum(neg) OVER (PARTITION BY {by} ORDER BY s) - neg / 2.0::DOUBLE AS below FROM ({cells})"
+    return f"SELECT {by}, sum(pos * below) / nullif(sum(pos) * sum(neg), 0)::DOUBLE AS value, sum(pos) AS n_pos FROM ({ranked}) GROUP BY {by}"
+
+
+@query(f"{BOOT} SELECT {SUMMARY} FROM ({auc_sql('s_a')})", V.PRED)
 def bootstrap_auc(spark, sf_dir):
-    """Stratified bootstrap interval of an AUC; seeded, checked by tests."""
-    return rounded(E.bootstrap_auc(predictions(spark, sf_dir), "row_index", "y", "s_a", replicates=2000))
+    """Bootstrap interval of an AUC."""
+    return rounded(E.bootstrap_auc(predictions(spark, sf_dir), "row_index", "y", "s_a", replicates=REPLICATES))
 
 
-@query()
+@query(f"{BOOT} SELECT {SUMMARY} FROM (SELECT b.value - a.value AS value FROM ({auc_sql('s_a')}) a JOIN ({auc_sql('s_b')}) b USING (rep))", V.PRED)
 def bootstrap_delta(spark, sf_dir):
     """Paired bootstrap interval of a difference of AUCs."""
-    return rounded(E.bootstrap_auc(predictions(spark, sf_dir), "row_index", "y", "s_a", "s_b", replicates=2000))
+    return rounded(E.bootstrap_auc(predictions(spark, sf_dir), "row_index", "y", "s_a", "s_b", replicates=REPLICATES))
+
 
+def ap_sql(score: str) -> str:
+    cells = f"SELECT rep, {score} AS s, sum(w * y) AS pos, sum(w) AS every FROM boot GROUP BY ALL"
+    ranked = f"SELECT *, sum(pos) OVER (PARTITION BY rep ORDER BY s DESC) AS tp, sum(every) OVER (PARTITION BY rep ORDER BY s DESC) AS called FROM ({cells})"
+    return f"SELECT rep, sum(pos * tp / called::DOUBLE) / nullif(sum(pos), 0)::DOUBLE AS value FROM ({ranked}) GROUP BY rep"
 
-@query()
+
+@query(f"{BOOT} SELECT {SUMMARY} FROM (SELECT b.value - a.value AS value FROM ({ap_sql('s_a')}) a JOIN ({ap_sql('s_b')}) b USING (rep))", V.PRED)
+def bootstrap_ap(spark, sf_dir):
+    """Paired bootstrap interval of a difference of average precisions."""
+    return rounded(E.bootstrap_ap_delta(predictions(spark, sf_dir), "row_index", "y", "s_a", "s_b", replicates=REPLICATES))
+
+
+OVR = " UNION ALL ".join(f"SELECT {i} AS class, * FROM ({auc_sql(c, f'truth = {i}')})" for i, c in enumerate(("p_nevus", "p_mel", "p_atyp")))
+F1 = [f"coalesce(2 * tp{i} / nullif(t{i} + p{i}, 0)::DOUBLE, 0)" for i in range(3)]
+
+
+@query(
+    f"""{BOOT}, wide AS (SELECT rep, sum(w)::DOUBLE AS n, sum(w * -ln(greatest([p_nevus, p_mel, p_atyp][truth + 1], 2.220446049250313e-16::DOUBLE))) / sum(w) AS log_loss,
+      sum(w * ((p_nevus - (truth = 0)::INT) ** 2 + (p_mel - (truth = 1)::INT) ** 2 + (p_atyp - (truth = 2)::INT) ** 2)) / sum(w) AS brier,
+      {", ".join(f"sum(w * (truth = {i})::INT)::DOUBLE AS t{i}, sum(w * (pred = {i})::INT)::DOUBLE AS p{i}, sum(w * (truth = {i} AND pred = {i})::INT)::DOUBLE AS tp{i}" for i in range(3))} FROM boot GROUP BY rep),
+    ovr AS (SELECT rep, avg(value) AS macro, sum(value * n_pos) / sum(n_pos) AS weighted FROM ({OVR}) GROUP BY rep),
+    v AS (SELECT ({" + ".join(f"tp{i} / nullif(t{i}, 0)" for i in range(3))}) / 3 AS balanced_accuracy, ({" + ".join(F1)}) / 3 AS macro_f1, ({" + ".join(f"{x} * t{i}" for i, x in enumerate(F1))}) / n AS weighted_f1,
+      macro AS macro_auc_ovr, weighted AS weighted_auc_ovr, log_loss, brier FROM wide JOIN ovr USING (rep))
+    SELECT metric, {SUMMARY} FROM v UNPIVOT (value FOR metric IN (balanced_accuracy, macro_f1, weighted_f1, macro_auc_ovr, weighted_auc_ovr, log_loss, brier)) GROUP BY metric""",
+    V.PRED,
+)
+def bootstrap_multiclass(spark, sf_dir):
+    """Bootstrap intervals of seven metrics."""
+    p = predictions(spark, sf_dir)
+    return rounded(E.bootstrap_multiclass(p, "row_index", "truth", "pred", ["p_nevus", "p_mel", "p_atyp"], replicates=REPLICATES))
+
+
+@query(
+    f"""{BOOT}, cells AS (SELECT rep, s_a AS s, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM boot GROUP BY ALL),
+    ranked AS (SELECT *, sum(pos) OVER o AS pos_le, sum(neg) OVER o AS neg_le, sum(pos) OVER (PARTITION BY rep) AS n_pos, sum(neg) OVER (PARTITION BY rep) AS n_neg FROM cells WINDOW o AS (PARTITION BY rep ORDER BY s)),
+    j AS (SELECT rep, s, round((n_pos - pos_le + pos) / nullif(n_pos, 0)::DOUBLE + (neg_le - neg) / nullif(n_neg, 0)::DOUBLE - 1, 12) AS j FROM ranked),
+    best AS (SELECT rep, CASE WHEN j IS NOT NULL THEN s END AS threshold FROM j QUALIFY row_number() OVER (PARTITION BY rep ORDER BY j DESC NULLS LAST, s) = 1),
+    v AS (SELECT threshold, (SELECT count(*) FILTER (y = 1 AND s_a >= threshold) / count(*) FILTER (y = 1)::DOUBLE FROM pred) AS sens, (SELECT count(*) FILTER (y = 0 AND s_a < threshold) / count(*) FILTER (y = 0)::DOUBLE FROM pred) AS spec FROM best)
+    SELECT metric, {SUMMARY} FROM v UNPIVOT (value FOR metric IN (threshold, sens, spec)) GROUP BY metric""",
+    V.PRED,
+)
+def bootstrap_youden(spark, sf_dir):
+    """Bootstrap intervals of a refitted threshold and of its rates on the whole sample."""
+    return rounded(E.bootstrap_youden(predictions(spark, sf_dir), "row_index", "y", "s_a", replicates=REPLICATES))
+
+
+@query(
+    """, f AS (SELECT row_index, source, y, s_a, s_b FROM pred),
+    v AS (SELECT source, y, """
+    + ", ".join(
+        f"(sum(1 - y) OVER (PARTITION BY source ORDER BY {k}) - sum(1 - y) OVER (PARTITION BY source, {k}) / 2.0::DOUBLE) / sum(1 - y) OVER (PARTITION BY source) AS p_{k}, "
+        f"1 - (sum(y) OVER (PARTITION BY source ORDER BY {k}) - sum(y) OVER (PARTITION BY source, {k}) / 2.0::DOUBLE) / sum(y) OVER (PARTITION BY source) AS n_{k}"
+        for k in ("s_a", "s_b")
+    )
+    + """ FROM f),
+    d AS (SELECT source, avg(p_s_b - p_s_a) FILTER (y = 1) AS delta, var_samp(p_s_b - p_s_a) FILTER (y = 1) / count(*) FILTER (y = 1) + var_samp(n_s_b - n_s_a) FILTER (y = 0) / count(*) FILTER (y = 0) AS var FROM v GROUP BY source),
+    z AS (SELECT source, delta, delta / sqrt(var) AS z, abs(delta) / sqrt(2 * var) AS x FROM d)
+    SELECT source, round(delta, 6) AS delta, round(z, 6) AS z, round(1 - CASE WHEN x > 0 THEN exp(-x * x) * list_sum(list_transform(range(0, 300), lambda n: exp((2 * n + 1) * ln(x) - lgamma(n + 1.5)))) ELSE 0 END, 6) AS p FROM z""",
+    V.PRED,
+)
 def paired_delong_p(spark, sf_dir):
-    """The p-value of the paired test: neither engine has a normal distribution."""
+    """The p-value of the paired test; SQL sums the series of the error function."""
     d = paired_delong(predictions(spark, sf_dir), "s_a", "s_b", "y", ["source"])
     return rounded(d.select("source", "delta", "z", E.normal_p("z").alias("p")))
 
 
-@query()
+@query(
+    """, n AS (SELECT source, count(*) FILTER (a AND NOT b) AS b, count(*) FILTER (b AND NOT a) AS c FROM (
+      SELECT source, (s_a >= 0.5) = (y = 1) AS a, (s_b >= 0.5) = (y = 1) AS b FROM pred) GROUP BY source)
+    SELECT source, b, c, round(least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))), 6) AS p FROM n""",
+    V.PRED,
+)
 def mcnemar_exact(spark, sf_dir):
     a, b = (((F.col(s) >= 0.5) == (F.col("y") == 1)) for s in ("s_a", "s_b"))
     n = predictions(spark, sf_dir).groupBy("source").agg(F.count_if(a & ~b).alias("b"), F.count_if(b & ~a).alias("c"))

@@ -10,6 +10,7 @@ from cohortal.operators import calibration as K
 from cohortal.operators import classify as C
 from cohortal.operators import confusion as M
 from cohortal.operators import effects as E
+from cohortal.operators import prefix as P
 from cohortal.operators import ranking as Q
 from cohortal.operators import relational as R
 from cohortal.operators import store as S
@@ -263,6 +264,10 @@ def test_mcnemar_normal_and_bootstrap(spark):
     df = spark.createDataFrame([(0, 0), (1, 5), (10, 10)], "b int, c int")
     p = [r.p for r in df.select(E.mcnemar_p("b", "c").alias("p")).collect()]
     assert p[0] == 1 and p[1] == pytest.approx(2 * 7 / 64) and p[2] == 1
+    for b, c in ((0, 1), (3, 9), (40, 61), (499, 500), (1, 300), (7, 8)):
+        tail = sum(math.comb(b + c, i) for i in range(b + 1)) / 2 ** (b + c)
+        assert E._mcnemar(b, c) == E._mcnemar(c, b) == pytest.approx(min(1, 2 * tail), rel=1e-9)
+    assert 0 < E._mcnemar(10**9, 10**9 + 60_000) < 1
     z = spark.createDataFrame([(1.959963984540054,), (None,)], "z double").select(E.normal_p("z").alias("p")).collect()
     assert z[0].p == pytest.approx(0.05) and z[1].p is None
     rows, s = scored(spark, 3, 200)
@@ -308,3 +313,39 @@ def test_factorial_effects_of_additive_aucs(spark):
     assert i[0, 1] == pytest.approx(0.005) and i[2, 3] == pytest.approx(0)
     c = E.conditions(spark)
     assert c.count() == 31 and c.where("not deep and mask = 0").count() == 0
+
+
+def test_resamples_are_poisson(spark):
+    w = E.resampled(spark.range(500).withColumnRenamed("id", "i"), "i", 40).groupBy("_rep").agg({"_w": "sum"}).collect()
+    sums = [r["sum(_w)"] for r in w]
+    assert len(sums) == 40 and abs(sum(sums) / 40 - 500) < 15 and 10 < (sum((x - 500) ** 2 for x in sums) / 40) ** 0.5 < 35
+
+
+def test_running_least(spark):
+    rng = random.Random(5)
+    rows = [(g, i, rng.random()) for g in range(3) for i in range(200)]
+    got = P.running_least(spark.createDataFrame(rows, "g int, i int, v double"), [F.col("i").desc()], "v", ["g"]).collect()
+    want = {(g, i): min(v for h, k, v in rows if h == g and k >= i) for g, i, _ in rows}
+    assert {(r.g, r.i): r.v for r in got} == want
+
+
+def test_constant_features_have_no_z(spark):
+    r = spark.range(1).select(C.oriented_z(F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(1)).alias("z")).first()
+    assert r.z is None
+
+
+def test_appends_and_their_log(spark):
+    a = spark.createDataFrame([("x", 1, 0)], "id string, ts long, verdict int")
+    out, log = S.log_analysis(a, spark.createDataFrame([("y", 2)], "id string, ts long"), 9)
+    assert {tuple(r) for r in out.collect()} == {("x", 1, 0), ("y", 2, None)} and log.first().asDict() == {"ts": 9, "event": "analysis", "analysis_id": "y", "detail": None}
+    labels = spark.createDataFrame([], "analysis_id string, ts long, verified_class int, source string")
+    out, log = S.add_verified_label(labels, spark.createDataFrame([("y", 2, "biopsy")], "analysis_id string, verified_class int, source string"), 10)
+    assert out.first().asDict() == {"analysis_id": "y", "ts": 10, "verified_class": 2, "source": "biopsy"} and log.first().detail == "2"
+    v = spark.createDataFrame([], "analysis_id string, ts long, md_agree int, md_class int")
+    out, log = S.add_validation(v, spark.createDataFrame([("y", 1, None), ("x", 0, 2)], "analysis_id string, md_agree int, md_class int"), 11)
+    assert out.count() == 2 and {r.detail for r in log.collect()} == {"agree", "class 2"}
+
+
+def test_fold_leaks(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 1), ("b", 1), ("b", 1), (None, 0), (None, 1)], "g string, fold int")
+    assert [tuple(r) for r in R.fold_leaks(df, "g").collect()] == [("a", 2)]
