@@ -200,8 +200,10 @@ def mask(text: str | None, live_spans: str | None) -> str | None:
 def redact_secrets(docs: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
     """All rows of ``docs``, their live and weak credentials replaced by markers; copied examples stay.
 
-    Ownership alone decides: a short or simple value of few owners goes too. Only rows that may have such spans, by a filter of fixed size over their text hashes, are
-    shuffled with their texts. ``n_chars`` follows the text where there is such a column.
+    Ownership alone decides: a short or simple value of few owners goes too. Only rows that may
+    have such spans, by a filter of fixed size over their text hashes, are shuffled with their
+    texts. ``n_chars`` follows the text where there is such a column. Null and empty texts and
+    columns of any name stay as they are; repeated rows are masked alike; an empty table stays empty.
     """
     found = secret_scan(docs, text=text, id=id, own_spans=True, **options).where("own_spans != ''")
     live = materialize(found.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "own_spans").distinct())
