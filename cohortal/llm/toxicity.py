@@ -46,11 +46,14 @@ PATTERNS = {
     "loud": (_WORST, rf"\b(?:{_WORST})\w*\s*!{{2,}}"),
     "de address": (_WORST_DE, rf"\b(?:du|ihr|sie)\W+(?:\w+\W+){{0,2}}?(?:{_WORST_DE})"),
     "de dismissal": (r"\b(?:klappe|fresse|verpiss|hölle)\b", r"\b(?:halt die (?:klappe|fresse)|verpiss dich|fahr zur hölle)\b"),
-    "fr address": (_WORST_FR, rf"\b(?:tu|vous|espèce d[e'])\W*(?:\w+\W+){{0,2}}?(?:{_WORST_FR})"),
+    "fr address": (_WORST_FR, rf"\b(?:(?:tu|vous|espèce de)\W+|espèce d')(?:\w+\W+){{0,2}}?(?:{_WORST_FR})"),
     "fr dismissal": (r"\b(?:gueule|ferme|faire|casse)\b", r"\b(?:ta gueule|ferme-la|va te faire|casse-toi)\b"),
     "es address": (_WORST_ES, rf"\b(?:tú|eres|usted|son)\W+(?:\w+\W+){{0,2}}?(?:{_WORST_ES})"),
     "es dismissal": (r"\b(?:cállate|vete|puta|jodan)\b", r"\b(?:cállate|vete a la|hijo de puta|que te jodan)\b"),
 }
+#: All anchors but that of "masked" stand at the start of a word with one of these beginnings.
+ANCHOR_HEADS = frozenset(w[:3] for a, _ in PATTERNS.values() for w in re.findall(r"\w{3,}", a.replace(r"\b", " ")))
+MASKED = re.compile(r"[*@#$]{2}")
 ANCHORS = [re.compile(a) for a, _ in PATTERNS.values()]
 ANY_ANCHOR = re.compile("|".join(f"(?:{a})" for a in dict.fromkeys(a for a, _ in PATTERNS.values())))
 COMPILED = [re.compile(p, re.I) for _, p in PATTERNS.values()]
@@ -67,10 +70,18 @@ def token_features(token: str) -> list[str]:
     return out
 
 
-def text_features(text: str | None, memo: dict[str, tuple], wanted: dict[str, tuple[int, ...]] | None = None) -> set:
+def heads_of(wanted: dict[str, tuple[int, ...]]) -> frozenset[str]:
+    """First three characters of the wanted features and of the anchors: a word with others has neither."""
+    return ANCHOR_HEADS | {f[:3] for f in wanted}
+
+
+def text_features(
+    text: str | None, memo: dict[str, tuple], wanted: dict[str, tuple[int, ...]] | None = None, heads: frozenset[str] | None = None
+) -> set:
     """Distinct features of a text, or the numbers of those that are wanted.
 
-    Among the numbers are -1 - k for the k-th pattern if a token has its anchor.
+    Among the numbers are -1 - k for the k-th pattern if a token has its anchor. ``heads`` (see
+    ``heads_of``) spares most tokens a closer look.
     """
     found: set = set()
     for token in set((text or "").lower().split()):
@@ -78,6 +89,9 @@ def text_features(text: str | None, memo: dict[str, tuple], wanted: dict[str, tu
         if own is None:
             if len(memo) > MAX_MEMO:
                 memo.clear()
+            if heads is not None and not MASKED.search(token) and not any(w[:3] in heads for w in TOKEN.findall(token)):
+                memo[token] = ()
+                continue
             own = token_features(token)
             if wanted is not None:
                 own = [i for f in own if f in wanted for i in wanted[f]]
@@ -320,9 +334,11 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-min(max(z, -50.0), 50.0)))
 
 
-def fired_of(text: str | None, memo: dict, wanted: dict[str, tuple[int, ...]], n_words: int) -> list[int]:
+def fired_of(
+    text: str | None, memo: dict, wanted: dict[str, tuple[int, ...]], n_words: int, heads: frozenset[str] | None = None
+) -> list[int]:
     """Numbers of what fires in a text: words and beginnings first, then patterns from ``n_words`` on."""
-    found = text_features(text, memo, wanted)
+    found = text_features(text, memo, wanted, heads)
     return sorted([i if i >= 0 else n_words - 1 - i for i in found if i >= 0 or COMPILED[-1 - i].search(text)])
 
 
@@ -478,10 +494,12 @@ def fit_toxicity(
     def gathered(texts: DataFrame, wanted: dict[str, tuple[int, ...]], n_words: int) -> list[tuple]:
         """(label or posterior, what fired) of all sampled texts; sorted, equal ones counted."""
 
+        heads = heads_of(wanted)
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             memo: dict = {}
             for b in batches:
-                yield pd.DataFrame({"toxic": b["toxic"], "fired": [fired_of(t, memo, wanted, n_words) for t in b["text"]]})
+                yield pd.DataFrame({"toxic": b["toxic"], "fired": [fired_of(t, memo, wanted, n_words, heads) for t in b["text"]]})
 
         known = texts.select("text", F.coalesce(F.col("toxic").cast("double"), F.lit(-1.0)).alias("toxic"))
         found = known.mapInPandas(run, "toxic double, fired array<int>")
@@ -497,8 +515,10 @@ def fit_toxicity(
     model = LabelModel()
     model.fit(votes, np.array([toxic for (toxic, _), _ in rows]))
 
+    heads = heads_of(wanted)
+
     def posterior(text: str | None, memo: dict) -> float:
-        return float(model.posterior(Rows.of([fired_of(text, memo, wanted, n_words) or [width - 1]], width))[0])
+        return float(model.posterior(Rows.of([fired_of(text, memo, wanted, n_words, heads) or [width - 1]], width))[0])
 
     @F.pandas_udf("double")
     def posteriors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -520,13 +540,13 @@ def score_toxicity(
 
     A null or empty text is one where nothing fires. Repeated rows get equal scores.
     """
-    score, columns, n_words = replace(model, labels=None).score, model.columns, model.n_words
+    score, columns, n_words, heads = replace(model, labels=None).score, model.columns, model.n_words, heads_of(model.columns)
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo: dict = {}
         for texts in batches:
-            yield pd.Series([score(fired_of(t, memo, columns, n_words)) for t in texts], dtype="float64")
+            yield pd.Series([score(fired_of(t, memo, columns, n_words, heads)) for t in texts], dtype="float64")
 
     scored = docs.select(*keep, rate(F.col(text)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -242,7 +242,15 @@ def test_toxicity_without_labels(spark):
 )
 def test_anchors_lose_no_pattern(text):
     want = [k for k, p in enumerate(TX.COMPILED) if p.search(text or "")]
-    assert TX.fired_of(text, {}, {}, 0) == want
+    assert TX.fired_of(text, {}, {}, 0) == want == TX.fired_of(text, {}, {}, 0, TX.heads_of({}))
+
+
+def test_heads_lose_no_feature():
+    rng = random.Random(2)
+    wanted, n = TX.voter_numbers(["zqx*", "ab", "moron", "é*", "w12x"])
+    for _ in range(200):
+        text = " ".join(rng.choice(["zqxa", "Moron!", "ab", "abc", "idiot's", "x-idiot", "w12x", "w13x", "éa", "é", "f*@k", "you", "trash"]) for _ in range(6))
+        assert TX.fired_of(text, {}, wanted, n) == TX.fired_of(text, {}, wanted, n, TX.heads_of(wanted))
 
 
 def table(votes):
