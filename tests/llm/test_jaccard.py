@@ -140,8 +140,8 @@ def test_only_pairs_that_stay_are_verified(spark):
     base = prose(rng, 200, 10**6)
     rows = [(i, edited(rng, base, 0.01)) for i in range(80)]
     docs = documents(spark, rows)
-    strict = {(p.a_id, p.b_id) for p in J.jaccard_pairs(docs, tolerance=0.4).collect()}
-    every = {(p.a_id, p.b_id) for p in J.jaccard_pairs(docs).collect()}
+    strict = {tuple(sorted((p.a_id, p.b_id))) for p in J.jaccard_pairs(docs, tolerance=0.4).collect()}
+    every = {tuple(sorted((p.a_id, p.b_id))) for p in J.jaccard_pairs(docs).collect()}
     sig = np.stack([J.signature(J.shingles(t, 5, {})) for _, t in rows]).astype(np.uint8)
     i, j = np.triu_indices(80, 1)
     stay = set(zip(*(x.tolist() for x in J.surviving(sig, i, j, J.least_matches(0.8, 0.4))), strict=True))
