@@ -92,7 +92,7 @@ def roc_auc(df: DataFrame, score: str, truth: str, by: Sequence[str] = ()) -> Da
         (_variance("v01", "pos", m) / F.nullif(m, F.lit(0)) + _variance("v10", "neg", n) / F.nullif(n, F.lit(0))).alias("var"),
     )
     h = F.lit(Z95) * F.sqrt("var")
-    out = out.withColumn("ci_low", F.greatest(F.lit(0.0), F.col("auc") - h))
+    out = out.withColumn("ci_low", F.when(F.col("auc").isNotNull(), F.greatest(F.lit(0.0), F.col("auc") - h)))
     return out.withColumn("ci_high", F.when(F.col("auc").isNotNull(), F.least(F.lit(1.0), F.col("auc") + h)))
 
 

@@ -327,15 +327,40 @@ def operating_points(spark, sf_dir):
     return rounded(reduce(DataFrame.unionByName, [t.select(F.lit(k).alias("rule"), "threshold") for k, t in rules.items()]))
 
 
-def block_sql(unit: str, src: str) -> str:
+#: Metrics of a cohort: what is counted, of which rows, and the method of the interval.
+SHARES = {"sens": ("tp", "n_pos"), "spec": ("tn", "n_neg"), "nb_sens": ("nb_tp", "n_pos"), "nb_spec": ("nb_tn", "n_neg")}
+NO_INTERVAL, WILSON_95, DELONG_95 = "none", "Wilson 95%", "DeLong 95%"
+
+
+def block_ctes(unit: str, src: str) -> str:
+    """Counts, AUC with its variance and average precision of one unit, a row each."""
     nb = "(p_mel >= 0.188 OR p_atyp >= 0.412)"
-    metrics = {
-        "n": "count(*)::DOUBLE", "n_pos": "count(*) FILTER (y = 1)::DOUBLE", "n_neg": "count(*) FILTER (y = 0)::DOUBLE", "brier": "avg((p_mel - y) ** 2)",
-        "tp": "count(*) FILTER (y = 1 AND p_mel >= 0.188)::DOUBLE", "tn": "count(*) FILTER (y = 0 AND p_mel < 0.188)::DOUBLE",
-        "sens": "count(*) FILTER (y = 1 AND p_mel >= 0.188) / nullif(count(*) FILTER (y = 1), 0)::DOUBLE", "spec": "count(*) FILTER (y = 0 AND p_mel < 0.188) / nullif(count(*) FILTER (y = 0), 0)::DOUBLE",
-        "nb_tp": f"count(*) FILTER (y = 1 AND {nb})::DOUBLE", "nb_tn": f"count(*) FILTER (y = 0 AND NOT {nb})::DOUBLE",
-    }
-    return " UNION ALL ".join(f"SELECT '{unit}' AS unit, '{k}' AS metric, round({v}, 6) AS estimate FROM {src}" for k, v in metrics.items())
+    return f"""k_{unit} AS (SELECT count(*) AS n, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg, avg((p_mel - y) ** 2) AS brier,
+      count(*) FILTER (y = 1 AND p_mel >= 0.188) AS tp, count(*) FILTER (y = 0 AND p_mel < 0.188) AS tn,
+      count(*) FILTER (y = 1 AND {nb}) AS nb_tp, count(*) FILTER (y = 0 AND NOT {nb}) AS nb_tn FROM {src}),
+    v_{unit} AS (SELECT y, (sum(1 - y) OVER (ORDER BY p_mel) - sum(1 - y) OVER (PARTITION BY p_mel) / 2.0::DOUBLE) / nullif(sum(1 - y) OVER (), 0) AS v01,
+      1 - (sum(y) OVER (ORDER BY p_mel) - sum(y) OVER (PARTITION BY p_mel) / 2.0::DOUBLE) / nullif(sum(y) OVER (), 0) AS v10 FROM {src}),
+    a_{unit} AS (SELECT avg(v01) FILTER (y = 1) AS auc, 1.959963984540054 * sqrt(coalesce(var_samp(v01) FILTER (y = 1), 0) / nullif(count(*) FILTER (y = 1), 0)
+      + coalesce(var_samp(v10) FILTER (y = 0), 0) / nullif(count(*) FILTER (y = 0), 0)) AS h FROM v_{unit}),
+    g_{unit} AS (SELECT p_mel, sum(y) AS pos, sum(1 - y) AS neg FROM {src} GROUP BY 1),
+    r_{unit} AS (SELECT pos, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM g_{unit} WINDOW w AS (ORDER BY p_mel DESC)),
+    p_{unit} AS (SELECT sum(pos * tp / (tp + fp)::DOUBLE) / nullif(sum(pos), 0) AS ap FROM r_{unit})"""
+
+
+def block_sql(unit: str) -> str:
+    row = lambda metric, value, n, low="NULL::DOUBLE", high="NULL::DOUBLE", how=NO_INTERVAL: (
+        f"SELECT '{unit}' AS unit, '{metric}' AS metric, round(({value})::DOUBLE, 6) AS estimate, {low} AS ci95_low, {high} AS ci95_high, "
+        f"'{how}' AS ci_method, CAST({n} AS BIGINT) AS denominator_n FROM k_{unit}, a_{unit}, p_{unit}"
+    )
+    both = "n_pos > 0 AND n_neg > 0"
+    out = [row(k, k, "n") for k in ("n", "n_pos", "n_neg", "brier")]
+    out.append(row("auc", "auc", "n", "CASE WHEN auc IS NOT NULL THEN round(greatest(0, auc - h), 6) END", "CASE WHEN auc IS NOT NULL THEN round(least(1, auc + h), 6) END", DELONG_95))
+    out.append(row("ap", f"CASE WHEN {both} THEN ap END", "n"))
+    for miss, hit, n in (("fn", "tp", "n_pos"), ("fp", "tn", "n_neg"), ("nb_fn", "nb_tp", "n_pos"), ("nb_fp", "nb_tn", "n_neg")):
+        out += [row(hit, hit, n), row(miss, f"{n} - {hit}", n)]
+    for metric, (hit, n) in SHARES.items():
+        out.append(row(metric, f"{hit} / nullif({n}, 0)::DOUBLE", n, *wilson_sql(hit, n), how=WILSON_95))
+    return " UNION ALL ".join(out)
 
 
 PATIENTS = "pt AS (SELECT patient_id, count(*) AS n_images, max(y) AS y, max(p_mel) AS p_mel, min(p_nevus) AS p_nevus, max(p_atyp) AS p_atyp, median(coverage) AS coverage FROM pred GROUP BY 1)"
@@ -355,21 +380,38 @@ def per_patient(p: DataFrame) -> DataFrame:
 
 
 def metric_block(p: DataFrame, unit: str) -> DataFrame:
-    """Long table ``unit, metric, estimate`` of a cohort at the fixed thresholds."""
+    """Long table of a cohort's metrics at the fixed thresholds, with intervals where they are defined.
+
+    Columns are ``unit, metric, estimate, ci95_low, ci95_high, ci_method, denominator_n``. AUC and
+    average precision are null where a class has no row, as are shares of no rows.
+    """
     pos, neg, pred = F.col("y") == 1, F.col("y") == 0, F.col("p_mel") >= T
     nb = C.non_benign(F.col("p_mel"), F.col("p_atyp"), F.lit(T), F.lit(C.THRESHOLDS["atypical"]))
-    n = lambda c: F.count_if(c).cast("double")
     wide = p.agg(
-        F.count("*").cast("double").alias("n"), n(pos).alias("n_pos"), n(neg).alias("n_neg"),
+        F.count("*").alias("n"), F.count_if(pos).alias("n_pos"), F.count_if(neg).alias("n_neg"),
         F.avg((F.col("p_mel") - F.col("y")) * (F.col("p_mel") - F.col("y"))).alias("brier"),
-        n(pos & pred).alias("tp"), n(neg & ~pred).alias("tn"),
-        Q.ratio(n(pos & pred), n(pos)).alias("sens"), Q.ratio(n(neg & ~pred), n(neg)).alias("spec"),
-        n(pos & nb).alias("nb_tp"), n(neg & ~nb).alias("nb_tn"),
+        F.count_if(pos & pred).alias("tp"), F.count_if(neg & ~pred).alias("tn"), F.count_if(pos & nb).alias("nb_tp"), F.count_if(neg & ~nb).alias("nb_tn"),
     )
-    return wide.unpivot([], wide.columns, "metric", "estimate").select(F.lit(unit).alias("unit"), "metric", "estimate")
-
-
-@query(f", {PATIENTS} {block_sql('file', 'pred')} UNION ALL {block_sql('patient', 'pt')}", V.PRED)
+    # Each side has one row.
+    auc = Q.roc_auc(p, "p_mel", "y").select("auc", "ci_low", "ci_high")
+    wide = wide.crossJoin(F.broadcast(auc)).crossJoin(F.broadcast(Q.average_precision(p, "p_mel", "y")))
+
+    def row(metric, value, n, low=None, high=None, how=NO_INTERVAL):
+        bounds = [F.lit(c).cast("double").alias(name) for c, name in ((low, "ci95_low"), (high, "ci95_high"))]
+        estimate = value.cast("double").alias("estimate")
+        return F.struct(F.lit(metric).alias("metric"), estimate, *bounds, F.lit(how).alias("ci_method"), F.col(n).alias("denominator_n"))
+
+    rows = [row(k, F.col(k), "n") for k in ("n", "n_pos", "n_neg", "brier")]
+    rows.append(row("auc", F.col("auc"), "n", F.col("ci_low"), F.col("ci_high"), DELONG_95))
+    rows.append(row("ap", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("ap")), "n"))
+    for miss, hit, n in (("fn", "tp", "n_pos"), ("fp", "tn", "n_neg"), ("nb_fn", "nb_tp", "n_pos"), ("nb_fp", "nb_tn", "n_neg")):
+        rows += [row(hit, F.col(hit), n), row(miss, F.col(n) - F.col(hit), n)]
+    for metric, (hit, n) in SHARES.items():
+        rows.append(row(metric, Q.ratio(F.col(hit), F.col(n)), n, *M.wilson(F.col(hit), F.col(n)), WILSON_95))
+    return wide.select(F.inline(F.array(*rows))).select(F.lit(unit).alias("unit"), "*")
+
+
+@query(f", {PATIENTS}, {block_ctes('file', 'pred')}, {block_ctes('patient', 'pt')} {block_sql('file')} UNION ALL {block_sql('patient')}", V.PRED)
 def metric_registry(spark, sf_dir):
     p = predictions(spark, sf_dir)
     return rounded(metric_block(p, "file").unionByName(metric_block(per_patient(p), "patient")))

@@ -349,3 +349,16 @@ def test_appends_and_their_log(spark):
 def test_fold_leaks(spark):
     df = spark.createDataFrame([("a", 0), ("a", 1), ("b", 1), ("b", 1), (None, 0), (None, 1)], "g string, fold int")
     assert [tuple(r) for r in R.fold_leaks(df, "g").collect()] == [("a", 2)]
+
+
+def test_metric_block_of_one_class_and_of_none(spark):
+    from cohortal.plans.evaluation import metric_block
+
+    rows = spark.createDataFrame([(1, 0.9, 0.1), (1, 0.1, 0.5)], "y int, p_mel double, p_atyp double")
+    got = {r.metric: r for r in metric_block(rows, "file").collect()}
+    assert got["sens"].estimate == 0.5 and got["nb_sens"].estimate == 1.0 and got["fn"].estimate == 1.0
+    assert 0 < got["sens"].ci95_low < 0.5 < got["sens"].ci95_high < 1 and got["sens"].denominator_n == 2
+    assert got["auc"].estimate is None and got["auc"].ci95_low is None and got["ap"].estimate is None
+    assert got["spec"].estimate is None and got["spec"].ci95_low is None and got["spec"].denominator_n == 0
+    none = {r.metric: r.estimate for r in metric_block(rows.where("y = 5"), "file").collect()}
+    assert none["n"] == 0 and none["brier"] is None and none["ap"] is None
