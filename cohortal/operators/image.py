@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortal.functions import pixels as X
+from cohortal.session import broadcast_if_small, materialize
 
 
 def _arrays(height, width, bgr, mask) -> Iterator[tuple[np.ndarray | None, np.ndarray | None]]:
@@ -66,13 +67,25 @@ def dehaired(height: str = "height", width: str = "width", bgr: str = "bgr") ->
 def near_duplicate_images(images: DataFrame, id: str = "id", max_mae: float = 1.0) -> DataFrame:
     """Pairs of equal size and equal hashes whose pixels differ by at most ``max_mae`` on average.
 
-    The join is on size and both hashes; images travel only for pairs that agree on all.
+    Images are hashed once and ids joined on size and both hashes; pixels are fetched for the members
+    of such pairs only. Rows of one id count as several if their pixels differ; rows without an
+    id or that cannot be read have no pair.
     """
-    h = images.withColumn("h", image_hashes("height", "width", "bgr", "mask")).select(id, "height", "width", "bgr", "h.phash", "h.dhash")
+    own = F.xxhash64("bgr")
+    hashes = image_hashes("height", "width", "bgr", "mask")
+    h = images.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), own.alias("own"), "height", "width", hashes.alias("h"))
+    h = materialize(h.select("id", "own", "height", "width", "h.phash", "h.dhash").dropDuplicates(["id", "own", "height", "width"]))
     on = ["height", "width", "phash", "dhash"]
-    a = h.select(*on, F.col(id).alias("member_1"), F.col("bgr").alias("a"))
-    b = h.select(*on, F.col(id).alias("member_2"), F.col("bgr").alias("b"))
-    pairs = a.join(b, on).where("member_1 < member_2").withColumn("d", pixel_difference("a", "b"))
+    side = lambda k: h.select(*on, F.col("id").alias(f"member_{k}"), F.col("own").alias(f"own_{k}"))
+    pairs = materialize(side(1).join(side(2), on).where("member_1 < member_2").drop("phash", "dhash"))
+    of = lambda k: pairs.select(F.col(f"member_{k}").alias("id"), F.col(f"own_{k}").alias("own"))
+    wanted = materialize(of(1).union(of(2)).distinct())
+    found = images.select(F.col(id).alias("id"), own.alias("own"), "height", "width", "bgr").join(broadcast_if_small(wanted), ["id", "own"], "left_semi")
+    found = found.dropDuplicates(["id", "own", "height", "width"])
+    for k, name in ((1, "a"), (2, "b")):
+        pixels = found.select(F.col("id").alias(f"member_{k}"), F.col("own").alias(f"own_{k}"), "height", "width", F.col("bgr").alias(name))
+        pairs = pairs.join(pixels, [f"member_{k}", f"own_{k}", "height", "width"])
+    pairs = pairs.withColumn("d", pixel_difference("a", "b"))
     return pairs.where(F.col("d.mae") <= max_mae).select("member_1", "member_2", F.col("d.mae").alias("pixel_mae"), F.col("d.max").alias("pixel_max_abs_difference"))
 
 

@@ -216,3 +216,18 @@ def test_inference_survives_bad_rows(spark):
     assert got[1] == (2.0, None) and got[3] == (6.0, None)
     bad = [r.error for r in I.infer(df, session, ["k", "v"], "k long, out double").collect() if r.error]
     assert bad == ["ValueError: no value"]
+
+
+def test_near_duplicate_images_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 250, (32, 40, 3)).astype(np.uint8)
+    b = a.copy()
+    b[1, 1, 1] += 2
+    other = rng.integers(0, 250, (32, 40, 3)).astype(np.uint8)
+    mask = bytes(32 * 40)
+    of = lambda k, x: (k, 32, 40, x.tobytes(), mask, "extra")
+    rows = [of(1, a), of(1, a), of(2, b), of(2, other), of(None, a), of(3, other), (4, 32, 40, None, None, None), (5, 32, 40, b"short", mask, None)]
+    df = spark.createDataFrame(rows, "key long, height int, width int, bgr binary, mask binary, id string")
+    pairs = I.near_duplicate_images(df, id="key").collect()
+    assert sorted((p.member_1, p.member_2, p.pixel_max_abs_difference) for p in pairs) == [(1, 2, 2), (2, 3, 0)]
+    assert I.near_duplicate_images(df.where("key > 9"), id="key").count() == 0
