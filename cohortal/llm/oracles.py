@@ -71,3 +71,59 @@ a AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_re
   FROM w LEFT JOIN per USING (doc_id) LEFT JOIN rep USING (doc_id))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT n_lost_words > 0.5 * n_words AS kept FROM a"""
+
+#: CRC-32 by its polynomial, byte by byte; words one apart by the strings that deletions leave.
+SPELLING = r"""
+WITH RECURSIVE crc(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents)),
+per AS (SELECT id, w, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT w, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, length(hex(encode(id || ':' || w))), 2), lambda p: ('0x' || hex(encode(id || ':' || w))[p:p+1])::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM per, tab),
+counted AS (
+  SELECT CASE WHEN h % 199 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1),
+words AS MATERIALIZED (SELECT word, n FROM counted WHERE length(word) >= 6 AND n >= 5),
+gone AS MATERIALIZED (
+  SELECT word, n, p, word[1:p - 1] || word[p + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words)),
+pairs AS (
+  SELECT a.word AS word, b.word AS other, b.n AS m FROM gone a JOIN gone b USING (rest, p) WHERE a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gone g JOIN words w ON g.rest = w.word
+  UNION SELECT w.word, g.word, g.n FROM gone g JOIN words w ON g.rest = w.word),
+best AS (
+  SELECT word, count(*) AS near_n, max(m) AS m, min(other) FILTER (m = top) AS other
+  FROM (SELECT *, max(m) OVER (PARTITION BY word) AS top FROM pairs) GROUP BY word),
+formed AS MATERIALIZED (
+  SELECT word, n, coalesce(near_n, 0) AS near_n, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain(word, root) AS (
+  SELECT word, word FROM formed
+  UNION ALL
+  SELECT c.word, f.form FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.near_n, f.form_n
+FROM formed f JOIN chain c ON f.word = c.word JOIN formed e ON c.root = e.word AND e.form IS NULL"""
+
+NEGATIVES = """
+WITH r AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS "rank",
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY "rank" <= 5"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortal.llm import fingerprint, html, jaccard, licenses, mixing, oracles, packing, quality, secrets, toxicity, urls
+from cohortal.llm import fingerprint, html, jaccard, licenses, mixing, negatives, oracles, packing, quality, secrets, spelling, toxicity, urls
 from cohortal.session import table
 
 #: Fixed rules of the URL query: host, path, verdict.
@@ -58,6 +58,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
@@ -69,6 +77,8 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_fingerprint": op9_fingerprint,
     "op10_toxicity": op10_toxicity,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -76,4 +86,6 @@ ORACLE_SQL = {
     "op2_license_scan": licenses.oracle(),
     "op4_jaccard_join": oracles.JACCARD,
     "op7_url_filter": oracles.URLS,
+    "op12_spelling_variants": oracles.SPELLING,
+    "op13_hard_negatives": oracles.NEGATIVES,
 }
