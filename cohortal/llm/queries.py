@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortal.llm import fingerprint, html, jaccard, licenses, mixing, negatives, oracles, packing, quality, secrets, spelling, toxicity, urls
+from cohortal.llm import bytenet, fingerprint, html, jaccard, licenses, mixing, negatives, oracles, packing, quality, secrets, spelling, toxicity, urls
 from cohortal.session import table
 
 #: Fixed rules of the URL query: host, path, verdict.
@@ -58,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytenet.byte_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_fingerprint": op9_fingerprint,
     "op10_toxicity": op10_toxicity,
+    "op11_byte_quality": op11_byte_quality,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_hard_negatives": op13_hard_negatives,
 }

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortal.llm import negatives, spelling
+from cohortal.llm import bytenet, negatives, spelling
 from tests.llm.helpers import documents
 
 VECTORS = "vec_id long, embedding array<double>, label int"
@@ -149,3 +149,109 @@ def test_equal_keys_of_other_strings_do_not_join():
 
     b = pd.DataFrame({"part": 0, "key": [7, 7, 7, 7], "at": [1, 1, -1, 0], "first": True, "word": ["kitten", "xyzabc", "unlike", "akitte"], "n": [5, 6, 7, 8]})
     assert spelling.near_in_bucket(b).empty
+
+
+def clean_and_junk(n, seed):
+    """(id, text, quality): prose, and prose whose words carry symbols, shout or repeat."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        words = ["".join(rng.choice("aeionrstdlmé") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(30, 400))]
+        kind = k % 4
+        if kind == 0:
+            words = [[f"{w}{rng.choice(['###', '%%%', '$$$'])}" for w in words], [f"{w.upper()}!!" for w in words], [w for w in words[:9] for _ in range(30)]][k // 4 % 3]
+        out.append((k, " ".join(words), int(kind != 0)))
+    return out
+
+
+def test_network_learns_and_covers_whole_texts(spark):
+    rows = clean_and_junk(600, 5)
+    docs = documents(spark, [(i, t) for i, t, _ in rows] + [(None, "x"), (9_000, None), (9_001, ""), (9_002, "é" * 700_000), (3, rows[3][1])])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1, None), (None, 1), (77_777, 0)], "doc_id long, quality int")
+    got = bytenet.byte_quality(docs, labels, epochs=25).collect()
+    assert len(got) == 605 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    quality = {i: y for i, _, y in rows}
+    held = [r for r in got if r.held_out and r.doc_id in quality]
+    assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 == 0) for r in got)
+    assert np.mean([r.predicted == quality[r.doc_id] for r in held]) > 0.97
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r.score)
+    assert by[3][0] == pytest.approx(by[3][1], abs=1e-5) and by[9_000] == pytest.approx(by[9_001])
+    again = bytenet.byte_quality(docs, labels, epochs=25).collect()
+    assert sorted((str(r.doc_id), r.predicted) for r in got) == sorted((str(r.doc_id), r.predicted) for r in again)
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1), (2, 1)], [(0, 0)]])
+def test_network_without_both_labels(spark, labels):
+    docs = documents(spark, [(k, f"text {k}") for k in range(5)])
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    scores = {round(r.score, 6) for r in bytenet.byte_quality(docs, known).collect()}
+    share = [y for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    assert scores == {round(min(max(np.mean(share), 1e-3), 1 - 1e-3), 6) if share else 0.5}
+    assert bytenet.byte_quality(docs.limit(0), known).collect() == []
+
+
+def plain_score(net, text):
+    """The network as its definition says: every window of every chunk, one at a time."""
+    x = bytenet.padded(text)
+    blocks = len(x) // bytenet.BLOCK
+    ahead = np.r_[x, np.zeros(bytenet.STRIDE, np.uint8)]
+    hidden = []
+    for b in range(blocks - 1):
+        parts = []
+        for part in range(b * bytenet.BLOCK, (b + 2) * bytenet.BLOCK, bytenet.BLOCK // bytenet.PARTS):
+            starts = range(part, part + bytenet.BLOCK // bytenet.PARTS, bytenet.STRIDE)
+            parts.append(np.max([net.codes[ahead[s : s + 8]].ravel() @ net.filters for s in starts], axis=0))
+        pooled = np.r_[np.max(parts, axis=0), -np.min(parts, axis=0)]
+        hidden.append(np.maximum(np.maximum(pooled + net.bias, 0) @ net.hidden + net.hidden_bias, 0))
+    return 1 / (1 + np.exp(-(np.mean(hidden, axis=0) @ net.out + net.out_bias[0])))
+
+
+def test_scores_equal_the_definition(monkeypatch):
+    net = bytenet.ByteNet.start(3, 0.4)
+    net.out *= 30
+    net.bias += 0.1
+    texts = [None, "", "a", "x" * 251, "x" * 252, "x" * 253, "y" * 508, "äöü😀" * 400, " ".join(map(str, range(4_000)))]
+    want = [plain_score(net, t) for t in texts]
+    for size in (1, 3, 512):
+        monkeypatch.setattr(bytenet, "SLICE_BLOCKS", size)
+        assert net.scores([bytenet.padded(t) for t in texts]) == pytest.approx(want, abs=1e-4)
+    assert max(want) - min(want) > 0.01
+
+
+def test_slopes_are_those_of_the_loss():
+    rng = np.random.default_rng(4)
+    net = bytenet.ByteNet.start(5, 0.5)
+    for name in ("codes", "filters", "bias", "hidden", "hidden_bias", "out", "out_bias"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    net.bias += 0.3
+    net.hidden_bias += 0.2
+    chunks = [bytenet.spread_chunks("".join(map(chr, rng.integers(32, 127, n))), 4) for n in (900, 200, 3_000)]
+    x, doc, y = np.concatenate(chunks), np.repeat([0, 1, 2], [len(c) for c in chunks]), np.array([0.0, 1.0, 1.0])
+    _, slopes = net.gradients(x, doc, y)
+    for name, slope in zip(("codes", "filters", "bias", "hidden", "hidden_bias", "out", "out_bias"), slopes, strict=True):
+        w = getattr(net, name)
+        for at in np.argsort(-np.abs(slope).ravel())[:3]:
+            k, keep, h = np.unravel_index(at, w.shape), w.flat[at], 1e-5
+            w[k] = keep + h
+            up = net.gradients(x, doc, y)[0]
+            w[k] = keep - h
+            down = net.gradients(x, doc, y)[0]
+            w[k] = keep
+            assert slope[k] == pytest.approx((up - down) / (2 * h), rel=2e-2, abs=1e-6), name
+
+
+def test_chunks_for_training_are_spread_over_the_whole_text():
+    text = "".join(chr(97 + k // 4_000) for k in range(80_000))
+    chunks = bytenet.spread_chunks(text, 8)
+    assert chunks.shape == (8, 516) and chunks[0][0] == 97 and 97 + 19 in chunks[-1]
+    assert bytenet.spread_chunks("", 8).shape == (1, 516) and bytenet.spread_chunks("z" * 900, 8).shape == (3, 516)
+
+
+def test_network_clashing_names(spark):
+    docs = documents(spark, [(i, t) for i, t, _ in clean_and_junk(40, 2)])
+    labels = spark.createDataFrame([(i, y) for i, _, y in clean_and_junk(40, 2)], "doc_id long, quality int")
+    wide = docs.select("*", *[F.lit("z").alias(c) for c in ("key", "y", "size", "chunks", "row", "score", "predicted", "held_out", "quality")])
+    one, two = (sorted(map(str, bytenet.byte_quality(d, labels, epochs=2).collect())) for d in (docs, wide))
+    assert one == two
