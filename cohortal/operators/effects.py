@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortal.operators.prefix import running_totals
+from cohortal.operators.prefix import numbered, running_totals
 from cohortal.operators.ranking import ratio, roc_auc, roc_points
+from cohortal.session import broadcast_if_small, materialize
 
 BLOCKS = ("A", "B", "C", "D")
 
@@ -121,6 +122,47 @@ def resampled(df: DataFrame, id: str, replicates: int, seed: int = 42) -> DataFr
     return every.withColumn("_w", weight).where("_w > 0")
 
 
+#: 32-bit arithmetic in 64-bit whole numbers, so that any engine draws the same.
+MASK, MULTIPLIER, STEPS = (1 << 32) - 1, 0x45D9F3B, (0x9E3779B9, 0x85EBCA6B)
+
+
+def stirred(x: Column) -> Column:
+    """A 32-bit number whose bits all depend on all bits of ``x``."""
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(MULTIPLIER)).bitwiseAND(F.lit(MASK))
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def drawn_position(k: Column, n: Column, rep: Column, stratum: Column, seed: int) -> Column:
+    """Which of ``n`` positions (from 0, fewer than 2 ** 31) the ``k``-th draw of a stratum and replicate takes."""
+    h = stirred((k + F.lit(STEPS[0]) * (rep + 1)).bitwiseAND(F.lit(MASK)))
+    h = stirred((h + F.lit(STEPS[1]) * (stratum + 1) + F.lit(seed)).bitwiseAND(F.lit(MASK)))
+    return F.shiftright(h * n, 32)
+
+
+def stratified(df: DataFrame, id: str, stratum: str, replicates: int, seed: int = 42) -> DataFrame:
+    """Resamples with replacement within each class: a row ``_rep``, ``_w`` (1) per draw, as many as the class has rows.
+
+    Rows of a class are numbered along ``id`` (unique; ``stratum`` is a whole number, rows without one
+    go). Each row makes one draw a replicate: a number that takes it to the row of that
+    position by a join, in the task itself while the numbered rows are small (their bytes are
+    measured). Draws are narrow, and what follows aggregates them by replicate before it
+    shuffles.
+    """
+    rows = df.where(F.col(stratum).isNotNull())
+    placed = numbered(rows, [F.col(id)], "_k", [stratum])
+    sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+    placed = materialize(placed.join(F.broadcast(sizes), stratum))  # a row per class
+    position = drawn_position(F.col("_k") - 1, F.col("_n"), F.col("_rep"), F.col(stratum).cast("long"), seed)
+    draws = placed.select(stratum, "_k", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
+    draws = draws.select(stratum, "_rep", (position + 1).alias("_k"))
+    return draws.join(broadcast_if_small(placed.drop("_n")), [stratum, "_k"]).select(*df.columns, "_rep", F.lit(1).alias("_w"))
+
+
+def resamples(df: DataFrame, id: str, stratum: str | None, replicates: int, seed: int) -> DataFrame:
+    return resampled(df, id, replicates, seed) if stratum is None else stratified(df, id, stratum, replicates, seed)
+
+
 def _weighted_auc(rows: DataFrame, score: str, positive: Column, by: Sequence[str]) -> DataFrame:
     """``by, auc, n_pos`` of weighted rows; null with one class only."""
     w = lambda c: F.sum(F.when(c, F.col("_w")).otherwise(0))
@@ -131,6 +173,18 @@ def _weighted_auc(rows: DataFrame, score: str, positive: Column, by: Sequence[st
     return ranked.groupBy(*by).agg((hits / both).alias("auc"), F.sum("pos").alias("n_pos"))
 
 
+def _both_scores(rows: DataFrame, truth: str, scores: Sequence[str]) -> DataFrame:
+    """``_rep, _w, truth, which, score``: resampled rows once per score, from one pass over the resamples."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.col(c).cast("double").alias("score")) for k, c in enumerate(scores)]))
+    return rows.select("_rep", "_w", F.col(truth).alias("truth"), each.alias("s")).select("_rep", "_w", "truth", "s.*")
+
+
+def _of_scores(values: DataFrame, n: int, value: str) -> DataFrame:
+    """``_rep, value``: of one score its value, of two the second's less the first's."""
+    at = [F.max(F.when(F.col("which") == k, F.col(value))) for k in range(n)]
+    return values.groupBy("_rep").agg((at[1] - at[0] if n == 2 else at[0]).alias("value"))
+
+
 def intervals(values: DataFrame, names: Sequence[str]) -> DataFrame:
     """``metric, replicates, mean, median, ci_low, ci_high, n_undefined`` of a column per metric, a row per replicate."""
     long = values.unpivot([], list(names), "metric", "value")
@@ -145,39 +199,36 @@ def intervals(values: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def bootstrap_auc(df: DataFrame, id: str, truth: str, base: str, new: str | None = None, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Percentile interval of an AUC, or of the difference of two on the same resamples (see ``resampled``).
+def bootstrap_auc(
+    df: DataFrame, id: str, truth: str, base: str, new: str | None = None, replicates: int = 1000, seed: int = 42, stratify: bool = False
+) -> DataFrame:
+    """Percentile interval of an AUC, or of the difference of two on the same resamples.
 
-    One row: ``replicates, mean, median, ci_low, ci_high, n_undefined``. Replicates with one class
+    Resamples are those of ``resampled``, with ``stratify`` those of ``stratified`` by the truth. One row:
+    ``replicates, mean, median, ci_low, ci_high, n_undefined``. Replicates with one class
     only are undefined and left out of the rest.
     """
-    rows = resampled(df.where(F.col(truth).isNotNull()), id, replicates, seed)
-    values = _weighted_auc(rows, base, F.col(truth) == 1, ["_rep"]).select("_rep", F.col("auc").alias("value"))
-    if new is not None:
-        other = _weighted_auc(rows, new, F.col(truth) == 1, ["_rep"]).select("_rep", F.col("auc").alias("other"))
-        values = values.join(other, "_rep").withColumn("value", F.col("other") - F.col("value"))
-    return intervals(values, ["value"]).drop("metric")
+    scores = [base] if new is None else [base, new]
+    rows = resamples(df.where(F.col(truth).isNotNull()), id, truth if stratify else None, replicates, seed)
+    auc = _weighted_auc(_both_scores(rows, truth, scores), "score", F.col("truth") == 1, ["_rep", "which"])
+    return intervals(_of_scores(auc, len(scores), "auc"), ["value"]).drop("metric")
 
 
-def bootstrap_ap_delta(df: DataFrame, id: str, truth: str, base: str, new: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap_ap_delta(df: DataFrame, id: str, truth: str, base: str, new: str, replicates: int = 1000, seed: int = 42, stratify: bool = False) -> DataFrame:
     """Like ``bootstrap_auc`` with two scores, for the difference of average precisions."""
-    rows = resampled(df.where(F.col(truth).isNotNull()), id, replicates, seed)
-    w = lambda c: F.sum(F.when(c, F.col("_w")).otherwise(0))
-    ap = []
-    for name, score in (("a", base), ("b", new)):
-        each = rows.groupBy("_rep", F.col(score).cast("double").alias("score")).agg(w(F.col(truth) == 1).alias("pos"), F.sum("_w").alias("all"))
-        ranked = running_totals(each, [F.col("score").desc()], {"tp": F.col("pos"), "called": F.col("all")}, ["_rep"])
-        gained = F.sum(F.col("pos") * F.col("tp") / F.col("called")) / F.nullif(F.sum("pos"), F.lit(0))
-        ap.append(ranked.groupBy("_rep").agg(gained.alias(name)))
-    values = ap[0].join(ap[1], "_rep").select((F.col("b") - F.col("a")).alias("value"))
-    return intervals(values, ["value"]).drop("metric")
+    rows = resamples(df.where(F.col(truth).isNotNull()), id, truth if stratify else None, replicates, seed)
+    pos = F.sum(F.when(F.col("truth") == 1, F.col("_w")).otherwise(0)).alias("pos")
+    each = _both_scores(rows, truth, [base, new]).groupBy("_rep", "which", "score").agg(pos, F.sum("_w").alias("all"))
+    ranked = running_totals(each, [F.col("score").desc()], {"tp": F.col("pos"), "called": F.col("all")}, ["_rep", "which"])
+    gained = F.sum(F.col("pos") * F.col("tp") / F.col("called")) / F.nullif(F.sum("pos"), F.lit(0))
+    return intervals(_of_scores(ranked.groupBy("_rep", "which").agg(gained.alias("ap")), 2, "ap"), ["value"]).drop("metric")
 
 
-def bootstrap_multiclass(df: DataFrame, id: str, truth: str, pred: str, probabilities: Sequence[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap_multiclass(df: DataFrame, id: str, truth: str, pred: str, probabilities: Sequence[str], replicates: int = 1000, seed: int = 42, stratify: bool = False) -> DataFrame:
     """Intervals of seven metrics of a classifier: balanced accuracy, macro and weighted F1, macro and
-    weighted one-against-rest AUC, log loss and Brier score, each on the same resamples."""
+    weighted one-against-rest AUC, log loss and Brier score, each on the same resamples (see ``bootstrap_auc``)."""
     k = len(probabilities)
-    rows = resampled(df.where(F.col(truth).isNotNull()), id, replicates, seed)
+    rows = resamples(df.where(F.col(truth).isNotNull()), id, truth if stratify else None, replicates, seed)
     own = F.element_at(F.array(*[F.col(c) for c in probabilities]), F.col(truth) + 1)
     loss = -F.ln(F.greatest(own, F.lit(2.220446049250313e-16)))
     brier = sum(((F.col(c) - (F.col(truth) == i).cast("double")) ** 2 for i, c in enumerate(probabilities)), F.lit(0.0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cohortal.operators.prefix import numbered
-from cohortal.session import materialize
+from cohortal.session import broadcast_if_small, materialize
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -132,6 +133,74 @@ def group_folds(df: DataFrame, group: str, label: str, folds: int, seed: int = 0
     return ranked.select(group, F.when(k < folds, k).otherwise(2 * folds - 1 - k).cast("int").alias("fold"))
 
 
+def spread_of(counts: Sequence[int]) -> int:
+    """Their variance times the square of their number: a whole number, so that equal spreads tie in any engine."""
+    return len(counts) * sum(c * c for c in counts) - sum(counts) ** 2
+
+
+def next_fold(state: list[list[int]], counts: Sequence[int], totals: Sequence[int]) -> int:
+    """The fold that a group with these class counts evens out most: least mean deviation of the classes' shares, then least rows, then first."""
+
+    def cost(f: int) -> float:
+        out = 0.0
+        for k, t in enumerate(totals):
+            if t:
+                column = [s[k] + (counts[k] if i == f else 0) for i, s in enumerate(state)]
+                low = min(column)
+                out += math.sqrt(spread_of([c - low for c in column])) / t
+        return round(out, 12)
+
+    return min(range(len(state)), key=lambda f: (cost(f), sum(state[f]), f))
+
+
+def dealt_alike(state: list[list[int]], counts: Sequence[int], totals: Sequence[int], n: int) -> tuple[list[int], list[int]]:
+    """Folds of ``n`` groups of equal class counts, one after the other: the first ones, and the cycle that follows.
+
+    Costs depend on differences between folds only, so once the groups that the folds got differ as
+    they did before, their order repeats. ``state`` is brought up to date.
+    """
+    got, order, seen = [0] * len(state), [], {}
+    while len(order) < n:
+        shape = tuple(g - min(got) for g in got)
+        if shape in seen:
+            cycle = order[seen[shape] :]
+            rest = n - len(order)
+            for i, f in enumerate(cycle):
+                times = rest // len(cycle) + (i < rest % len(cycle))
+                state[f] = [s + times * c for s, c in zip(state[f], counts, strict=True)]
+            return order[: seen[shape]], cycle
+        seen[shape] = len(order)
+        f = next_fold(state, counts, totals)
+        state[f] = [s + c for s, c in zip(state[f], counts, strict=True)]
+        got[f] += 1
+        order.append(f)
+    return order, []
+
+
+def greedy_group_folds(df: DataFrame, group: str, label: str, folds: int, seed: int = 0) -> DataFrame:
+    """Folds that keep groups whole, by the greedy rule: ``group, fold``, a row per group.
+
+    Groups come in the order of the spread of their class counts, widest first, then of the counts,
+    then of a seeded hash; each goes to the fold that ``next_fold`` names. Groups of equal counts are
+    alike to the rule, so the driver deals such profiles, one row each, and not groups: their
+    groups are numbered on Spark and read their fold off the profile's order. Null labels count for
+    no class; a null group is a group.
+    """
+    classes = [r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).collect()]
+    g = df.groupBy(group).agg(F.array(*[F.count_if(F.col(label) == c) for c in classes]).alias("_c"))
+    g = materialize(g)
+    profiles = sorted(((tuple(r["_c"]), r.n) for r in g.groupBy("_c").agg(F.count("*").alias("n")).collect()), key=lambda p: (-spread_of(p[0]), [-c for c in p[0]]))
+    totals = [sum(c[k] * n for c, n in profiles) for k in range(len(classes))]
+    state = [[0] * len(classes) for _ in range(folds)]
+    plan = [(k, list(c), *dealt_alike(state, c, totals, n)) for k, (c, n) in enumerate(profiles)]
+    table = df.sparkSession.createDataFrame(plan, "_p int, _c array<long>, _first array<int>, _cycle array<int>")
+    named = g.join(broadcast_if_small(table.select("_p", "_c")), "_c").withColumn("_o", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(group).cast("string"), F.lit("")))))
+    placed = numbered(named, [F.col("_o"), F.col(group)], "_k", ["_p"]).join(broadcast_if_small(table.drop("_c")), "_p")
+    k = F.col("_k") - 1
+    later = F.get("_cycle", F.pmod(k - F.size("_first"), F.greatest(F.size("_cycle"), F.lit(1))).cast("int"))
+    return placed.select(group, F.when(k < F.size("_first"), F.get("_first", k.cast("int"))).otherwise(later).alias("fold"))
+
+
 def fold_leaks(df: DataFrame, group: str, fold: str = "fold") -> DataFrame:
     """Groups that occur in more than one fold, with their number of folds: empty if nothing leaks."""
     return df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count_distinct(fold).alias("n_folds")).where("n_folds > 1")

@@ -262,6 +262,29 @@ def grouped_folds(spark, sf_dir):
     return R.group_folds(predictions(spark, sf_dir), "group_key", "y", 5)
 
 
+def greedy_sql(folds: int) -> str:
+    """The greedy rule as a recursion over the groups; the state has rows of class 0 and 1 per fold."""
+    at = lambda k: f"list_transform(range(1, {folds + 1}), lambda i: s{k}[i] + CASE WHEN i = f THEN c{k} ELSE 0 END)"
+    spread = lambda k: f"sqrt({folds} * list_sum(list_transform({at(k)}, lambda v: v * v)) - list_sum({at(k)}) ** 2) / t{k}"
+    cost = f"list_sort(list_transform(range(1, {folds + 1}), lambda f: {{'cost': round(coalesce({spread(0)}, 0) + coalesce({spread(1)}, 0), 12), 'n': s0[f] + s1[f], 'f': f}}))[1].f"
+    grown = lambda k: f"list_transform(range(1, {folds + 1}), lambda i: s{k}[i] + CASE WHEN i = fold THEN c{k} ELSE 0 END)"
+    return f"""RECURSIVE {V.PRED}, g AS (SELECT group_key, count(*) FILTER (y = 0) AS c0, count(*) FILTER (y = 1) AS c1 FROM pred GROUP BY 1),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY 2 * (c0 * c0 + c1 * c1) - (c0 + c1) * (c0 + c1) DESC, c0 DESC, c1 DESC, md5('0|' || group_key), group_key) AS k,
+      nullif(sum(c0) OVER (), 0)::DOUBLE AS t0, nullif(sum(c1) OVER (), 0)::DOUBLE AS t1 FROM g),
+    deal(k, group_key, fold, s0, s1) AS (
+      SELECT CAST(0 AS BIGINT), NULL::VARCHAR, NULL::BIGINT, list_transform(range({folds}), lambda i: 0::BIGINT), list_transform(range({folds}), lambda i: 0::BIGINT)
+      UNION ALL
+      SELECT k, group_key, fold, {grown(0)}, {grown(1)} FROM (
+        SELECT o.k, o.group_key, o.c0, o.c1, s0, s1, {cost} AS fold FROM deal JOIN o ON o.k = deal.k + 1))
+    SELECT group_key, CAST(fold - 1 AS INT) AS fold FROM deal WHERE k > 0"""
+
+
+@query(greedy_sql(5), " ")
+def greedy_grouped_folds(spark, sf_dir):
+    """Folds of whole groups by the greedy rule."""
+    return R.greedy_group_folds(predictions(spark, sf_dir), "group_key", "y", 5)
+
+
 @query(
     f"""SELECT row_index, truth, CASE WHEN row_number() OVER (PARTITION BY truth ORDER BY {ORDER_SQL.format(seed=3)}, row_index) % 5 = 1 THEN 'test' ELSE 'train' END AS split FROM pred""",
     V.PRED + "\n",
@@ -464,22 +487,60 @@ OVR = " UNION ALL ".join(f"SELECT {i} AS class, * FROM ({auc_sql(c, f'truth = {i
 F1 = [f"coalesce(2 * tp{i} / nullif(t{i} + p{i}, 0)::DOUBLE, 0)" for i in range(3)]
 
 
-@query(
-    f"""{BOOT}, wide AS (SELECT rep, sum(w)::DOUBLE AS n, sum(w * -ln(greatest([p_nevus, p_mel, p_atyp][truth + 1], 2.220446049250313e-16::DOUBLE))) / sum(w) AS log_loss,
+SEVEN = f""", wide AS (SELECT rep, sum(w)::DOUBLE AS n, sum(w * -ln(greatest([p_nevus, p_mel, p_atyp][truth + 1], 2.220446049250313e-16::DOUBLE))) / sum(w) AS log_loss,
       sum(w * ((p_nevus - (truth = 0)::INT) ** 2 + (p_mel - (truth = 1)::INT) ** 2 + (p_atyp - (truth = 2)::INT) ** 2)) / sum(w) AS brier,
       {", ".join(f"sum(w * (truth = {i})::INT)::DOUBLE AS t{i}, sum(w * (pred = {i})::INT)::DOUBLE AS p{i}, sum(w * (truth = {i} AND pred = {i})::INT)::DOUBLE AS tp{i}" for i in range(3))} FROM boot GROUP BY rep),
     ovr AS (SELECT rep, avg(value) AS macro, sum(value * n_pos) / sum(n_pos) AS weighted FROM ({OVR}) GROUP BY rep),
     v AS (SELECT ({" + ".join(f"tp{i} / nullif(t{i}, 0)" for i in range(3))}) / 3 AS balanced_accuracy, ({" + ".join(F1)}) / 3 AS macro_f1, ({" + ".join(f"{x} * t{i}" for i, x in enumerate(F1))}) / n AS weighted_f1,
       macro AS macro_auc_ovr, weighted AS weighted_auc_ovr, log_loss, brier FROM wide JOIN ovr USING (rep))
-    SELECT metric, {SUMMARY} FROM v UNPIVOT (value FOR metric IN (balanced_accuracy, macro_f1, weighted_f1, macro_auc_ovr, weighted_auc_ovr, log_loss, brier)) GROUP BY metric""",
-    V.PRED,
-)
+    SELECT metric, {SUMMARY} FROM v UNPIVOT (value FOR metric IN (balanced_accuracy, macro_f1, weighted_f1, macro_auc_ovr, weighted_auc_ovr, log_loss, brier)) GROUP BY metric"""
+
+
+@query(BOOT + SEVEN, V.PRED)
 def bootstrap_multiclass(spark, sf_dir):
     """Bootstrap intervals of seven metrics."""
     p = predictions(spark, sf_dir)
     return rounded(E.bootstrap_multiclass(p, "row_index", "truth", "pred", ["p_nevus", "p_mel", "p_atyp"], replicates=REPLICATES))
 
 
+def stirred_sql(x: str, source: str, name: str) -> str:
+    """Steps of ``effects.stirred`` as common table expressions; the last is ``name`` and has the number as ``h``."""
+    once = f"(xor(x, x >> 16) * {E.MULTIPLIER}) & {E.MASK}"
+    return (
+        f"{name}_0 AS (SELECT c, k, n, rep, ({x}) & {E.MASK} AS x FROM {source}), {name}_1 AS (SELECT * EXCLUDE x, {once} AS x FROM {name}_0), "
+        f"{name}_2 AS (SELECT * EXCLUDE x, {once} AS x FROM {name}_1), {name} AS (SELECT * EXCLUDE x, xor(x, x >> 16) AS h FROM {name}_2)"
+    )
+
+
+def stratified_sql(stratum: str) -> str:
+    """Draws with replacement within each class, as rows ``boot`` of weight 1."""
+    first = stirred_sql(f"k + {E.STEPS[0]} * (rep + 1)", "asked", "d1")
+    second = stirred_sql(f"h + {E.STEPS[1]} * (c + 1) + 42", "d1", "d2")
+    return f""", placed AS (SELECT pred.*, row_number() OVER (PARTITION BY {stratum} ORDER BY row_index) - 1 AS k, count(*) OVER (PARTITION BY {stratum}) AS n FROM pred),
+    asked AS (SELECT CAST({stratum} AS BIGINT) AS c, k, n, CAST(rep AS BIGINT) AS rep FROM placed, (SELECT unnest(range({REPLICATES})) AS rep)),
+    {first}, {second},
+    boot AS (SELECT placed.*, d2.rep, 1 AS w FROM d2 JOIN placed ON placed.{stratum} = d2.c AND placed.k = (d2.h * d2.n) >> 32)"""
+
+
+@query(stratified_sql("truth") + SEVEN, V.PRED)
+def stratified_multiclass(spark, sf_dir):
+    """Intervals of seven metrics from draws within each class."""
+    p = predictions(spark, sf_dir)
+    return rounded(E.bootstrap_multiclass(p, "row_index", "truth", "pred", ["p_nevus", "p_mel", "p_atyp"], replicates=REPLICATES, stratify=True))
+
+
+@query(f"{stratified_sql('y')} SELECT {SUMMARY} FROM (SELECT b.value - a.value AS value FROM ({auc_sql('s_a')}) a JOIN ({auc_sql('s_b')}) b USING (rep))", V.PRED)
+def stratified_delta(spark, sf_dir):
+    """Paired interval of a difference of AUCs from draws within each class, the same for both scores."""
+    return rounded(E.bootstrap_auc(predictions(spark, sf_dir), "row_index", "y", "s_a", "s_b", replicates=REPLICATES, stratify=True))
+
+
+@query(f"{stratified_sql('y')} SELECT {SUMMARY} FROM (SELECT b.value - a.value AS value FROM ({ap_sql('s_a')}) a JOIN ({ap_sql('s_b')}) b USING (rep))", V.PRED)
+def stratified_ap(spark, sf_dir):
+    """Paired interval of a difference of average precisions from draws within each class."""
+    return rounded(E.bootstrap_ap_delta(predictions(spark, sf_dir), "row_index", "y", "s_a", "s_b", replicates=REPLICATES, stratify=True))
+
+
 @query(
     f"""{BOOT}, cells AS (SELECT rep, s_a AS s, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM boot GROUP BY ALL),
     ranked AS (SELECT *, sum(pos) OVER o AS pos_le, sum(neg) OVER o AS neg_le, sum(pos) OVER (PARTITION BY rep) AS n_pos, sum(neg) OVER (PARTITION BY rep) AS n_neg FROM cells WINDOW o AS (PARTITION BY rep ORDER BY s)),
