@@ -82,21 +82,109 @@ def aggregate_fingerprint(files: DataFrame, path: str = "path", size: str = "byt
     return files.groupBy(*by).agg(F.sha2(whole, 256).alias("fingerprint"), F.count("*").alias("n_files"))
 
 
-def _fnv1a(data: bytes | None, signed: bool) -> str | None:
-    if data is None:
-        return None
-    h = 0xCBF29CE484222325
-    for x in data:
-        h = (h ^ x) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    if signed and h >> 63:
-        return f"-{(1 << 64) - h:x}".rjust(16, "0")
-    return f"{h:016x}"
+# Offset and prime of the 64-bit hash, as halves of 32 bits; the prime is 2 ** 40 + 0x1B3.
+FNV_OFFSET = (0xCBF29CE4, 0x84222325)
+FNV_LOW, FNV_SHIFT = 0x1B3, 8
+HALF = (1 << 32) - 1
 
 
 def fnv1a_64(column: str | Column, signed: bool = False) -> Column:
-    """FNV-1a hash of bytes in 16 hex digits; ``signed`` prints it as a signed 64-bit integer."""
-    run = F.pandas_udf(lambda s: s.map(lambda b: _fnv1a(b, signed), na_action="ignore"), "string")
-    return run(F.col(column) if isinstance(column, str) else column)
+    """FNV-1a hash of bytes in 16 hex digits; ``signed`` prints it as a signed 64-bit integer.
+
+    The product modulo 2 ** 64 is made of two halves of 32 bits, none of whose parts
+    leaves 64 bits. Bytes are read off the hex form, so a value takes some 30 times its size in its task.
+    """
+    data = F.col(column) if isinstance(column, str) else column
+    n = F.octet_length(data)
+    # Positions from 1; an empty value has none.
+    at = F.filter(F.sequence(F.lit(0), n), lambda i: i > 0)
+    byte = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long")
+    both = lambda hi, lo: F.struct(hi.alias("hi"), lo.alias("lo"))
+
+    def step(h: Column, i: Column) -> Column:
+        x = h["lo"].bitwiseXOR(byte(i))
+        low = x * FNV_LOW
+        high = h["hi"] * FNV_LOW + F.shiftright(low, 32) + F.shiftleft(x, FNV_SHIFT)
+        return both(high.bitwiseAND(F.lit(HALF)), low.bitwiseAND(F.lit(HALF)))
+
+    start = both(*[F.lit(v).cast("long") for v in FNV_OFFSET])
+    digits = lambda v: F.lower(F.lpad(F.hex(v), 8, "0"))
+
+    def text(h: Column) -> Column:
+        plain = F.concat(digits(h["hi"]), digits(h["lo"]))
+        if not signed:
+            return plain
+        lo = (F.lit(HALF + 1) - h["lo"]).bitwiseAND(F.lit(HALF))
+        hi = (F.lit(HALF + 1) - h["hi"] - F.when(lo == 0, 0).otherwise(1)).bitwiseAND(F.lit(HALF))
+        size = F.concat(F.lit("-"), F.ltrim(F.concat(digits(hi), digits(lo)), F.lit("0")))
+        return F.when(h["hi"] > HALF // 2, F.when(F.length(size) < 16, F.lpad(size, 16, "0")).otherwise(size)).otherwise(plain)
+
+    return F.when(data.isNotNull(), F.aggregate(at, start, step, text))
+
+
+def manifest_checks(
+    manifests: DataFrame, id: str, components: Sequence[str], classes: Sequence[str], thresholds: Sequence[str], actual: str | None = None
+) -> DataFrame:
+    """Faults of many model manifests, a row each: ``id, check, detail``; a valid one has none.
+
+    A manifest has ``components`` (name, sha256) in order, ``classes`` in order, ``thresholds`` by name and
+    ``bundle_sha256``; ``actual`` names a column with the digests of the component files, in the same order.
+    Names and order have to be those given, digests 64 lowercase hex digits and those of the files,
+    thresholds between 0 and 1, and the bundle's digest that of the components' own.
+    No row meets another: nothing is shuffled.
+    """
+    want = F.array(*map(F.lit, components))
+    names, digests = F.col("components.name"), F.col("components.sha256")
+    digest = lambda c: F.coalesce(c.rlike("^[0-9a-f]{64}$"), F.lit(False))
+    listed = F.coalesce(names == want, F.lit(False))
+    sound = listed & F.forall(digests, digest)
+    fault = lambda bad, check, detail: F.when(bad, F.struct(F.lit(check).alias("check"), detail.cast("string").alias("detail")))
+    at = range(len(components))
+    found = [
+        fault(~listed, "components", F.array_join(F.coalesce(names, F.array().cast("array<string>")), ",", "")),
+        *[fault(listed & ~digest(F.get(digests, F.lit(k))), "sha256", F.lit(components[k])) for k in at],
+        fault(~F.coalesce(F.col("classes") == F.array(*map(F.lit, classes)), F.lit(False)), "classes", F.array_join(F.coalesce("classes", F.array().cast("array<string>")), ",", "")),
+        *[fault(~F.coalesce(F.col("thresholds")[t].between(0, 1), F.lit(False)), "thresholds", F.lit(t)) for t in thresholds],
+        fault(~digest(F.col("bundle_sha256")), "bundle_sha256", F.lit("no digest")),
+        fault(sound & digest(F.col("bundle_sha256")) & (F.col("bundle_sha256") != bundle_sha256(names, F.when(sound, digests))), "bundle_sha256", F.lit("not that of the components")),
+    ]
+    if actual is not None:
+        found += [fault(listed & digest(F.get(digests, F.lit(k))) & ~F.coalesce(F.get(actual, F.lit(k)) == F.get(digests, F.lit(k)), F.lit(False)), "file", F.lit(components[k])) for k in at]
+    return manifests.select(id, F.inline(F.array_compact(F.array(*found))))
+
+
+def completeness(
+    expected: Mapping[str, DataFrame], present: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], values: Mapping[str, Sequence[str]], tolerance: float = 1e-6
+) -> DataFrame:
+    """Whether written tables hold all of their sources: a row per expected table.
+
+    ``table, expected_rows, rows, missing_keys, extra_keys, repeated_keys, off_values, status``; a key value is off if it differs by
+    more than the tolerance or only one side has it. Both sides of a table are summed up per key
+    before they meet. A table that was not written has no rows.
+    """
+    out = []
+    for name, source in expected.items():
+        key, own = list(keys[name]), list(values.get(name, ()))
+        written = present.get(name)
+        written = source.limit(0) if written is None else written
+
+        def side(df: DataFrame, mark: str, key=key, own=own) -> DataFrame:
+            # Of a key that repeats, the least values stand for it; the repetition is counted.
+            return df.groupBy(*key).agg(F.count("*").alias(f"n_{mark}"), *[F.min(F.col(c).cast("double")).alias(f"{mark}_{c}") for c in own])
+
+        a, b = side(source, "a"), side(written, "b").withColumnsRenamed({k: f"_{k}" for k in key})
+        on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+        j = a.join(b, on, "full")
+        na, nb = (F.coalesce(f"n_{m}", F.lit(0)) for m in "ab")
+        off = [~F.coalesce(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= tolerance, F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))) for c in own]
+        both = (na > 0) & (nb > 0)
+        wide = j.agg(
+            F.coalesce(F.sum(na), F.lit(0)).alias("expected_rows"), F.coalesce(F.sum(nb), F.lit(0)).alias("rows"), F.count_if(nb == 0).alias("missing_keys"), F.count_if(na == 0).alias("extra_keys"),
+            F.count_if(both & (nb > na)).alias("repeated_keys"), sum((F.count_if(both & o) for o in off), F.lit(0)).cast("long").alias("off_values"),
+        )
+        fine = (F.col("expected_rows") == F.col("rows")) & (F.greatest("missing_keys", "extra_keys", "repeated_keys", "off_values") == 0)
+        out.append(wide.select(F.lit(name).alias("table"), "*", F.when(fine, "PASS").otherwise("FAIL").alias("status")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def manifest_faults(spark, manifest: Mapping, components: Sequence[str], classes: Sequence[str]) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Image operators: Arrow batches of decoded images, and pixel tables."""
+"""Image operators: Arrow batches of decoded images, and descriptors of pictures held as arrays."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -65,18 +67,22 @@ def dehaired(height: str = "height", width: str = "width", bgr: str = "bgr") ->
 
 
 def near_duplicate_images(images: DataFrame, id: str = "id", max_mae: float = 1.0) -> DataFrame:
-    """Pairs of equal size and equal hashes whose pixels differ by at most ``max_mae`` on average.
+    """Links between images of equal size: ``member_1, member_2, pixel_mae, pixel_max_abs_difference``.
 
-    Images are hashed once and ids joined on size and both hashes; pixels are fetched for the members
-    of such pairs only. Rows of one id count as several if their pixels differ; rows without an
-    id or that cannot be read have no pair.
+    Exact copies are linked to the one of the least id only, so that n copies give n - 1 links. These
+    representatives are linked if both hashes are equal and their pixels differ by at most ``max_mae`` on
+    average; pixels are fetched for the members of such pairs only. Rows of one id count as several if
+    their pixels differ; rows without an id or that cannot be read have no link.
     """
-    own = F.xxhash64("bgr")
+    own = F.sha2("bgr", 256)
     hashes = image_hashes("height", "width", "bgr", "mask")
     h = images.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), own.alias("own"), "height", "width", hashes.alias("h"))
-    h = materialize(h.select("id", "own", "height", "width", "h.phash", "h.dhash").dropDuplicates(["id", "own", "height", "width"]))
+    h = materialize(h.select("id", "own", "height", "width", "h.phash", "h.dhash").where("phash is not null").dropDuplicates(["id", "own", "height", "width"]))
+    reps = materialize(h.groupBy("own", "height", "width").agg(F.min("id").alias("rep"), F.first("phash").alias("phash"), F.first("dhash").alias("dhash")))
+    copies = h.join(reps.drop("phash", "dhash"), ["own", "height", "width"]).where("id != rep")
+    copies = copies.select(F.col("rep").alias("member_1"), F.col("id").alias("member_2"), F.lit(0.0).alias("pixel_mae"), F.lit(0).alias("pixel_max_abs_difference"))
     on = ["height", "width", "phash", "dhash"]
-    side = lambda k: h.select(*on, F.col("id").alias(f"member_{k}"), F.col("own").alias(f"own_{k}"))
+    side = lambda k: reps.select(*on, F.col("rep").alias(f"member_{k}"), F.col("own").alias(f"own_{k}"))
     pairs = materialize(side(1).join(side(2), on).where("member_1 < member_2").drop("phash", "dhash"))
     of = lambda k: pairs.select(F.col(f"member_{k}").alias("id"), F.col(f"own_{k}").alias("own"))
     wanted = materialize(of(1).union(of(2)).distinct())
@@ -85,22 +91,60 @@ def near_duplicate_images(images: DataFrame, id: str = "id", max_mae: float = 1.
     for k, name in ((1, "a"), (2, "b")):
         pixels = found.select(F.col("id").alias(f"member_{k}"), F.col("own").alias(f"own_{k}"), "height", "width", F.col("bgr").alias(name))
         pairs = pairs.join(pixels, [f"member_{k}", f"own_{k}", "height", "width"])
-    pairs = pairs.withColumn("d", pixel_difference("a", "b"))
-    return pairs.where(F.col("d.mae") <= max_mae).select("member_1", "member_2", F.col("d.mae").alias("pixel_mae"), F.col("d.max").alias("pixel_max_abs_difference"))
+    pairs = pairs.withColumn("d", pixel_difference("a", "b")).where(F.col("d.mae") <= max_mae)
+    return copies.unionByName(pairs.select("member_1", "member_2", F.col("d.mae").alias("pixel_mae"), F.col("d.max").alias("pixel_max_abs_difference")))
 
 
-def infer(images: DataFrame, model, columns: Sequence[str], schema: str, batch: int = 16) -> DataFrame:
+def with_fallback(
+    rows: DataFrame, prepared: DataFrame, raw: DataFrame, key: Sequence[str], content: Sequence[str],
+    readable: Column | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None, tags: tuple[str, str] = ("dehair_file", "dehair_fallback_raw"),
+) -> DataFrame:
+    """Rows with the content of their prepared image, or else of the raw one, and ``view_source`` that tells which.
+
+    ``prepared`` and ``raw`` have a row per key at most, with the columns ``content``; an image counts if
+    ``readable`` holds for it (default: all content is there). ``prepare`` is applied to what comes
+    from the raw side. Only raw images of rows without a prepared one travel. A row with neither
+    keeps nulls and a null tag.
+    """
+    ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in content]) if readable is None else F.coalesce(readable, F.lit(False))
+    first = prepared.where(ok).select(*key, *content)
+    lacking = rows.select(*key).join(first.select(*key), list(key), "left_anti").distinct()
+    second = raw.where(ok).select(*key, *content).join(lacking, list(key), "left_semi")
+    second = second if prepare is None else prepare(second)
+    tagged = first.withColumn("view_source", F.lit(tags[0])).unionByName(second.withColumn("view_source", F.lit(tags[1])))
+    return rows.join(tagged, list(key), "left")
+
+
+def embedded_views(
+    rows: DataFrame, prepared: DataFrame, raw: DataFrame, key: Sequence[str], content: Sequence[str], model, schema: str, batch: int = 16, **options
+) -> DataFrame:
+    """Embeddings of each row's view: the rows' columns, ``view_source``, the columns of ``schema``, ``error``.
+
+    A row without an image has the error ``missing``; one whose inference fails has that error, and the
+    rest goes on (see ``infer``; the model sees the content columns).
+    """
+    viewed = with_fallback(rows, prepared, raw, key, content, **options)
+    return infer(viewed, model, content, schema, batch, keep=[*rows.columns, "view_source"], missing=F.col("view_source").isNull())
+
+
+def infer(
+    images: DataFrame, model, columns: Sequence[str], schema: str, batch: int = 16, keep: Sequence[str] = (), missing: Column | None = None
+) -> DataFrame:
     """Run a model over images in batches: ``model()`` opens a session once per task.
 
     The session maps a list of column tuples to a list of result tuples. A batch that fails is tried
-    row by row; a row that fails gets nulls and its error, and the job goes on.
+    row by row; a row that fails gets nulls and its error, and the job goes on. Rows that are
+    ``missing`` are not shown to the model. The columns ``keep`` come before the results.
     """
     names = [x.split()[0] for x in schema.split(", ")]
+    lacks = F.lit(False) if missing is None else F.coalesce(missing, F.lit(True))
+    kept = ", ".join(f"`{c}` {t}" for c, t in images.select(*keep).dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         session = model()
         for pdf in batches:
-            rows = list(pdf[list(columns)].itertuples(index=False, name=None))
+            there = ~pdf["_lacks"].to_numpy(bool)
+            rows = list(pdf.loc[there, list(columns)].itertuples(index=False, name=None))
             out = []
             for at in range(0, len(rows), batch):
                 part = rows[at : at + batch]
@@ -112,55 +156,108 @@ def infer(images: DataFrame, model, columns: Sequence[str], schema: str, batch:
                             out.append((*session([one])[0], None))
                         except Exception as e:
                             out.append((*[None] * len(names), f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=[*names, "error"], index=pdf.index, dtype=object)
+            done = iter(out)
+            all_rows = [next(done) if t else (*[None] * len(names), "missing") for t in there]
+            found = pd.DataFrame(all_rows, columns=[*names, "error"], index=pdf.index, dtype=object)
+            yield pd.concat([pdf[list(keep)], found], axis=1)
 
-    return images.select(*columns).mapInPandas(run, f"{schema}, error string")
+    shown = images.select(*dict.fromkeys([*keep, *columns]), lacks.alias("_lacks"))
+    return shown.mapInPandas(run, f"{kept + ', ' if kept else ''}{schema}, error string")
 
 
-def pixel_table(df: DataFrame, id: str, values: str, width: int) -> DataFrame:
-    """A row per pixel of an array column: ``id, y, x, v``."""
-    return df.select(id, F.posexplode(values).alias("i", "v")).select(
-        id, F.floor(F.col("i") / width).cast("int").alias("y"), F.pmod("i", F.lit(width)).cast("int").alias("x"), F.col("v").cast("double").alias("v")
-    )
+def mask_of(values: str) -> Column:
+    """Which entries of an array are above 0; null and NaN are not."""
+    return F.transform(values, lambda v: F.coalesce((v > 0) & ~F.isnan(v.cast("double")), F.lit(False)))
 
 
-def asymmetry_table(p: DataFrame, id: str) -> DataFrame:
-    """Correlation of row and column sums of the mask ``v > 0`` per image; 1 where undefined."""
-    m = F.when(F.col("v") > 0, 1).otherwise(0)
-    rows = p.groupBy(id, F.col("y").alias("k")).agg(F.sum(m).alias("r"))
-    cols = p.groupBy(id, F.col("x").alias("k")).agg(F.sum(m).alias("c"))
-    j = rows.join(cols, [id, "k"])
-    s = lambda e: F.sum(F.expr(e)).cast("double")
-    agg = j.groupBy(id).agg(F.count("*").alias("n"), s("r").alias("sr"), s("c").alias("sc"), s("r * r").alias("rr"), s("c * c").alias("cc"), s("r * c").alias("rc"))
+def asymmetry_table(df: DataFrame, id: str, values: str, width: int) -> DataFrame:
+    """Correlation of row and column sums of the mask of each picture, over the shorter side; 1 where undefined.
+
+    Pictures are arrays, row by row, of ``width`` values each; all sums stay in their row of the table.
+    """
+    m = df.where(F.size(values) > 0).select(id, F.transform(mask_of(values), lambda b: b.cast("long")).alias("m"))
+    height = F.ceil(F.size("m") / width).cast("int")
+    rows = F.transform(F.sequence(F.lit(0), height - 1), lambda y: F.aggregate(F.slice("m", y * width + 1, width), F.lit(0).cast("long"), lambda a, v: a + v))
+    zero = F.array_repeat(F.lit(0).cast("long"), width)
+    add = lambda a, y: F.zip_with(a, F.slice("m", y * width + 1, width), lambda p, q: p + F.coalesce(q, F.lit(0)))
+    cols = F.aggregate(F.sequence(F.lit(0), height - 1), zero, add)
+    n = F.least(height, F.lit(width))
+    both = m.select(id, n.cast("double").alias("n"), F.zip_with(F.slice(rows, 1, n), F.slice(cols, 1, n), lambda r, c: F.struct(r.alias("r"), c.alias("c"))).alias("p"))
+    total = lambda f: F.aggregate(F.transform("p", f), F.lit(0).cast("long"), lambda a, v: a + v).cast("double")
+    sums = both.select(
+        id, "n", total(lambda p: p["r"]).alias("sr"), total(lambda p: p["c"]).alias("sc"), total(lambda p: p["r"] * p["r"]).alias("rr"),
+        total(lambda p: p["c"] * p["c"]).alias("cc"), total(lambda p: p["r"] * p["c"]).alias("rc"),
+    )
     cov, vr, vc = (F.expr(e) for e in ("n * rc - sr * sc", "n * rr - sr * sr", "n * cc - sc * sc"))
-    return agg.select(id, F.when((vr > 0) & (vc > 0), cov / F.sqrt(F.when(vr * vc > 0, vr * vc))).otherwise(1.0).alias("a4"))
-
-
-def box_counts(p: DataFrame, id: str, sizes: Sequence[int]) -> DataFrame:
-    """Occupied boxes of each size per image, and the slope of log count on log 1 / size."""
-    on = p.where("v > 0").select(id, "y", "x", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
-    boxes = on.select(id, "size", F.floor(F.col("y") / F.col("size")).alias("by"), F.floor(F.col("x") / F.col("size")).alias("bx")).distinct()
-    n = boxes.groupBy(id, "size").agg(F.count("*").alias("n"))
-    return n.groupBy(id).agg(F.sum("n").alias("boxes"), F.regr_slope(F.ln("n"), -F.ln("size")).alias("dimension"))
-
-
-def moments_table(p: DataFrame, id: str) -> DataFrame:
-    """Population moments of the values under the mask; zero where constant."""
-    m = p.where("v > 0").groupBy(id).agg(F.count("*").alias("n"), F.stddev_pop("v").alias("std"), F.skewness("v").alias("s"), F.kurtosis("v").alias("k"))
-    some = F.col("std") > 0
-    return m.select(id, "n", "std", F.when(some, F.col("s")).otherwise(0.0).alias("skew"), F.when(some, F.col("k")).otherwise(0.0).alias("kurt"))
-
-
-def cooccurrence_table(p: DataFrame, id: str, level: Column) -> DataFrame:
-    """Contrast, dissimilarity, homogeneity and energy of right and lower neighbours (a join on shifted places)."""
-    q = p.where("v > 0").select(id, "y", "x", level.cast("int").alias("l"))
-    to = F.explode(F.array(F.struct(F.lit(0).alias("dy"), F.lit(1).alias("dx")), F.struct(F.lit(1).alias("dy"), F.lit(0).alias("dx"))))
-    moved = q.select(id, F.col("l").alias("a"), "y", "x", to.alias("d")).select(id, "a", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
-    pairs = moved.join(q, [id, "y", "x"]).select(id, "a", F.col("l").alias("b"))
-    both = pairs.union(pairs.select(id, "b", "a"))
-    n = both.groupBy(id, "a", "b").agg(F.count("*").alias("n"))
-    total = n.groupBy(id).agg(F.sum("n").alias("t"))
-    share, d = F.col("n") / F.col("t"), F.abs(F.col("a") - F.col("b"))
-    return n.join(total, id).groupBy(id).agg(
-        F.sum(share * d * d).alias("contrast"), F.sum(share * d).alias("dissimilarity"), F.sum(share / (1 + d * d)).alias("homogeneity"), F.sqrt(F.sum(share * share)).alias("energy")
-    )
+    return sums.select(id, F.when((vr > 0) & (vc > 0), cov / F.sqrt(F.when(vr * vc > 0, vr * vc))).otherwise(1.0).alias("a4"))
+
+
+def box_counts(df: DataFrame, id: str, values: str, width: int, sizes: Sequence[int]) -> DataFrame:
+    """Occupied boxes of all sizes per picture, and the slope of log count on log 1 / size; pictures without a mask have no row."""
+    m = df.select(id, mask_of(values).alias("m")).where(F.exists("m", lambda b: b))
+
+    def occupied(size: int) -> Column:
+        across = -(-width // size)
+        down = F.ceil(F.size("m") / (width * size)).cast("int")
+
+        def hit(box: Column) -> Column:
+            top, left = F.floor(box / across).cast("int") * size, F.pmod(box, F.lit(across)) * size
+            line = lambda dy: F.slice("m", (top + dy) * width + left + 1, F.least(F.lit(size), width - left))
+            return F.exists(F.sequence(F.lit(0), F.lit(size - 1)), lambda dy: F.exists(line(dy), lambda b: b))
+
+        return F.size(F.filter(F.sequence(F.lit(0), down * across - 1), hit)).cast("long")
+
+    counts = m.select(id, *[occupied(s).alias(f"n{s}") for s in sizes])
+    x = np.array([-math.log(s) for s in sizes])
+    off = x - x.mean()
+    slope = sum((F.lit(float(o)) * F.ln(f"n{s}") for o, s in zip(off, sizes, strict=True)), F.lit(0.0)) / F.nullif(F.lit(float(off @ off)), F.lit(0.0))
+    return counts.select(id, sum((F.col(f"n{s}") for s in sizes), F.lit(0)).alias("boxes"), slope.alias("dimension"))
+
+
+def moments_table(df: DataFrame, id: str, values: str) -> DataFrame:
+    """Population moments of the values above 0 per picture; zero where constant, no row where there are none."""
+    on = df.select(id, F.filter(F.transform(values, lambda v: v.cast("double")), lambda v: (v > 0) & ~F.isnan(v)).alias("v")).where(F.size("v") > 0)
+    total = lambda f: F.aggregate("v", F.lit(0.0), lambda a, v: a + f(v))
+    mean = on.select(id, "v", F.size("v").cast("long").alias("n"), (total(lambda v: v) / F.size("v")).alias("mu"))
+    power = lambda k: total(lambda v: F.pow(v - F.col("mu"), F.lit(float(k)))) / F.col("n")
+    m = mean.select(id, "n", *[power(k).alias(f"m{k}") for k in (2, 3, 4)])
+    some = F.col("m2") > 0
+    skew, kurt = F.col("m3") / F.pow("m2", F.lit(1.5)), F.col("m4") / (F.col("m2") * F.col("m2")) - 3
+    return m.select(id, "n", F.sqrt("m2").alias("std"), F.when(some, skew).otherwise(0.0).alias("skew"), F.when(some, kurt).otherwise(0.0).alias("kurt"))
+
+
+def cooccurrence_table(df: DataFrame, id: str, values: str, width: int, level: Callable[[Column], Column], levels: int) -> DataFrame:
+    """Contrast, dissimilarity, homogeneity, energy and correlation of right and lower neighbours above 0, each pair both ways.
+
+    ``level`` maps a value to 0 to ``levels`` - 1. Correlation is 1 where all levels are equal. A picture
+    without a pair has no row.
+    """
+    kept = lambda v: F.when((v > 0) & ~F.isnan(v), level(v).cast("int"))
+    q = df.where(F.size(values) > 0).select(id, F.transform(F.transform(values, lambda v: v.cast("double")), kept).alias("l"))
+    at = F.sequence(F.lit(0), F.size("l") - 1)
+    beside = lambda step, where: F.transform(at, lambda i: F.when(where(i), F.struct(F.get("l", i - step).alias("a"), F.get("l", i).alias("b"))))
+    pairs = F.concat(beside(1, lambda i: i % width != 0), beside(width, lambda i: i >= width))
+    q = q.select(id, F.filter(pairs, lambda p: p["a"].isNotNull() & p["b"].isNotNull()).alias("p")).where(F.size("p") > 0)
+    codes = F.array_sort(F.concat(F.transform("p", lambda p: p["a"] * levels + p["b"]), F.transform("p", lambda p: p["b"] * levels + p["a"])))
+    long = lambda v: F.lit(v).cast("long")
+
+    def count(acc: Column, code: Column) -> Column:
+        # A cell that grows from r to r + 1 adds 2 r + 1 to the sum of squares.
+        run = F.when(code == acc["code"], acc["run"]).otherwise(long(0))
+        return F.struct(code.alias("code"), (run + 1).alias("run"), (acc["squares"] + 2 * run + 1).alias("squares"))
+
+    squares = F.aggregate(codes, F.struct(F.lit(-1).alias("code"), long(0).alias("run"), long(0).alias("squares")), count, lambda acc: acc["squares"])
+    d = lambda p: p["a"] - p["b"]
+    total = lambda f: F.aggregate(F.transform("p", f), long(0), lambda a, v: a + v).cast("double")
+    near = F.aggregate("p", F.lit(0.0), lambda a, p: a + F.lit(1.0) / (1 + d(p) * d(p)))
+    s = q.select(
+        id, F.size("p").cast("double").alias("n"), squares.cast("double").alias("squares"), near.alias("near"), total(lambda p: F.abs(d(p))).alias("d1"), total(lambda p: d(p) * d(p)).alias("d2"),
+        total(lambda p: p["a"] + p["b"]).alias("s"), total(lambda p: p["a"] * p["a"] + p["b"] * p["b"]).alias("q"), total(lambda p: p["a"] * p["b"]).alias("x"),
+    )
+    n = F.col("n")
+    # Whole numbers, so that equal levels give exactly 0.
+    var, cov = 2 * n * F.col("q") - F.col("s") * F.col("s"), 4 * n * F.col("x") - F.col("s") * F.col("s")
+    return s.select(
+        id, (F.col("d2") / n).alias("contrast"), (F.col("d1") / n).alias("dissimilarity"), (F.col("near") / n).alias("homogeneity"),
+        (F.sqrt("squares") / (2 * n)).alias("energy"), F.when(var > 0, cov / F.when(var > 0, var)).otherwise(1.0).alias("correlation"),
+    )

@@ -12,17 +12,13 @@ from cohortal.session import table
 PIX = """pix AS (SELECT vec_id, CAST((i - 1) // 8 AS INT) AS y, CAST((i - 1) % 8 AS INT) AS x, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"""
 
 
-def pixels(spark, sf_dir):
-    return I.pixel_table(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
-
-
 @query(
     f"""{PIX}, r AS (SELECT vec_id, y AS k, sum((v > 0)::INT)::DOUBLE AS r FROM pix GROUP BY ALL), c AS (SELECT vec_id, x AS k, sum((v > 0)::INT)::DOUBLE AS c FROM pix GROUP BY ALL)
     SELECT vec_id, round(CASE WHEN stddev_pop(r) > 0 AND stddev_pop(c) > 0 THEN corr(r, c) ELSE 1 END, 6) AS a4 FROM r JOIN c USING (vec_id, k) GROUP BY vec_id""",
     " ",
 )
 def picture_asymmetry(spark, sf_dir):
-    return rounded(I.asymmetry_table(pixels(spark, sf_dir), "vec_id"))
+    return rounded(I.asymmetry_table(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8))
 
 
 @query(
@@ -31,7 +27,7 @@ def picture_asymmetry(spark, sf_dir):
     " ",
 )
 def picture_box_dimension(spark, sf_dir):
-    return rounded(I.box_counts(pixels(spark, sf_dir), "vec_id", [1, 2, 4]))
+    return rounded(I.box_counts(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, [1, 2, 4]))
 
 
 @query(
@@ -41,19 +37,46 @@ def picture_box_dimension(spark, sf_dir):
     " ",
 )
 def picture_moments(spark, sf_dir):
-    return rounded(I.moments_table(pixels(spark, sf_dir), "vec_id"))
+    return rounded(I.moments_table(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
 
 
 @query(
-    f"""{PIX}, q AS (SELECT vec_id, y, x, CAST(least(floor(v * 4), 15) AS INT) AS l FROM pix WHERE v > 0),
+    f"""{PIX}, q AS (SELECT vec_id, y, x, CAST(least(floor(v * 16), 15) AS INT) AS l FROM pix WHERE v > 0),
     p AS (SELECT a.vec_id, a.l AS a, b.l AS b FROM q a JOIN q b ON a.vec_id = b.vec_id AND ((b.y = a.y AND b.x = a.x + 1) OR (b.y = a.y + 1 AND b.x = a.x))),
-    s AS (SELECT vec_id, a, b FROM p UNION ALL SELECT vec_id, b, a FROM p), c AS (SELECT vec_id, a, b, count(*) AS n FROM s GROUP BY ALL), n AS (SELECT *, sum(n) OVER (PARTITION BY vec_id)::DOUBLE AS t FROM c)
-    SELECT vec_id, round(sum(n / t * (a - b) * (a - b)), 6) AS contrast, round(sum(n / t * abs(a - b)), 6) AS dissimilarity, round(sum(n / t / (1 + (a - b) * (a - b))), 6) AS homogeneity, round(sqrt(sum(n / t * n / t)), 6) AS energy
-    FROM n GROUP BY vec_id""",
+    s AS (SELECT vec_id, a, b FROM p UNION ALL SELECT vec_id, b, a FROM p), c AS (SELECT vec_id, a, b, count(*) AS n FROM s GROUP BY ALL), n AS (SELECT *, sum(n) OVER (PARTITION BY vec_id)::DOUBLE AS t FROM c),
+    u AS (SELECT vec_id, sum(n / t * a) AS mu, sum(n * a * a) * max(t) - sum(n * a) ** 2 AS var FROM n GROUP BY vec_id)
+    SELECT vec_id, round(sum(n / t * (a - b) * (a - b)), 6) AS contrast, round(sum(n / t * abs(a - b)), 6) AS dissimilarity, round(sum(n / t / (1 + (a - b) * (a - b))), 6) AS homogeneity, round(sqrt(sum(n / t * n / t)), 6) AS energy,
+      round(CASE WHEN max(var) > 0 THEN sum(n / t * (a - mu) * (b - mu)) / max(var) * max(t) * max(t) ELSE 1 END, 6) AS correlation
+    FROM n JOIN u USING (vec_id) GROUP BY vec_id""",
     " ",
 )
 def picture_cooccurrence(spark, sf_dir):
-    return rounded(I.cooccurrence_table(pixels(spark, sf_dir), "vec_id", F.least(F.floor(F.col("v") * 4), F.lit(15))))
+    level = lambda v: F.least(F.floor(v * 16), F.lit(15))
+    return rounded(I.cooccurrence_table(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, level, 16))
+
+
+@query(
+    """SELECT vec_id, CASE WHEN vec_id % 7 <> 0 THEN 'dehair_file' WHEN vec_id % 3 <> 0 THEN 'dehair_fallback_raw' END AS view_source,
+      CASE WHEN vec_id % 7 = 0 AND vec_id % 3 = 0 THEN 'missing' WHEN vec_id % 11 = 0 THEN 'ValueError: dark' END AS error,
+      CASE WHEN vec_id % 11 <> 0 AND (vec_id % 7 <> 0 OR vec_id % 3 <> 0) THEN round(list_sum(list_transform(range(1, 33), lambda k:
+        floor(64 * embedding[k + CASE WHEN vec_id % 7 <> 0 THEN 0 ELSE 32 END]::DOUBLE) + 512)) / 32, 6) END AS mean FROM embeddings"""
+)
+def view_fallback(spark, sf_dir):
+    """Embeddings of prepared views, of raw ones where these lack, and what fails, with a mean as the model."""
+    e = table(spark, sf_dir, "embeddings")
+    half = lambda lo: F.transform(F.slice("embedding", lo, 32), lambda v: F.floor(v.cast("double") * 64) + 512)
+    prepared = e.where("vec_id % 7 <> 0").select("vec_id", half(1).alias("pixels"), (F.col("vec_id") % 11 == 0).alias("dark"))
+    raw = e.where("vec_id % 3 <> 0").select("vec_id", half(33).alias("pixels"), (F.col("vec_id") % 11 == 0).alias("dark"))
+
+    def model():
+        def run(rows):
+            if any(dark for _, dark in rows):
+                raise ValueError("dark")
+            return [(float(sum(pixels)) / len(pixels),) for pixels, _ in rows]
+
+        return run
+
+    return rounded(I.embedded_views(e.select("vec_id"), prepared, raw, ["vec_id"], ["pixels", "dark"], model, "mean double"))
 
 
 @query()

@@ -89,20 +89,22 @@ def stem_index(spark: SparkSession, root: str) -> DataFrame:
     return t.groupBy("stem").agg(F.max("path").alias("path"))
 
 
-def metadata_files(spark: SparkSession, roots: Sequence[str], patterns: Sequence[str], exclude: Sequence[str] = ()) -> list[str]:
-    """Paths of files that match a pattern below a root, without those under an excluded folder.
+def metadata_files(spark: SparkSession, roots: Sequence[str], patterns: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
+    """``path, bytes`` of files that match a pattern below a root, once each, without those under an excluded folder.
 
-    A list for the driver to open one by one, so it has a name per metadata file.
+    Roots that cannot be listed have no files.
     """
-    found: set[str] = set()
+    found = spark.createDataFrame([], "path string, bytes long")
     for root in roots:
         for p in patterns:
             try:
                 files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", p).load(root)
-                found |= {r.path for r in files.select("path").collect()}
             except AnalysisException:
                 continue
-    return sorted(f for f in found if not any(x in f for x in exclude))
+            found = found.union(files.select("path", F.col("length").alias("bytes")))
+    for x in exclude:
+        found = found.where(~F.contains("path", F.lit(x)))
+    return found.distinct()
 
 
 def log_metrics(spark: SparkSession, path: str) -> DataFrame:

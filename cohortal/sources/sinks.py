@@ -76,17 +76,24 @@ def restore(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str, D
     return out
 
 
-def markdown(df: DataFrame, digits: int = 4, limit: int = 1000) -> str:
-    """A report table of at most ``limit`` rows, ``_empty_`` for none."""
-    rows = df.limit(limit).collect()
-    if not rows:
-        return "_empty_"
+def markdown(df: DataFrame, digits: int = 4, limit: int | None = None) -> str:
+    """A report table, ``_empty_`` for no rows. All rows are in it; beyond ``limit`` the last line says how many more there are.
+
+    Rows come to the driver in turn, a part of the table at a time.
+    """
 
     def cell(v) -> str:
         return "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
 
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows])
+    lines, more = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)], 0
+    for r in df.toLocalIterator():
+        if limit is not None and len(lines) - 2 >= limit:
+            more += 1
+        else:
+            lines.append("| " + " | ".join(map(cell, r)) + " |")
+    if len(lines) == 2 and not more:
+        return "_empty_"
+    return "\n".join([*lines, f"_{more} more rows_"] if more else lines)
 
 
 def artifact_manifest(files: DataFrame) -> DataFrame:

@@ -284,8 +284,6 @@ def test_audit(spark):
     b = spark.createDataFrame([(1, 1.5, "x"), (3, 2.0, None)], "k int, v double, s string")
     got = {r.column: r for r in A.parity(a, b, ["k"]).collect()}
     assert got["v"].mismatches == 1 and got["v"].max_abs_diff == 0.5 and got["s"].mismatches == 0 and got["v"].unmatched == 2
-    assert A.fnv1a_64 and A._fnv1a(b"", False) == "cbf29ce484222325" and A._fnv1a(b"a", False) == "af63dc4c8601ec8c"
-    assert A._fnv1a(b"", True).startswith("-")
     good = {"classes": ["n", "m"], "thresholds": {"m": 0.2}, "components": [{"name": "u", "sha256": "0" * 64}]}
     assert A.manifest_faults(spark, good, ["u"], ["n", "m"]).count() == 0
     for bad in (-0.1, 1.1, float("nan"), True, "0.2", None):

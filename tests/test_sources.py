@@ -44,7 +44,8 @@ def test_trees_and_manifests(spark, tmp_path):
         files.raw_manifest(spark, root, 9)
     assert {r.stem for r in files.stem_index(spark, root).collect()} == {"z", "b", "y"}
     found = files.metadata_files(spark, [root, f"{root}/none"], ["*.txt", "*.jpg"], exclude=["/other/"])
-    assert [f.rsplit("/", 1)[1] for f in found] == ["readme.txt", "z.jpg"]
+    assert sorted((r.path.rsplit("/", 1)[1], r.bytes) for r in found.collect()) == [("readme.txt", 1), ("z.jpg", 2)]
+    assert files.metadata_files(spark, [f"{root}/none"], ["*.txt"]).count() == 0
 
 
 def test_logs_manifest_backups(spark, tmp_path):
@@ -81,6 +82,9 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(ValueError, match="missing"):
         sinks.restore(spark, path, ["t", "u"])
     assert sinks.markdown(df.limit(0)) == "_empty_" and "| 1 | 0.5000 | 0 |" in sinks.markdown(df)
+    many = spark.range(1500).select(F.col("id").alias("n"))
+    assert sinks.markdown(many).count("\n") == 1501
+    assert sinks.markdown(many, limit=3).endswith("_1497 more rows_") and "more" not in sinks.markdown(many, limit=1500)
     root = tree(tmp_path / "f", {"a.csv": b"h\n1\n2\n"})
     rec = json.loads(sinks.artifact_manifest(files.file_tree(spark, root, content=True)).first().value)
     assert rec["rows"] == 2 and rec["bytes"] == 6
