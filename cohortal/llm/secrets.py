@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortal.llm.bitfilter import bit_filter
+from cohortal.llm.jaccard import join_sized
 from cohortal.llm.text import packed, small_batches, unpacked
 from cohortal.session import materialize
 
@@ -148,7 +149,11 @@ def secret_scan(
     with_some = found.where(F.size("candidates") > 0)
     one = with_some.select("doc_id", "key", "candidates").dropDuplicates(["doc_id", "key"])
     named = one.select("doc_id", "key", F.explode("candidates").alias("c")).select("doc_id", "key", "c.*")
-    judged = named.join(spread, "hash").withColumn(
+    # A value that a third of all rows share has its verdict brought to the tasks that hold these rows.
+    named = materialize(named)
+    sizes = named.groupBy("hash").agg(F.count("*").alias("n_rows"))
+    sized = materialize(spread.join(sizes, "hash"))
+    judged = join_sized(named, sized.select("hash", "widely", "n_rows"), "hash", "n_rows", named.count()).withColumn(
         "is", F.when(F.col("widely"), "copied").when(F.col("strong"), "live").otherwise("weak")
     )
     span = F.concat_ws(":", "kind", "start", "end")

@@ -34,11 +34,13 @@ def filter_urls(
     host and all subdomains where the URL's path starts with the rule's path. Of the rules
     that fit, the longest ``host + path`` wins; of equally long ones the one that blocks.
 
-    Distinct (host, path) pairs are expanded into host suffixes of as many labels as
-    rules have, times path prefixes of the lengths that they have, joined with the rules on the first hex digits of a SHA-256,
-    confirmed on the full digest, and reduced to the winner by an aggregate that combines
-    before its shuffle. Returns the ``keep`` columns, ``host``, ``path``, ``rule`` and
-    ``verdict`` (``default`` where no rule fits: null and odd URLs, an empty rule table).
+    Distinct (host, path) pairs are expanded into those host suffixes that some rule has, times path
+    prefixes of the lengths that the rules of this host have, joined with the rules on the first hex
+    digits of a SHA-256, confirmed on the full digest, and reduced to the winner by an aggregate
+    that combines before its shuffle. Verdicts of pairs with more than a ten-thousandth of all rows
+    are broadcast to these; rows without a host meet nothing. Returns the ``keep`` columns, ``host``,
+    ``path``, ``rule`` and ``verdict`` (``default`` where no rule fits: null and odd URLs, an
+    empty rule table).
     """
     host, path = url_parts(url)
     judged = pages.select(*keep, host.alias("host"), path.alias("path"))
@@ -49,29 +51,35 @@ def filter_urls(
             _digest(F.col("host"), F.col("path")).alias("digest"),
             F.concat("host", "path").alias("rule"),
             F.col("verdict").alias("says"),
+            F.col("host").alias("suffix"),
             F.length("path").alias("path_len"),
             F.size(F.split("host", r"\.")).alias("n_labels"),
         ).distinct()
     )
-    # Lengths of paths and numbers of labels in rules take few values, whatever the URLs look like.
-    lengths = sorted(x[0] for x in r.select("path_len").distinct().collect())
+    # Numbers of labels in rules take few values, whatever the URLs look like.
     labels = sorted(x[0] for x in r.select("n_labels").distinct().collect())
     dots = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit("")))
     suffixes = F.array(*[F.when(dots >= k - 1, F.substring_index("host", ".", -k)) for k in labels])
     suffixes = F.array_compact(suffixes) if labels else F.array().cast("array<string>")
-    prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])
-    prefixes = F.array_compact(prefixes) if lengths else F.array().cast("array<string>")
-    pairs = judged.select("host", "path").where("host != ''").distinct()
+    pairs = judged.where("host != ''").groupBy("host", "path").agg(F.count("*").alias("n_rows"))
+    lengths = r.groupBy("suffix").agg(F.collect_set("path_len").alias("lengths"))
+    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
     expanded = (
-        pairs.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
-        .select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
-        .select("host", "path", _digest(F.col("suffix"), F.col("prefix")).alias("own"))
+        pairs.select("host", "path", "n_rows", F.explode(suffixes).alias("suffix"))
+        .join(broadcast_if_small(materialize(lengths)), "suffix")
+        .select("host", "path", "n_rows", "suffix", F.explode(fitting).alias("path_len"))
+        .select("host", "path", "n_rows", _digest(F.col("suffix"), F.expr("substring(path, 1, path_len)")).alias("own"))
         .withColumn("short", F.substring("own", 1, PREFIX_HEX))
     )
-    fits = expanded.join(broadcast_if_small(r), "short").where("own = digest")
+    fits = expanded.join(broadcast_if_small(r.select("short", "digest", "rule", "says")), "short").where("own = digest")
     rank = F.struct(F.length("rule"), (F.col("says") == "block"), F.col("rule"), F.col("says"))
-    best = fits.groupBy("host", "path").agg(F.max(rank).alias("best"))
-    best = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.says").alias("says"))
-    return judged.join(best, ["host", "path"], "left").select(
-        *keep, "host", "path", "rule", F.coalesce("says", F.lit(default)).alias("verdict")
-    )
+    best = fits.groupBy("host", "path", "n_rows").agg(F.max(rank).alias("best"))
+    best = materialize(best.select("host", "path", "n_rows", F.col("best.rule").alias("rule"), F.col("best.says").alias("says")))
+    # No more than ten thousand pairs have a ten-thousandth of all rows.
+    total = best.agg(F.sum("n_rows")).first()[0] or 0
+    hot = F.col("n_rows") > max(200, total // 10_000)
+    often = judged.where("host != ''").join(F.broadcast(best.where(hot).drop("n_rows")), ["host", "path"], "left")
+    seldom = often.where("says is null").drop("rule", "says").join(best.where(~hot).drop("n_rows"), ["host", "path"], "left")
+    none = judged.where("host = ''").select("*", *[F.lit(None).cast("string").alias(c) for c in ("rule", "says")])
+    out = often.where("says is not null").unionByName(seldom).unionByName(none)
+    return out.select(*keep, "host", "path", "rule", F.coalesce("says", F.lit(default)).alias("verdict"))
