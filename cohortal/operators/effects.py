@@ -224,11 +224,12 @@ def bootstrap_ap_delta(df: DataFrame, id: str, truth: str, base: str, new: str,
     return intervals(_of_scores(ranked.groupBy("_rep", "which").agg(gained.alias("ap")), 2, "ap"), ["value"]).drop("metric")
 
 
-def bootstrap_multiclass(df: DataFrame, id: str, truth: str, pred: str, probabilities: Sequence[str], replicates: int = 1000, seed: int = 42, stratify: bool = False) -> DataFrame:
-    """Intervals of seven metrics of a classifier: balanced accuracy, macro and weighted F1, macro and
-    weighted one-against-rest AUC, log loss and Brier score, each on the same resamples (see ``bootstrap_auc``)."""
+SEVEN = ("balanced_accuracy", "macro_f1", "weighted_f1", "macro_auc_ovr", "weighted_auc_ovr", "log_loss", "brier")
+
+
+def multiclass_values(rows: DataFrame, truth: str, pred: str, probabilities: Sequence[str]) -> DataFrame:
+    """``_rep`` and the metrics of ``SEVEN`` of each resample; AUCs are null where a class has no row."""
     k = len(probabilities)
-    rows = resamples(df.where(F.col(truth).isNotNull()), id, truth if stratify else None, replicates, seed)
     own = F.element_at(F.array(*[F.col(c) for c in probabilities]), F.col(truth) + 1)
     loss = -F.ln(F.greatest(own, F.lit(2.220446049250313e-16)))
     brier = sum(((F.col(c) - (F.col(truth) == i).cast("double")) ** 2 for i, c in enumerate(probabilities)), F.lit(0.0))
@@ -246,12 +247,20 @@ def bootstrap_multiclass(df: DataFrame, id: str, truth: str, pred: str, probabil
     auc = _weighted_auc(one.select("_rep", "_w", "o.*"), "s", F.col("is"), ["_rep", "class"])
     auc = auc.groupBy("_rep").agg(F.avg("auc").alias("macro_auc_ovr"), (F.sum(F.col("auc") * F.col("n_pos")) / F.sum("n_pos")).alias("weighted_auc_ovr"), F.count("auc").alias("_k"))
     defined = lambda x: F.when(F.col("_k") == k, x)
-    values = wide.join(auc, "_rep").select(
-        recall.alias("balanced_accuracy"), (sum(f1, F.lit(0.0)) / k).alias("macro_f1"),
+    return wide.join(auc, "_rep").select(
+        "_rep", recall.alias("balanced_accuracy"), (sum(f1, F.lit(0.0)) / k).alias("macro_f1"),
         (sum((f1[i] * c(f"t{i}") for i in range(k)), F.lit(0.0)) / c("n")).alias("weighted_f1"),
         defined(c("macro_auc_ovr")).alias("macro_auc_ovr"), defined(c("weighted_auc_ovr")).alias("weighted_auc_ovr"), "log_loss", "brier",
     )
-    return intervals(values, values.columns)
+
+
+def bootstrap_multiclass(
+    df: DataFrame, id: str, truth: str, pred: str, probabilities: Sequence[str], replicates: int = 1000, seed: int = 42, stratify: bool = False
+) -> DataFrame:
+    """Intervals of seven metrics of a classifier: balanced accuracy, macro and weighted F1, macro and
+    weighted one-against-rest AUC, log loss and Brier score, each on the same resamples (see ``bootstrap_auc``)."""
+    rows = resamples(df.where(F.col(truth).isNotNull()), id, truth if stratify else None, replicates, seed)
+    return intervals(multiclass_values(rows, truth, pred, probabilities), SEVEN)
 
 
 def bootstrap_youden(df: DataFrame, id: str, truth: str, score: str, replicates: int = 1000, seed: int = 42) -> DataFrame:

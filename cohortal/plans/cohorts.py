@@ -491,7 +491,7 @@ SEVEN = f""", wide AS (SELECT rep, sum(w)::DOUBLE AS n, sum(w * -ln(greatest([p_
       sum(w * ((p_nevus - (truth = 0)::INT) ** 2 + (p_mel - (truth = 1)::INT) ** 2 + (p_atyp - (truth = 2)::INT) ** 2)) / sum(w) AS brier,
       {", ".join(f"sum(w * (truth = {i})::INT)::DOUBLE AS t{i}, sum(w * (pred = {i})::INT)::DOUBLE AS p{i}, sum(w * (truth = {i} AND pred = {i})::INT)::DOUBLE AS tp{i}" for i in range(3))} FROM boot GROUP BY rep),
     ovr AS (SELECT rep, avg(value) AS macro, sum(value * n_pos) / sum(n_pos) AS weighted FROM ({OVR}) GROUP BY rep),
-    v AS (SELECT ({" + ".join(f"tp{i} / nullif(t{i}, 0)" for i in range(3))}) / 3 AS balanced_accuracy, ({" + ".join(F1)}) / 3 AS macro_f1, ({" + ".join(f"{x} * t{i}" for i, x in enumerate(F1))}) / n AS weighted_f1,
+    v AS (SELECT rep, ({" + ".join(f"tp{i} / nullif(t{i}, 0)" for i in range(3))}) / 3 AS balanced_accuracy, ({" + ".join(F1)}) / 3 AS macro_f1, ({" + ".join(f"{x} * t{i}" for i, x in enumerate(F1))}) / n AS weighted_f1,
       macro AS macro_auc_ovr, weighted AS weighted_auc_ovr, log_loss, brier FROM wide JOIN ovr USING (rep))
     SELECT metric, {SUMMARY} FROM v UNPIVOT (value FOR metric IN (balanced_accuracy, macro_f1, weighted_f1, macro_auc_ovr, weighted_auc_ovr, log_loss, brier)) GROUP BY metric"""
 
