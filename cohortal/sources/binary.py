@@ -8,14 +8,16 @@ row with an ``error`` and does not end the job.
 from __future__ import annotations
 
 import struct
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 NODES = (
     "path string, node string, op string, tree_id long, node_id long, feature_id long, mode string, value double, "
@@ -200,7 +202,7 @@ class Npz(Binary):
 
     Rows of an array of more than two dimensions are flattened; a single number is one row.
     Booleans, integers and floats become doubles. A stored member is cut into ranges of rows, a
-    compressed one is read by one task, as a stream.
+    compressed one is read by one task, as a stream. Writing: see ``ArrayWriter``.
     """
 
     @classmethod
@@ -213,6 +215,91 @@ class Npz(Binary):
     def reader(self, schema) -> DataSourceReader:
         return ArrayReader(self.need("path"), self.options.get("members"))
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return ArrayWriter(self.need("path"), overwrite, int(self.options.get("rows", 65_536)), self.options.get("compressed", "false").lower() == "true")
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """Names of the archives of one task."""
+
+    names: list[str]
+
+
+class ArrayWriter(DataSourceArrowWriter):
+    """Archives with an array per column: numbers make a vector, arrays of one length a matrix.
+
+    A task writes an archive for every ``rows`` rows, so that is what it holds. Archives are written to a
+    folder of this attempt and moved when all tasks are done; a job that fails leaves nothing.
+    Nulls and arrays of unequal lengths have no place in a matrix and raise.
+    """
+
+    def __init__(self, path: str, overwrite: bool, rows: int, compressed: bool):
+        self.path, self.overwrite, self.rows, self.compressed = path.rstrip("/"), overwrite, rows, compressed
+        self.part = f"{self.path}/_temporary-{uuid.uuid4().hex}"
+
+    @staticmethod
+    def matrix(column: pa.ChunkedArray, name: str) -> np.ndarray:
+        if column.null_count:
+            raise ValueError(f"{name} has nulls")
+        if not (pa.types.is_list(column.type) or pa.types.is_large_list(column.type)):
+            return column.to_numpy()
+        flat = [np.asarray(v) for v in column.to_pylist()]
+        if len({len(v) for v in flat}) > 1:
+            raise ValueError(f"{name} has arrays of unequal lengths")
+        return np.stack(flat) if flat else np.zeros((0, 0))
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        from pyspark import TaskContext
+
+        system, folder = opened(self.part)
+        system.create_dir(folder, recursive=True)
+        context = TaskContext.get()
+        names, held, n = [], [], 0
+
+        def flush() -> None:
+            nonlocal held, n
+            table = pa.Table.from_batches(held)
+            name = f"part-{context.partitionId():05d}-{len(names):05d}-{context.taskAttemptId()}.npz"
+            with system.open_output_stream(f"{folder}/{name}") as raw:
+                save = np.savez_compressed if self.compressed else np.savez
+                save(raw, **{c: self.matrix(table[c], c) for c in table.column_names})
+            names.append(name)
+            held, n = [], 0
+
+        for batch in iterator:
+            at = 0
+            while at < batch.num_rows:
+                take = min(self.rows - n, batch.num_rows - at)
+                held.append(batch.slice(at, take))
+                at, n = at + take, n + take
+                if n == self.rows:
+                    flush()
+        if n:
+            flush()
+        return Written(names)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        from pyarrow import fs
+
+        system, folder = opened(self.path)
+        _, part = opened(self.part)
+        if self.overwrite and system.get_file_info(folder).type == fs.FileType.Directory:
+            for old in system.get_file_info(fs.FileSelector(folder)):
+                if old.path.endswith(".npz"):
+                    system.delete_file(old.path)
+        for m in messages:
+            for name in m.names if m else []:
+                system.move(f"{part}/{name}", f"{folder}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        from pyarrow import fs
+
+        system, part = opened(self.part)
+        if system.get_file_info(part).type == fs.FileType.Directory:
+            system.delete_dir(part)
+
 
 def array_header(f) -> tuple[np.dtype, tuple[int, ...], bool]:
     """Kind, shape and order of an open member, which then stands at its first value."""
@@ -316,6 +403,12 @@ def read_arrays(spark: SparkSession, path: str, members: Sequence[str] = ()) ->
     return spark.read.format("npz").options(**{"members": ",".join(members)} if members else {}).load(path)
 
 
+def write_arrays(df: DataFrame, path: str, rows: int = 65_536, compressed: bool = False, mode: str = "overwrite") -> None:
+    """Columns of a table as arrays in archives of at most ``rows`` rows: see ``ArrayWriter``."""
+    register(df.sparkSession)
+    df.write.format("npz").mode(mode).options(rows=rows, compressed=str(compressed)).save(path)
+
+
 def joined_features(arrays: DataFrame, parts: Sequence[str]) -> DataFrame:
     """``path, row, features``: the named arrays of a file side by side, in the given order.
 

@@ -124,3 +124,34 @@ def test_chosen_members_failures_and_features(spark, tmp_path):
     assert not [r for r in rows if r.member == "other"]
     got = {(r.path.rsplit("/", 1)[1], r.row): (r.features, r.present) for r in binary.joined_features(t, ["hc", "deep"]).collect()}
     assert got["a.npz", 1] == ([2.0, 3.0, 10.0], 2) and got["b.npz", 1] == (None, 1)
+
+
+def test_arrays_are_written_and_read_again(spark, tmp_path):
+    root = str(tmp_path / "out")
+    rows = [(k, k / 7, [float(k), float(-k)], [k % 2, k, 3]) for k in range(100)]
+    df = spark.createDataFrame(rows, "id long, x double, hc array<double>, n array<int>").repartition(3)
+    for compressed in (False, True):
+        binary.write_arrays(df, root, rows=16, compressed=compressed)
+        t = binary.read_arrays(spark, root)
+        assert t.where("error is not null").count() == 0
+        files = {r.path for r in t.select("path").distinct().collect()}
+        assert len(files) == 9 and {p.suffix for p in (tmp_path / "out").iterdir()} == {".npz"}
+        got = {}
+        for r in t.collect():
+            got.setdefault((r.path, r.row), {})[r.member] = r["values"]
+        assert sorted((v["id"][0], v["x"][0], v["hc"], v["n"]) for v in got.values()) == [(float(k), x, hc, [float(i) for i in n]) for k, x, hc, n in rows]
+    binary.write_arrays(df.limit(5), root, mode="append")
+    assert binary.read_arrays(spark, root, ["id"]).count() == 105
+    binary.write_arrays(df.limit(0), root)
+    assert not list((tmp_path / "out").iterdir())
+
+
+@pytest.mark.parametrize(("value", "error"), [("case when id = 7 then null else array(1d) end", "has nulls"), ("array_repeat(1d, cast(1 + id % 2 as int))", "unequal lengths")])
+def test_a_failed_write_leaves_what_was_there(spark, tmp_path, value, error):
+    root = str(tmp_path / "out")
+    df = spark.range(20)
+    binary.write_arrays(df, root)
+    before = sorted(p.name for p in (tmp_path / "out").iterdir())
+    with pytest.raises(Exception, match=error):
+        binary.write_arrays(df.selectExpr("id", f"{value} v"), root)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == before
