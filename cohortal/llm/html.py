@@ -446,15 +446,15 @@ def extract(
     html: str = "html",
     keep: tuple[str, ...] = ("page_id", "url"),
     names: bool = True,
-    max_broadcast: int = 200_000,
+    max_broadcast: int = 4 << 20,
 ) -> DataFrame:
     """Main text of every page: the ``keep`` columns, ``text`` and ``n_chars``.
 
     The host's style tree rates branches (see ``style_tree`` and ``low_branches``); each page is
     then read again, and its branches of low importance, menus, adverts and the like are
-    left out (see ``main_text``). Pages are never gathered by host. Up to ``max_broadcast``
-    low branches and blocks, 16 bytes each, go to all tasks at once; beyond that, they are joined to
-    the pages that have them. With ``names=False`` the tree decides alone, on bare tags.
+    left out (see ``main_text``). Pages are never gathered by host. Low branches and blocks
+    whose measured size is at most ``max_broadcast`` bytes go to all tasks at once; larger ones are joined
+    to the pages that have them, with the same result. With ``names=False`` the tree decides alone, on bare tags.
 
     Null or empty html gives an empty text. Pages without a host form one site. A site of
     few pages is judged by tags, names and what the corpus says about its paths; pages of one
@@ -470,7 +470,8 @@ def extract(
     rows = materialize(page_features(sited, "site_host", "site_html", names))
     nodes, each = style_tree(rows)
     low = materialize(low_branches(nodes).unionByName(repeated_blocks(each, nodes)))
-    if low.count() <= max_broadcast:
+    size = low.agg(F.sum(F.coalesce(F.octet_length("host"), F.lit(0)) + 8)).first()[0] or 0
+    if size <= max_broadcast:
         by_host: dict[str | None, set[int]] = {}
         for r in low.collect():
             by_host.setdefault(r.host, set()).add(r.low)

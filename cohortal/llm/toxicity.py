@@ -427,16 +427,13 @@ def wilson(t: float, n: float, z: float = 2.0) -> float:
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def training_sample(
-    docs: DataFrame, labels: DataFrame, text: str, id: str, label: str, max_labelled: int, max_unlabelled: int, folds: int
-) -> DataFrame:
-    """``text, toxic``: distinct texts outside the held-out fold, labelled (0, 1) or not (null).
+def training_sample(docs: DataFrame, labels: DataFrame, text: str, id: str, label: str, max_labelled: int, folds: int) -> DataFrame:
+    """``text, toxic``: distinct texts of labelled rows outside the held-out fold.
 
-    At most about ``max_labelled`` and ``max_unlabelled`` ids, chosen by a hash of the id. An id
-    that repeats gives one row, and equal texts give one row with the label of most of their
-    labelled ids (toxic if as many). Of near copies, known by the least hash of their
-    five-word shingles, each label keeps one: words that only such a family shares would look
-    like words of toxic texts.
+    At most about ``max_labelled`` ids, chosen by a hash of the id. An id that repeats gives one row,
+    and equal texts give one row with the label of most of their ids (toxic if as many). Of near
+    copies, known by the least hash of their five-word shingles, each label keeps one: words
+    that only such a family shares would look like words of toxic texts.
     """
 
     @F.pandas_udf("long")
@@ -446,17 +443,14 @@ def training_sample(
             found = [shingles(t, 5, memo) for t in texts]
             yield pd.Series([int(h[0] >> np.uint64(1)) if len(h) else 0 for h in found], dtype="int64")
 
-    lot = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(1_000_000))
     usable = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull() & ~held_out(id, folds))
     usable = usable.groupBy(F.col(id).alias("doc_id")).agg(F.max(label).cast("int").alias("toxic"))
-    n, all_docs = usable.count(), docs.count()
+    n = usable.count()
     share = min(1.0, max_labelled / n) if n else 1.0
-    chosen = usable.where(lot("doc_id", "fit") < int(share * 1_000_000))
-    free = min(1.0, max_unlabelled / all_docs) if all_docs else 1.0
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
     texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
     # Ids are bounded by max_labelled, rows are not.
-    found = texts.join(F.broadcast(chosen), "doc_id", "left")
-    found = found.where(F.col("toxic").isNotNull() | (~held_out("doc_id", folds) & (lot("doc_id", "free") < int(free * 1_000_000))))
+    found = texts.join(F.broadcast(chosen), "doc_id")
     one = found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
     most = (F.avg("toxic") >= 0.5).cast("int").alias("toxic")
     distinct = one.groupBy(F.xxhash64("text").alias("row")).agg(F.any_value("text").alias("text"), most)
@@ -470,15 +464,14 @@ def fit_toxicity(
     id: str = "doc_id",
     label: str = "toxic",
     max_labelled: int = 24_000,
-    max_unlabelled: int = 12_000,
     folds: int = 5,
 ) -> ToxicityModel:
-    """Learn voters, the label model and the classifier from a bounded sample outside the held-out fold.
+    """Learn voters, the label model and the classifier from a bounded sample of labelled rows outside the held-out fold.
 
     1. Voters are lexicons, patterns, and words or beginnings of words induced from the
        labelled texts of the sample (see ``mine_features``).
-    2. The label model (see ``LabelModel``) is fitted on the votes of all sampled texts, most of which
-       need no label, and gives each a posterior.
+    2. The label model (see ``LabelModel``) is fitted on the votes of all sampled texts, none of which
+       sees its own label, and gives each a posterior.
     3. With the posteriors as labels, text features are mined again over all sampled texts; a
        ridge logistic regression on these, on the words of the lexicons and on the patterns
        learns the posteriors.
@@ -486,8 +479,8 @@ def fit_toxicity(
     The driver gets the mined features and, per sampled text, the numbers of what fired.
     """
     small_batches(docs.sparkSession)
-    sample = materialize(training_sample(docs, labels, text, id, label, max_labelled, max_unlabelled, folds))
-    mined = mine_features(sample.where("toxic is not null"))
+    sample = materialize(training_sample(docs, labels, text, id, label, max_labelled, folds))
+    mined = mine_features(sample)
     wanted, n_words = voter_numbers(mined)
     width = n_words + len(PATTERNS) + 1  # the last voter fires where no other does
 
@@ -501,13 +494,11 @@ def fit_toxicity(
             for b in batches:
                 yield pd.DataFrame({"toxic": b["toxic"], "fired": [fired_of(t, memo, wanted, n_words, heads) for t in b["text"]]})
 
-        known = texts.select("text", F.coalesce(F.col("toxic").cast("double"), F.lit(-1.0)).alias("toxic"))
-        found = known.mapInPandas(run, "toxic double, fired array<int>")
+        found = texts.select("text", F.col("toxic").cast("double").alias("toxic")).mapInPandas(run, "toxic double, fired array<int>")
         return sorted(Counter((r.toxic, tuple(r.fired)) for r in found.collect()).items())
 
     rows = gathered(sample, wanted, n_words)
-    known = {toxic for (toxic, _), _ in rows} - {-1}
-    if known != {0, 1}:
+    if {toxic for (toxic, _), _ in rows} != {0, 1}:
         # Nothing to learn from: the lexicons and patterns decide.
         columns, n = text_columns([])
         return ToxicityModel(columns, n, np.array([4.0] * (n + len(PATTERNS)) + [-3.0]))
@@ -517,14 +508,12 @@ def fit_toxicity(
 
     heads = heads_of(wanted)
 
-    def posterior(text: str | None, memo: dict) -> float:
-        return float(model.posterior(Rows.of([fired_of(text, memo, wanted, n_words, heads) or [width - 1]], width))[0])
-
     @F.pandas_udf("double")
     def posteriors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo: dict = {}
         for texts in batches:
-            yield pd.Series([posterior(t, memo) for t in texts], dtype="float64")
+            fired = [fired_of(t, memo, wanted, n_words, heads) or [width - 1] for t in texts]
+            yield pd.Series(model.posterior(Rows.of(fired, width)), dtype="float64")
 
     soft = materialize(sample.select("text", posteriors("text").alias("toxic")))
     columns, n = text_columns(dict.fromkeys([*mined, *mine_features(soft)]))
