@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from cohortal.session import materialize, shuffle_partitions
 
-#: Rows of a leaf, and components of a block: 32 MB as doubles.
+#: Rows of a leaf, and components of a block: 64 MB as doubles.
 LEAF_ROWS = 64
-BLOCK_VALUES = 4 << 20
+BLOCK_VALUES = 8 << 20
 #: Anchors that a tree is searched for at a time.
 BATCH_ANCHORS = 512
 #: Bytes of a component by the tag before a stored vector.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,8 @@ RUN = re.compile(rb"(?:[a-z]+|\xc3[\x80-\xbf])+")
 #: Base of the polynomial hashes (odd, modulo 2 ** 64) and the multipliers that mix a key's bits.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: Bytes of a text whose runs may be listed at once.
+LONG_TEXT = 4 << 20
 #: Keys in a radix bucket, on average.
 BUCKET_ROWS = 1 << 15
 
@@ -30,6 +32,11 @@ def edited_run(run: bytes, at: int) -> bytes:
     return (text[:at] + text[at + 1 :]).encode()
 
 
+def runs_of(text: bytes) -> Iterable[bytes]:
+    """All runs of a text; those of a very long one are never in memory together."""
+    return RUN.findall(text) if len(text) <= LONG_TEXT else (m.group() for m in RUN.finditer(text))
+
+
 def run_counts(docs: DataFrame, text: str, id: str, every: int = 199) -> DataFrame:
     """``word, n``: occurrences of lower-cased runs per task and batch, some with a code point deleted.
 
@@ -43,7 +50,7 @@ def run_counts(docs: DataFrame, text: str, id: str, every: int = 199) -> DataFra
         for b in batches:
             for key, t in zip(b["key"], b["text"], strict=True):
                 start = zlib.crc32(f"{key}:".encode())
-                for w, n in Counter(RUN.findall(t.encode().lower())).items():
+                for w, n in Counter(runs_of(t.encode().lower())).items():
                     h = zlib.crc32(w, start)
                     if h % every == 0:
                         w = edited_run(w, h % len(w.decode()))

@@ -255,3 +255,10 @@ def test_network_clashing_names(spark):
     wide = docs.select("*", *[F.lit("z").alias(c) for c in ("key", "y", "size", "chunks", "row", "score", "predicted", "held_out", "quality")])
     one, two = (sorted(map(str, bytenet.byte_quality(d, labels, epochs=2).collect())) for d in (docs, wide))
     assert one == two
+
+
+def test_runs_of_long_texts_are_the_same(monkeypatch):
+    text = " ".join(random.Random(1).choice(["abc", "É", "x1y", "日本", "÷×", "Zebra-crossing"]) for _ in range(500)).encode().lower()
+    short = list(spelling.runs_of(text))
+    monkeypatch.setattr(spelling, "LONG_TEXT", 10)
+    assert list(spelling.runs_of(text)) == short and len(short) > 400
