@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortal.operators import demo as D
 from cohortal.operators import features as X
 from cohortal.plans import views as V
 from cohortal.plans.registry import query
@@ -57,3 +58,29 @@ def group_statistics(spark, sf_dir):
 def confound_comparison(spark, sf_dir):
     """One score from two kinds of masks, per split: what the change of masks does."""
     return rounded(X.variant_comparison(predictions(spark, sf_dir), "y", "s_a", "s_b", 0.3, ["split"]))
+
+
+NOW = 1_780_000_000_000
+_U = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)"
+
+
+@query(
+    f""", sh AS (SELECT *, row_number() OVER (ORDER BY {_U.format("'42|order|' || row_index")}, row_index) AS place FROM pred),
+    n AS (SELECT count(*) AS n FROM sh), sz AS (SELECT p, [1, 2, 2, 3, 3, 4, 5][{_U.format("'42|size|' || p")} % 7 + 1] AS k FROM (SELECT unnest(range((SELECT n FROM n))) AS p)),
+    sp AS (SELECT p, k, CAST(sum(k) OVER (ORDER BY p) AS BIGINT) AS stop FROM sz), ok AS (SELECT p, stop - k AS first, least(stop, n) - stop + k AS k, 45 + {_U.format("'42|window|' || p")} % 606 AS win FROM sp, n WHERE stop - k < n),
+    d AS (SELECT p, first, win, unnest(range(1, CAST(k + 1 AS BIGINT))) AS i FROM ok), dd AS (SELECT p, first, win, {_U.format("'42|day|' || p || '|' || i")} % (win + 1) AS day FROM d),
+    pl AS (SELECT p, first + row_number() OVER (PARTITION BY p ORDER BY day) AS place, {NOW} - win * 86400000 + day * 86400000 AS ts, win FROM dd)
+    SELECT 'a_demo' || lpad(CAST(place AS VARCHAR), 12, '0') AS id, CAST(ts AS BIGINT) AS ts, 'p_demo' || lpad(CAST(p AS VARCHAR), 9, '0') AS patient_id, 'Patient ' || p AS name, CAST({_U.format("'42|sex|' || p")} % 2 AS INT) AS sex,
+      CAST({_U.format("'42|sun|' || p")} % 4 AS INT) AS sun_exposure, [NULL, NULL, 'family history', 'many nevi', 'sun damage', 'earlier excision', 'fair skin'][{_U.format("'42|antecedents|' || p")} % 7 + 1] AS antecedents,
+      CAST({NOW} - win * 86400000 AS BIGINT) AS created_ts, row_index AS image_id, pred AS pred_class, CASE WHEN p_mel >= 0.188 THEN 2 WHEN p_atyp >= 0.412 THEN 1 ELSE 0 END AS verdict,
+      CASE WHEN coverage < 0.05 THEN 1 ELSE 0 END AS quality_flag, CASE WHEN place % 13 <> 0 THEN y END AS verified_class
+    FROM pl JOIN sh USING (place)""",
+    V.PRED,
+)
+def demo_store(spark, sf_dir):
+    """A demonstration store: analyses with their patient and label."""
+    s = D.demo_store(predictions(spark, sf_dir), "row_index", ["p_nevus", "p_mel", "p_atyp"], "truth", "coverage", NOW)
+    people = s["patient"].select(F.col("id").alias("patient_id"), "name", "sex", "sun_exposure", "antecedents", "created_ts")
+    labels = s["verified_label"].select(F.col("analysis_id").alias("id"), "verified_class")
+    out = s["analysis"].join(people, "patient_id").join(labels, "id", "left")
+    return out.select("id", "ts", "patient_id", "name", "sex", "sun_exposure", "antecedents", "created_ts", "image_id", "pred_class", "verdict", "quality_flag", "verified_class")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortal.operators import image as I
+from cohortal.operators import inference as N
 from cohortal.operators import picture as P
 from cohortal.plans.registry import query
 from cohortal.plans.views import rounded
 from cohortal.session import table
+from cohortal.sources import graphs
 
 PIX = """pix AS (SELECT vec_id, CAST((i - 1) // 8 AS INT) AS y, CAST((i - 1) % 8 AS INT) AS x, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"""
 
@@ -234,3 +236,43 @@ def picture_network_input(spark, sf_dir):
     n = channels(spark, sf_dir).select("vec_id", P.network_input(*_cols("bgr"), 8, 5).alias("v"))
     plane = lambda k: F.aggregate(F.slice("v", 25 * k + 1, 25), F.lit(0.0), lambda a, v: a + v) / 25
     return rounded(n.select("vec_id", *[plane(k).alias(f"mean_{c}") for k, c in enumerate("rgb")], F.get("v", F.lit(25 + 8)).alias("g_1_3")))
+
+
+#: A linear head per view, in place of trees: a row per feature, a column per class.
+HEADS = {"a": (((0.9, -0.4, 0.1), (-0.3, 0.8, 0.2), (0.2, 0.1, -0.7)), (0.1, 0.0, -0.1)), "c": (((-0.2, 0.5, 0.3), (0.6, -0.1, 0.4), (0.1, 0.3, 0.2)), (0.0, 0.2, 0.1))}
+
+
+def _plane(channel: str, mean: float, std: float) -> str:
+    return f"list_avg(list_transform(range(0, 64), lambda i: ({channel} / 255 - {mean}) / {std}))"
+
+
+_Z = " UNION ALL ".join(
+    f"SELECT vec_id, '{k}' AS head, [{', '.join(f'{bias[c]} + ' + ' + '.join(f'{w[j][c]} * {v}[{j + 1}]' for j in range(3)) for c in range(3))}] AS z FROM views"
+    for (k, (w, bias)), v in zip(HEADS.items(), ("lesion", "dehair"), strict=True)
+)
+
+
+@query(
+    f"""{CHANNELS}, logit AS (SELECT *, list_transform(range(0, 64), lambda i: ({" + ".join(f"({c}[i + 1] / 255 - {m}) / {s}" for c, m, s in zip("rgb", P.CHANNEL_MEAN, P.CHANNEL_STD, strict=True))}) / 3 > 0) AS net FROM shade),
+    views AS (SELECT vec_id, list_avg(list_transform(net, lambda x: x::INT)) AS coverage,
+      [{", ".join(_plane(f"CASE WHEN net[i + 1] THEN {c}[i + 1] ELSE 0 END", m, s) for c, m, s in zip("rgb", P.CHANNEL_MEAN, P.CHANNEL_STD, strict=True))}] AS lesion,
+      [{", ".join(_plane(f"{c}[i + 1]", m, s) for c, m, s in zip("rgb", P.CHANNEL_MEAN, P.CHANNEL_STD, strict=True))}] AS dehair FROM logit),
+    z AS ({_Z}), e AS (SELECT vec_id, head, list_transform(z, lambda v: exp(v)) AS e FROM z),
+    p AS (SELECT vec_id, avg(e[1] / list_sum(e)) AS p0, avg(e[2] / list_sum(e)) AS p1, avg(e[3] / list_sum(e)) AS p2 FROM e GROUP BY vec_id)
+    SELECT vec_id, CASE WHEN vec_id % 10 <> 7 THEN round(coverage, 6) END AS coverage, CASE WHEN vec_id % 10 <> 7 THEN round(p0, 3) END AS score_nevus, CASE WHEN vec_id % 10 <> 7 THEN round(p1, 3) END AS score_mel, CASE WHEN vec_id % 10 <> 7 THEN round(p2, 3) END AS score_atyp,
+      CASE WHEN vec_id % 10 <> 7 THEN CASE WHEN p1 >= 0.188 THEN 2 WHEN p2 >= 0.412 THEN 1 ELSE 0 END END AS verdict, CASE WHEN vec_id % 10 = 7 THEN 'missing' END AS error
+    FROM views JOIN p USING (vec_id)""",
+    " ",
+)
+def network_readout(spark, sf_dir):
+    """Five networks one after the other (stand-ins with the real inputs and outputs), and the rows that have no picture."""
+    size = 8
+    models = {
+        "mask": graphs.mean_over([1], ["n", 3, size, size], ["n", 1, size, size], True),
+        **{k: graphs.mean_over([2, 3], ["n", 3, size, size], ["n", 3], False) for k in ("lesion", "dehair")},
+        **{f"trees_{k}": graphs.linear_head(w, b) for k, (w, b) in HEADS.items()},
+    }
+    c = channels(spark, sf_dir)
+    there = c.select("vec_id", *[F.when(F.col("vec_id") % 10 != 7, F.col(n)).alias(n) for n in "bgr"])
+    out = N.classify_pictures(there, models, size, {"mask": size, "view": size})
+    return rounded(out.select("vec_id", "coverage", *[F.round(s, 3).alias(s) for s in ("score_nevus", "score_mel", "score_atyp")], "verdict", "error"))
