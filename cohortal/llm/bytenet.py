@@ -183,7 +183,8 @@ def labelled_chunks(docs: DataFrame, labels: DataFrame, text: str, id: str, labe
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [spread_chunks(t, max_chunks) for t in b["text"]]
-            yield pd.DataFrame({"key": b["key"].astype(str), "y": b["y"], "size": [len(c) for c in found], "chunks": [c.tobytes() for c in found]})
+            if found:
+                yield pd.DataFrame({"key": b["key"].astype(str), "y": b["y"], "size": [len(c) for c in found], "chunks": [c.tobytes() for c in found]})
 
     return one.mapInPandas(run, "key string, y int, size int, chunks binary")
 

@@ -156,7 +156,8 @@ def usable_rows(df: DataFrame, id: str, vector: str, label: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"vec_id": b["vec_id"], "label": b["label"], "vec": stored(b["x"])})
+            if len(b):
+                yield pd.DataFrame({"vec_id": b["vec_id"], "label": b["label"], "vec": stored(b["x"])})
 
     narrow = rows.mapInPandas(run, "vec_id long, label long, vec binary")
     one = narrow.groupBy("vec_id").agg(F.min(F.struct("label", "vec")).alias("r"))

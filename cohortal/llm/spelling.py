@@ -46,6 +46,9 @@ def run_counts(docs: DataFrame, text: str, id: str, every: int = 199) -> DataFra
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told() -> pd.DataFrame:
+            return pd.DataFrame({"word": [w.decode() for w in total], "n": list(total.values())})
+
         total: Counter = Counter()
         for b in batches:
             for key, t in zip(b["key"], b["text"], strict=True):
@@ -57,9 +60,10 @@ def run_counts(docs: DataFrame, text: str, id: str, every: int = 199) -> DataFra
                     if len(w) >= 6:
                         total[w] += n
                 if len(total) > MAX_MEMO:
-                    yield pd.DataFrame({"word": [w.decode() for w in total], "n": list(total.values())})
+                    yield told()
                     total.clear()
-        yield pd.DataFrame({"word": [w.decode() for w in total], "n": list(total.values())})
+        if total:  # an empty frame has no kinds of columns
+            yield told()
 
     key = F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("")).alias("key")
     return docs.where(F.col(f"`{text}`").isNotNull()).select(key, F.col(f"`{text}`").alias("text")).mapInPandas(run, "word string, n long")

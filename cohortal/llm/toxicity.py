@@ -393,7 +393,8 @@ def mine_features(sample: DataFrame, min_toxic: int = 5, min_precision: float =
                     if units:
                         t[f] += units
             names = list(n)
-            yield pd.DataFrame({"feature": names, "n": [n[f] for f in names], "t": [t[f] for f in names], "x": [x[f] for f in names]})
+            if names:  # an empty frame has no kinds of columns
+                yield pd.DataFrame({"feature": names, "n": [n[f] for f in names], "t": [t[f] for f in names], "x": [x[f] for f in names]})
 
     rows = sample.select("text", F.col("toxic").cast("double").alias("toxic"), F.xxhash64("text").alias("row"))
     counts = rows.mapInPandas(run, "feature string, n long, t long, x long")

@@ -262,3 +262,25 @@ def test_runs_of_long_texts_are_the_same(monkeypatch):
     short = list(spelling.runs_of(text))
     monkeypatch.setattr(spelling, "LONG_TEXT", 10)
     assert list(spelling.runs_of(text)) == short and len(short) > 400
+
+
+def test_partitions_without_rows(spark):
+    """Few rows in many partitions, and rows that say nothing."""
+    rows = [(k, t) for k, t in enumerate(["banana " * 6, None, "", "x y z", "12 34"])]
+    spread = spark.createDataFrame(spark.sparkContext.parallelize([(k, t, "en", "s", None) for k, t in rows], 24), "doc_id long, text string, lang string, source string, n_chars long")
+    assert variants(spread) == plain_variants(rows)
+    nothing = spread.where("doc_id > 2").union(spread.where("doc_id < 0"))
+    assert variants(nothing) == {}
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, quality int")
+    assert len(bytenet.byte_quality(spread, labels, epochs=1).collect()) == 5
+    given = vectors(60, 4, 1)
+    few = spark.createDataFrame(spark.sparkContext.parallelize(given, 100), VECTORS)
+    assert mined(few) == plain_negatives(given)
+
+
+def test_toxicity_of_texts_without_words(spark):
+    from cohortal.llm import toxicity
+
+    docs = documents(spark, [(k, ["", " ", None, "!?"][k % 4]) for k in range(40)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    assert toxicity.toxicity(docs, labels).count() == 40
