@@ -125,7 +125,8 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
                             held = []
                 except Exception as e:
                     held.append((p, None, None, None, f"{type(e).__name__}: {e}"))
-                yield pd.DataFrame(held, columns=names, dtype=object)
+                if held:
+                    yield pd.DataFrame(held, columns=names, dtype=object)
 
     return files.mapInPandas(run, "path string, sheet string, row long, cells array<string>, error string")
 
