@@ -363,6 +363,8 @@ def held_out(id: str | Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(id.cast("string"), F.lit(""))), F.lit(folds)) == 0
 
 
+#: Texts whose features a task counts together.
+MINED_ROWS = 500
 #: Soft labels are summed in whole units, so that the order of tasks leaves no trace.
 UNITS = 1_000
 
@@ -379,7 +381,8 @@ def mine_features(sample: DataFrame, min_toxic: int = 5, min_precision: float =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
-        for b in batches:
+        # Portions of a batch: what a task counts at a time stays small.
+        for b in (b.iloc[lo : lo + MINED_ROWS] for b in batches for lo in range(0, len(b), MINED_ROWS)):
             n: Counter = Counter()
             t: Counter = Counter()
             x: dict[str, int] = {}
