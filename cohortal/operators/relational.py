@@ -218,6 +218,26 @@ def near_duplicate_pairs(df: DataFrame, id: str, keys: Sequence[str], distance:
     return a.join(b, reduce(lambda x, y: x & y, on)).select(F.col(f"a.{id}").alias("member_1"), F.col(f"b.{id}").alias("member_2"))
 
 
+def near_duplicate_links(df: DataFrame, id: str, keys: Sequence[str], value: str, limit: float = 1.0) -> DataFrame:
+    """Links ``member_1, member_2`` that join what ``near_duplicate_pairs`` joins by the distance of two numbers, at most one a row.
+
+    In the order of the numbers of a key, rows are connected until a gap exceeds the limit; each is linked to
+    the least id of its run, and no pairs are made. Equal numbers are one row of the ordering. Null ids and keys
+    and numbers that are null or not finite have no link.
+    """
+    require(limit >= 0, "the limit is negative")
+    known = df.where(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in [id, *keys]]) & (F.col(value) - F.col(value) == 0))
+    known = known.select(F.col(id).alias("_id"), *keys, F.col(value).alias("_v"))
+    order = W.partitionBy(*keys).orderBy("_v")
+    gap = F.col("_v") - F.lag("_v").over(order)
+    each = known.groupBy(*keys, "_v").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).withColumn("_new", F.when(gap <= limit, 0).otherwise(1))
+    each = each.withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    run = W.partitionBy(*keys, "_run")
+    runs = each.withColumns({"_least": F.min("_least").over(run), "_most": F.max("_most").over(run)}).where("_least < _most")
+    links = known.join(runs.select(*keys, "_v", "_least"), [*keys, "_v"]).where("_least < _id")
+    return links.select(F.col("_least").alias("member_1"), F.col("_id").alias("member_2"))
+
+
 def keep_shorter(pairs: DataFrame, a: str = "member_1", b: str = "member_2") -> DataFrame:
     """Per pair the member to keep (shorter name, then least) and the one to drop."""
     s = lambda c: F.struct(F.length(F.col(c).cast("string")).alias("n"), F.col(c).cast("string").alias("v"))

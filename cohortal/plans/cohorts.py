@@ -183,6 +183,11 @@ def part_pairs(spark, sf_dir) -> DataFrame:
     return R.near_duplicate_pairs(p, "p_partkey", ["p_brand", "p_size"], F.abs(F.col("a.p_retailprice") - F.col("b.p_retailprice")), 25)
 
 
+def part_links(spark, sf_dir) -> DataFrame:
+    """What connects the parts that ``part_pairs`` pairs, without the pairs."""
+    return R.near_duplicate_links(table(spark, sf_dir, "part"), "p_partkey", ["p_brand", "p_size"], "p_retailprice", 25)
+
+
 @query(f"{PAIRS} SELECT member_1, member_2 FROM pairs", " ")
 def near_duplicate_pairs(spark, sf_dir):
     return part_pairs(spark, sf_dir)
@@ -205,7 +210,7 @@ def kept_derivatives(spark, sf_dir):
     " ",
 )
 def duplicate_components(spark, sf_dir):
-    return connected_components(part_pairs(spark, sf_dir), "member_1", "member_2")
+    return connected_components(part_links(spark, sf_dir), "member_1", "member_2")
 
 
 @query(

@@ -243,6 +243,23 @@ def test_components_of_chains_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+def test_links_connect_what_the_pairs_connect(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice(["x", "y", None]), rng.choice([1, 2]), round(rng.uniform(0, 900), 1)) for k in range(-40, 120)]
+    rows += [(500 + k, "z", 1, 7.0) for k in range(9)] + [(600, "z", 1, 40.0), (600, "x", 1, 9_000.0), (600, "x", 1, 9_001.0), (None, "z", 1, 7.0)]
+    rows += [(700 + k, "z", 1, v) for k, v in enumerate([float("inf"), float("inf"), float("-inf"), float("nan"), float("nan"), None, 12.0, 37.0, 62.0, 87.1])]
+    df = spark.createDataFrame(rows, "id int, k string, m int, v double")
+    pairs = R.near_duplicate_pairs(df, "id", ["k", "m"], F.abs(F.col("a.v") - F.col("b.v")), 25)
+    links = R.near_duplicate_links(df, "id", ["k", "m"], "v", 25)
+    want = {(a[0], b[0]) for a in rows for b in rows if None not in (*a, *b) and a[1:3] == b[1:3] and a[0] < b[0] and abs(a[3] - b[3]) <= 25}
+    assert {tuple(r) for r in pairs.collect()} == want
+    of = lambda e: {tuple(r) for r in connected_components(e, "member_1", "member_2").collect()}
+    assert of(links) == of(pairs)
+    # Copies: as many links as rows, where pairs grow with the square.
+    many = spark.range(3_000).selectExpr("id", "id % 1 as k", "id % 1 as m", "cast(id % 3 as double) as v")
+    assert R.near_duplicate_links(many, "id", ["k", "m"], "v", 25).count() == 2_999
+
+
 def test_group_folds_keep_groups_whole(spark):
     rows = [(f"g{k % 41}", k % 7 == 0) for k in range(500)]
     f = R.group_folds(spark.createDataFrame(rows, "g string, y boolean"), "g", "y", 5).collect()
