@@ -221,7 +221,7 @@ def duplicate_components(spark, sf_dir):
     " ",
 )
 def kept_of_components(spark, sf_dir):
-    g = connected_components(part_pairs(spark, sf_dir), "member_1", "member_2")
+    g = connected_components(part_links(spark, sf_dir), "member_1", "member_2")
     p = table(spark, sf_dir, "part").join(g, F.col("p_partkey") == F.col("node"), "left")
     return p.select("p_partkey", F.when(F.col("root").isNull() | (F.col("root") == F.col("p_partkey")), "KEPT").otherwise("EXCLUDED").alias("status"))
 
