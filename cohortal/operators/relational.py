@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cohortal.operators.prefix import numbered
-from cohortal.session import broadcast_if_small, materialize
+from cohortal.session import broadcast_if_small, materialize, shuffle_partitions
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -206,16 +206,31 @@ def fold_leaks(df: DataFrame, group: str, fold: str = "fold") -> DataFrame:
     return df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count_distinct(fold).alias("n_folds")).where("n_folds > 1")
 
 
+#: Rows of one key that are compared with all rows of the key at a time, and comparisons of one task.
+PAIR_ROWS, PAIR_TASK = 2_048, 50_000_000
+
+
 def near_duplicate_pairs(df: DataFrame, id: str, keys: Sequence[str], distance: Column | None = None, limit: float = 1.0) -> DataFrame:
     """Pairs a < b with equal hash keys and, if given, a distance up to the limit.
 
-    ``distance`` is an expression over the columns of ``a`` and ``b``. The join is on the keys.
+    ``distance`` is an expression over the columns of ``a`` and ``b``. The join is on the keys. All
+    pairs grow with the square of a key's rows, and few bytes make many of them: rows ``a`` of a key are
+    dealt into portions that meet all its rows ``b``, and the number of tasks follows that of comparisons.
     """
-    a, b = df.alias("a"), df.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col(f"a.{id}") < F.col(f"b.{id}")]
+    known = df.where(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in [id, *keys]]))
+    sizes = materialize(known.groupBy(*keys).agg(F.count("*").alias("_n")))
+    work = sizes.agg(F.sum(F.col("_n").cast("double") * F.col("_n"))).first()[0] or 0.0
+    parts = max(shuffle_partitions(df.sparkSession), min(10_000, math.ceil(work / PAIR_TASK)))
+    portions = F.ceil(F.col("_n") / PAIR_ROWS)
+    rows = known.join(broadcast_if_small(sizes), list(keys)).withColumn("_m", portions.cast("long"))
+    a = rows.withColumn("_part", F.pmod(F.xxhash64(id), "_m"))
+    b = rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+    # The second side of a merge join is held by key: that is a portion.
+    a, b = (d.repartition(parts, *keys, "_part").alias(n) for d, n in ((a, "a"), (b, "b")))
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "_part"]] + [F.col(f"a.{id}") < F.col(f"b.{id}")]
     if distance is not None:
         on.append(distance <= limit)
-    return a.join(b, reduce(lambda x, y: x & y, on)).select(F.col(f"a.{id}").alias("member_1"), F.col(f"b.{id}").alias("member_2"))
+    return b.join(a.hint("merge"), reduce(lambda x, y: x & y, on)).select(F.col(f"a.{id}").alias("member_1"), F.col(f"b.{id}").alias("member_2"))
 
 
 def near_duplicate_links(df: DataFrame, id: str, keys: Sequence[str], value: str, limit: float = 1.0) -> DataFrame:

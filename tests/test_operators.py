@@ -243,7 +243,7 @@ def test_components_of_chains_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
-def test_links_connect_what_the_pairs_connect(spark):
+def test_links_connect_what_the_pairs_connect(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(k, rng.choice(["x", "y", None]), rng.choice([1, 2]), round(rng.uniform(0, 900), 1)) for k in range(-40, 120)]
     rows += [(500 + k, "z", 1, 7.0) for k in range(9)] + [(600, "z", 1, 40.0), (600, "x", 1, 9_000.0), (600, "x", 1, 9_001.0), (None, "z", 1, 7.0)]
@@ -258,6 +258,10 @@ def test_links_connect_what_the_pairs_connect(spark):
     # Copies: as many links as rows, where pairs grow with the square.
     many = spark.range(3_000).selectExpr("id", "id % 1 as k", "id % 1 as m", "cast(id % 3 as double) as v")
     assert R.near_duplicate_links(many, "id", ["k", "m"], "v", 25).count() == 2_999
+    monkeypatch.setattr(R, "PAIR_ROWS", 256)
+    every = R.near_duplicate_pairs(many, "id", ["k", "m"], F.abs(F.col("a.v") - F.col("b.v")), 0.5)
+    assert every.count() == every.distinct().count() == 3 * 1_000 * 999 // 2
+    assert max(every.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) < 3 * 1_000 * 999 // 2  # no task makes them all
 
 
 def test_group_folds_keep_groups_whole(spark):
