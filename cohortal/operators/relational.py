@@ -255,9 +255,10 @@ def near_duplicate_links(df: DataFrame, id: str, keys: Sequence[str], value: str
 
 def keep_shorter(pairs: DataFrame, a: str = "member_1", b: str = "member_2") -> DataFrame:
     """Per pair the member to keep (shorter name, then least) and the one to drop."""
-    s = lambda c: F.struct(F.length(F.col(c).cast("string")).alias("n"), F.col(c).cast("string").alias("v"))
-    both = F.array(s(a), s(b))
-    return pairs.select(a, b, F.array_min(both)["v"].alias("retained"), F.array_max(both)["v"].alias("removed"))
+    x, y = (F.col(c).cast("string") for c in (a, b))
+    n, m = (F.coalesce(F.length(c), F.lit(-1)) for c in (x, y))
+    first = (n < m) | ((n == m) & (x <= y))
+    return pairs.select(a, b, F.when(first, x).otherwise(y).alias("retained"), F.when(first, y).otherwise(x).alias("removed"))
 
 
 def ordered_subset(df: DataFrame, key: str, wanted: Sequence) -> DataFrame:

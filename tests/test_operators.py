@@ -264,6 +264,13 @@ def test_links_connect_what_the_pairs_connect(spark, monkeypatch):
     assert max(every.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) < 3 * 1_000 * 999 // 2  # no task makes them all
 
 
+def test_shorter_of_a_pair_is_kept(spark):
+    rows = [("b", "a"), ("aa", "b"), ("-5", "3"), (None, "x"), ("x", None), ("q", "q"), (None, None)]
+    got = {tuple(r) for r in R.keep_shorter(spark.createDataFrame(rows, "member_1 string, member_2 string")).collect()}
+    kept = [("a", "b"), ("b", "aa"), ("3", "-5"), (None, "x"), (None, "x"), ("q", "q"), (None, None)]
+    assert got == {(*r, *k) for r, k in zip(rows, kept, strict=True)}
+
+
 def test_group_folds_keep_groups_whole(spark):
     rows = [(f"g{k % 41}", k % 7 == 0) for k in range(500)]
     f = R.group_folds(spark.createDataFrame(rows, "g string, y boolean"), "g", "y", 5).collect()
