@@ -53,3 +53,23 @@ def bit_filter(keys: DataFrame, column: str) -> Callable[[str | Column], Column]
         return pd.Series(has_bit(bits, slots.to_numpy(np.int64)), dtype=bool)
 
     return lambda value: maybe(slot(value))
+
+
+def marked(rows: DataFrame, column: str, keys: DataFrame, key: str, name: str = "maybe") -> DataFrame:
+    """``rows`` with ``name``: true for every value of ``column`` in ``keys[key]``, and for few others.
+
+    The same filter as a broadcast table of at most 8,192 rows of 4 KB, made and read without Python, so that
+    a stage that needs Python for something else has one worker a task and not two. ``keys`` is counted first.
+    """
+    size = LEAST_BITS
+    n = keys.count()
+    while size < min(MOST_BITS, BITS_PER_KEY * n):
+        size *= 2
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    slots = keys.select(slot(key).alias("_slot"))
+    bits = slots.groupBy(F.floor(F.col("_slot") / BUCKET_BITS).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_slot") % BUCKET_BITS).alias("_bits"))
+    own = rows.withColumn("_at", slot(column)).withColumn("_bucket", F.floor(F.col("_at") / BUCKET_BITS))
+    own = own.join(F.broadcast(bits), "_bucket", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast((_at % {BUCKET_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(_byte, cast(_at % 8 as int)) & 1") == 1, F.lit(False))
+    return own.withColumn("_byte", byte).withColumn(name, hit).select(*rows.columns, name)

@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortal.llm.bitfilter import bit_filter
-from cohortal.llm.text import MAX_MEMO, WORDS, packed, small_batches, unpacked
+from cohortal.llm.bitfilter import marked
+from cohortal.llm.text import FEW_ROWS, MAX_KNOWN, WORDS, packed, small_batches, unpacked
 from cohortal.operators.graph import connected_components
 from cohortal.session import materialize
 
@@ -36,7 +36,7 @@ def shingles(text: str | None, n: int, memo: dict[str, int]) -> np.ndarray:
     words = WORDS.findall(text or "")
     if not words:
         return np.zeros(0, np.uint64)
-    if len(memo) > MAX_MEMO:
+    if len(memo) > MAX_KNOWN:
         memo.clear()
     ids = np.empty(len(words), np.uint64)
     for i, w in enumerate(words):
@@ -401,7 +401,7 @@ class JaccardJoin:
         self.kind, self.least = dict(docs.dtypes)[id], least_matches(threshold, tolerance)
         self.prune_chunk, self.verify_chunk = prune_chunk, verify_chunk
         spark = docs.sparkSession
-        small_batches(spark)
+        small_batches(spark, FEW_ROWS)
         self.partitions = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.sketches = materialize(sketches(docs, id, text, n))
         sets = self.sketches.where("digest is not null").groupBy("digest")
@@ -439,7 +439,6 @@ class JaccardJoin:
         texts = self.docs.select(
             row_key(self.docs, self.id, self.text).alias("key"), F.xxhash64(self.text).alias("own_hash"), F.col(self.text).alias("text")
         )
-        maybe = bit_filter(wanted, "own_hash")
         n = self.n
 
         @F.pandas_udf("struct<shingles:binary,own:binary>")
@@ -449,7 +448,7 @@ class JaccardJoin:
                 sets = [shingles(t, n, memo).tobytes() for t in s]
                 yield pd.DataFrame({"shingles": sets, "own": [xxhash.xxh3_128_digest(x) for x in sets]})
 
-        rows = texts.where(maybe("own_hash")).join(wanted, ["key", "own_hash"]).withColumn("s", read("text")).drop("text")
+        rows = marked(texts, "own_hash", wanted, "own_hash").where("maybe").drop("maybe").join(wanted, ["key", "own_hash"]).withColumn("s", read("text")).drop("text")
         rows = rows.where("s.own = digest").dropDuplicates(["node"])
         rows = rows.select(F.xxhash64("root").alias("root_key"), "n_chunks", "node", "sig", F.col("s.shingles").alias("shingles"))
         dealt = _blocks(rows, "root_key", F.col("n_chunks"), "node", self.partitions)
@@ -539,9 +538,8 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
     # Per id and text: whether it stays, and if it is there more than once.
     judged = worded.groupBy("own_key", "own_hash").agg(F.max("leads").alias("stays"), F.count("*").alias("times"))
     judged = materialize(judged.where("not stays or times > 1"))
-    maybe = bit_filter(judged, "own_hash")
     rows = packed(docs, own_key=row_key(docs, id, text), own_hash=F.coalesce(F.xxhash64(text), F.lit(0)))
-    rows = rows.withColumn("maybe", maybe("own_hash"))
+    rows = marked(rows, "own_hash", judged, "own_hash")
     some = rows.where("maybe").join(judged, ["own_key", "own_hash"], "left")
     once = some.where("stays and times > 1").dropDuplicates(["own_key", "own_hash"])
     kept = rows.where("not maybe").select("row").unionByName(some.where("stays is null").select("row"))

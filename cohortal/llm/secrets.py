@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortal.llm.bitfilter import bit_filter
+from cohortal.llm.bitfilter import marked
 from cohortal.llm.jaccard import join_sized
 from cohortal.llm.text import packed, small_batches, unpacked
 from cohortal.session import materialize
@@ -212,8 +212,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", id: str = "doc_id", **op
     """
     found = secret_scan(docs, text=text, id=id, own_spans=True, **options).where("own_spans != ''")
     live = materialize(found.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "own_spans").distinct())
-    maybe = bit_filter(live, "own_hash")
-    rows = packed(docs, row_id=F.col(id), row_hash=F.xxhash64(text)).withColumn("maybe", maybe("row_hash"))
+    rows = marked(packed(docs, row_id=F.col(id), row_hash=F.xxhash64(text)), "row_hash", live, "own_hash")
     on = F.col("row_id").eqNullSafe(F.col("own_id")) & (F.col("row_hash") == F.col("own_hash"))
     some = rows.where("maybe").join(live, on, "left")
     masked = F.pandas_udf(lambda t, s: pd.Series([mask(a, b) for a, b in zip(t, s, strict=True)], dtype=object), "string")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortal.llm.jaccard import shingles
-from cohortal.llm.text import MAX_MEMO, small_batches
+from cohortal.llm.text import FEW_ROWS, MAX_KNOWN, small_batches
 from cohortal.session import materialize
 
 # Words of abuse in four languages, by kind. Each list is one voter.
@@ -87,7 +87,7 @@ def text_features(
     for token in set((text or "").lower().split()):
         own = memo.get(token)
         if own is None:
-            if len(memo) > MAX_MEMO:
+            if len(memo) > MAX_KNOWN:
                 memo.clear()
             if heads is not None and not MASKED.search(token) and not any(w[:3] in heads for w in TOKEN.findall(token)):
                 memo[token] = ()
@@ -364,7 +364,7 @@ def held_out(id: str | Column, folds: int = 5) -> Column:
 
 
 #: Texts whose features a task counts together.
-MINED_ROWS = 500
+MINED_ROWS = 250
 #: Soft labels are summed in whole units, so that the order of tasks leaves no trace.
 UNITS = 1_000
 
@@ -482,7 +482,7 @@ def fit_toxicity(
 
     The driver gets the mined features and, per sampled text, the numbers of what fired.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, FEW_ROWS)
     sample = materialize(training_sample(docs, labels, text, id, label, max_labelled, folds))
     mined = mine_features(sample)
     wanted, n_words = voter_numbers(mined)

@@ -8,7 +8,9 @@ import xxhash
 
 from cohortal.llm import fingerprint as FP
 from cohortal.llm import licenses, quality, secrets
-from cohortal.llm.bitfilter import bit_filter
+from cohortal.llm.bitfilter import bit_filter, marked
+from cohortal.llm.jaccard import drop_near_duplicates
+from cohortal.llm.secrets import redact_secrets
 from tests.llm.helpers import documents, prose, repeated_words, words
 
 TEXTS = [None, "", " \n\t ", "a", "one two\none two\n\none two\x0bx", "x " * 500, "a b c d e a b c d e f", "ä ö ü ß z #*$", "𝔘𝔫𝔦 😀 😀 😀 😀 😀 😀", "w " * 30_000]
@@ -286,3 +288,20 @@ def test_bit_filter_never_loses_a_key(spark):
     assert rows.where("id % 7 = 0 and not m").count() == 0
     assert rows.where("id % 7 != 0 and m").count() < 200
     assert spark.range(10).where(bit_filter(keys.limit(0), "k")("id")).count() == 0
+
+
+def test_marking_never_loses_a_key_and_runs_no_python(spark):
+    keys = spark.range(0, 70_000, 7).withColumnRenamed("id", "k")
+    rows = marked(spark.range(70_000), "id", keys, "k", "m")
+    assert rows.count() == 70_000
+    assert rows.where("id % 7 = 0 and not m").count() == 0
+    assert rows.where("id % 7 != 0 and m").count() < 200
+    assert marked(spark.range(10), "id", keys.limit(0), "k").where("maybe").count() == 0
+    assert "Python" not in rows._jdf.queryExecution().toString()
+
+
+def test_stages_that_mark_rows_have_one_python_step(spark):
+    docs = documents(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "password = hunter2hunter2"), (4, None)])
+    assert "Python" not in drop_near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+    one = redact_secrets(docs)._jdf.queryExecution().executedPlan().toString()
+    assert one.count("ArrowEvalPython") == 1
