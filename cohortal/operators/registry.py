@@ -42,7 +42,7 @@ CELLS = {"tp": "tp + fn", "fn": "tp + fn", "tn": "tn + fp", "fp": "tn + fp"}
 
 def global_records(df: DataFrame, id: str, truth: str, pred: str, probabilities: Sequence[str], replicates: int, seed: int) -> DataFrame:
     """Counts, accuracy, and seven metrics with intervals from draws within each class; the sample itself is one more replicate."""
-    known = df.where(F.col(truth).isNotNull())
+    known = E.known(df, truth, id, pred, *probabilities)
     drawn = E.stratified(known, id, truth, replicates, seed)
     both = drawn.unionByName(known.select("*", F.lit(-1).alias("_rep"), F.lit(1).alias("_w")))
     long = E.multiclass_values(both, truth, pred, probabilities).unpivot(["_rep"], list(E.SEVEN), "metric", "value")

@@ -173,3 +173,9 @@ def test_boosted_regression_beats_the_line(spark):
     flat = df.select("*", *[F.nanvl(F.get("x", F.lit(k)), F.lit(0.0)).alias(f"f{k}") for k in range(3)])
     line = r_squared(ridge_out_of_fold(flat, ["f0", "f1", "f2"], "r", "fold"), "r").first().r2
     assert boosted > 0.8 > line
+
+
+def test_only_columns_in_use_are_resampled(spark):
+    df = spark.createDataFrame([(1, 0, 0.5, "x"), (2, None, 0.5, "y")], "id long, y int, a double, other string")
+    got = E.known(df, "y", "id", "a", "a")
+    assert got.columns == ["id", "a", "y"] and [tuple(r) for r in got.collect()] == [(1, 0.5, 0)]
