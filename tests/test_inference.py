@@ -79,3 +79,27 @@ def test_the_whole_chain(spark, hand):
         assert r.score_mel == r.probs[1] and r.verdict is not None
     assert got[90].error == "missing" and got[90].probs is None and got[90].verdict is None
     assert got[91].probs is None and got[91].error
+
+
+def test_networks_of_one_step(spark):
+    """As each one alone says; one after another sees its own values first, and is missing where the other one failed."""
+    net, (w, bias) = graphs.mean_over([1], ["n", 2, 2], ["n", 2], False), ([[1.0, -1.0], [0.5, 2.0], [-1.0, 0.3]], [0.1, 0.2])
+    head = graphs.linear_head(w, bias)
+    rows = [(k, [float(k), 1.0, 2.0, 3.0], [0.25 * k]) for k in range(40)] + [(50, None, [1.0]), (51, [1.0], [1.0]), (52, [float("nan")] * 4, [1.0]), (53, [1.0] * 4, None), (54, [1.0] * 4, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>, own array<double>").repartition(3)
+    out = N.stage(df, {"a": N.Net(net, F.col("v"), (2, 2)), "b": N.Net(head, F.col("own"), None, 1, "a")}, batch=8)
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == len(rows) and out.columns == ["id", "v", "own", "error", "a", "b"]
+    for k in range(40):
+        z = np.exp(np.array([0.25 * k, (k + 2) / 2, 2.0]) @ np.array(w) + bias)
+        assert got[k].error is None and got[k].a == pytest.approx([(k + 2) / 2, 2.0]) and got[k].b == pytest.approx((z / z.sum()).tolist(), abs=1e-5)
+    assert [got[k].error and got[k].error.split(":")[0] for k in (50, 51, 52, 53)] == ["missing", "ValueError", "ValueError", "missing"]
+    assert got[53].a == [1.0, 1.0] and got[54].a == [1.0, 1.0] and got[54].error and all(got[k].b is None for k in (50, 51, 52, 53, 54))
+
+
+def test_the_chain_is_two_python_steps(spark):
+    """An executor holds a worker for each step and task: five of them came near its limit."""
+    df = spark.createDataFrame([(1, *[[float(v) for v in range(36)]] * 3)], "id long, b array<double>, g array<double>, r array<double>")
+    out = N.classify_pictures(df, chain(spark)[0], 6, {"mask": 6, "view": 4})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 2
