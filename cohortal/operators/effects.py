@@ -126,37 +126,45 @@ def resampled(df: DataFrame, id: str, replicates: int, seed: int = 42) -> DataFr
 MASK, MULTIPLIER, STEPS = (1 << 32) - 1, 0x45D9F3B, (0x9E3779B9, 0x85EBCA6B)
 
 
-def stirred(x: Column) -> Column:
-    """A 32-bit number whose bits all depend on all bits of ``x``."""
+def stirred(df: DataFrame, x: str) -> DataFrame:
+    """``x`` replaced by a 32-bit number whose bits all depend on all of its bits.
+
+    Each step is a column of its own: it uses the one before twice, so that one expression would double with every step.
+    """
+    mixed = F.col(x).bitwiseXOR(F.shiftright(x, 16))
     for _ in range(2):
-        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(MULTIPLIER)).bitwiseAND(F.lit(MASK))
-    return x.bitwiseXOR(F.shiftright(x, 16))
+        df = df.withColumn(x, (mixed * F.lit(MULTIPLIER)).bitwiseAND(F.lit(MASK)))
+    return df.withColumn(x, mixed)
 
 
-def drawn_position(k: Column, n: Column, rep: Column, stratum: Column, seed: int) -> Column:
-    """Which of ``n`` positions (from 0, fewer than 2 ** 31) the ``k``-th draw of a stratum and replicate takes."""
-    h = stirred((k + F.lit(STEPS[0]) * (rep + 1)).bitwiseAND(F.lit(MASK)))
-    h = stirred((h + F.lit(STEPS[1]) * (stratum + 1) + F.lit(seed)).bitwiseAND(F.lit(MASK)))
-    return F.shiftright(h * n, 32)
+def drawn_positions(df: DataFrame, name: str, k: Column, n: Column, rep: Column, stratum: Column, seed: int) -> DataFrame:
+    """Adds ``name``: which of ``n`` positions (from 0, fewer than 2 ** 31) the ``k``-th draw of a stratum and replicate takes."""
+    low = lambda x: x.bitwiseAND(F.lit(MASK))
+    df = stirred(df.withColumn(name, low(k + F.lit(STEPS[0]) * (rep + 1))), name)
+    df = stirred(df.withColumn(name, low(F.col(name) + F.lit(STEPS[1]) * (stratum + 1) + F.lit(seed))), name)
+    return df.withColumn(name, F.shiftright(F.col(name) * n, 32))
 
 
-def stratified(df: DataFrame, id: str, stratum: str, replicates: int, seed: int = 42) -> DataFrame:
+def stratified(df: DataFrame, id: str, stratum: str, replicates: int, seed: int = 42, columns: Sequence[str] | None = None) -> DataFrame:
     """Resamples with replacement within each class: a row ``_rep``, ``_w`` (1) per draw, as many as the class has rows.
 
     Rows of a class are numbered along ``id`` (unique; ``stratum`` is a whole number, rows without one
     go). Each row makes one draw a replicate: a number that takes it to the row of that
     position by a join, in the task itself while the numbered rows are small (their bytes are
-    measured). Draws are narrow, and what follows aggregates them by replicate before it
-    shuffles.
+    measured), else by a shuffle of the draws, whose numbers are spread evenly. Draws have
+    ``columns`` (all of ``df``) only, and what follows aggregates them by replicate before it shuffles.
     """
+    columns = list(columns or df.columns)
     rows = df.where(F.col(stratum).isNotNull())
     placed = numbered(rows, [F.col(id)], "_k", [stratum])
     sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     placed = materialize(placed.join(F.broadcast(sizes), stratum))  # a row per class
-    position = drawn_position(F.col("_k") - 1, F.col("_n"), F.col("_rep"), F.col(stratum).cast("long"), seed)
-    draws = placed.select(stratum, "_k", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
-    draws = draws.select(stratum, "_rep", (position + 1).alias("_k"))
-    return draws.join(broadcast_if_small(placed.drop("_n")), [stratum, "_k"]).select(*df.columns, "_rep", F.lit(1).alias("_w"))
+    # What is never null needs no filter before the join, which would repeat all steps of a draw.
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
+    draws = placed.select(*[whole(c).alias(c) for c in ("_k", "_n")], whole(stratum).alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
+    draws = drawn_positions(draws, "_at", F.col("_k") - 1, F.col("_n"), F.col("_rep").cast("long"), F.col("_s"), seed).select("_s", "_rep", "_at")
+    found = placed.select(*columns, whole(stratum).alias("_s"), (whole("_k") - 1).alias("_at"))
+    return draws.join(broadcast_if_small(found, otherwise="shuffle_hash"), ["_s", "_at"]).select(*columns, "_rep", F.lit(1).alias("_w"))
 
 
 def known(df: DataFrame, truth: str, *used: str) -> DataFrame:
@@ -165,7 +173,10 @@ def known(df: DataFrame, truth: str, *used: str) -> DataFrame:
 
 
 def resamples(df: DataFrame, id: str, stratum: str | None, replicates: int, seed: int) -> DataFrame:
-    return resampled(df, id, replicates, seed) if stratum is None else stratified(df, id, stratum, replicates, seed)
+    """Resampled rows without their id, which only tells them apart before."""
+    if stratum is None:
+        return resampled(df, id, replicates, seed).drop(id)
+    return stratified(df, id, stratum, replicates, seed, [c for c in df.columns if c != id])
 
 
 def _weighted_auc(rows: DataFrame, score: str, positive: Column, by: Sequence[str]) -> DataFrame:

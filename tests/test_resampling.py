@@ -179,3 +179,11 @@ def test_only_columns_in_use_are_resampled(spark):
     df = spark.createDataFrame([(1, 0, 0.5, "x"), (2, None, 0.5, "y")], "id long, y int, a double, other string")
     got = E.known(df, "y", "id", "a", "a")
     assert got.columns == ["id", "a", "y"] and [tuple(r) for r in got.collect()] == [(1, 0.5, 0)]
+
+
+def test_steps_of_a_draw_are_computed_once(spark, capsys):
+    df = spark.createDataFrame(scored(), "id long, y int, a double, b double")
+    draws = E.stratified(df, "id", "y", 12, seed=5)
+    capsys.readouterr()
+    draws.explain()
+    assert capsys.readouterr().out.count(str(E.MULTIPLIER)) == 4  # an expression that uses each step twice has hundreds
