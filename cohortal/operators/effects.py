@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from cohortal.operators.prefix import numbered, running_totals
 from cohortal.operators.ranking import ratio, roc_auc, roc_points
-from cohortal.session import broadcast_if_small, materialize
+from cohortal.session import broadcast_if_small, materialize, shuffle_partitions
 
 BLOCKS = ("A", "B", "C", "D")
 
@@ -158,7 +158,9 @@ def stratified(df: DataFrame, id: str, stratum: str, replicates: int, seed: int
     rows = df.where(F.col(stratum).isNotNull())
     placed = numbered(rows, [F.col(id)], "_k", [stratum])
     sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    placed = materialize(placed.join(F.broadcast(sizes), stratum))  # a row per class
+    placed = placed.join(F.broadcast(sizes), stratum)  # a row per class
+    # Few bytes make many draws: adaptive execution would leave them to one task.
+    placed = materialize(placed.repartition(shuffle_partitions(df.sparkSession)))
     # What is never null needs no filter before the join, which would repeat all steps of a draw.
     whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
     draws = placed.select(*[whole(c).alias(c) for c in ("_k", "_n")], whole(stratum).alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))

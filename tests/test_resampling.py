@@ -187,3 +187,13 @@ def test_steps_of_a_draw_are_computed_once(spark, capsys):
     capsys.readouterr()
     draws.explain()
     assert capsys.readouterr().out.count(str(E.MULTIPLIER)) == 4  # an expression that uses each step twice has hundreds
+
+
+def test_draws_are_spread_over_tasks_and_equal_without_a_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame(scored(400), "id long, y int, a double, b double")
+    draws = E.stratified(df, "id", "y", 12, seed=5)
+    per_task = [r.n for r in draws.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(per_task) == 4 and sum(per_task) == 4_800 and max(per_task) < 2_000
+    want = Counter(map(tuple, draws.collect()))
+    monkeypatch.setattr(E, "broadcast_if_small", lambda d, otherwise=None: d.hint(otherwise))
+    assert Counter(map(tuple, E.stratified(df, "id", "y", 12, seed=5).collect())) == want
